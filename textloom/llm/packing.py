@@ -13,12 +13,15 @@ over the same files.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import slices
+from textloom.llm._text import slices, words
 from textloom.session import table
 
 #: Longest sequence; a power of two.
@@ -27,17 +30,19 @@ LONGEST = 2048
 END = 1
 #: Where the tokenizer's file is; None: word_bpe_49k.json of the installed vocabularies.
 TOKENIZER = None
-#: Distinct chunks whose ids a worker keeps.
+#: Distinct chunks after which a worker starts a new generation of those it keeps.
 CACHE = 200_000
 
 SCHEMA = "doc_id long, start long, length long, bucket int, doc_tokens long, ids binary"
 
 
 class ChunkTokenizer:
-    """Ids of whole texts, with the ids of chunks between spaces kept for reuse.
+    """Ids of whole texts, with the ids of chunks between white space kept for reuse.
 
     The tokenizer's pattern never matches across white space, and its normaliser composes
-    nothing with a space, so the ids of a text are those of its chunks in a row.
+    nothing with a space, so the ids of a text are those of its chunks in a row. Below
+    U+0300 nothing composes at all (and but for U+0130 no letter grows in lower case), so there A-Z may be in lower case before (the
+    normaliser's last step) and a stop or comma after a letter may stand apart.
     """
 
     def __init__(self, path: str | None):
@@ -49,23 +54,63 @@ class ChunkTokenizer:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-
-    def chunk(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks. Two generations are kept: a chunk in use passes from the older to the younger, which takes its place when full."""
+        known, older, missing = self.known, self.older, []
+        for c in chunks:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    missing.append(c)
+        tokenize, rest = self.model.tokenize, []
+        for c in missing:
+            if c.isascii() and c.isalpha() and c.islower():  # one match of the pattern, whose bytes stand for themselves
+                known[c] = array("I", [t.id for t in tokenize(c)]).tobytes()
+            else:
+                rest.append(c)
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[c] = array("I", e.ids).tobytes()
+        found = [known[c] for c in chunks]
+        if len(known) > CACHE:
+            self.older, self.known = known, {}
+        return found
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        known = self.known
         chunks = text.replace("\n", " ").split(" ")
-        missing = [c for c in set(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = list(set(chunks))
-            for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, np.uint32).tobytes()
-        return b"".join([known[c] for c in chunks])
+        distinct = list(set(chunks))
+        found = dict(zip(distinct, self.learn(distinct), strict=True))
+        return b"".join([found[c] for c in chunks])
+
+    def all_ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text."""
+        beyond = pc.match_substring_regex(texts, r"[\x{0130}\x{0300}-\x{10FFFF}]").to_numpy(zero_copy_only=False)
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts.filter(pa.array(~beyond))), r"(\p{L})([.,])([ \n]|$)", r"\1 \2\3")
+        distinct, codes, bounds = words(apart)
+        found, codes = self.learn(distinct.to_pylist()), codes.tolist()
+        spans, out = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), []
+        for i, odd in enumerate(beyond):
+            if odd:
+                out.append(self.ids(texts[i].as_py()))
+            else:
+                first, last = next(spans)
+                out.append(b"".join([found[c] for c in codes[first:last]]))
+        return out
+
+
+_tokenizers: dict = {}
+
+
+def chunk_tokenizer(path: str | None) -> ChunkTokenizer:
+    """One per Python worker, so that what it knows serves all tasks of the worker."""
+    if path not in _tokenizers:
+        _tokenizers[path] = ChunkTokenizer(path)
+    return _tokenizers[path]
 
 
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -81,11 +126,11 @@ def pack_power_of_two(docs: DataFrame, longest: int = LONGEST, end: int = END, t
     tail = np.array([end], np.uint32).tobytes()
 
     def pack(batches):
-        made = ChunkTokenizer(tokenizer)
+        made = chunk_tokenizer(tokenizer)
         for piece, texts in slices(batches):
             out = ([], [], [], [], [], [])
-            for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts.to_pylist(), strict=True):
-                ids = made.ids(text) + tail
+            for doc_id, ids in zip(piece.column("doc_id").to_pylist(), made.all_ids(texts), strict=True):
+                ids += tail
                 at = 0
                 for n in binary_lengths(len(ids) // 4, longest):
                     for column, value in zip(out, (doc_id, at, n, n.bit_length() - 1, len(ids) // 4, ids[4 * at : 4 * (at + n)]), strict=True):
