@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import language_id, line_dedup, matroska, mixing, ngram_join, packing
+from textloom.llm import attention_lm, language_id, line_dedup, matroska, mixing, ngram_join, packing, suffix_dedup, vector_search
 
 
 def queries() -> dict:
     return {
+        "op1_attention_lm": attention_lm.op1_attention_lm,
         "op2_ngram_join": ngram_join.op2_ngram_join,
+        "op3_vector_search": vector_search.op3_vector_search,
         "op4_matroska": matroska.op4_matroska,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_packing": packing.op6_packing,
         "op7_language_id": language_id.op7_language_id,
         "op9_mixing": mixing.op9_mixing,
