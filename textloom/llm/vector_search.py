@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from textloom.session import materialise, table
 
-#: Expected rows of the sample that the tree is fitted on; children of a node; sample rows below which a node is a leaf.
-SAMPLE, BRANCH, LEAF = 40_000, 12, 300
+#: Expected rows of the sample that the tree is fitted on; children of a node at most.
+SAMPLE, BRANCH = 40_000, 16
 #: Calibration queries (expected), and the recall they must reach.
 CALIBRATION, TARGET = 150, 0.95
 #: Vectors of a leaf that one part holds.
@@ -43,14 +43,15 @@ NEIGHBOURS = 20
 class Tree:
     """Centres of all nodes; children of node i are the nodes first[i] .. first[i] + count[i]; leaves have none and a number."""
 
-    def __init__(self, vectors: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int = 5):
+    def __init__(self, vectors: np.ndarray, leaf: float, branch: int = BRANCH, seed: int = 5):
+        """``leaf``: rows of a leaf; a node has as many children as it takes, up to ``branch``."""
         rng = np.random.default_rng(seed)
         centres, first, count, waiting = [vectors.mean(axis=0) if len(vectors) else np.zeros(1)], [0], [0], [(0, np.arange(len(vectors)))]
         while waiting:
             node, rows = waiting.pop()
-            if len(rows) <= leaf:
+            if len(rows) <= 1.5 * leaf:
                 continue
-            made, near = self.split(vectors[rows], branch, rng)
+            made, near = self.split(vectors[rows], int(np.clip(np.ceil(len(rows) / leaf), 2, branch)), rng)
             if len(made) < 2:
                 continue
             first[node], count[node] = len(centres), len(made)
@@ -184,7 +185,7 @@ def nearest(rows: DataFrame, every: int, most: int = NEIGHBOURS, sample: int = S
     draw = lambda salt, share: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, share)))
     got = rows.filter(draw("tree", sample / max(1, n))).orderBy("vec_id").toPandas()
     vectors = np.array(got["embedding"].tolist(), float) if len(got) else np.zeros((0, 1))
-    tree = Tree(vectors)
+    tree = Tree(vectors, leaf=max(4.0, len(vectors) / max(1.0, n**0.5)))  # as many leaves as a leaf has rows
     asked = rows.filter(is_query & draw("calibrate", calibration / max(1, n_queries))).dropDuplicates(["vec_id"]).orderBy("vec_id").toPandas()
     visits = tree.leaves
     if len(asked):
