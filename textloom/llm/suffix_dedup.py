@@ -38,11 +38,12 @@ LENGTH, GRAM = 50, 20
 BUCKET_BYTES = 40 << 20
 #: Bytes of stretches that are sorted at a time.
 BLOCK_BYTES = 1 << 20
-#: Id lists and ranges are broadcast up to this size, joined by shuffle beyond it.
-BROADCAST_BYTES = 32 << 20
+#: The ids of exact copies are broadcast up to this size, joined by shuffle beyond it.
+BROADCAST_BYTES = 64 << 20
 
 U = np.uint64
-OCCURRENCE = np.dtype([("doc_id", "<i8"), ("h", "<i8"), ("start", "<i8")])
+#: Where a stretch stands; of h (the text's hash, which tells texts of one doc_id apart) the low 32 bits are enough.
+OCCURRENCE = np.dtype([("doc_id", "<i8"), ("h", "<i4"), ("start", "<u4")])
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -210,7 +211,7 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
             code = text.indices.to_numpy()
             by = np.argsort(code, kind="stable")
             where = np.zeros(len(by), OCCURRENCE)
-            where["doc_id"], where["h"], where["start"] = np.array(ids, np.int64)[owner[by]], np.array(hs, np.int64)[owner[by]], start[by]
+            where["doc_id"], where["h"], where["start"] = np.array(ids, np.int64)[owner[by]], np.array(hs, np.int32)[owner[by]], start[by]
             cuts = np.searchsorted(code[by], np.arange(len(text.dictionary) + 1))
             spots = pa.Array.from_buffers(pa.binary(), len(text.dictionary), [None, pa.py_buffer((cuts * OCCURRENCE.itemsize).astype(np.int32).tobytes()), pa.py_buffer(where.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(value[by][cuts[:-1]].view(np.int64)), text.dictionary.cast(pa.binary()), spots], names=["anchor", "stretch", "spots"])
@@ -244,7 +245,7 @@ def earlier_ranges(cut: DataFrame, length: int) -> DataFrame:
             last = np.concatenate([within[1:] == 0, [True]])
             end = gone & ~(np.concatenate([gone[1:], [False]]) & ~last)
             spot = spot[begin]
-            base = every["start"][spot]
+            base = every["start"][spot].astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(every["doc_id"][spot]), pa.array(every["h"][spot]), pa.array(base + within[begin]), pa.array(base + within[end] + length)], names=["doc_id", "h", "a", "b"])
 
         for batch in batches:
@@ -258,7 +259,7 @@ def earlier_ranges(cut: DataFrame, length: int) -> DataFrame:
         if held:
             yield done()
 
-    return cut.mapInArrow(judge, "doc_id long, h long, a long, b long")
+    return cut.mapInArrow(judge, "doc_id long, h int, a long, b long")
 
 
 def without(docs: DataFrame) -> DataFrame:
@@ -279,26 +280,24 @@ def without(docs: DataFrame) -> DataFrame:
                 removed.append(gone), spans.append(count), kept.append(b"".join(parts))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "h", "n_removed", "n_spans", "kept"])
 
-    return docs.select("doc_id", "h", "text", "a", "b").mapInArrow(remove, "doc_id long, h long, n_removed long, n_spans long, kept binary")
+    return docs.select("doc_id", "h", "text", "a", "b").mapInArrow(remove, "doc_id long, h int, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.expr("cast(xxhash64(text) & 2147483647 as int)"))
     facts = materialise(own.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "facts")
     first = facts.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    facts = materialise(facts.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "facts")
+    facts = materialise(facts.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first"), "facts")
     copies = facts.filter("copy").select("doc_id", "h").distinct()
     sums = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count_if("copy")).first()
-    near = lambda df, rows, width: F.broadcast(df) if rows * width <= broadcast_bytes else df
-    texts = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).join(near(copies, sums[1], 32), ["doc_id", "h"], "left_anti")
+    texts = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).join(F.broadcast(copies) if sums[1] * 32 <= broadcast_bytes else copies, ["doc_id", "h"], "left_anti")
     buckets = max(8, -(-sums[0] // BUCKET_BYTES))
     sent = anchor_rows(texts, buckets, length).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     replies = shared_anchors(sent).groupBy("doc_id").agg(F.collect_list("shared").alias("shared"))
     cut = stretches(texts.join(replies, "doc_id"), length).repartition("anchor").sortWithinPartitions("anchor")
     ranges = materialise(earlier_ranges(cut, length).groupBy("doc_id", "h").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "ranges")
-    weight = ranges.agg(F.sum(F.size("a") * 16 + 48)).first()[0] or 0
-    touched = without(texts.join(near(ranges, 1, weight), ["doc_id", "h"])).select("doc_id", "h", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    touched = without(texts.join(ranges, ["doc_id", "h"])).select("doc_id", "h", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     touched = materialise(touched, "touched").dropDuplicates(["doc_id", "h"])
     whole = F.col("copy") & (F.col("n_bytes") >= length)
     out = facts.join(touched, ["doc_id", "h"], "left")
