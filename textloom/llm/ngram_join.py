@@ -43,6 +43,8 @@ from textloom.session import materialise, table
 SHINGLE, SIMILAR = 3, (90, 100)
 #: Members and shingles of a verification block at most (a longer document is a block of its own).
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
+#: Bytes of text whose sets a task holds at a time.
+SLICE_BYTES = 2 << 20
 #: Candidates' ids are broadcast up to this size when their texts are fetched, joined by shuffle beyond it.
 BROADCAST_BYTES = 32 << 20
 
@@ -265,7 +267,7 @@ def jaccard_classes(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE, br
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
 
     def describe(batches):
-        for piece, texts in slices(batches):
+        for piece, texts in slices(batches, limit=SLICE_BYTES):
             sets = shingle_sets(texts, shingle)
             keys, roles, of = set_keys(sets, similar)
             by = np.argsort(of, kind="stable")
