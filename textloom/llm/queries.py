@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import attention_lm, language_id, line_dedup, matroska, mixing, ngram_join, packing, suffix_dedup, vector_search
+from textloom.llm import attention_lm, language_id, line_dedup, matroska, mixing, ngram_join, packing, sharding, suffix_dedup, vector_search
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_packing": packing.op6_packing,
         "op7_language_id": language_id.op7_language_id,
+        "op8_sharding": sharding.op8_sharding,
         "op9_mixing": mixing.op9_mixing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
