@@ -1,0 +1,106 @@
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions import patterns, text
+from textloom.operators import bundles, diffs, locate, records, selection, similar
+from textloom.operators.components import connected_components
+
+
+def one(spark, column, **values):
+    df = spark.createDataFrame([tuple(values.values())], list(values))
+    return df.select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    ("glob", "path", "hit"),
+    [("**/*.lock", "a.lock", True), ("**/*.lock", "x/y/a.lock", True), ("*.ts", "x/a.ts", False), (".github/workflows/**", ".github/workflows/ci.yml", True), ("**/*.{yaml,yml}", ".github/workflows/ci.yml", False), ("**/*.{ts,tsx}", "src/A.TSX", True), ("**/Dockerfile*", "Dockerfile.dev", True), ("a?c", "abc", True)],
+)
+def test_globs(spark, glob, path, hit):
+    assert one(spark, F.col("p").rlike(patterns.glob_regex(glob)), p=path) is hit
+
+
+def test_posix_classes_become_javas(spark):
+    assert one(spark, F.col("p").rlike(patterns.posix_regex("[[:digit:]]+x")), p="12x")
+
+
+def test_text_functions(spark):
+    assert one(spark, text.norm_line(F.col("p")), p="\t + x\r") == "+ x"
+    assert one(spark, text.strip_locale(F.col("p")), p="m_en.json") == "m.json"
+    assert one(spark, text.jaccard(F.array(), F.array()), p=1) == 1.0
+    assert one(spark, text.mask(F.col("p")), p="AKIAxyz") == "AKIA***"
+    assert one(spark, text.entropy(F.col("p")), p="aabb") == 1.0
+
+
+PATCH = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -5 +5,2 @@\n-old\n+new\n+more\ndiff --git a/y b/y\nnew file mode 100644\n--- /dev/null\n+++ b/y\n@@ -0,0 +1 @@\n+z\ndiff --git a/i.png b/i.png\nBinary files a/i.png and b/i.png differ\n"
+
+
+def test_diffs(spark):
+    rows = diffs.parse(spark.createDataFrame([(1, PATCH), (2, " ")], ["id", "d"]), "id", "d")
+    files = {r["new_path"]: r for r in diffs.summary(rows, "id").collect()}
+    assert set(files) == {"x.py", "y", "i.png"}
+    assert (files["x.py"]["insertions"], files["x.py"]["deletions"]) == (2, 1)
+    assert files["y"]["is_new"] and files["y"]["old_path"] == "" and files["i.png"]["is_binary"]
+    assert sorted(r["new_no"] for r in rows.filter("new_path = 'x.py' and type = 'added'").collect()) == [5, 6]
+
+
+def test_selection_and_rules(spark):
+    assert one(spark, selection.drop_reason(F.col("p")), p="a\\b.PNG") == "binary"
+    assert one(spark, selection.drop_reason(F.col("p")), p="package-lock.json") == "excluded"
+    assert one(spark, selection.drop_reason(F.col("p")), p="src/a.py") is None
+    assert one(spark, selection.rule_for(F.col("p"), repo=(("src/**", "own"),)), p="src/a.py") == "own"
+    assert one(spark, selection.rule_for(F.col("p")), p=".github/workflows/ci.yml").startswith("workflow")
+
+
+def test_greedy_bins(spark):
+    assert one(spark, bundles.fold_bins(F.col("s")), s=[12000, 9000, 3000, 25000, 100]) == [0, 1, 1, 2, 3]
+
+
+def test_snippets(spark):
+    lines, target = F.array(*map(F.lit, ("a", "b", "c"))), F.array(F.lit("b"), F.lit("c"))
+    assert one(spark, locate.run_at(lines, target), p=1) == 2
+    assert one(spark, locate.run_at(lines, F.array().cast("array<string>")), p=1) is None
+    assert one(spark, locate.locate_fuzzy(F.array(F.lit("const answer = 1")), F.array(F.lit("const answer = 1;"))), p=1) == 1
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], ["a", "b"])
+    found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert {found[i] for i in range(41)} == {0} and found[101] == 100
+    assert connected_components(edges.filter("a < 0")).count() == 0
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    texts = ["a b c d e", "a b c d f", "a b c d e", "", "", "x y", "a b c", "e d c b a"]
+    got = {(r["a"], r["b"]) for r in similar.similar_pairs(spark.createDataFrame(list(enumerate(texts)), ["id", "t"]), "id", "t").collect()}
+    sets = [set(t.split()) for t in texts]
+    close = lambda x, y: (len(x & y) / len(x | y) if x | y else 1.0) >= 0.6
+    assert got == {(i, j) for i in range(8) for j in range(i + 1, 8) if close(sets[i], sets[j])}
+
+
+def test_manifests(spark):
+    files = spark.createDataFrame([("p", '{"dependencies": {"a": "1", "b": "*"}, "devDependencies": {"a": "2"}}'), ("q", "{")], ["f", "t"])
+    got = {(r["path"], r["name"]): r["constraint"] for r in records.package_json(F.col("f"), F.col("t"), files).collect()}
+    assert got == {("p", "a"): "2", ("p", "b"): "*", ("q", None): None}
+    pip = spark.createDataFrame([("r", "# c\nflask\nx[y] >=1 ; python\n-r z\n")], ["f", "t"])
+    assert {(r["name"], r["constraint"]) for r in records.requirements_txt(F.col("f"), F.col("t"), pip).collect()} == {("flask", ""), ("x", ">=1")}
+    go = spark.createDataFrame([("g", "module m\nrequire (\n\ta/b v1 // x\n\t// c v2\n)\nrequire d v3\n")], ["f", "t"])
+    assert {(r["name"], r["constraint"]) for r in records.go_mod(F.col("f"), F.col("t"), go).collect()} == {("a/b", "v1"), ("d", "v3")}
+
+
+def test_importers(spark):
+    files = spark.createDataFrame([("src/a.ts", 'import x from "./b"\nexport * from "../c.js"'), ("src/d.ts", 'require("./b"); import("react")')], ["p", "t"])
+    targets = spark.createDataFrame([("src/b.ts",), ("c.js",), ("react",)], ["p"])
+    got = {r["target"]: r["importers"] for r in records.importers(targets, records.import_edges(files, "p", "t"), "p").collect()}
+    assert got == {"src/b.ts": ["src/a.ts", "src/d.ts"], "c.js": ["src/a.ts"], "react": []}
+
+
+def test_secrets_are_masked(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    lines = spark.createDataFrame([(1, 1, f"k = '{key}'"), (1, 2, 'tok' + 'en = "' + "abcdef0123456789" + '"'), (1, 3, "plain")], ["id", "line", "content"])
+    got = {(r["line"], r["pattern"]): r["matched"] for r in records.scan_secrets(lines, "id").collect()}
+    assert got == {(1, "cloud_access_key"): "AKIA" + "*" * 16, (2, "assigned_secret"): "abcd" + "*" * 12}
+
+
+def test_lint(spark):
+    said = spark.createDataFrame([("a.ts(3,4): error TS1: bad",), ("noise",)], ["content"])
+    assert [(r["path"], r["line"], r["severity"], r["message"]) for r in records.lint_lines(said, "tsc").collect()] == [("a.ts", 3, "error", "bad")]

@@ -42,7 +42,7 @@ def package_json(path: Column, text: Column, files: DataFrame) -> DataFrame:
 
 def requirements_txt(path: Column, text: Column, files: DataFrame) -> DataFrame:
     """path, name, constraint of pip requirements; the last line of a name wins."""
-    lines = files.select(path.alias("path"), F.posexplode(F.split(text, "\n", -1)).alias("p", "l")).withColumn("l", F.trim(F.split("l", ";")[0]))
+    lines = files.select(path.alias("path"), F.posexplode(F.split(text, "\n", -1)).alias("p", "l")).withColumn("l", F.regexp_replace(F.split("l", ";")[0], r"^\s+|\s+$", ""))
     lines = lines.filter(~F.col("l").rlike("^(#|-|$)"))
     form = r"^([A-Za-z0-9_.-]+)(?:\[[^\]]*\])?\s*(.*)$"
     named = lines.select("path", "p", F.regexp_extract("l", form, 1).alias("name"), F.regexp_extract("l", form, 2).alias("constraint")).filter("name <> ''")
@@ -54,7 +54,7 @@ def go_mod(path: Column, text: Column, files: DataFrame) -> DataFrame:
     block = F.regexp_extract_all(text, F.lit(r"(?ms)^require\s*\((.*?)^\)"), F.lit(1))
     single = F.regexp_extract_all(text, F.lit(r"(?m)^require\s+([^\s(].*)$"), F.lit(1))
     lines = files.select(path.alias("path"), F.posexplode(F.concat(F.flatten(F.transform(block, lambda b: F.split(b, "\n"))), single)).alias("p", "l"))
-    lines = lines.withColumn("l", F.trim(F.regexp_replace("l", "//.*$", ""))).filter("l <> ''")
+    lines = lines.withColumn("l", F.regexp_replace(F.regexp_replace("l", "//.*$", ""), r"^\s+|\s+$", "")).filter("l <> ''")
     return lines.select("path", F.regexp_extract("l", r"^(\S+)", 1).alias("name"), F.regexp_extract("l", r"^\S+\s+(\S+)", 1).alias("constraint"), "p").groupBy("path", "name").agg(F.max_by("constraint", "p").alias("constraint"))
 
 
