@@ -40,7 +40,8 @@ CHARACTERS = 4_000_000
 CALIBRATE = 4
 #: A text is rejected above this quantile of its language's calibration, plus a margin in bits, plus slack / characters.
 QUANTILE, MARGIN, SLACK = 0.995, 0.75, 24.0
-#: Share of characters outside letters, digits, white space and common punctuation from which a text is rejected.
+#: Bytes of text that a task scores at a time.
+SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 ADDED = ("lang_pred", "score", "bits", "rejected")
 
@@ -224,7 +225,7 @@ def identify(docs: DataFrame, models: Models | None = None) -> DataFrame:
 
     def predict(batches):
         models = held.value
-        for piece, texts in slices(batches):
+        for piece, texts in slices(batches, limit=SLICE_BYTES):
             langs, score, bits, rejected = models.predict(texts)
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], names=[*piece.schema.names, *ADDED])
 
