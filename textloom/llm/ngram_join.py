@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, exp, factorial
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ from textloom.session import materialise, table
 SHINGLE, SIMILAR = 3, (90, 100)
 #: Members and shingles of a verification block at most (a longer document is a block of its own).
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
+#: Shingles whose keys meet in one bucket.
+BUCKET_ELEMENTS = 1_500_000
 #: Bytes of text whose sets a task holds at a time.
 SLICE_BYTES = 2 << 20
 #: Candidates' ids are broadcast up to this size when their texts are fetched, joined by shuffle beyond it.
@@ -93,8 +95,33 @@ class Bands:
         while edges[-1] <= largest:
             edges.append(b * edges[-1] // a + 1)
         self.edges = np.array(edges, np.int64)
-        ends = self.edges[1:] - 1
-        self.parts = (b - a) * (ends + b * ends // a) // (a + b) + 1 if len(ends) else np.zeros(0, np.int64)
+        low, high = self.edges[:-1], self.edges[1:] - 1
+        differ = (b - a) * (high + b * high // a) // (a + b)
+        plan = [self.division(int(s), int(d)) for s, d in zip(low, differ, strict=True)]
+        self.parts, self.informative = (np.array([x[i] for x in plan], np.int64) for i in (0, 1))
+        self.spare = self.parts - differ - 1
+
+    @staticmethod
+    @lru_cache(maxsize=4096)
+    def division(size: int, differ: int) -> tuple[int, int]:
+        """Parts, and elements from which a part says enough by itself.
+
+        Of D + 1 + e parts, e + 1 are equal in both sets. A set of this size has about e
+        parts of too few elements, so with one equal part more than those, one that says
+        enough is equal. The number of parts is raised until that holds (three standard
+        deviations); sets with more such parts than e, or too small for any, key these
+        parts by pairs.
+        """
+        for enough in (3, 2, 1):
+            k = differ + 1
+            while k < 1.5 * (differ + 1):
+                m = size / k
+                share = exp(-m) * sum(m**i / factorial(i) for i in range(enough))
+                need = differ + 1 + int(k * share + 3 * (k * share) ** 0.5) + 1
+                if need <= k:
+                    return k, enough
+                k = need
+        return differ + 1, 1
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         """Band numbers; -1: below all bands."""
@@ -146,15 +173,15 @@ def light_keys(elements: np.ndarray, similar=SIMILAR) -> tuple[list[int], list[i
     return np.concatenate(keys), np.concatenate(roles)
 
 
-def part_keys(sets: list[np.ndarray], bands: np.ndarray, parts: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(sets: list[np.ndarray], bands: np.ndarray, plan: Bands, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the parts of heavy sets taken in the given bands, and the set that each is of.
 
-    An empty part (in small sets, one of two elements or fewer) says too little by itself;
-    it is keyed together with each part of a second, independent division.
+    Parts that say enough are keys. A set with more others than its band can spare keys
+    these together with each part of a second, independent division.
     """
     sizes = np.array([len(x) for x in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    count = parts[bands]
+    count = plan.parts[bands]
     offsets = np.concatenate([[0], np.cumsum(count)])
     k, band = count[owner].astype(np.uint64), bands[owner].astype(np.uint64)
 
@@ -168,16 +195,17 @@ def part_keys(sets: list[np.ndarray], bands: np.ndarray, parts: np.ndarray, seed
         return of, np.bincount(slot, minlength=offsets[-1]), mix(content * ODD[0] + bands[of].astype(np.uint64) * ODD[1] + place * ODD[2] + U(salt))
 
     of, filled, keys = divide(seed)
-    sparse = filled <= np.where(count[of] <= 32, 2, 0)
+    few = filled < plan.informative[bands][of]
+    sparse = few & (np.bincount(of, few, len(sets)) > plan.spare[bands])[of]
     if not sparse.any():
-        return keys, of
+        return keys[~few], of[~few]
     _, _, second = divide(seed + 77)
     extra, extra_of = [], []
     for slot in np.nonzero(sparse)[0]:
         i = of[slot]
         extra.append(mix(keys[slot : slot + 1] * ODD[1] + second[offsets[i] : offsets[i + 1]]))
         extra_of.append(np.full(count[i], i))
-    return np.concatenate([keys[~sparse], *extra]), np.concatenate([of[~sparse], *extra_of])
+    return np.concatenate([keys[~few], *extra]), np.concatenate([of[~few], *extra_of])
 
 
 def set_keys(sets: list[np.ndarray], similar=SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +221,7 @@ def set_keys(sets: list[np.ndarray], similar=SIMILAR) -> tuple[np.ndarray, np.nd
     for down in (0, 1):  # as the smaller of two, and as the larger of a set in the band below
         heavy = np.nonzero(own - down >= 0)[0]
         if len(heavy):
-            k, o = part_keys([sets[i] for i in heavy], own[heavy] - down, bands.parts)
+            k, o = part_keys([sets[i] for i in heavy], own[heavy] - down, bands)
             keys.append(k), roles.append(np.full(len(k), 3, np.int8)), of.append(heavy[o])
     return np.concatenate(keys), np.concatenate(roles), np.concatenate(of)
 
@@ -263,29 +291,92 @@ def verified(candidates: DataFrame, similar=SIMILAR, shingle: int = SHINGLE) ->
     return candidates.mapInArrow(check, "a long, b long")
 
 
+def node_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit id per set, the same for equal sets."""
+    return mix(np.array([mix(x).sum(dtype=np.uint64) for x in sets], np.uint64) + np.array([len(x) for x in sets], np.uint64) * ODD[2]).view(np.int64)
+
+
+def tied(key: np.ndarray, node: np.ndarray, role: np.ndarray):
+    """Rows of keys that nodes meet in: (row's node, the key's first node, role), without the first itself."""
+    by = np.lexsort((node, key))
+    key, node, role = key[by], node[by], role[by]
+    starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
+    if not len(starts):
+        return node, node, role
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    low, high = np.minimum.reduceat(role, starts), np.maximum.reduceat(role, starts)
+    first = np.repeat(node[starts], sizes)
+    met = np.repeat((low >= 2) | (low < high), sizes) & (node != first)
+    return node[met], first[met], role[met]
+
+
+def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+    """node, first, open: nodes tied to the first node of a key (open: a heavy part's, to be verified).
+
+    A slice sends each key once per bucket in packed rows; nodes that meet within the slice are tied there.
+    """
+    names, kinds = ["bucket", "keys", "nodes", "roles"], (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+    def send(batches):
+        for _, texts in slices(batches, limit=SLICE_BYTES):
+            sets = shingle_sets(texts, shingle)
+            nodes = node_ids(sets)
+            once = np.unique(nodes, return_index=True)[1]
+            sets, nodes = [sets[i] for i in once if len(sets[i])], np.array([nodes[i] for i in once if len(sets[i])], np.int64)
+            key, role, of = set_keys(sets, similar)
+            node = nodes[of] if len(of) else np.zeros(0, np.int64)
+            heavy = role >= 2
+            a, first, r = tied(key[heavy], node[heavy], role[heavy])
+            rows = [(-1, b"", np.stack([a, first], axis=1).tobytes(), r.tobytes())] if len(a) else []
+            by = np.lexsort((node, key))
+            key, node, role = key[by], node[by], role[by]
+            again = np.concatenate([[False], (key[1:] == key[:-1]) & (role[1:] >= 2) & (role[:-1] >= 2)]) if len(key) else np.zeros(0, bool)
+            key, node, role = key[~again], node[~again], role[~again]
+            bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows += [(k, key[x:y].tobytes(), node[x:y].tobytes(), role[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def tie(batches):
+        held, now = [], None
+        edge = lambda a, first, r: pa.RecordBatch.from_arrays([pa.array(a), pa.array(first), pa.array(r == 3)], names=["node", "first", "open"])
+
+        def done():
+            return edge(*tied(*(np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.int8)))))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k, *row = (batch.column(c)[i].as_py() for c in names)
+                if k < 0:
+                    pairs = np.frombuffer(row[1], np.int64).reshape(-1, 2)
+                    yield edge(pairs[:, 0], pairs[:, 1], np.frombuffer(row[2], np.int8))
+                    continue
+                if held and k != now:
+                    yield done()
+                    held = []
+                now = k
+                held.append(row)
+        if held:
+            yield done()
+
+    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, nodes binary, roles binary")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tie, "node long, first long, open boolean")
+
+
 def jaccard_classes(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
 
     def describe(batches):
         for piece, texts in slices(batches, limit=SLICE_BYTES):
             sets = shingle_sets(texts, shingle)
-            keys, roles, of = set_keys(sets, similar)
-            by = np.argsort(of, kind="stable")
-            ends = pa.array(np.searchsorted(of[by], np.arange(len(sets) + 1)).astype(np.int32))
-            nodes = mix(np.array([mix(x).sum(dtype=np.uint64) for x in sets], np.uint64) + np.array([len(x) for x in sets], np.uint64) * ODD[2])
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys[by].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(roles[by]))],
-                names=["doc_id", "n_shingles", "node", "keys", "roles"],
-            )
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(node_ids(sets))], names=["doc_id", "n_shingles", "node"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = materialise(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long, keys array<bigint>, roles array<tinyint>"), "sets")
-    rows = sets.filter("doc_id is not null and n_shingles > 0").select("node", F.explode(F.arrays_zip("keys", "roles")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.roles").alias("role"), "node")
-    met = (
-        rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min("role").alias("low"), F.max("role").alias("high"))
-        .filter("first < last and (low >= 2 or low < high)").select("key", "first")
-    )
-    edges = materialise(rows.join(met, "key").filter("node != first").select("node", "first", (F.col("role") == 3).alias("open")).distinct(), "met")
+    sets = materialise(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long"), "sets")
+    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(8, -(-total // BUCKET_ELEMENTS))
+    edges = materialise(met_nodes(docs.filter("doc_id is not null"), buckets, similar, shingle).distinct(), "met")
     maybe = connected_components(edges.filter("open").select("node", "first"))
     reps = sets.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     members = maybe.join(reps, "node").select("doc_id", "node", "n", F.col("component").alias("grp"))
