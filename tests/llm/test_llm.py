@@ -74,6 +74,36 @@ def test_keys_miss_no_link():
                         assert any({i, j} <= {x for x, _ in m} for m in met.values())
 
 
+def test_prefix_keys_miss_no_link_in_any_order():
+    rng = np.random.default_rng(2)
+    common = rng.integers(0, 200, 1 << ngram_join.CELL_BITS).astype(np.uint8)
+    for _ in range(80):
+        n = int(rng.integers(8, 300))
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.permutation(n)[: n - int(rng.integers(0, n // 6 + 1))]], rng.integers(0, 2**64, int(rng.integers(0, n // 6 + 1)), dtype=np.uint64)])) for _ in range(4)]
+        keys, roles, of = ngram_join.set_keys(sets, (80, 100), common)
+        node, first, role = ngram_join.tied(keys, of, roles)
+        root = list(range(len(sets)))
+        for a, b in zip(node.tolist(), first.tolist(), strict=True):
+            root = [root[b] if r == root[a] else r for r in root]
+        for i in range(len(sets)):
+            for j in range(i):
+                inter = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * inter >= 80 * (len(sets[i]) + len(sets[j]) - inter):
+                    assert root[i] == root[j]
+
+
+def test_commonness(docs):
+    table = ngram_join.commonness(docs, 5000, 5)
+    assert len(table) == 1 << ngram_join.CELL_BITS
+    met = {}
+    for text in {t for _, t, *_ in rows()}:
+        for h in ngram_join.shingle_sets(pa.array([text or ""], pa.large_string()), 5)[0].tolist():
+            met[h] = met.get(h, 0) + 1
+    for h, n in met.items():
+        assert table[h >> 64 - ngram_join.CELL_BITS] >= (int(8 * np.log2(n)) if n > 1 else 0)
+
+
 def test_suffix_dedup(docs, none):
     got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect())
     texts = sorted((i, (t or "").encode()) for i, t, *_ in rows())

@@ -3,11 +3,15 @@
 Documents with equal sets are one node. Light sets (below a size boundary) enumerate, for
 each size that a partner can have, all their subsets of the fixed size that the two must
 share; sets that meet in such a subset link, with nothing left to verify. Heavy sets are
-put on inverted lists and the lists are scanned: with at most D differing elements between
-partners, of D + 1 parts of the elements (by hash) one at least is equal in both, so the
-lists are kept per part rather than per element, which also keeps shared passages from
-filling them. The lists' candidates are verified exactly. The boundary is the size at
-which enumerating a set costs more than putting it on lists and verifying it.
+put on inverted lists and the lists are scanned. Where linked sets differ little, lists are
+kept per part: with at most D differing elements between partners, of D + 1 parts of the
+elements (by hash) one at least is equal in both. Where such parts would hold fewer than
+``LEAST_PART`` elements, lists are kept per element, for the elements of a set's prefix: in
+one order for all sets, a set's first elements, as many as leave too few to be linked by.
+The order puts the corpus' rare shingles first (``commonness``), so that shared passages
+are seldom on a list; any order gives the same links. Members of a list whose sizes rule
+out a link are not tied. The lists' candidates are verified exactly. The boundary is the
+size at which enumerating a set costs more than putting it on lists and verifying it.
 
 Lists only tie their members to their first node (no pairs are made). Candidates are
 verified by candidate component, in blocks of bounded size: within a block a lower bound
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
-from math import comb, exp, factorial
+from math import comb, exp, factorial, log
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,12 @@ SHINGLE, SIMILAR = 3, (90, 100)
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
 #: Shingles whose keys meet in one bucket.
 BUCKET_ELEMENTS = 1_500_000
+#: Elements of a part below which lists are kept per element.
+LEAST_PART = 4
+#: Cells (a power of two) of the table of common shingles, one byte each: what is broadcast, at every size of the input.
+CELL_BITS = 25
+#: Shingles counted in one bucket.
+COUNT_ELEMENTS = 2_000_000
 #: Bytes of text whose sets a task holds at a time.
 SLICE_BYTES = 2 << 20
 #: Candidates' ids are broadcast up to this size when their texts are fetched, joined by shuffle beyond it.
@@ -71,10 +81,23 @@ def enumeration_cost(s: int, similar=SIMILAR) -> int:
     return sum(comb(s, shared(s, r, similar)) for r in partners(s, similar))
 
 
+def per_element(similar=SIMILAR) -> bool:
+    """Whether parts of the smallest sets of a band would have fewer than ``LEAST_PART`` elements."""
+    a, b = similar
+    return a * a < LEAST_PART * b * (b - a)
+
+
+def prefix(s: int, similar=SIMILAR) -> int:
+    """Elements of a set of size s of which linked sets share one at least, when taken in the same order."""
+    a, b = similar
+    return s - shared(s, -(-a * s // b), similar) + 1
+
+
 def list_cost(s: int, similar=SIMILAR) -> int:
     """List entries of a heavy set of size s, and its elements for a verification."""
     a, b = similar
-    return 2 * ((b - a) * (s + b * s // a) // (a + b) + 1) + s
+    entries = prefix(s, similar) if per_element(similar) else 2 * ((b - a) * (s + b * s // a) // (a + b) + 1)
+    return entries + s
 
 
 @lru_cache(maxsize=8)
@@ -169,7 +192,7 @@ def light_keys(elements: np.ndarray, similar=SIMILAR) -> tuple[list[int], list[i
         gone = np.array([out[list(c)].sum(dtype=np.uint64) for c in combinations(range(s), left)], np.uint64) if left != 1 else out
         low, high = min(s, r), max(s, r)
         keys.append(mix((total - gone) * ODD[0] + fixed((low, ODD[1]), (high, ODD[2]))))
-        roles.append(np.full(len(gone), 2 if s == r else int(s > r), np.int8))
+        roles.append(np.full(len(gone), 2 if s == r else int(s > r), np.uint8))
     return np.concatenate(keys), np.concatenate(roles)
 
 
@@ -208,13 +231,28 @@ def part_keys(sets: list[np.ndarray], bands: np.ndarray, plan: Bands, seed: int
     return np.concatenate([keys[~few], *extra]), np.concatenate([of[~few], *extra_of])
 
 
-def set_keys(sets: list[np.ndarray], similar=SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of many sets: keys, roles (3: a heavy part, to be verified) and the set of each."""
-    edge, keys, roles, of = boundary(similar), [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)], [np.zeros(0, np.int64)]
+def prefix_keys(elements: np.ndarray, common: np.ndarray | None, similar=SIMILAR) -> tuple[np.ndarray, int]:
+    """Keys of a heavy set's prefix, rare elements first, and its role: 3 and the size class; linked sets are of the same or of neighbouring classes."""
+    a, b = similar
+    often = np.zeros(len(elements), np.uint8) if common is None else common[(elements >> U(64 - CELL_BITS)).astype(np.int64)]
+    order = np.lexsort((elements, often))
+    return mix(elements[order[: prefix(len(elements), similar)]] * ODD[0] + ODD[1]), 3 + int(log(len(elements)) / (log(b / a) * (1 + 1e-9)))
+
+
+def set_keys(sets: list[np.ndarray], similar=SIMILAR, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many sets: keys, roles (3 and more: a heavy set's, to be verified) and the set of each."""
+    edge, keys, roles, of = boundary(similar), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
     for i, x in enumerate(sets):
         if 0 < len(x) < edge:
             k, r = light_keys(x, similar)
             keys.append(k), roles.append(r), of.append(np.full(len(k), i))
+    if per_element(similar):
+        least = -(-similar[0] * edge // similar[1])  # light partners of heavy sets are on the lists, too
+        for i, x in enumerate(sets):
+            if len(x) >= max(1, least):
+                k, r = prefix_keys(x, common, similar)
+                keys.append(k), roles.append(np.full(len(k), r, np.uint8)), of.append(np.full(len(k), i))
+        return np.concatenate(keys), np.concatenate(roles), np.concatenate(of)
     sizes = np.array([len(x) for x in sets], np.int64)
     bands = Bands(similar, int(sizes.max(initial=0)) + 1)
     own = bands.of(sizes)
@@ -222,7 +260,7 @@ def set_keys(sets: list[np.ndarray], similar=SIMILAR) -> tuple[np.ndarray, np.nd
         heavy = np.nonzero(own - down >= 0)[0]
         if len(heavy):
             k, o = part_keys([sets[i] for i in heavy], own[heavy] - down, bands)
-            keys.append(k), roles.append(np.full(len(k), 3, np.int8)), of.append(heavy[o])
+            keys.append(k), roles.append(np.full(len(k), 3, np.uint8)), of.append(heavy[o])
     return np.concatenate(keys), np.concatenate(roles), np.concatenate(of)
 
 
@@ -297,10 +335,11 @@ def node_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def tied(key: np.ndarray, node: np.ndarray, role: np.ndarray):
-    """Rows of keys that nodes meet in: (row's node, the key's first node, role), without the first itself."""
-    by = np.lexsort((node, key))
+    """Rows of keys that nodes meet in: (row's node, the first node, role), without the first itself. A gap between size classes parts a key's nodes."""
+    by = np.lexsort((node, role, key))
     key, node, role = key[by], node[by], role[by]
-    starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
+    gap = (role[:-1] >= 3) & (role[1:] > role[:-1].astype(np.int64) + 1)
+    starts = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | gap]))[0] if len(key) else np.zeros(0, np.int64)
     if not len(starts):
         return node, node, role
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
@@ -310,10 +349,62 @@ def tied(key: np.ndarray, node: np.ndarray, role: np.ndarray):
     return node[met], first[met], role[met]
 
 
-def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+def commonness(docs: DataFrame, total: int, shingle: int = SHINGLE) -> np.ndarray:
+    """For each cell of hashes, how often its most frequent shingle occurs in all documents (eighths of a power of two, 0: once at most).
+
+    The table has 2**CELL_BITS bytes whatever the input, so it can be broadcast. With more
+    shingles a cell tells less about rare ones; common ones still stand out.
+    """
+    bits = min(CELL_BITS, max(3, (total // COUNT_ELEMENTS).bit_length()))
+
+    def send(batches):
+        for _, texts in slices(batches, limit=SLICE_BYTES):
+            sets = shingle_sets(texts, shingle)
+            once = np.unique(node_ids(sets), return_index=True)[1]
+            h = np.sort(np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in once)]))
+            bucket = (h >> U(64 - bits)).astype(np.int64)
+            rest = (h << U(bits) >> U(32)).astype(np.uint32)
+            cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+            rows = [(k, rest[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "rest"])
+
+    def count(batches):
+        held, now = [], None
+
+        def done():
+            h = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in held]))
+            starts = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
+            times = np.diff(np.append(starts, len(h)))
+            cells = np.zeros(1 << CELL_BITS - bits, np.uint8)
+            often = times > 1
+            cell = h[starts[often]].astype(np.int64) >> 32 - (CELL_BITS - bits)
+            np.maximum.at(cells, cell, np.minimum(255, 8 * np.log2(times[often])).astype(np.uint8))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["bucket", "cells"])
+
+        for batch in batches:
+            for k, rest in zip(batch.column("bucket").to_pylist(), batch.column("rest").to_pylist(), strict=True):
+                if held and k != now:
+                    yield done()
+                    held = []
+                now = k
+                held.append(rest)
+        if held:
+            yield done()
+
+    sent = docs.select("text").mapInArrow(send, "bucket int, rest binary")
+    counted = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, cells binary")
+    out = np.zeros((1 << bits, 1 << CELL_BITS - bits), np.uint8)
+    for row in counted.collect():  # 2**CELL_BITS bytes in all
+        out[row.bucket] = np.frombuffer(row.cells, np.uint8)
+    return out.reshape(-1)
+
+
+def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHINGLE, common=None) -> DataFrame:
     """node, first, open: nodes tied to the first node of a key (open: a heavy part's, to be verified).
 
-    A slice sends each key once per bucket in packed rows; nodes that meet within the slice are tied there.
+    A slice sends each key once per bucket and size class in packed rows; nodes that meet within the slice are tied there.
+    ``common``: the broadcast table of ``commonness``, where lists are kept per element.
     """
     names, kinds = ["bucket", "keys", "nodes", "roles"], (pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
@@ -323,14 +414,14 @@ def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHI
             nodes = node_ids(sets)
             once = np.unique(nodes, return_index=True)[1]
             sets, nodes = [sets[i] for i in once if len(sets[i])], np.array([nodes[i] for i in once if len(sets[i])], np.int64)
-            key, role, of = set_keys(sets, similar)
+            key, role, of = set_keys(sets, similar, common.value if common else None)
             node = nodes[of] if len(of) else np.zeros(0, np.int64)
             heavy = role >= 2
             a, first, r = tied(key[heavy], node[heavy], role[heavy])
             rows = [(-1, b"", np.stack([a, first], axis=1).tobytes(), r.tobytes())] if len(a) else []
-            by = np.lexsort((node, key))
+            by = np.lexsort((node, role, key))
             key, node, role = key[by], node[by], role[by]
-            again = np.concatenate([[False], (key[1:] == key[:-1]) & (role[1:] >= 2) & (role[:-1] >= 2)]) if len(key) else np.zeros(0, bool)
+            again = np.concatenate([[False], (key[1:] == key[:-1]) & (role[1:] >= 2) & (role[1:] == role[:-1])]) if len(key) else np.zeros(0, bool)
             key, node, role = key[~again], node[~again], role[~again]
             bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -340,17 +431,17 @@ def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHI
 
     def tie(batches):
         held, now = [], None
-        edge = lambda a, first, r: pa.RecordBatch.from_arrays([pa.array(a), pa.array(first), pa.array(r == 3)], names=["node", "first", "open"])
+        edge = lambda a, first, r: pa.RecordBatch.from_arrays([pa.array(a), pa.array(first), pa.array(r >= 3)], names=["node", "first", "open"])
 
         def done():
-            return edge(*tied(*(np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.int8)))))
+            return edge(*tied(*(np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.uint8)))))
 
         for batch in batches:
             for i in range(batch.num_rows):
                 k, *row = (batch.column(c)[i].as_py() for c in names)
                 if k < 0:
                     pairs = np.frombuffer(row[1], np.int64).reshape(-1, 2)
-                    yield edge(pairs[:, 0], pairs[:, 1], np.frombuffer(row[2], np.int8))
+                    yield edge(pairs[:, 0], pairs[:, 1], np.frombuffer(row[2], np.uint8))
                     continue
                 if held and k != now:
                     yield done()
@@ -376,7 +467,9 @@ def jaccard_classes(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE, br
     sets = materialise(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long"), "sets")
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BUCKET_ELEMENTS))
-    edges = materialise(met_nodes(docs.filter("doc_id is not null"), buckets, similar, shingle).distinct(), "met")
+    named_docs = docs.filter("doc_id is not null")
+    common = docs.sparkSession.sparkContext.broadcast(commonness(named_docs, total, shingle)) if per_element(similar) else None
+    edges = materialise(met_nodes(named_docs, buckets, similar, shingle, common).distinct(), "met")
     maybe = connected_components(edges.filter("open").select("node", "first"))
     reps = sets.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     members = maybe.join(reps, "node").select("doc_id", "node", "n", F.col("component").alias("grp"))
