@@ -52,7 +52,7 @@ BUCKET_ELEMENTS = 1_500_000
 #: Elements of a part below which lists are kept per element.
 LEAST_PART = 4
 #: Cells (a power of two) of the table of common shingles, one byte each: what is broadcast, at every size of the input.
-CELL_BITS = 25
+CELL_BITS = 23
 #: Shingles counted in one bucket.
 COUNT_ELEMENTS = 2_000_000
 #: Bytes of text whose sets a task holds at a time.
@@ -470,6 +470,8 @@ def jaccard_classes(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE, br
     named_docs = docs.filter("doc_id is not null")
     common = docs.sparkSession.sparkContext.broadcast(commonness(named_docs, total, shingle)) if per_element(similar) else None
     edges = materialise(met_nodes(named_docs, buckets, similar, shingle, common).distinct(), "met")
+    if common:
+        common.destroy()  # the table of edges outlives it
     maybe = connected_components(edges.filter("open").select("node", "first"))
     reps = sets.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     members = maybe.join(reps, "node").select("doc_id", "node", "n", F.col("component").alias("grp"))
