@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,6 +13,13 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system: workers outlive their tasks, and the next stage's share the executor with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call, memory is only returned later
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
     """Cut record batches so that each piece has about ``limit`` bytes of text (one row at least).
 
@@ -27,6 +37,7 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start), texts.slice(start, stop - start)
             start = stop
+        release()
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

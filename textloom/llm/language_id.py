@@ -42,6 +42,8 @@ CALIBRATE = 4
 QUANTILE, MARGIN, SLACK = 0.995, 0.75, 24.0
 #: Bytes of text that a task scores at a time.
 SLICE_BYTES = 1 << 20
+#: Distinct words of a slice whose n-grams are looked up at a time.
+BLOCK_WORDS = 8192
 UNDETERMINED = "und"
 ADDED = ("lang_pred", "score", "bits", "rejected")
 
@@ -165,7 +167,8 @@ class Models:
     def text_bits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character of each text in each language, and its number of characters."""
         distinct, codes, bounds = letter_words(texts)
-        bits, sizes = self.word_bits(distinct)
+        blocks = [self.word_bits(distinct.slice(k, BLOCK_WORDS)) for k in range(0, max(1, len(distinct)), BLOCK_WORDS)]
+        bits, sizes = (np.concatenate(x) for x in zip(*blocks, strict=True))
         run = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits[codes], axis=0, dtype=np.float64)])
         n = np.concatenate([[0], np.cumsum(sizes[codes])])
         n = n[bounds[1:]] - n[bounds[:-1]]
