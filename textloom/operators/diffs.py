@@ -31,14 +31,19 @@ def synthesize(path: Column, text: Column) -> Column:
     return F.when(text.isNull() | (F.instr(F.substring(text, 1, 8000), "\0") > 0), "").otherwise(diff)
 
 
+def file_blocks(diffs: DataFrame, key: str, diff: str) -> DataFrame:
+    """key, block, body: one row for each file of a diff."""
+    return diffs.select(key, F.posexplode(F.split(diff, r"(?m)(?=^diff --git )")).alias("block", "body")).filter(F.col("body").startswith("diff --git "))
+
+
 def parse(diffs: DataFrame, key: str, diff: str) -> DataFrame:
     """Changed lines of multi-file diffs.
 
-    key, block, old_path, new_path, is_new, is_deleted, is_renamed, is_binary, hunk, old_start, new_start, type
-    (context / added / deleted), content, old_no, new_no. A file without hunks is one row
+    key, block, old_path, new_path, is_new, is_deleted, is_renamed, is_binary, hunk, old_start, old_count, new_start,
+    new_count (1 where the header has none), at (place in the hunk), type (context / added / deleted), content, old_no, new_no. A file without hunks is one row
     with null hunk. Header lines are those before the first ``@@``.
     """
-    blocks = diffs.select(key, F.posexplode(F.split(diff, r"(?m)(?=^diff --git )")).alias("block", "body")).filter(F.col("body").startswith("diff --git "))
+    blocks = file_blocks(diffs, key, diff)
     header = F.split(F.element_at(F.split("body", r"(?m)^@@ ", 2), 1), "\n", -1)
     last = lambda pattern: F.element_at(F.filter(F.transform(header, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != ""), -1)
     has = lambda pattern: F.exists(header, lambda x: x.rlike(pattern))
@@ -54,7 +59,9 @@ def parse(diffs: DataFrame, key: str, diff: str) -> DataFrame:
     numbers = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     number = lambda i: F.regexp_extract("hunk_text", numbers, i).cast("int")
     body = F.filter(F.slice(F.split("hunk_text", "\n", -1), 2, F.greatest(F.size(F.split("hunk_text", "\n", -1)) - 1, F.lit(0))), lambda x: (x != "") & ~x.startswith("\\"))
-    rows = files.withColumns({"old_start": F.when(F.col("hunk").isNotNull(), number(1)), "new_start": F.when(F.col("hunk").isNotNull(), number(3))})
+    count = lambda i: F.when(F.regexp_extract("hunk_text", numbers, i) == "", 1).otherwise(F.regexp_extract("hunk_text", numbers, i).cast("int"))
+    found = {"old_start": number(1), "old_count": count(2), "new_start": number(3), "new_count": count(4)}
+    rows = files.withColumns({k: F.when(F.col("hunk").isNotNull(), v) for k, v in found.items()})
     rows = rows.select("*", F.posexplode_outer(F.when(F.col("hunk").isNotNull(), body)).alias("at", "raw"))
     mark = F.substring("raw", 1, 1)
     rows = rows.withColumn("type", F.when(mark == "+", "added").when(mark == "-", "deleted").when(F.col("raw").isNotNull(), "context")).withColumn("content", F.expr("substring(raw, 2)"))
@@ -63,7 +70,7 @@ def parse(diffs: DataFrame, key: str, diff: str) -> DataFrame:
     return rows.withColumns({
         "new_no": F.when(F.col("type").isin("context", "added"), F.col("new_start") + side("added")),
         "old_no": F.when(F.col("type").isin("context", "deleted"), F.col("old_start") + side("deleted")),
-    }).drop("hunk_text", "raw", "at")
+    }).drop("hunk_text", "raw")
 
 
 def summary(changed: DataFrame, key: str) -> DataFrame:
@@ -74,4 +81,4 @@ def summary(changed: DataFrame, key: str) -> DataFrame:
 
 
 def status(is_new: Column, is_deleted: Column, is_renamed: Column) -> Column:
-    return F.when(is_new, "new").when(is_deleted, "deleted").when(is_renamed, "renamed").otherwise("modified")
+    return F.when(is_new, "added").when(is_deleted, "deleted").when(is_renamed, "renamed").otherwise("modified")

@@ -55,18 +55,28 @@ def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:
         longest = F.aggregate(pairs, F.lit(0), lambda t, x: t + F.greatest(F.length(x["a"]), F.length(x["b"])))
         apart = F.aggregate(pairs, F.lit(0), lambda t, x: t + F.abs(F.length(x["a"]) - F.length(x["b"])))
         distance = F.aggregate(pairs, F.lit(0), lambda t, x: t + F.levenshtein(x["a"], x["b"]))
-        return F.when(apart >= longest * limit, False).otherwise(distance < longest * limit)  # lengths alone rule most windows out
+        return F.when(apart / longest >= limit, False).otherwise(distance / longest < limit)  # lengths alone rule most windows out
 
     return F.try_element_at(F.filter(places, near), F.lit(1))
 
 
 def align(hints: DataFrame, hunks: DataFrame, on: list[str], hint: str, start: str, end: str, number: str) -> DataFrame:
-    """``hints`` with the hunk that holds the hint, else the nearest by start (ties: the first), and the line clamped to it."""
-    inside = (F.col(hint) >= F.col(start)) & (F.col(hint) <= F.col(end))
-    choice = F.struct(F.when(inside, 0).otherwise(1), F.when(inside, F.lit(0)).otherwise(F.abs(F.col(hint) - F.col(start))), F.col(number))
-    best = hints.join(hunks, on).groupBy(*hints.columns).agg(F.min_by(F.struct(number, start, end), choice).alias("_h"))
-    line = F.greatest(F.least(F.col(hint), F.col(f"_h.{end}")), F.col(f"_h.{start}"))
-    return best.withColumn("hunk", F.col(f"_h.{number}")).withColumn("line", line).drop("_h")
+    """``hints`` with hunk and line: the first hunk that holds the hint, at the hint.
+
+    Before the first hunk its start, after the last its end, and between them the start of
+    the hunk with the nearest start (ties: the first). Hunks are in order of ``number``; a
+    partial aggregate per hint keeps three of them, so no file's hunks are gathered.
+    """
+    h = F.struct(F.col(number).alias("number"), F.col(start).alias("start"), F.col(end).alias("end"))
+    inside = F.col(hint).between(F.col(start), F.col(end))
+    met = hints.join(hunks, on).groupBy(*hints.columns).agg(
+        F.min_by(h, F.when(inside, F.col(number))).alias("_in"), F.min_by(h, F.col(number)).alias("_first"), F.max_by(h, F.col(number)).alias("_last"),
+        F.min_by(h, F.struct(F.abs(F.col(hint) - F.col(start)), F.col(number))).alias("_near"),
+    )
+    before, after = F.col(hint) < F.col("_first.start"), F.col(hint) > F.col("_last.end")
+    hunk = F.when(F.col("_in").isNotNull(), F.col("_in.number")).when(before, F.col("_first.number")).when(after, F.col("_last.number")).otherwise(F.col("_near.number"))
+    line = F.when(F.col("_in").isNotNull(), F.col(hint)).when(before, F.col("_first.start")).when(after, F.col("_last.end")).otherwise(F.col("_near.start"))
+    return met.withColumn("hunk", hunk).withColumn("line", line).drop("_in", "_first", "_last", "_near")
 
 
 def cascade(text_match: Column, hunk_align: Column, fuzzy: Column) -> Column:

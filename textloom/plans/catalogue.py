@@ -203,7 +203,7 @@ def oracle_sql() -> dict:
         "line_normalise": f"SELECT doc_id, CAST(len(ls) AS INT) AS n_lines, md5(array_to_string(ls, chr(10))) AS md5 FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {NORM}), lambda x: x <> '') AS ls FROM documents)",
         "synth_diff_stats": f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS new_path, true AS is_new, count(line) AS insertions, CAST(0 AS BIGINT) AS deletions FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN {L} USING (doc_id) GROUP BY doc_id",
         "diff_side_numbers": f"SELECT doc_id, CAST(line AS INT) AS new_no, md5(content) AS content_md5 FROM {L} WHERE content <> ''",
-        "status_derivation": "SELECT d.doc_id, CASE WHEN quality IS NULL THEN 'new' WHEN toxic = 1 THEN 'deleted' WHEN quality = 0 THEN 'renamed' ELSE 'modified' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+        "status_derivation": "SELECT d.doc_id, CASE WHEN quality IS NULL THEN 'added' WHEN toxic = 1 THEN 'deleted' WHEN quality = 0 THEN 'renamed' ELSE 'modified' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
         "snapshot_added_removed": f"SELECT *, 'added' AS change FROM (SELECT * FROM {SNAP.format(1996)} EXCEPT SELECT * FROM {SNAP.format(1995)}) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM {SNAP.format(1995)} EXCEPT SELECT * FROM {SNAP.format(1996)})",
         "unpinned_added": "SELECT p_partkey, p_partkey % 7 IN (0, 1, 2, 5, 6) AS unpinned FROM part",
         "history_stats": "SELECT user_id, count(*) AS total_commits, strftime(max(ts), '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(max(ts)) % 1000000 = 0 THEN '' ELSE rtrim('.' || lpad(CAST(microsecond(max(ts)) % 1000000 AS VARCHAR), 6, '0'), '0') END AS last_modified, round(avg(CASE WHEN event_id % 5 = 0 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS fix_commit_ratio FROM events GROUP BY user_id",
@@ -213,7 +213,7 @@ def oracle_sql() -> dict:
         "test_pairs": "SELECT page_id, 'p' || page_id // 3 || ['', '.test', '_spec'][page_id % 3 + 1] || '.ts' AS path, CASE WHEN page_id % 3 < 2 AND page_id // 3 * 3 + 1 <= (SELECT max(page_id) FROM pages) THEN page_id // 3 * 3 ELSE page_id END AS group_id, CASE WHEN page_id % 3 < 2 AND page_id // 3 * 3 + 1 <= (SELECT max(page_id) FROM pages) THEN 'test_source_pair' ELSE 'single_file' END AS reason FROM pages",
         "pack_bundles": f"WITH RECURSIVE d AS (SELECT doc_id, source || '/' || doc_id // 25 AS grp, n_chars AS size, row_number() OVER (PARTITION BY source || '/' || doc_id // 25 ORDER BY doc_id) AS i FROM documents), r AS (SELECT doc_id, grp, size, i, 0 AS bin, size AS used FROM d WHERE i = 1 UNION ALL SELECT d.doc_id, d.grp, d.size, d.i, CASE WHEN r.used + d.size > {bundles.CAP} THEN r.bin + 1 ELSE r.bin END, CASE WHEN r.used + d.size > {bundles.CAP} THEN d.size ELSE r.used + d.size END FROM r JOIN d ON d.grp = r.grp AND d.i = r.i + 1) SELECT doc_id, grp, size, bin, CAST(sum(size) OVER (PARTITION BY grp, bin) AS BIGINT) AS bin_size FROM r",
         "locate_exact": f"WITH s AS (SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {NORM}), lambda x: x <> '') AS t FROM benchmark), d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {NORM}), lambda x: x <> '') AS l FROM documents), e AS (SELECT doc_id, l, unnest(l) AS line, generate_subscripts(l, 1) AS p FROM d) SELECT item_id, doc_id, CAST(min(p) AS INT) AS at FROM e JOIN s ON e.line = s.t[1] WHERE l[p:p + len(t) - 1] = t GROUP BY item_id, doc_id",
-        "hunk_align_nearest": "WITH h AS (SELECT user_id, event_id AS number, event_id % 500 AS s, event_id % 500 + 5 AS e FROM events WHERE event_type = 'error'), q AS (SELECT user_id, event_id, event_id % 400 AS hint FROM events WHERE event_type = 'signup'), j AS (SELECT q.*, h.number, s, e, row_number() OVER (PARTITION BY q.user_id, q.event_id ORDER BY CASE WHEN hint BETWEEN s AND e THEN 0 ELSE 1 END, CASE WHEN hint BETWEEN s AND e THEN 0 ELSE abs(hint - s) END, number) AS k FROM q JOIN h USING (user_id)) SELECT event_id, number AS hunk, greatest(least(hint, e), s) AS line FROM j WHERE k = 1",
+        "hunk_align_nearest": "WITH h AS (SELECT user_id, event_id AS number, event_id % 500 AS s, event_id % 500 + 5 AS e FROM events WHERE event_type = 'error'), q AS (SELECT user_id, event_id, event_id % 400 AS hint FROM events WHERE event_type = 'signup'), j AS (SELECT event_id, hint, min(number) FILTER (hint BETWEEN s AND e) AS inside, min(number) AS first, arg_min(s, number) AS fs, max(number) AS last, arg_max(e, number) AS le, arg_min(struct_pack(number := number, s := s), struct_pack(d := abs(hint - s), number := number)) AS near FROM q JOIN h USING (user_id) GROUP BY ALL) SELECT event_id, CASE WHEN inside IS NOT NULL THEN inside WHEN hint < fs THEN first WHEN hint > le THEN last ELSE near.number END AS hunk, CASE WHEN inside IS NOT NULL THEN hint WHEN hint < fs THEN fs WHEN hint > le THEN le ELSE near.s END AS line FROM j",
         "line_in_range": f"SELECT doc_id, doc_id % 7 + 1 AS a, doc_id % 7 + 3 AS b FROM labels l WHERE EXISTS (SELECT 1 FROM {L} x WHERE x.doc_id = l.doc_id AND contains(x.content, 'er') AND x.line BETWEEN l.doc_id % 7 + 1 AND l.doc_id % 7 + 3)",
         "validate_all": "SELECT doc_id, CASE WHEN len(f) = 0 THEN 'keep' ELSE 'drop' END AS verdict, array_to_string(f, ', ') AS reason FROM (SELECT d.doc_id, list_filter([CASE WHEN coalesce(n_chars > 500, false) THEN '' ELSE 'line_in_hunk' END, CASE WHEN coalesce(contains(text, 'the'), false) THEN '' ELSE 'existing_code_found' END, CASE WHEN coalesce(quality = 1, false) THEN '' ELSE 'existing_code_in_diff' END, CASE WHEN coalesce(lang = 'en', false) THEN '' ELSE 'evidence_valid' END], lambda x: x <> '') AS f FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)",
         "near_dup_pairs": f"WITH {NEAR} SELECT a, b, round(similarity, 6) AS similarity FROM p",
