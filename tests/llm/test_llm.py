@@ -230,6 +230,16 @@ def test_attention_lm(docs, none):
     assert attention_lm.score_documents(none).count() == 0
 
 
+def test_attention_trains_on_every_training_document(spark, docs, monkeypatch):
+    assert attention_lm.CLASSES == 8 * 16 + 1
+    own = docs.filter("doc_id <> 44").select("doc_id", docs.text, attention_lm.held_out(docs.doc_id).alias("held")).fillna("", "text").coalesce(1)
+    vocabulary = spark.sparkContext.broadcast(attention_lm.Vocabulary())
+    sliced = attention_lm.slice_rows(own, vocabulary, 8)
+    default, whole = (attention_lm.train(sliced, vocabulary, attention_lm.Attention(), 0, **share).p for share in ({}, {"share": 1.0}))
+    assert all(np.allclose(default[k], whole[k], atol=1e-6) for k in whole)
+    assert not np.allclose(whole["out"], attention_lm.Attention().p["out"])
+
+
 def test_attention_gradient():
     model, rng = attention_lm.Attention(), np.random.default_rng(0)
     x = rng.normal(size=(9, attention_lm.WIDTH)).astype(np.float32)

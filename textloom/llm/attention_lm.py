@@ -14,8 +14,8 @@ windows overlap, and each token is scored once, in the window where it has most
 What is counted covers the whole corpus: every slice of documents sends its distinct
 words' hashes and training counts to buckets, which sum them and answer each slice, so no
 table of words is held in one place. The attention model learns by rounds of local
-training: every slice trains on ``SHARE`` of its training documents, and the parameters
-are averaged. Only the topics are fitted on a bounded sample (``TOPIC_DOCUMENTS``).
+training: every slice trains on all of its training documents (``SHARE`` of them, which is
+1), and the parameters are averaged. Only the topics are fitted on a bounded sample (``TOPIC_DOCUMENTS``).
 
 Defined results: a null or empty text is its end alone; documents held out are scored but
 teach nothing; with no training document every count is 0 and the score is the base's;
@@ -42,11 +42,13 @@ from textloom.session import materialise, table
 #: Tokens scored per window, and tokens before them that the window sees.
 STRIDE = 32
 #: Width of embeddings; topics; first subwords of a topic that are classes of their own (and one class for the rest).
-WIDTH, TOPICS, FIRSTS = 16, 8, 7
+WIDTH, TOPICS, FIRSTS = 16, 8, 15
 #: Most frequent subwords with an embedding of their own; the rest share this many by their id.
 OWN, SHARED = 8192, 1024
 #: Rounds of local training; share of the training documents that each round trains on; windows of a step; learning rate.
-ROUNDS, SHARE, BATCH, RATE = 2, 0.05, 128, 0.01
+ROUNDS, SHARE, BATCH, RATE = 2, 1.0, 128, 0.01
+#: Windows that a worker holds at a time in training (those of one document at least).
+HELD_WINDOWS = 2048
 #: Expected documents of the sample that topics are fitted on.
 TOPIC_DOCUMENTS = 2000
 #: Distinct words after which a worker starts a new generation of those it keeps; bytes of text of a slice.
@@ -117,6 +119,14 @@ def sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     return out
 
 
+def added(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``n`` rows; each has the sum of the values whose place ``at`` has its number. Flat, as numpy adds rows in place far slower than numbers."""
+    width = values.shape[-1]
+    out = np.zeros(n * width, np.float32)
+    np.add.at(out, (at.reshape(-1, 1) * width + np.arange(width)).ravel(), values.ravel())
+    return out.reshape(n, width)
+
+
 class Vocabulary:
     """Subwords of words, their embedding rows, and words' classes."""
 
@@ -262,10 +272,7 @@ class Attention:
         ds = s * (dp - (dp * s).sum(axis=2, keepdims=True))
         g["near"] = np.bincount(self.back.ravel(), ds.sum(axis=0).ravel(), 2 * STRIDE).astype(np.float32)
         dq, dk = (ds @ keys) * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ queries
-        side = np.zeros((len(x), 3 * WIDTH), np.float32)
-        np.add.at(side, codes[:, STRIDE:].ravel(), np.concatenate([dq, np.zeros_like(dq), np.zeros_like(dq)], axis=2).reshape(-1, 3 * WIDTH))
-        np.add.at(side, codes.ravel(), np.concatenate([np.zeros_like(dk), dk, dv], axis=2).reshape(-1, 3 * WIDTH))
-        dq, dk, dv = np.split(side, 3, axis=1)
+        dq, dk, dv = added(len(x), codes[:, STRIDE:], dq), *np.split(added(len(x), codes, np.concatenate([dk, dv], axis=2)), 2, axis=1)
         g |= {"q": x.T @ dq, "k": x.T @ dk, "v": x.T @ dv}
         return g, dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
 
@@ -395,32 +402,34 @@ def train(sliced: DataFrame, vocabulary, model: Attention, number: int, share: f
                 payload = batch.column("payload")[i].as_py()
                 doc_ids, held, bounds, codes, ids, sizes, classes = unpack(payload)
                 draw = mix(np.array([zlib.crc32(str(d).encode()) for d in doc_ids], np.uint64) + U(1000 + number))
-                chosen = np.nonzero(~held & (draw < U(int(share * 2.0**64) - 1 if share < 1 else 2**64 - 1)))[0]
+                chosen = np.nonzero(~held if share >= 1 else ~held & (draw < U(int(share * 2.0**64))))[0]
                 if not len(chosen):
                     continue
+                chosen = chosen[np.argsort(draw[chosen], kind="stable")]
                 sizes = sizes.astype(np.int64)
                 starts, rows = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64), v.row[ids]
-                inputs, valid, target, _, scored, _ = windows(bounds, codes.astype(np.int64), classes, chosen)
-                order = np.random.default_rng(number).permutation(len(inputs))
-                for a in range(0, len(order), BATCH):
-                    at = order[a : a + BATCH]
-                    used = np.unique(inputs[at])  # -1, the beginning, is always among them: it is the padding
-                    real = used[used >= 0]
-                    code = np.searchsorted(real, inputs[at])
-                    code[inputs[at] < 0] = len(real)
-                    n = sizes[real]
-                    own = rows[np.repeat(starts[real] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(real) else np.zeros(0, np.int32)
-                    x = model.word_vectors(own, np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)[: len(n)], n)
-                    g, dx = model.gradient(x, code, valid[at], target[at], scored[at])
-                    g["emb"] = np.zeros_like(model.p["emb"])
-                    np.add.at(g["emb"], own, np.repeat(dx[:-1] / np.maximum(n, 1)[:, None], n, axis=0).astype(np.float32))
-                    g["emb"][-1] += dx[-1]
-                    step += 1
-                    for k, x in model.p.items():  # Adam
-                        first[k] += 0.1 * (g[k] - first[k])
-                        second[k] += 0.01 * (g[k] ** 2 - second[k])
-                        x -= (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-                    seen += int(scored[at].sum())
+                codes, at_most = codes.astype(np.int64), np.cumsum((bounds[1:] - bounds[:-1])[chosen] // STRIDE + 1)
+                for group in np.split(chosen, np.nonzero(np.diff(at_most // HELD_WINDOWS))[0] + 1):
+                    inputs, valid, target, _, scored, _ = windows(bounds, codes, classes, group)
+                    order = np.random.default_rng(number).permutation(len(inputs))
+                    for a in range(0, len(order), BATCH):
+                        at = order[a : a + BATCH]
+                        used = np.unique(inputs[at])  # -1, the beginning, is always among them: it is the padding
+                        real = used[used >= 0]
+                        code = np.searchsorted(real, inputs[at])
+                        code[inputs[at] < 0] = len(real)
+                        n = sizes[real]
+                        own = rows[np.repeat(starts[real] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(real) else np.zeros(0, np.int32)
+                        x = model.word_vectors(own, np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)[: len(n)], n)
+                        g, dx = model.gradient(x, code, valid[at], target[at], scored[at])
+                        g["emb"] = added(len(model.p["emb"]), own, np.repeat(dx[:-1] / np.maximum(n, 1)[:, None], n, axis=0).astype(np.float32))
+                        g["emb"][-1] += dx[-1]
+                        step += 1
+                        for k, x in model.p.items():  # Adam
+                            first[k] += 0.1 * (g[k] - first[k])
+                            second[k] += 0.01 * (g[k] ** 2 - second[k])
+                            x -= (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                        seen += int(scored[at].sum())
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([np.concatenate([model.p[k].ravel() for k in Attention.NAMES]).astype(np.float64).tobytes()], pa.binary())], names=["weight", "parameters"])
 
