@@ -240,6 +240,24 @@ def test_attention_trains_on_every_training_document(spark, docs, monkeypatch):
     assert not np.allclose(whole["out"], attention_lm.Attention().p["out"])
 
 
+def test_attention_topics_come_from_all_training_documents(spark):
+    rare = ["zyzzyva", "quokka", "xylyl"]
+    texts = [(i, " ".join(rare) if i % 500 == 0 else f"the thing of {i % 7} and er") for i in range(9000)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    own = frame.select("doc_id", "text", attention_lm.held_out(frame.doc_id).alias("held"))
+    sliced = attention_lm.slice_rows(own, spark.sparkContext.broadcast(attention_lm.Vocabulary()), 8)
+    v = attention_lm.Vocabulary().fit(sliced)
+    counts = Counter()
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            ids, sizes = v.subwords(t.split())
+            counts.update(ids.tolist())
+    order = sorted(counts, key=lambda k: (-counts[k], k))
+    assert v.row[order].tolist() == list(range(len(order)))
+    scored = lambda t: v.topic_score[v.subwords(t.split())[0]].sum(axis=0).argmax()
+    assert scored(" ".join(rare)) not in {scored(f"the thing of {k} and er") for k in range(7)}
+
+
 def test_attention_gradient():
     model, rng = attention_lm.Attention(), np.random.default_rng(0)
     x = rng.normal(size=(9, attention_lm.WIDTH)).astype(np.float32)

@@ -15,7 +15,9 @@ What is counted covers the whole corpus: every slice of documents sends its dist
 words' hashes and training counts to buckets, which sum them and answer each slice, so no
 table of words is held in one place. The attention model learns by rounds of local
 training: every slice trains on all of its training documents (``SHARE`` of them, which is
-1), and the parameters are averaged. Only the topics are fitted on a bounded sample (``TOPIC_DOCUMENTS``).
+1), and the parameters are averaged. Topics are fitted by rounds of k-means over the profiles
+of all training documents (each round sums them by topic on the executors), and the subwords
+with an embedding or a class of their own are counted over all training documents.
 
 Defined results: a null or empty text is its end alone; documents held out are scored but
 teach nothing; with no training document every count is 0 and the score is the base's;
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm._text import mix, slices, words
-from textloom.session import materialise, table
+from textloom.session import discard, materialise, table
 
 #: Tokens scored per window, and tokens before them that the window sees.
 STRIDE = 32
@@ -49,8 +51,8 @@ OWN, SHARED = 8192, 1024
 ROUNDS, SHARE, BATCH, RATE = 2, 1.0, 128, 0.01
 #: Windows that a worker holds at a time in training (those of one document at least).
 HELD_WINDOWS = 2048
-#: Expected documents of the sample that topics are fitted on.
-TOPIC_DOCUMENTS = 2000
+#: Most frequent subwords that make a document's profile; rounds of k-means at most, which end when no centre moves further; documents of a block.
+PROFILE, TOPIC_ROUNDS, MOVED, BLOCK = 2000, 15, 1e-3, 512
 #: Distinct words after which a worker starts a new generation of those it keeps; bytes of text of a slice.
 KEPT, SLICE_BYTES = 100_000, 2 << 20
 #: Subwords of a word that are added place by place.
@@ -148,51 +150,143 @@ class Vocabulary:
         topic = sums(self.topic_score, ids, starts, sizes).argmax(axis=1)
         return (topic * (FIRSTS + 1) + self.first_class[ids[starts], topic]).astype(np.uint8)
 
-    def fit(self, texts: pa.Array, seed: int = 7) -> Vocabulary:
-        """Topics by k-means over the subword profiles of documents, and the frequent first subwords of each topic."""
-        distinct, codes, bounds = words(texts)
-        ids, sizes = self.subwords(distinct.to_pylist())
-        if not len(codes):
-            return self
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        times = np.bincount(codes, minlength=len(sizes))
-        total = np.bincount(ids, np.repeat(times, sizes), 65536)
+    def fit(self, sliced: DataFrame) -> Vocabulary:
+        """Topics by k-means over the subword profiles of all training documents, and the frequent first subwords of each topic."""
+        total = sparse_sums(sliced, lambda ids, sizes, times: (ids, np.repeat(times, sizes)), 65536)
         top = np.argsort(-total, kind="stable")[:OWN]
         top = top[total[top] > 0]
+        if not len(top):
+            return self
         self.row[top] = np.arange(len(top))
-        column = np.full(65536, -1)
-        column[top[:2000]] = np.arange(min(2000, len(top)))
-        profile = np.zeros((len(texts), min(2000, len(top))), np.float32)
-        for i in range(len(texts)):
-            own = codes[bounds[i] : bounds[i + 1]]
-            if len(own):
-                n = sizes[own]
-                c = column[ids[np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]]
-                profile[i] = np.bincount(c[c >= 0], minlength=profile.shape[1])
-        weight = profile.sum(axis=1, keepdims=True)
-        root = np.sqrt(profile / np.maximum(weight, 1))
-        rng = np.random.default_rng(seed)
-        centres = root[rng.choice(len(root), 1)]
-        while len(centres) < TOPICS:
-            far = (2 - 2 * root @ centres.T).min(axis=1).clip(0)
-            centres = np.concatenate([centres, root[rng.choice(len(root), 1, p=far / far.sum() if far.sum() > 0 else None)]])
-        for _ in range(15):
-            near = (root @ centres.T).argmax(axis=1)
-            for z in range(TOPICS):
-                if (near == z).any():
-                    centres[z] = root[near == z].mean(axis=0)
-                    centres[z] /= max(1e-9, np.linalg.norm(centres[z]))
-        counts = np.stack([profile[near == z].sum(axis=0) for z in range(TOPICS)]) + 0.5
+        profiles = materialise(profile_rows(sliced, top[:PROFILE]), "profiles")
+        counts = topics(profiles, min(PROFILE, len(top))) + 0.5
+        discard(profiles)
         score = np.log(counts / counts.sum(axis=1, keepdims=True)).T
         self.topic_score[top[: len(score)]] = score - score.mean(axis=1, keepdims=True)
-        topic = self.classes(ids, sizes) // (FIRSTS + 1)
+        given = sliced.sparkSession.sparkContext.broadcast(self.topic_score)
+
+        def first(ids, sizes, times):
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            return ids[starts].astype(np.int64) * TOPICS + sums(given.value, ids, starts, sizes).argmax(axis=1), times
+
+        firsts = sparse_sums(sliced, first, 65536 * TOPICS).reshape(65536, TOPICS)
         for z in range(TOPICS):
-            firsts = np.bincount(ids[starts[:-1]], times * (topic == z), 65536)
-            best = np.argsort(-firsts, kind="stable")[:FIRSTS]
-            self.first_class[best[firsts[best] > 0], z] = np.arange((firsts[best] > 0).sum())
+            best = np.argsort(-firsts[:, z], kind="stable")[:FIRSTS]
+            best = best[firsts[best, z] > 0]
+            self.first_class[best, z] = np.arange(len(best))
         return self
 
 
+def sparse_sums(sliced: DataFrame, pairs, size: int) -> np.ndarray:
+    """Sums over all slices of what ``pairs(ids, sizes, times)`` gives as (places, weights)."""
+
+    def count(batches):
+        out = np.zeros(size)
+        for batch in batches:
+            for pieces, times in zip(batch.column("pieces").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                if times:
+                    at, weight = pairs(*unpack(pieces), np.frombuffer(times, np.uint32))
+                    out += np.bincount(at, weight, size)
+        at = np.nonzero(out)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out[at].astype(np.int64))], names=["i", "n"])
+
+    got = sliced.select("pieces", "times").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got.column("i").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def profile_rows(sliced: DataFrame, top: np.ndarray) -> DataFrame:
+    """Blocks of training documents: each one's draw, its number of different subwords of ``top``, their places there, and their counts."""
+
+    def pack(batches):
+        column = np.full(65536, -1)
+        column[top] = np.arange(len(top))
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for payload, pieces in zip(batch.column("payload").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+                doc_ids, held, bounds, codes = unpack(payload)
+                ids, sizes = unpack(pieces)
+                starts, codes = np.concatenate([[0], np.cumsum(sizes)]), codes.astype(np.int64)
+                draw = np.array([zlib.crc32(str(d).encode()) for d in doc_ids], np.uint64)
+                for a in range(0, len(doc_ids), BLOCK):
+                    b = min(len(doc_ids), a + BLOCK)
+                    own = codes[bounds[a] : bounds[b]]
+                    n = sizes[own]
+                    c = column[ids[np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())]]
+                    text = np.repeat(np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1])), n)
+                    good = (c >= 0) & ~held[a:b][text]
+                    found = np.bincount(text[good] * len(top) + c[good], minlength=(b - a) * len(top)).reshape(b - a, len(top))
+                    lengths = np.count_nonzero(found, axis=1)
+                    at = np.nonzero(found)
+                    if len(at[0]):
+                        some = np.nonzero(lengths)[0]
+                        row = squeeze.compress(pickle.dumps((draw[a:b][some], lengths[some].astype(np.uint16), at[1].astype(np.uint16), found[at].astype(np.uint32)), protocol=5))
+                        yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["profiles"])
+
+    return sliced.select("payload", "pieces").mapInArrow(pack, "profiles binary")
+
+
+def blocks(batches, width: int):
+    """(draws, counts, square roots of the counts' shares) of each block of profiles."""
+    for batch in batches:
+        for row in batch.column("profiles").to_pylist():
+            draw, lengths, at, n = unpack(row)
+            counts = np.zeros((len(draw), width), np.float32)
+            counts[np.repeat(np.arange(len(draw)), lengths), at] = n
+            yield draw, counts, np.sqrt(counts / counts.sum(axis=1, keepdims=True))
+
+
+def topics(profiles: DataFrame, width: int) -> np.ndarray:
+    """k-means of all profiles: the counts of subwords by topic. Centres start as k-means++ draws them, each by a race of all documents."""
+
+    def race(centres, number):
+        def run(batches):
+            best = (np.inf, b"")
+            for draw, _, root in blocks(batches, width):
+                far = (2 - 2 * root @ centres.T).min(axis=1).clip(0) if len(centres) else np.ones(len(root))
+                far[far < 1e-6] = 0
+                with np.errstate(divide="ignore"):
+                    time = -np.log((mix(draw + U(number << 32)) >> U(11)) * 2.0**-53 + 2.0**-54) / far
+                i = int(time.argmin())
+                best = min(best, (float(time[i]), root[i].tobytes()))
+            if np.isfinite(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["time", "root"])
+
+        return profiles.mapInArrow(run, "time double, root binary").orderBy("time", "root").head()
+
+    def assigned(centres):
+        def run(batches):
+            sums = np.zeros((2, TOPICS, width))
+            for _, counts, root in blocks(batches, width):
+                chosen = ((root @ centres.T).argmax(axis=1)[None, :] == np.arange(TOPICS)[:, None]).astype(np.float32)
+                sums[0] += chosen @ root
+                sums[1] += chosen @ counts
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+        def add(batches):
+            found = [np.frombuffer(x, np.float64) for batch in batches for x in batch.column("sums").to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([np.sum(found, axis=0).tobytes()], pa.binary())], names=["sums"])
+
+        got = profiles.mapInArrow(run, "sums binary").repartition(4).mapInArrow(add, "sums binary").collect()
+        return np.sum([np.frombuffer(r["sums"], np.float64) for r in got], axis=0).reshape(2, TOPICS, width)
+
+    centres = np.zeros((0, width), np.float32)
+    for number in range(TOPICS):
+        best = race(centres, number)
+        centres = np.concatenate([centres, np.frombuffer(best["root"], np.float32)[None, :] if best else centres[-1:]])  # fewer kinds of profiles than topics
+    for _ in range(TOPIC_ROUNDS):
+        roots, counts = assigned(centres)
+        size = np.linalg.norm(roots, axis=1, keepdims=True)
+        moved = np.where(size > 0, roots / np.maximum(size, 1e-9), centres).astype(np.float32)
+        done = np.linalg.norm(moved - centres, axis=1).max() < MOVED
+        centres = moved
+        if done:
+            break
+    return counts
+
+
 class Attention:
     """The model's parameters, its forward pass over windows, and its gradient."""
 
@@ -316,19 +410,17 @@ def slice_rows(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
             rank[by] = np.arange(len(by))
             distinct, codes = distinct[by], rank[codes]
             ids, sizes = v.subwords(distinct)
-            classes = v.classes(ids, sizes)
             held = piece.column("held").to_numpy(zero_copy_only=False).astype(bool)
             train = np.repeat(~held, np.diff(bounds))
             times = np.bincount(codes[train], minlength=len(by))
-            totals = np.bincount(classes, times, CLASSES).astype(np.int64)
-            totals[CLASSES - 1] = (~held).sum()
-            payload = squeeze.compress(pickle.dumps((piece.column("doc_id").to_pylist(), held, bounds, codes.astype(np.uint32), ids, sizes.astype(np.uint16), classes), protocol=5))
+            payload = squeeze.compress(pickle.dumps((piece.column("doc_id").to_pylist(), held, bounds, codes.astype(np.uint32)), protocol=5))
+            pieces = squeeze.compress(pickle.dumps((ids, sizes.astype(np.int64)), protocol=5))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([payload], pa.binary()), pa.array([h[by].tobytes()], pa.binary()), pa.array([times.astype(np.uint32).tobytes()], pa.binary()), pa.array([classes.tobytes()], pa.binary()), pa.array([totals.tolist()], pa.list_(pa.int64()))],
-                names=["payload", "hashes", "times", "classes", "totals"],
+                [pa.array([payload], pa.binary()), pa.array([pieces], pa.binary()), pa.array([h[by].tobytes()], pa.binary()), pa.array([times.astype(np.uint32).tobytes()], pa.binary()), pa.array([int((~held).sum())], pa.int64())],
+                names=["payload", "pieces", "hashes", "times", "ends"],
             )
 
-    return docs.mapInArrow(pack, "payload binary, hashes binary, times binary, classes binary, totals array<bigint>").withColumn("slice", F.monotonically_increasing_id())
+    return docs.mapInArrow(pack, "payload binary, pieces binary, hashes binary, times binary, ends long").withColumn("slice", F.monotonically_increasing_id())
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -336,13 +428,13 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def word_counts(sliced: DataFrame, buckets: int) -> DataFrame:
-    """Per slice and bucket, the corpus counts of the slice's words in order of hash; per bucket (slice -1), the distinct training words of each class."""
+def word_counts(sliced: DataFrame, vocabulary, buckets: int) -> DataFrame:
+    """Per slice and bucket, the corpus counts of the slice's words in order of hash; per bucket (slice -1), the training tokens of each class and the distinct words among them."""
 
     def send(batches):
         for batch in batches:
-            for number, h, times, classes in zip(*(batch.column(c).to_pylist() for c in ("slice", "hashes", "times", "classes")), strict=True):
-                h, times, classes = np.frombuffer(h, np.uint64), np.frombuffer(times, np.uint32), np.frombuffer(classes, np.uint8)
+            for number, h, times, pieces in zip(*(batch.column(c).to_pylist() for c in ("slice", "hashes", "times", "pieces")), strict=True):
+                h, times, classes = np.frombuffer(h, np.uint64), np.frombuffer(times, np.uint32), vocabulary.value.classes(*unpack(pieces))
                 cuts = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
                 part = [(k, number, h[a:b].tobytes(), times[a:b].tobytes(), classes[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
                 if part:
@@ -358,9 +450,10 @@ def word_counts(sliced: DataFrame, buckets: int) -> DataFrame:
             distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             total = np.bincount(inverse, times, len(distinct)).astype(np.uint64)
             types = np.bincount(classes[first][total > 0], minlength=CLASSES)
+            tokens = np.bincount(classes[first], total, CLASSES).astype(np.int64)
             ends = np.cumsum([len(x[1]) // 8 for x in held])[:-1]
             answers = [c.tobytes() for c in np.split(total[inverse], ends)]
-            return pa.RecordBatch.from_arrays([pa.array([*(x[0] for x in held), -1], pa.int64()), pa.array([key] * (len(held) + 1), pa.int32()), pa.array([*answers, b""], pa.binary()), pa.array([*([None] * len(held)), types.tolist()], pa.list_(pa.int64()))], names=["slice", "bucket", "counts", "types"])
+            return pa.RecordBatch.from_arrays([pa.array([*(x[0] for x in held), -1], pa.int64()), pa.array([key] * (len(held) + 1), pa.int32()), pa.array([*answers, b""], pa.binary()), *(pa.array([*([None] * len(held)), x.tolist()], pa.list_(pa.int64())) for x in (types, tokens))], names=["slice", "bucket", "counts", "types", "tokens"])
 
         for batch in batches:
             for k, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "slice", "hashes", "times", "classes")), strict=True):
@@ -372,8 +465,8 @@ def word_counts(sliced: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield done()
 
-    sent = sliced.select("slice", "hashes", "times", "classes").mapInArrow(send, "bucket int, slice long, hashes binary, times binary, classes binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "slice long, bucket int, counts binary, types array<bigint>")
+    sent = sliced.select("slice", "hashes", "times", "pieces").mapInArrow(send, "bucket int, slice long, hashes binary, times binary, classes binary")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "slice long, bucket int, counts binary, types array<bigint>, tokens array<bigint>")
 
 
 def unpack(payload: bytes):
@@ -399,14 +492,14 @@ def train(sliced: DataFrame, vocabulary, model: Attention, number: int, share: f
         step = 0
         for batch in batches:
             for i in range(batch.num_rows):
-                payload = batch.column("payload")[i].as_py()
-                doc_ids, held, bounds, codes, ids, sizes, classes = unpack(payload)
+                doc_ids, held, bounds, codes = unpack(batch.column("payload")[i].as_py())
+                ids, sizes = unpack(batch.column("pieces")[i].as_py())
                 draw = mix(np.array([zlib.crc32(str(d).encode()) for d in doc_ids], np.uint64) + U(1000 + number))
                 chosen = np.nonzero(~held if share >= 1 else ~held & (draw < U(int(share * 2.0**64))))[0]
                 if not len(chosen):
                     continue
                 chosen = chosen[np.argsort(draw[chosen], kind="stable")]
-                sizes = sizes.astype(np.int64)
+                classes = v.classes(ids, sizes)
                 starts, rows = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64), v.row[ids]
                 codes, at_most = codes.astype(np.int64), np.cumsum((bounds[1:] - bounds[:-1])[chosen] // STRIDE + 1)
                 for group in np.split(chosen, np.nonzero(np.diff(at_most // HELD_WINDOWS))[0] + 1):
@@ -444,7 +537,7 @@ def train(sliced: DataFrame, vocabulary, model: Attention, number: int, share: f
             yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names=["weight", "parameters"])
 
     kind = "weight double, parameters binary"
-    got = sliced.select("payload").mapInArrow(learn, kind).repartition(4).mapInArrow(average, kind).collect()
+    got = sliced.select("payload", "pieces").mapInArrow(learn, kind).repartition(4).mapInArrow(average, kind).collect()
     if got:
         weights = np.array([r["weight"] for r in got])
         mean = sum(np.frombuffer(r["parameters"], np.float64) * (w / weights.sum()) for r, w in zip(got, weights, strict=True)).astype(np.float32)
@@ -456,20 +549,17 @@ def train(sliced: DataFrame, vocabulary, model: Attention, number: int, share: f
     return model
 
 
-def score_documents(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS, topic_documents: int = TOPIC_DOCUMENTS) -> DataFrame:
+def score_documents(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held"))
-    n, size = own.agg(F.count_if(~F.col("held")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, topic_documents / max(1, n))))
-    sample = own.filter(~F.col("held") & draw & (F.octet_length("text") > 0)).orderBy("doc_id").select("text").toPandas()["text"]
-    fitted = Vocabulary()
-    vocabulary = spark.sparkContext.broadcast(fitted.fit(pa.array(sample, pa.large_string())) if len(sample) else fitted)
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-size // BUCKET_BYTES))
-    sliced = materialise(slice_rows(own, vocabulary, buckets), "slices")
-    counted = materialise(word_counts(sliced, buckets), "counts")
-    tokens = per_class(sliced, "totals")
-    types = per_class(counted.filter("slice = -1"), "types")
+    sliced = materialise(slice_rows(own, spark.sparkContext.broadcast(Vocabulary()), buckets), "slices")
+    vocabulary = spark.sparkContext.broadcast(Vocabulary().fit(sliced))
+    counted = materialise(word_counts(sliced, vocabulary, buckets), "counts")
+    tokens, types = (per_class(counted.filter("slice = -1"), c) for c in ("tokens", "types"))
+    tokens[CLASSES - 1] = sliced.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
     types[CLASSES - 1] = 1 if tokens[CLASSES - 1] else 0
     train_tokens, vocabulary_size, ends = int(tokens.sum()), int(types.sum()), int(tokens[CLASSES - 1])
     model = Attention(vocabulary.value, (tokens + types + 1) / (tokens + types + 1).sum())
@@ -483,9 +573,10 @@ def score_documents(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS,
         log_class = np.log10(tokens + types + 1.0)
         for batch in batches:
             for i in range(batch.num_rows):
-                payload, answer = batch.column("payload")[i].as_py(), batch.column("answers")[i].as_py()
-                doc_ids, held, bounds, codes, ids, sizes, classes = unpack(payload)
-                codes, sizes = codes.astype(np.int64), sizes.astype(np.int64)
+                answer = batch.column("answers")[i].as_py()
+                doc_ids, held, bounds, codes = unpack(batch.column("payload")[i].as_py())
+                ids, sizes = unpack(batch.column("pieces")[i].as_py())
+                codes, classes = codes.astype(np.int64), v.classes(ids, sizes)
                 c = np.frombuffer(b"".join(a["counts"] for a in answer or []), np.uint64).astype(np.float64)
                 n = np.diff(bounds) + 1
                 base = np.log10((c + 1) / (train_tokens + vocabulary_size + 1))
@@ -508,7 +599,7 @@ def score_documents(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS,
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    joined = sliced.select("slice", "payload").join(answers, "slice", "left")
+    joined = sliced.select("slice", "payload", "pieces").join(answers, "slice", "left")
     return joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
