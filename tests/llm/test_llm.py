@@ -176,6 +176,17 @@ def test_language_id(spark, docs, none):
     assert language_id.identify(none).count() == 0
 
 
+def test_language_id_rejects_in_rare_languages(spark):
+    rng = random.Random(3)
+    kinds = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["xyzzy", "qwop", "zork"]}
+    known = [(i, " ".join(rng.choice(kinds[k]) for _ in range(20)), k, "s", 1, 1) for i in range(60) for k in [("aa", "bb")[i % 2]]]
+    for options in ({}, {"per_language": 12}):
+        models = language_id.fit(spark.createDataFrame(known, SCHEMA), **options)
+        assert np.isfinite(models.limits).all()
+        rejected = models.predict(pa.array([known[0][1], known[1][1], "ж щ ю я ф " * 40], pa.large_string()))[3]
+        assert rejected.tolist() == [False, False, True]
+
+
 def test_mixing(docs, none):
     got = mixing.mix_counts(docs).collect()
     sizes = Counter()

@@ -6,7 +6,9 @@ scored once. The models are kept in one sorted array of n-gram hashes with, per
 the discounted probability of the n-gram and the weight it leaves to the next lower order
 when it is a context. A text gets the language of lowest cross-entropy per character; it is
 rejected where that entropy is above what texts of the language reach (calibrated on
-training documents that the models haven't seen).
+training documents that the models haven't seen). Where a language's sample has few of
+them, documents outside the sample calibrate as well; a language that is still short of
+``ENOUGH`` has the limit of all languages' calibration together, or its own if that is higher.
 
 Training reads a bounded sample of labelled whole documents: ``PER_LANGUAGE`` of each
 language and ``TOTAL`` in all, in expectation, chosen by a hash of the id. Counts per
@@ -20,8 +22,6 @@ further columns are carried along unless they have a name that the operator adds
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,6 +38,8 @@ PER_LANGUAGE, TOTAL = 600, 8000
 CHARACTERS = 4_000_000
 #: Of the sampled documents of a language, one in so many calibrates its rejection.
 CALIBRATE = 4
+#: Calibrating documents that a language's own limit needs; expected number that is drawn where the sample has fewer.
+ENOUGH, DRAWN = 20, 60
 #: A text is rejected above this quantile of its language's calibration, plus a margin in bits, plus slack / characters.
 QUANTILE, MARGIN, SLACK = 0.995, 0.75, 24.0
 #: Bytes of text that a task scores at a time.
@@ -176,10 +178,16 @@ class Models:
 
     def calibrate(self, samples: dict[str, pa.Array], quantile: float = QUANTILE, margin: float = MARGIN) -> Models:
         """Per language, the entropy above which a text is rejected."""
-        limits = []
+        own = []
         for k, lang in enumerate(self.languages):
-            bits, n = self.text_bits(samples[lang]) if lang in samples else (np.zeros((0, 1)), np.zeros(0))
-            limits.append(float(np.quantile(bits[n > 0, k], quantile)) + margin if (n > 0).sum() >= 20 else math.inf)
+            bits, n = self.text_bits(samples[lang]) if lang in samples else (np.zeros((0, len(self.languages))), np.zeros(0))
+            own.append(bits[n > 0, k])
+        every = np.concatenate([*own, np.zeros(0)])
+        pooled = float(np.quantile(every, quantile)) + margin if len(every) else float(np.log2(400))  # without any, the bits of an unknown character
+        limits = []
+        for bits in own:
+            limit = float(np.quantile(bits, quantile)) + margin if len(bits) else pooled
+            limits.append(limit if len(bits) >= ENOUGH else max(limit, pooled))
         self.limits = np.array(limits)
         return self
 
@@ -205,12 +213,15 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL
     each = min(per_language, max(1, total // len(counts)))
     share = {r["lang"]: min(1.0, each / r["n"], characters / max(1, r["c"])) for r in counts}
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    limit = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-    rows = known.filter(h < limit).select("lang", "text", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATE)).alias("part")).collect()
+    more = {r["lang"]: share[r["lang"]] + max(0.0, DRAWN - r["n"] * share[r["lang"]] / CALIBRATE) / r["n"] for r in counts}
+    limit, last = (F.element_at(F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.lit(v))]), F.col("lang")) for by in (share, more))
+    part = F.when(h < limit, F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATE))).otherwise(F.lit(-1))
+    rows = known.filter(h < last).select("lang", "text", part.alias("part")).collect()
     out = []
     for lang in sorted(share):
         own = sorted((r["text"], r["part"]) for r in rows if r["lang"] == lang)
-        out.append((lang, [t for t, p in own if p or len(own) < 8], [t for t, p in own if not p]))
+        few = sum(p >= 0 for _, p in own) < 8
+        out.append((lang, [t for t, p in own if p > 0 or (few and p == 0)], [t for t, p in own if p <= 0]))
     return [x for x in out if x[1]]
 
 
