@@ -168,7 +168,7 @@ def near_dup_groups(spark, sf_dir):
 
 
 def secret_scan(spark, sf_dir):
-    return records.scan_secrets(lines.lines(documents(spark, sf_dir), "doc_id", "text"), "doc_id").filter("pattern = 'assigned_secret'")
+    return records.scan_secrets(lines.lines(documents(spark, sf_dir), "doc_id", "text"), "doc_id")
 
 
 def high_entropy(spark, sf_dir):
