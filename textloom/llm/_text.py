@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one step of a Python operator holds at a time. A longer text is a step of its own.
 SLICE_BYTES = 4 << 20
+#: Partitions of a shuffle by bucket at most; a task goes through its buckets one after another.
+MOST_PARTS = 20_000
 
 
 def release() -> None:
@@ -64,3 +66,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def cuts_of(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, first row, row after the last) of each bucket that has rows, of sorted numbers: work that grows with the rows, not with the buckets."""
+    if not len(bucket):
+        return []
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True))
+
+
+def bounded_parts(buckets: int) -> int:
+    return min(buckets, MOST_PARTS)

@@ -1,27 +1,38 @@
 """LM scoring with a causal self-attention model over subword ids, in numpy.
 
-Tokens are the words of a text and one end. A word enters as the mean of its subwords'
-embeddings; one causal attention layer over the words before predicts the next token's
-class, and the class shares its probability among its words by their counts in the
-training corpus: p(word | context) = p(class | context) (c + 1) / (N_class + V_class + 1).
-The end is a class of its own. Classes are topics of the subwords (clusters of document
-profiles) by the most frequent first subwords of each, so what the context says of the
-language or kind of text reaches the words.
-
-Scoring cuts a text into windows of ``STRIDE`` tokens that see ``STRIDE`` more before them:
-windows overlap, and each token is scored once, in the window where it has most context.
-
-What is counted covers the whole corpus: every slice of documents sends its distinct
-words' hashes and training counts to buckets, which sum them and answer each slice, so no
-table of words is held in one place. The attention model learns by rounds of local
-training: every slice trains on all of its training documents (``SHARE`` of them, which is
-1), and the parameters are averaged. Topics are fitted by rounds of k-means over the profiles
-of all training documents (each round sums them by topic on the executors), and the subwords
-with an embedding or a class of their own are counted over all training documents.
-
-Defined results: a null or empty text is its end alone; documents held out are scored but
-teach nothing; with no training document every count is 0 and the score is the base's;
-repeated rows count each; an empty table gives an empty table; further columns are not read.
+Tokens are the words of a text and one end; a word is the byte-level BPE ids of a space and
+its letters, so its first id tells that a word begins. The model predicts these ids one after
+another, each from causal self-attention over the ids before it, and then the text's end: a
+word's probability is the product over its ids, a text's over its words and its end.
+
+The prediction is a softmax in two levels. An id's *unit* is itself for the ``UNITS`` most
+frequent ids; the rarer ones share two units, those that begin a word and the others, in which
+they have their shares of the corpus. Units are dealt into ``CLASSES`` classes by what they
+follow. Then
+p(id | before) = p(class | attention, previous unit) p(unit | class, previous unit) p(id | unit):
+the attention layer gives logits of the classes that are added to those of the previous unit
+alone, and the unit within its class comes from counts of pairs of units. After a word's first
+id the rest of the word, its ending included, is a mixture of the model's product over ids and
+of the corpus' count of the word among words that begin so (Witten-Bell: the more of these
+words are different, the less their counts weigh).
+
+Scoring cuts a text into windows of ``STRIDE`` ids that see ``STRIDE`` more before them:
+windows overlap, each id is scored once, in the window where it has most context, and
+windows are scored many at a time under one mask.
+
+All that is learnt covers every training document whole. Counts of words go by hash to
+buckets, which sum them and answer each slice, so no table of words is held in one place;
+counts of ids and of pairs of units are tables of a fixed size, summed on the executors.
+Attention trains in ``ROUNDS`` rounds: in each, every task trains a copy of the model on all
+windows of its slices' documents of that round, and the copies are averaged, level by level,
+by the ids they saw. Each training document is trained on in one round.
+
+Defined results: a null or empty text is its end alone; a null doc_id is scored, not held
+out, and teaches; documents held out are scored but teach nothing; with no training document
+every count is 0 and the score is the base's; repeated rows count each; a very long text is a
+slice of its own, of which one task holds the ids (some 20 bytes a word; windows are made a
+few hundred at a time); an empty table gives an empty table; further columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -29,434 +40,141 @@ from __future__ import annotations
 import base64
 import pickle
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import mix, slices, words
-from textloom.session import discard, materialise, table
-
-#: Tokens scored per window, and tokens before them that the window sees.
-STRIDE = 32
-#: Width of embeddings; topics; first subwords of a topic that are classes of their own (and one class for the rest).
-WIDTH, TOPICS, FIRSTS = 16, 8, 15
-#: Most frequent subwords with an embedding of their own; the rest share this many by their id.
-OWN, SHARED = 8192, 1024
-#: Rounds of local training; share of the training documents that each round trains on; windows of a step; learning rate.
-ROUNDS, SHARE, BATCH, RATE = 2, 1.0, 128, 0.01
-#: Windows that a worker holds at a time in training (those of one document at least).
-HELD_WINDOWS = 2048
-#: Most frequent subwords that make a document's profile; rounds of k-means at most, which end when no centre moves further; documents of a block.
-PROFILE, TOPIC_ROUNDS, MOVED, BLOCK = 2000, 15, 1e-3, 512
-#: Distinct words after which a worker starts a new generation of those it keeps; bytes of text of a slice.
-KEPT, SLICE_BYTES = 100_000, 2 << 20
-#: Subwords of a word that are added place by place.
-SHORT = 12
+from textloom.llm._text import bounded_parts, cuts_of, mix, slices, words
+from textloom.session import materialise, table
+
+#: Ids scored per window, and ids before them that the window sees.
+STRIDE = 16
+#: Width of embeddings; most frequent ids that are units of their own; classes of units (the last is the text's end).
+WIDTH, UNITS, CLASSES = 16, 2048, 64
+#: Rounds of local training, windows in a row that are trained together, such runs of a step, learning rate.
+ROUNDS, RUN, BATCH, RATE = 2, 8, 32, 0.01
+#: Windows scored at a time.
+SCORED = 256
+#: Weight of the unigram in a pair's probability.
+SMOOTH = 4.0
+#: Blocks that the table of pairs is summed in; tables or copies of the model that one task sums.
+BLOCKS, FAN = 64, 64
+#: Bytes of text of a slice.
+SLICE_BYTES = 2 << 20
 #: Folds, and the one that is held out.
 FOLDS, HELD = 7, 2
 #: Bytes of text whose words meet in one bucket.
 BUCKET_BYTES = 40 << 20
 
-#: Bound of attention scores and logits before the exponential.
-LARGEST = np.float32(60)
-CLASSES = TOPICS * (FIRSTS + 1) + 1
+#: Bound of attention scores before the exponential.
+LARGEST = np.float32(30)
+#: Units of all rarer ids that begin a word, of the other rarer ones, and of a text's edge: its beginning as context, its end as what is predicted.
+RARE, RARE_NEXT, EDGE, SIZE = UNITS, UNITS + 1, UNITS + 2, UNITS + 3
+IDS = 1 << 16
 U = np.uint64
+#: Spaces that the tokenizer's pattern may join with a neighbour's; words with one are encoded alone.
+SPACES = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD
 
 
-class Subwords(dict):
-    """Byte-level BPE ids of words (unsigned 16-bit; id 0 for a word without), known words kept in two generations."""
+class Subwords:
+    """Byte-level BPE ids of words, each with a space before it."""
 
     def __init__(self, path: str | None):
         import public_tokenizers
         import tiktoken
 
-        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        x = self.older.get(word) or array("H", self.encode(word)).tobytes() or b"\0\0"
-        self[word] = x
-        return x
-
-    def ids(self, distinct) -> list[bytes]:
-        out = list(map(self.__getitem__, distinct))
-        if len(self) > KEPT:
-            self.older = dict(self)
-            self.clear()
-        return out
+        self.begins = np.zeros(IDS, bool)
+        self.begins[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
+
+    def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. Words are encoded in one text, as none reaches over a space."""
+        odd = pc.match_substring_regex(distinct, SPACES).to_numpy(zero_copy_only=False)
+        texts = distinct.to_pylist()
+        if odd.any():
+            found = [np.array(self.encode(" " + w), np.uint16) for w in texts]
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+        flat = np.array(self.encode("".join([" " + w for w in texts])), np.uint16)
+        starts = np.flatnonzero(self.begins[flat])
+        return flat, np.diff(np.append(starts, len(flat)))
 
 
 _subwords: dict = {}
 
 
-def subwords(path: str | None) -> Subwords:
+def subwords(path: str | None = None) -> Subwords:
     """One per Python worker."""
     if path not in _subwords:
         _subwords[path] = Subwords(path)
     return _subwords[path]
 
 
-def sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sum of ``values[at]`` over each word's ``sizes`` places from ``starts``: place by place, for the few words beyond SHORT in one go."""
-    out = values[at[starts]]
-    left = np.nonzero(sizes > 1)[0]
-    for j in range(1, SHORT):
-        out[left] += values[at[starts[left] + j]]
-        left = left[sizes[left] > j + 1]
-    if len(left):
-        n = sizes[left] - SHORT
-        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-        out[left] += np.add.reduceat(values[at[np.repeat(starts[left] + SHORT - begin, n) + np.arange(n.sum())]], begin, axis=0)
-    return out
-
-
-def added(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """``n`` rows; each has the sum of the values whose place ``at`` has its number. Flat, as numpy adds rows in place far slower than numbers."""
-    width = values.shape[-1]
-    out = np.zeros(n * width, np.float32)
-    np.add.at(out, (at.reshape(-1, 1) * width + np.arange(width)).ravel(), values.ravel())
-    return out.reshape(n, width)
-
-
-class Vocabulary:
-    """Subwords of words, their embedding rows, and words' classes."""
-
-    def __init__(self, path: str | None = None):
-        self.path = path
-        self.row = (np.arange(65536) % SHARED + OWN).astype(np.int32)
-        self.topic_score = np.zeros((65536, TOPICS), np.float32)
-        self.first_class = np.full((65536, TOPICS), FIRSTS, np.int16)
-
-    def subwords(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row and each word's number of them (one at least: id 0 for a word without)."""
-        found = subwords(self.path).ids(distinct)
-        return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) // 2
-
-    def classes(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        if not len(sizes):
-            return np.zeros(0, np.uint8)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        topic = sums(self.topic_score, ids, starts, sizes).argmax(axis=1)
-        return (topic * (FIRSTS + 1) + self.first_class[ids[starts], topic]).astype(np.uint8)
-
-    def fit(self, sliced: DataFrame) -> Vocabulary:
-        """Topics by k-means over the subword profiles of all training documents, and the frequent first subwords of each topic."""
-        total = sparse_sums(sliced, lambda ids, sizes, times: (ids, np.repeat(times, sizes)), 65536)
-        top = np.argsort(-total, kind="stable")[:OWN]
-        top = top[total[top] > 0]
-        if not len(top):
-            return self
-        self.row[top] = np.arange(len(top))
-        profiles = materialise(profile_rows(sliced, top[:PROFILE]), "profiles")
-        counts = topics(profiles, min(PROFILE, len(top))) + 0.5
-        discard(profiles)
-        score = np.log(counts / counts.sum(axis=1, keepdims=True)).T
-        self.topic_score[top[: len(score)]] = score - score.mean(axis=1, keepdims=True)
-        given = sliced.sparkSession.sparkContext.broadcast(self.topic_score)
-
-        def first(ids, sizes, times):
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            return ids[starts].astype(np.int64) * TOPICS + sums(given.value, ids, starts, sizes).argmax(axis=1), times
-
-        firsts = sparse_sums(sliced, first, 65536 * TOPICS).reshape(65536, TOPICS)
-        for z in range(TOPICS):
-            best = np.argsort(-firsts[:, z], kind="stable")[:FIRSTS]
-            best = best[firsts[best, z] > 0]
-            self.first_class[best, z] = np.arange(len(best))
-        return self
-
-
-def sparse_sums(sliced: DataFrame, pairs, size: int) -> np.ndarray:
-    """Sums over all slices of what ``pairs(ids, sizes, times)`` gives as (places, weights)."""
-
-    def count(batches):
-        out = np.zeros(size)
-        for batch in batches:
-            for pieces, times in zip(batch.column("pieces").to_pylist(), batch.column("times").to_pylist(), strict=True):
-                if times:
-                    at, weight = pairs(*unpack(pieces), np.frombuffer(times, np.uint32))
-                    out += np.bincount(at, weight, size)
-        at = np.nonzero(out)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out[at].astype(np.int64))], names=["i", "n"])
-
-    got = sliced.select("pieces", "times").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[got.column("i").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
-def profile_rows(sliced: DataFrame, top: np.ndarray) -> DataFrame:
-    """Blocks of training documents: each one's draw, its number of different subwords of ``top``, their places there, and their counts."""
-
-    def pack(batches):
-        column = np.full(65536, -1)
-        column[top] = np.arange(len(top))
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for payload, pieces in zip(batch.column("payload").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
-                doc_ids, held, bounds, codes = unpack(payload)
-                ids, sizes = unpack(pieces)
-                starts, codes = np.concatenate([[0], np.cumsum(sizes)]), codes.astype(np.int64)
-                draw = np.array([zlib.crc32(str(d).encode()) for d in doc_ids], np.uint64)
-                for a in range(0, len(doc_ids), BLOCK):
-                    b = min(len(doc_ids), a + BLOCK)
-                    own = codes[bounds[a] : bounds[b]]
-                    n = sizes[own]
-                    c = column[ids[np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())]]
-                    text = np.repeat(np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1])), n)
-                    good = (c >= 0) & ~held[a:b][text]
-                    found = np.bincount(text[good] * len(top) + c[good], minlength=(b - a) * len(top)).reshape(b - a, len(top))
-                    lengths = np.count_nonzero(found, axis=1)
-                    at = np.nonzero(found)
-                    if len(at[0]):
-                        some = np.nonzero(lengths)[0]
-                        row = squeeze.compress(pickle.dumps((draw[a:b][some], lengths[some].astype(np.uint16), at[1].astype(np.uint16), found[at].astype(np.uint32)), protocol=5))
-                        yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["profiles"])
-
-    return sliced.select("payload", "pieces").mapInArrow(pack, "profiles binary")
-
-
-def blocks(batches, width: int):
-    """(draws, counts, square roots of the counts' shares) of each block of profiles."""
-    for batch in batches:
-        for row in batch.column("profiles").to_pylist():
-            draw, lengths, at, n = unpack(row)
-            counts = np.zeros((len(draw), width), np.float32)
-            counts[np.repeat(np.arange(len(draw)), lengths), at] = n
-            yield draw, counts, np.sqrt(counts / counts.sum(axis=1, keepdims=True))
-
-
-def topics(profiles: DataFrame, width: int) -> np.ndarray:
-    """k-means of all profiles: the counts of subwords by topic. Centres start as k-means++ draws them, each by a race of all documents."""
-
-    def race(centres, number):
-        def run(batches):
-            best = (np.inf, b"")
-            for draw, _, root in blocks(batches, width):
-                far = (2 - 2 * root @ centres.T).min(axis=1).clip(0) if len(centres) else np.ones(len(root))
-                far[far < 1e-6] = 0
-                with np.errstate(divide="ignore"):
-                    time = -np.log((mix(draw + U(number << 32)) >> U(11)) * 2.0**-53 + 2.0**-54) / far
-                i = int(time.argmin())
-                best = min(best, (float(time[i]), root[i].tobytes()))
-            if np.isfinite(best[0]):
-                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["time", "root"])
-
-        return profiles.mapInArrow(run, "time double, root binary").orderBy("time", "root").head()
-
-    def assigned(centres):
-        def run(batches):
-            sums = np.zeros((2, TOPICS, width))
-            for _, counts, root in blocks(batches, width):
-                chosen = ((root @ centres.T).argmax(axis=1)[None, :] == np.arange(TOPICS)[:, None]).astype(np.float32)
-                sums[0] += chosen @ root
-                sums[1] += chosen @ counts
-            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
-
-        def add(batches):
-            found = [np.frombuffer(x, np.float64) for batch in batches for x in batch.column("sums").to_pylist()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([np.sum(found, axis=0).tobytes()], pa.binary())], names=["sums"])
-
-        got = profiles.mapInArrow(run, "sums binary").repartition(4).mapInArrow(add, "sums binary").collect()
-        return np.sum([np.frombuffer(r["sums"], np.float64) for r in got], axis=0).reshape(2, TOPICS, width)
-
-    centres = np.zeros((0, width), np.float32)
-    for number in range(TOPICS):
-        best = race(centres, number)
-        centres = np.concatenate([centres, np.frombuffer(best["root"], np.float32)[None, :] if best else centres[-1:]])  # fewer kinds of profiles than topics
-    for _ in range(TOPIC_ROUNDS):
-        roots, counts = assigned(centres)
-        size = np.linalg.norm(roots, axis=1, keepdims=True)
-        moved = np.where(size > 0, roots / np.maximum(size, 1e-9), centres).astype(np.float32)
-        done = np.linalg.norm(moved - centres, axis=1).max() < MOVED
-        centres = moved
-        if done:
-            break
-    return counts
-
-
-class Attention:
-    """The model's parameters, its forward pass over windows, and its gradient."""
-
-    NAMES = ("emb", "q", "k", "v", "near", "out", "bias")
-
-    def __init__(self, vocabulary: Vocabulary | None = None, prior: np.ndarray | None = None, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        self.p = {
-            "emb": small(OWN + SHARED + 1, WIDTH), "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH), "v": np.eye(WIDTH, dtype=np.float32),
-            "near": np.zeros(2 * STRIDE, np.float32), "out": small(WIDTH, CLASSES) * 0.1, "bias": np.zeros(CLASSES, np.float32),
-        }
-        if vocabulary is not None:
-            score = np.zeros((OWN + SHARED + 1, TOPICS), np.float32)
-            known = np.nonzero(vocabulary.topic_score.any(axis=1))[0]
-            score[vocabulary.row[known]] = vocabulary.topic_score[known] / 2
-            self.p["emb"][:, :TOPICS] += score
-            for z in range(TOPICS):
-                self.p["out"][z, z * (FIRSTS + 1) : (z + 1) * (FIRSTS + 1)] += 2
-        if prior is not None:
-            self.p["bias"] = np.log(prior).astype(np.float32)
-        a, b = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
-        self.back, self.causal = (a - b).clip(0), np.where((b <= a), 0, -np.inf).astype(np.float32)
-
-    def word_vectors(self, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """A vector per distinct word; the last is that of a text's beginning."""
-        x = sums(self.p["emb"], rows, starts, sizes) / sizes[:, None].astype(np.float32) if len(sizes) else np.zeros((0, WIDTH), np.float32)
-        return np.concatenate([x, self.p["emb"][-1:]])
-
-    def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Queries, keys and values of word vectors."""
-        return (x @ self.p["q"]) * np.float32(WIDTH**-0.5), x @ self.p["k"], x @ self.p["v"]
-
-    def attend(self, projected, codes: np.ndarray, valid: np.ndarray):
-        """codes, valid: (windows, 2 STRIDE) inputs. Returns (query, key, value, weights before division, their sums)."""
-        queries, keys, values = projected[0][codes[:, STRIDE:]], projected[1][codes], projected[2][codes]
-        s = queries @ keys.transpose(0, 2, 1)
-        s += self.p["near"][self.back] + self.causal
-        part = np.nonzero(~valid.all(axis=1))[0]
-        if len(part):
-            s[part] += np.where(valid[part], 0, -1e9).astype(np.float32)[:, None, :]
-        np.minimum(s, LARGEST, out=s)
-        np.exp(s, out=s)
-        return queries, keys, values, s, s.sum(axis=2, keepdims=True)
+def unpack(payload: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
 
-    def forward(self, projected, codes, valid):
-        """Returns (query, key, value, weights, state, logits)."""
-        queries, keys, values, s, total = self.attend(projected, codes, valid)
-        s /= total
-        h = s @ values
-        return queries, keys, values, s, h, h @ self.p["out"] + self.p["bias"]
-
-    def log_probability(self, projected, codes, valid, target) -> np.ndarray:
-        """Natural log of the target classes' probabilities, (windows, STRIDE)."""
-        _, _, values, s, total = self.attend(projected, codes, valid)
-        logits = (s @ values / total) @ self.p["out"]
-        logits += self.p["bias"]
-        np.clip(logits, -LARGEST, LARGEST, out=logits)
-        picked = np.take_along_axis(logits, target[..., None], 2)[..., 0]
-        np.exp(logits, out=logits)
-        return picked - np.log(logits.sum(axis=2))
 
-    def gradient(self, x, codes, valid, target, scored):
-        """Gradient of the mean loss by parameter (that of x in place of emb)."""
-        p = self.p
-        queries, keys, values, s, h, logits = self.forward(self.project(x), codes, valid)
-        logits -= logits.max(axis=2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        np.put_along_axis(logits, target[..., None], np.take_along_axis(logits, target[..., None], 2) - 1, 2)
-        d = logits * (scored / max(1, scored.sum()))[..., None].astype(np.float32)
-        flat = d.reshape(-1, CLASSES)
-        g = {"out": h.reshape(-1, WIDTH).T @ flat, "bias": flat.sum(axis=0)}
-        dh = d @ p["out"].T
-        dv = s.transpose(0, 2, 1) @ dh
-        dp = dh @ values.transpose(0, 2, 1)
-        ds = s * (dp - (dp * s).sum(axis=2, keepdims=True))
-        g["near"] = np.bincount(self.back.ravel(), ds.sum(axis=0).ravel(), 2 * STRIDE).astype(np.float32)
-        dq, dk = (ds @ keys) * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ queries
-        dq, dk, dv = added(len(x), codes[:, STRIDE:], dq), *np.split(added(len(x), codes, np.concatenate([dk, dv], axis=2)), 2, axis=1)
-        g |= {"q": x.T @ dq, "k": x.T @ dk, "v": x.T @ dv}
-        return g, dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-
-
-def windows(bounds: np.ndarray, codes: np.ndarray, classes: np.ndarray, chosen: np.ndarray):
-    """Windows of the chosen texts: inputs, which of them are real, target classes, target words, scored places, and each one's text.
-
-    A text's inputs are its beginning (code -1) and its words; its targets are its words and
-    its end (class CLASSES - 1, word -1).
-    """
-    sizes = (bounds[1:] - bounds[:-1])[chosen] + 1
-    count = -(-sizes // STRIDE)
-    text = np.repeat(np.arange(len(chosen)), count)
-    first = np.arange(len(text)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    place = first[:, None] * STRIDE + np.arange(-STRIDE, STRIDE)[None, :]
-    n = sizes[text][:, None]
-    valid = (place >= 0) & (place < n)
-    base = bounds[:-1][chosen][text][:, None]
-    padded = np.concatenate([codes, [-1]])
-    last = len(codes)
-    inputs = np.where(valid & (place > 0), padded[np.where(valid & (place > 0), base + place - 1, last)], -1)
-    scored = valid[:, STRIDE:]
-    is_word = scored & (place[:, STRIDE:] < n - 1)
-    target = np.where(is_word, padded[np.where(is_word, base + place[:, STRIDE:], last)], -1)
-    kinds = np.concatenate([classes.astype(np.int64), [CLASSES - 1]])
-    return inputs, valid, kinds[target], target, scored, text
-
-
-def slice_rows(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
-    """One row per slice of documents: what it sends to the buckets and what it needs to train and score."""
+def slice_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """One row per slice of documents (doc_id, text, held): payload (ids of documents, folds, bounds, words' codes), pieces (ids of the distinct words), their hashes, how often each stands in training documents, and the number of these."""
 
     def pack(batches):
-        v = vocabulary.value
-        squeeze = zstandard.ZstdCompressor(level=1)
         for piece, texts in slices(batches, limit=SLICE_BYTES):
             distinct, codes, bounds = words(texts)
-            distinct = distinct.to_numpy(zero_copy_only=False)
-            h = pd.util.hash_array(distinct, categorize=False)  # keyed by a constant, so alike in every worker
+            h = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)  # keyed by a constant, so alike in every worker
             by = np.argsort(h, kind="stable")
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by))
-            distinct, codes = distinct[by], rank[codes]
-            ids, sizes = v.subwords(distinct)
+            rank = np.empty(len(by), np.uint32)
+            rank[by] = np.arange(len(by), dtype=np.uint32)
+            codes = rank[codes]
+            ids, sizes = subwords(path).ids(distinct.take(pa.array(by))) if len(by) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
             held = piece.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            train = np.repeat(~held, np.diff(bounds))
-            times = np.bincount(codes[train], minlength=len(by))
-            payload = squeeze.compress(pickle.dumps((piece.column("doc_id").to_pylist(), held, bounds, codes.astype(np.uint32)), protocol=5))
-            pieces = squeeze.compress(pickle.dumps((ids, sizes.astype(np.int64)), protocol=5))
+            times = np.bincount(codes[np.repeat(~held, np.diff(bounds))], minlength=len(by))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([payload], pa.binary()), pa.array([pieces], pa.binary()), pa.array([h[by].tobytes()], pa.binary()), pa.array([times.astype(np.uint32).tobytes()], pa.binary()), pa.array([int((~held).sum())], pa.int64())],
+                [pa.array([packed((piece.column("doc_id").to_pylist(), held, bounds, codes))], pa.binary()), pa.array([packed((ids, sizes.astype(np.uint16) if sizes.max(initial=0) < IDS else sizes))], pa.binary()), pa.array([h[by].tobytes()], pa.binary()), pa.array([packed(times.astype(np.uint32))], pa.binary()), pa.array([int((~held).sum())], pa.int64())],
                 names=["payload", "pieces", "hashes", "times", "ends"],
             )
 
     return docs.mapInArrow(pack, "payload binary, pieces binary, hashes binary, times binary, ends long").withColumn("slice", F.monotonically_increasing_id())
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Rises with the hash, so a bucket is a range of sorted hashes."""
-    return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-
-
-def word_counts(sliced: DataFrame, vocabulary, buckets: int) -> DataFrame:
-    """Per slice and bucket, the corpus counts of the slice's words in order of hash; per bucket (slice -1), the training tokens of each class and the distinct words among them."""
+def word_counts(sliced: DataFrame, buckets: int) -> DataFrame:
+    """Per slice and bucket, the corpus counts of the slice's words in order of hash; per bucket (slice -1), its training tokens, the distinct words among them, and how many of these begin with each id."""
 
     def send(batches):
         for batch in batches:
             for number, h, times, pieces in zip(*(batch.column(c).to_pylist() for c in ("slice", "hashes", "times", "pieces")), strict=True):
-                h, times, classes = np.frombuffer(h, np.uint64), np.frombuffer(times, np.uint32), vocabulary.value.classes(*unpack(pieces))
-                cuts = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-                part = [(k, number, h[a:b].tobytes(), times[a:b].tobytes(), classes[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                h, times, first = np.frombuffer(h, np.uint64), unpack(times), first_ids(*unpack(pieces))
+                bucket = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # rises with the hash, so a bucket is a range of sorted hashes
+                part = [(k, number, h[a:b].tobytes(), times[a:b].tobytes(), first[a:b].tobytes()) for k, a, b in cuts_of(bucket)]
                 if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "slice", "hashes", "times", "classes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "slice", "hashes", "times", "firsts"])
 
     def add(batches):
         held, key = [], None
+        squeeze = zstandard.ZstdCompressor(level=1)
 
         def done():
             h = np.concatenate([np.frombuffer(x[1], np.uint64) for x in held])
             times = np.concatenate([np.frombuffer(x[2], np.uint32) for x in held])
-            classes = np.concatenate([np.frombuffer(x[3], np.uint8) for x in held])
-            distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
             total = np.bincount(inverse, times, len(distinct)).astype(np.uint64)
-            types = np.bincount(classes[first][total > 0], minlength=CLASSES)
-            tokens = np.bincount(classes[first], total, CLASSES).astype(np.int64)
             ends = np.cumsum([len(x[1]) // 8 for x in held])[:-1]
-            answers = [c.tobytes() for c in np.split(total[inverse], ends)]
-            return pa.RecordBatch.from_arrays([pa.array([*(x[0] for x in held), -1], pa.int64()), pa.array([key] * (len(held) + 1), pa.int32()), pa.array([*answers, b""], pa.binary()), *(pa.array([*([None] * len(held)), x.tolist()], pa.list_(pa.int64())) for x in (types, tokens))], names=["slice", "bucket", "counts", "types", "tokens"])
+            answers = [squeeze.compress(c.tobytes()) for c in np.split(total[inverse], ends)]
+            n, first = len(held), np.concatenate([np.frombuffer(x[3], np.uint16) for x in held])[at]
+            answers.append(packed(np.bincount(first[total > 0], minlength=IDS)))
+            return pa.RecordBatch.from_arrays([pa.array([*(x[0] for x in held), -1], pa.int64()), pa.array([key] * (n + 1), pa.int64()), pa.array(answers, pa.binary()), *(pa.array([*([0] * n), int(x)], pa.int64()) for x in (np.count_nonzero(total), total.sum()))], names=["slice", "bucket", "counts", "types", "tokens"])
 
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "slice", "hashes", "times", "classes")), strict=True):
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "slice", "hashes", "times", "firsts")), strict=True):
                 if held and k != key:
                     yield done()
                     held = []
@@ -465,83 +183,341 @@ def word_counts(sliced: DataFrame, vocabulary, buckets: int) -> DataFrame:
         if held:
             yield done()
 
-    sent = sliced.select("slice", "hashes", "times", "pieces").mapInArrow(send, "bucket int, slice long, hashes binary, times binary, classes binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "slice long, bucket int, counts binary, types array<bigint>, tokens array<bigint>")
+    sent = sliced.select("slice", "hashes", "times", "pieces").mapInArrow(send, "bucket long, slice long, hashes binary, times binary, firsts binary")
+    return sent.repartition(bounded_parts(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(add, "slice long, bucket long, counts binary, types long, tokens long")
 
 
-def unpack(payload: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
+def first_ids(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first id of each word."""
+    return ids[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]]
+
+
+def packed(x) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+
+
+def summed(rows: DataFrame) -> np.ndarray | None:
+    """The sum of arrays of one shape (``cells``: packed), by levels of ``FAN`` until so many tasks are left; None without any."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for cells in batch.column("cells").to_pylist():
+                total = unpack(cells) if total is None else total + unpack(cells)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], names=["cells"])
+
+    tasks, rows = rows.rdd.getNumPartitions(), rows.mapInArrow(add, "cells binary")
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        rows = rows.repartition(tasks).mapInArrow(add, "cells binary")
+    got = [unpack(r["cells"]) for r in rows.collect()]  # FAN rows at most
+    return np.sum(got, axis=0) if got else None
+
+
+def summed_in_blocks(rows: DataFrame) -> np.ndarray:
+    """The sum of tables that tasks send in blocks (block, cells)."""
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, cells in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + unpack(cells)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([packed(x) for x in held.values()], pa.binary())], names=["block", "cells"])
+
+    got = rows.repartition(BLOCKS, "block").mapInArrow(add, "block int, cells binary").collect()  # a table of fixed size
+    return np.concatenate([unpack(r["cells"]) for r in sorted(got, key=lambda r: r["block"])]) if got else np.zeros(0, np.int64)
+
+
+def id_counts(sliced: DataFrame) -> np.ndarray:
+    """How often each id stands in training documents."""
+
+    def count(batches):
+        out = np.zeros(IDS, np.int64)
+        for batch in batches:
+            for pieces, times in zip(batch.column("pieces").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                (ids, sizes), times = unpack(pieces), unpack(times)
+                out += np.bincount(ids, np.repeat(times, sizes), IDS).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([packed(out)], pa.binary())], names=["cells"])
+
+    out = summed(sliced.select("pieces", "times").mapInArrow(count, "cells binary"))
+    return np.zeros(IDS, np.int64) if out is None else out
+
+
+def pair_counts(sliced: DataFrame, unit: np.ndarray) -> np.ndarray:
+    """How often one unit follows another in training documents, a text's edge included."""
+
+    def count(batches):
+        out = np.zeros(SIZE * SIZE, np.int64)
+        for batch in batches:
+            for payload, pieces in zip(batch.column("payload").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+                _, held, bounds, codes = unpack(payload)
+                x, weight, _ = stream(bounds, codes, *unpack(pieces), unit, np.flatnonzero(~held))
+                x = x[: len(x) // STRIDE * STRIDE]
+                after = np.append(x[1:], np.int16(EDGE))
+                out += np.bincount((x.astype(np.int32) * np.int32(SIZE) + after)[weight], minlength=SIZE * SIZE)
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([packed(x) for x in np.array_split(out, BLOCKS)], pa.binary())], names=["block", "cells"])
+
+    out = summed_in_blocks(sliced.select("payload", "pieces").mapInArrow(count, "block int, cells binary"))
+    return (out if len(out) else np.zeros(SIZE * SIZE, np.int64)).reshape(SIZE, SIZE)
+
+
+def stream(bounds: np.ndarray, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of the chosen texts, in windows: what stands where, which places predict the next one, and each text's first place.
+
+    A text has one window of edges (context only), then its edge and its units, up to a whole
+    number of windows. The place after its last unit holds an edge, which is its end.
+    """
+    n = np.diff(bounds)[chosen]
+    mine = codes if len(chosen) == len(bounds) - 1 else codes[np.repeat(np.isin(np.arange(len(bounds) - 1), chosen), np.diff(bounds))]
+    sizes = sizes.astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    size = sizes[mine]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat = unit[ids][np.arange(ends[-1]) + np.repeat(starts[mine] - ends[:-1], size)] if len(mine) else np.zeros(0, np.int16)
+    many = np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
+    windows = 1 + -(-(many + 1) // STRIDE)
+    first = (np.concatenate([[0], np.cumsum(windows)])[:-1] + 1) * STRIDE
+    x = np.full(int(windows.sum()) * STRIDE, EDGE, np.int16)
+    before = np.concatenate([[0], np.cumsum(many)])[:-1]
+    x[np.arange(len(flat)) + np.repeat(first + 1 - before, many)] = flat
+    weight = np.zeros(len(x), np.int8)
+    np.add.at(weight, first, 1)
+    closing = first + many + 1
+    np.add.at(weight, closing[closing < len(x)], -1)
+    return x, np.cumsum(weight, dtype=np.int8).astype(bool), first
 
 
-def per_class(df: DataFrame, column: str) -> np.ndarray:
-    """Sums of an array column by place."""
-    out = np.zeros(CLASSES, np.int64)
-    for r in df.select(F.posexplode(column).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r["i"]] = r["n"]
+class Vocabulary:
+    """Units of ids, classes of units, and the probabilities that come from counts alone."""
+
+    def __init__(self, ids: np.ndarray, types: np.ndarray | None = None, path: str | None = None):
+        """``ids``: how often each id stands in training documents; ``types``: how many of their distinct words begin with it."""
+        begins = subwords(path).begins
+        top = np.argsort(-ids, kind="stable")[:UNITS]
+        top = top[ids[top] > 0]
+        self.unit = np.where(begins, RARE, RARE_NEXT).astype(np.int16)
+        self.unit[top] = np.arange(len(top))
+        self.within = np.zeros(IDS)
+        for rare in (RARE, RARE_NEXT):
+            own = self.unit == rare
+            self.within[own] = np.log((ids[own] + 1) / (ids[own].sum() + own.sum()))
+        self.begins = np.zeros(SIZE, bool)  # what begins a word, or ends a text: the word before it is at its end
+        self.begins[[RARE, EDGE]] = True
+        self.begins[: len(top)] = begins[top]
+        self.times, self.types = ids, np.zeros(IDS, np.int64) if types is None else types
+
+    def fit(self, pairs: np.ndarray) -> Vocabulary:
+        pairs = pairs.astype(np.float64)
+        unigram = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * SIZE)
+        p = (pairs + SMOOTH * unigram) / (pairs.sum(axis=1, keepdims=True) + SMOOTH)
+        self.left, right = self.factors(pairs)
+        self.kind, self.ended = self.classes(right, pairs.sum(axis=0))
+        of_class = np.stack([np.bincount(self.kind, row, CLASSES) for row in p])
+        self.class_log = np.log(of_class + 1e-30).astype(np.float32)
+        self.unit_log = np.log(p / of_class[:, self.kind]).astype(np.float32)
+        return self
+
+    @staticmethod
+    def factors(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Correspondence analysis of the pairs: coordinates of units by what follows them, and by what they follow."""
+        row, column = np.sqrt(pairs.sum(axis=1) + 0.5), np.sqrt(pairs.sum(axis=0) + 0.5)
+        m = pairs / row[:, None] / column[None, :]
+        q = np.random.default_rng(7).normal(size=(SIZE, WIDTH + 5))
+        for _ in range(8):
+            q = np.linalg.qr(m.T @ (m @ q))[0]
+        u, s, v = np.linalg.svd(m @ q, full_matrices=False)
+        pick = slice(1, WIDTH + 1)  # the first only tells how frequent a unit is
+        return (u * s)[:, pick] / row[:, None] * row.sum() / SIZE, (q @ v.T * s)[:, pick] / column[:, None] * column.sum() / SIZE
+
+    def classes(self, points: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
+        """Each unit's class, by halving the class that is most frequent, and the first of the classes whose units begin a word. The edge is the last class."""
+        weight, kind = times + 0.01, np.where(self.begins, 1, 0)
+        kind[EDGE] = -1
+
+        def mass(k):
+            at = np.flatnonzero(kind == k)
+            return weight[at].sum() if len(at) > 1 else 0.0
+
+        found = [mass(0), mass(1)]
+        while len(found) < CLASSES - 1 and max(found) > 0:
+            k = int(np.argmax(found))
+            at = np.flatnonzero(kind == k)
+            kind[at[self.halves(points[at], weight[at])]] = len(found)
+            found[k] = mass(k)
+            found.append(mass(len(found)))
+        of_first = np.zeros(CLASSES, bool)
+        of_first[kind[:EDGE][self.begins[:EDGE]]] = True
+        order = np.argsort(of_first[: CLASSES - 1], kind="stable")
+        place = np.empty(CLASSES - 1, np.int64)
+        place[order] = np.arange(CLASSES - 1)
+        return np.append(place[kind[:EDGE]], CLASSES - 1), int((~of_first[: CLASSES - 1]).sum())
+
+    @staticmethod
+    def halves(x: np.ndarray, weight: np.ndarray, rounds: int = 10) -> np.ndarray:
+        """Which points are in the one of two means' halves; they begin on both sides of the first principal axis."""
+        away = x - np.average(x, axis=0, weights=weight)
+        one = away @ np.linalg.svd(away * np.sqrt(weight)[:, None], full_matrices=False)[2][0] > 0
+        for _ in range(rounds):
+            if one.all() or not one.any():
+                return np.arange(len(x)) == int(weight.argmax())
+            a, b = (np.average(x[side], axis=0, weights=weight[side]) for side in (one, ~one))
+            one = ((x - a) ** 2).sum(axis=1) < ((x - b) ** 2).sum(axis=1)
+        return np.arange(len(x)) == int(weight.argmax()) if one.all() or not one.any() else one
+
+
+class Attention:
+    """The model's parameters, its forward pass over windows, and its gradient."""
+
+    NAMES = ("emb", "q", "k", "v", "near", "out")
+
+    def __init__(self, vocabulary: Vocabulary, seed: int = 3):
+        rng = np.random.default_rng(seed)
+        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.p = {
+            "emb": small(SIZE, WIDTH) + np.clip(vocabulary.left, -2, 2).astype(np.float32) / 2, "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH),
+            "v": np.eye(WIDTH, dtype=np.float32), "near": np.zeros(2 * STRIDE, np.float32), "out": small(WIDTH, CLASSES),
+        }
+        a, b = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
+        self.back, self.causal = (a - b).clip(0), (b <= a).astype(np.float32)
+
+    def tables(self, emb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of embeddings: queries, and keys next to values next to a one (which sums the weights)."""
+        p = self.p
+        return (emb @ p["q"]) * np.float32(WIDTH**-0.5), np.concatenate([emb @ p["k"], emb @ p["v"], np.ones((len(emb), 1), np.float32)], axis=1)
+
+    def attend(self, queries: np.ndarray, keys: np.ndarray, x: np.ndarray):
+        """x: (runs, places), the first window of a run being context only. Returns queries and keys of windows, weights, and states with the weights' sums."""
+        runs, places = x.shape
+        q, kv = queries[x[:, STRIDE:]].reshape(runs, -1, STRIDE, WIDTH), keys[x]
+        step = kv.strides[1]
+        kv = np.lib.stride_tricks.as_strided(kv, (runs, places // STRIDE - 1, 2 * STRIDE, kv.shape[2]), (kv.strides[0], STRIDE * step, step, kv.strides[2]))
+        s = q @ kv[..., :WIDTH].transpose(0, 1, 3, 2)
+        np.minimum(s, LARGEST, out=s)
+        np.exp(s, out=s)
+        s *= np.exp(self.p["near"])[self.back] * self.causal
+        return q, kv, s, s @ kv[..., WIDTH:]
+
+    def logits(self, h: np.ndarray, x: np.ndarray, class_log: np.ndarray) -> np.ndarray:
+        out = h.reshape(-1, WIDTH) @ self.p["out"]
+        out += class_log[x[:, STRIDE:].ravel()]
+        np.minimum(out, 2 * LARGEST, out=out)
+        return out
+
+    def log_probability(self, queries, keys, x: np.ndarray, target: np.ndarray, class_log: np.ndarray, ended: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of the target classes' probabilities, and of all classes from ``ended`` on together: a number per place of the runs' windows."""
+        _, _, _, state = self.attend(queries, keys, x)
+        logits = self.logits(state[..., :WIDTH] / state[..., WIDTH:], x, class_log)
+        picked = logits[np.arange(len(logits)), target]
+        np.exp(logits, out=logits)
+        end = logits[:, ended:].sum(axis=1)
+        total = np.log(end + logits[:, :ended].sum(axis=1))
+        return picked - total, np.log(end) - total
+
+    def gradient(self, emb: np.ndarray, x: np.ndarray, target: np.ndarray, weight: np.ndarray, class_log: np.ndarray):
+        """Gradient of the mean loss by parameter. x: places' rows of ``emb`` and of ``class_log``; that by emb is of these rows."""
+        p, (queries, keys) = self.p, self.tables(emb)
+        q, kv, s, state = self.attend(queries, keys, x)
+        total, h = state[..., WIDTH:], state[..., :WIDTH] / state[..., WIDTH:]
+        d = self.logits(h, x, class_log)
+        np.exp(d, out=d)
+        d /= d.sum(axis=1, keepdims=True)
+        d[np.arange(len(d)), target] -= 1
+        d *= (weight / max(1, np.count_nonzero(weight))).astype(np.float32)[:, None]
+        g = {"out": h.reshape(-1, WIDTH).T @ d}
+        dh = (d @ p["out"].T).reshape(h.shape)
+        s /= total
+        dv = s.transpose(0, 1, 3, 2) @ dh
+        ds = dh @ kv[..., WIDTH : 2 * WIDTH].transpose(0, 1, 3, 2)
+        ds -= (dh * h).sum(axis=3, keepdims=True)
+        ds *= s
+        g["near"] = np.bincount(self.back.ravel(), (ds.sum(axis=(0, 1)) * self.causal).ravel(), 2 * STRIDE).astype(np.float32)
+        dq, dk = ds @ kv[..., :WIDTH], ds.transpose(0, 1, 3, 2) @ q
+        runs, windows = ds.shape[:2]
+        every = np.zeros((runs, windows + 1, STRIDE, 3 * WIDTH), np.float32)
+        every[:, 1:, :, :WIDTH] = dq
+        for half, at in ((slice(None, STRIDE), slice(None, -1)), (slice(STRIDE, None), slice(1, None))):
+            every[:, at, :, WIDTH : 2 * WIDTH] += dk[:, :, half]
+            every[:, at, :, 2 * WIDTH :] += dv[:, :, half]
+        dq, dk, dv = np.split(added(len(emb), x.ravel(), every.reshape(-1, 3 * WIDTH)), 3, axis=1)
+        dq = dq * np.float32(WIDTH**-0.5)
+        g |= {"q": emb.T @ dq, "k": emb.T @ dk, "v": emb.T @ dv}
+        g["emb"] = dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+        return g
+
+
+def added(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``n`` rows; each has the sum of the rows of ``values`` whose place in ``at`` has its number."""
+    by = np.argsort(at.astype(np.int16), kind="stable")
+    at = at[by]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[at[starts]] = np.add.reduceat(values[by], starts, axis=0)
     return out
 
 
-def train(sliced: DataFrame, vocabulary, model: Attention, number: int, share: float = SHARE) -> Attention:
-    """One round: every task trains a copy of the model on its slices' share of training documents; copies are averaged by the tokens they saw."""
-    spark = sliced.sparkSession
-    given = spark.sparkContext.broadcast(model)
+class Learner:
+    """Adam over the model's parameters; of the embeddings, only the rows that a step met."""
+
+    def __init__(self, model: Attention, vocabulary: Vocabulary):
+        self.model, self.v, self.step, self.seen = model, vocabulary, 0, 0
+        self.first, self.second = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+
+    def learn(self, x: np.ndarray, weight: np.ndarray, seed: int) -> None:
+        """One pass over all windows of a stream, in random order."""
+        windows = len(x) // STRIDE
+        runs = -(-(windows - 1) // RUN)
+        more = (1 + runs * RUN) * STRIDE - len(x)
+        x, weight = np.append(x, np.full(more + 1, EDGE, np.int16)), np.append(weight, np.zeros(more, bool))
+        size = RUN * STRIDE
+        place = np.arange(size + STRIDE)
+        order = np.random.default_rng(seed).permutation(runs)
+        for a in range(0, runs, BATCH):
+            begin = (order[a : a + BATCH] * size)[:, None]
+            here, scored = x[begin + place], weight[begin + place[STRIDE:]].ravel()
+            if not scored.any():
+                continue
+            target = self.v.kind[x[begin + place[STRIDE:] + 1].ravel()]
+            used = np.flatnonzero(np.bincount(here.ravel(), minlength=SIZE))
+            row = np.zeros(SIZE, np.int16)
+            row[used] = np.arange(len(used))
+            g = self.model.gradient(self.model.p["emb"][used], row[here], target, scored, self.v.class_log[used])
+            self.step += 1
+            fade = RATE * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
+            for k, p in self.model.p.items():
+                at = used if k == "emb" else slice(None)
+                first, second = 0.9 * self.first[k][at] + 0.1 * g[k], 0.99 * self.second[k][at] + 0.01 * g[k] ** 2
+                self.first[k][at], self.second[k][at] = first, second
+                p[at] -= (fade * first / (np.sqrt(second) + 1e-7)).astype(np.float32)
+            self.seen += int(scored.sum())
+
+
+def round_of(doc_ids: list, rounds: int) -> np.ndarray:
+    return (mix(np.array([zlib.crc32(str(d).encode()) for d in doc_ids], np.uint64) + U(1000)) % U(rounds)).astype(np.int64)
+
+
+def train(sliced: DataFrame, vocabulary, model: Attention, number: int, rounds: int = ROUNDS) -> Attention:
+    """One round: every task trains a copy of the model on its training documents of this round; copies are averaged by the ids they saw."""
+    given = sliced.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches):
-        model, v, seen = pickle.loads(pickle.dumps(given.value)), vocabulary.value, 0
-        first, second = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
-        step = 0
+        v = vocabulary.value
+        learner = Learner(pickle.loads(pickle.dumps(given.value)), v)
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, held, bounds, codes = unpack(batch.column("payload")[i].as_py())
-                ids, sizes = unpack(batch.column("pieces")[i].as_py())
-                draw = mix(np.array([zlib.crc32(str(d).encode()) for d in doc_ids], np.uint64) + U(1000 + number))
-                chosen = np.nonzero(~held if share >= 1 else ~held & (draw < U(int(share * 2.0**64))))[0]
-                if not len(chosen):
-                    continue
-                chosen = chosen[np.argsort(draw[chosen], kind="stable")]
-                classes = v.classes(ids, sizes)
-                starts, rows = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64), v.row[ids]
-                codes, at_most = codes.astype(np.int64), np.cumsum((bounds[1:] - bounds[:-1])[chosen] // STRIDE + 1)
-                for group in np.split(chosen, np.nonzero(np.diff(at_most // HELD_WINDOWS))[0] + 1):
-                    inputs, valid, target, _, scored, _ = windows(bounds, codes, classes, group)
-                    order = np.random.default_rng(number).permutation(len(inputs))
-                    for a in range(0, len(order), BATCH):
-                        at = order[a : a + BATCH]
-                        used = np.unique(inputs[at])  # -1, the beginning, is always among them: it is the padding
-                        real = used[used >= 0]
-                        code = np.searchsorted(real, inputs[at])
-                        code[inputs[at] < 0] = len(real)
-                        n = sizes[real]
-                        own = rows[np.repeat(starts[real] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(real) else np.zeros(0, np.int32)
-                        x = model.word_vectors(own, np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)[: len(n)], n)
-                        g, dx = model.gradient(x, code, valid[at], target[at], scored[at])
-                        g["emb"] = added(len(model.p["emb"]), own, np.repeat(dx[:-1] / np.maximum(n, 1)[:, None], n, axis=0).astype(np.float32))
-                        g["emb"][-1] += dx[-1]
-                        step += 1
-                        for k, x in model.p.items():  # Adam
-                            first[k] += 0.1 * (g[k] - first[k])
-                            second[k] += 0.01 * (g[k] ** 2 - second[k])
-                            x -= (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-                        seen += int(scored[at].sum())
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([np.concatenate([model.p[k].ravel() for k in Attention.NAMES]).astype(np.float64).tobytes()], pa.binary())], names=["weight", "parameters"])
-
-    def average(batches):
-        total, weight = None, 0.0
-        for batch in batches:
-            for w, x in zip(batch.column("weight").to_pylist(), batch.column("parameters").to_pylist(), strict=True):
-                x = np.frombuffer(x, np.float64)
-                weight += w
-                total = x * (w / weight) + (0 if total is None else total * (1 - w / weight))
-        if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names=["weight", "parameters"])
-
-    kind = "weight double, parameters binary"
-    got = sliced.select("payload", "pieces").mapInArrow(learn, kind).repartition(4).mapInArrow(average, kind).collect()
-    if got:
-        weights = np.array([r["weight"] for r in got])
-        mean = sum(np.frombuffer(r["parameters"], np.float64) * (w / weights.sum()) for r, w in zip(got, weights, strict=True)).astype(np.float32)
-        at = 0
+                chosen = np.flatnonzero(~held & (round_of(doc_ids, rounds) == number))
+                if len(chosen):
+                    x, weight, _ = stream(bounds, codes, *unpack(batch.column("pieces")[i].as_py()), v.unit, chosen)
+                    learner.learn(x, weight, number)
+        if learner.seen:
+            cells = np.concatenate([[1.0], *(learner.model.p[k].ravel() for k in Attention.NAMES)]) * learner.seen
+            yield pa.RecordBatch.from_arrays([pa.array([packed(cells)], pa.binary())], names=["cells"])
+
+    total = summed(sliced.select("payload", "pieces").mapInArrow(learn, "cells binary"))
+    if total is not None:
+        mean, at = (total[1:] / total[0]).astype(np.float32), 0
         for k in Attention.NAMES:
             n = model.p[k].size
             model.p[k] = mean[at : at + n].reshape(model.p[k].shape)
@@ -549,53 +525,70 @@ def train(sliced: DataFrame, vocabulary, model: Attention, number: int, share: f
     return model
 
 
-def score_documents(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def text_scores(model: Attention, v: Vocabulary, bounds, codes, ids, sizes, counts) -> np.ndarray:
+    """Natural log of each text's probability: windows are scored SCORED at a time, and each place once. ``counts``: of the distinct words, in training documents."""
+    every = np.arange(len(bounds) - 1)
+    x, weight, first = stream(bounds, codes, ids, sizes, v.unit, every)
+    queries, keys = model.tables(model.p["emb"])
+    x, out, ended = np.append(x, np.int16(EDGE)), np.zeros(len(weight)), np.zeros(len(weight))
+    for a in range(STRIDE, len(weight), SCORED * STRIDE):
+        b = min(len(weight), a + SCORED * STRIDE)
+        here, after = x[a:b], x[a + 1 : b + 1]
+        got, end = model.log_probability(queries, keys, x[None, a - STRIDE : b], v.kind[after], v.class_log, v.ended)
+        out[a:b], ended[a:b] = np.where(weight[a:b], got + v.unit_log[here, after], 0), end
+    begins = weight & v.begins[x[1:]]  # here a word, or the text, is at its end, and the next thing begins
+    out[begins] -= ended[begins]
+    total = np.add.reduceat(np.where(begins, out, 0), first) if len(first) else np.zeros(0)
+    # of each word the places after its first id, to that at which it ends
+    rest = np.where(begins, ended, out)
+    closed = begins.copy()
+    closed[first] = False
+    last = np.flatnonzero(closed)
+    run = np.cumsum(np.where(weight, rest, 0))
+    opened = np.flatnonzero(begins & (x[1:] != EDGE))
+    rest = run[last] - run[opened]
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    rare = np.concatenate([[0.0], np.cumsum(v.within[ids])])  # what stands within the units of rare ids
+    head = first_ids(ids, sizes)
+    times, types = v.times[head].astype(np.float64), v.types[head]
+    known = times / np.maximum(times + types, 1)
+    own = np.exp(rest + (rare[ends[1:]] - rare[ends[:-1] + 1])[codes]) if len(codes) else rest
+    word = np.log((known * counts / np.maximum(times, 1))[codes] + (1 - known)[codes] * own + 1e-300) + v.within[head][codes] if len(codes) else rest
+    return total + np.diff(np.concatenate([[0.0], np.cumsum(word)])[bounds])
+
+
+def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-size // BUCKET_BYTES))
-    sliced = materialise(slice_rows(own, spark.sparkContext.broadcast(Vocabulary()), buckets), "slices")
-    vocabulary = spark.sparkContext.broadcast(Vocabulary().fit(sliced))
-    counted = materialise(word_counts(sliced, vocabulary, buckets), "counts")
-    tokens, types = (per_class(counted.filter("slice = -1"), c) for c in ("tokens", "types"))
-    tokens[CLASSES - 1] = sliced.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
-    types[CLASSES - 1] = 1 if tokens[CLASSES - 1] else 0
-    train_tokens, vocabulary_size, ends = int(tokens.sum()), int(types.sum()), int(tokens[CLASSES - 1])
-    model = Attention(vocabulary.value, (tokens + types + 1) / (tokens + types + 1).sum())
-    for number in range(rounds):
-        model = train(sliced, vocabulary, model, number, share)
+    sliced = materialise(slice_rows(own), "slices")
+    counted = materialise(word_counts(sliced, buckets), "counts")
+    types, tokens = counted.filter("slice = -1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    ends = sliced.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
+    train_tokens, vocabulary_size = tokens + ends, types + (ends > 0)
+    v = Vocabulary(id_counts(sliced), summed(counted.filter("slice = -1").select(F.col("counts").alias("cells"))))
+    vocabulary = spark.sparkContext.broadcast(v.fit(pair_counts(sliced, v.unit)))
+    model = Attention(vocabulary.value)
+    for number in range(rounds if train_tokens else 0):
+        model = train(sliced, vocabulary, model, number, rounds)
     ready = spark.sparkContext.broadcast(model)
     answers = counted.filter("slice >= 0").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("answers"))
 
     def score(batches):
-        model, v = ready.value, vocabulary.value
-        log_class = np.log10(tokens + types + 1.0)
+        rest = np.log10(train_tokens + vocabulary_size + 1)
         for batch in batches:
             for i in range(batch.num_rows):
                 answer = batch.column("answers")[i].as_py()
                 doc_ids, held, bounds, codes = unpack(batch.column("payload")[i].as_py())
-                ids, sizes = unpack(batch.column("pieces")[i].as_py())
-                codes, classes = codes.astype(np.int64), v.classes(ids, sizes)
-                c = np.frombuffer(b"".join(a["counts"] for a in answer or []), np.uint64).astype(np.float64)
+                c = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(a["counts"]), np.uint64) for a in answer or [])]).astype(np.float64)
                 n = np.diff(bounds) + 1
-                base = np.log10((c + 1) / (train_tokens + vocabulary_size + 1))
-                end = np.log10((ends + 1) / (train_tokens + vocabulary_size + 1))
-                within = np.concatenate([np.log10(c + 1) - log_class[classes], [0.0]])
                 per = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[codes])])[bounds])
-                base_score, known = per(base) + end, per((c > 0).astype(np.int64)) + (ends > 0)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
-                projected = model.project(model.word_vectors(v.row[ids], starts, sizes))
-                total = np.zeros(len(doc_ids))
-                for group in range(0, len(doc_ids), 16):
-                    chosen = np.arange(group, min(len(doc_ids), group + 16))
-                    inputs, valid, target, word, scored, text = windows(bounds, codes, classes, chosen)
-                    for a in range(0, len(inputs), 64):
-                        at = slice(a, a + 64)
-                        got = model.log_probability(projected, inputs[at], valid[at], target[at]) / np.log(10) + within[word[at]]
-                        total[group : group + len(chosen)] += np.bincount(text[at], (got * scored[at]).sum(axis=1), len(chosen))
+                base_score, known = per(np.log10(c + 1) - rest) + np.log10(ends + 1) - rest, per((c > 0).astype(np.int64)) + (ends > 0)
+                total = text_scores(ready.value, vocabulary.value, bounds, codes, *unpack(batch.column("pieces")[i].as_py()), c) / np.log(10) if train_tokens else base_score
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), train_tokens)), pa.array(base_score), pa.array(total if train_tokens else base_score)],
+                    [pa.array(doc_ids, pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), train_tokens)), pa.array(base_score), pa.array(total)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
