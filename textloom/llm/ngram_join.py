@@ -3,35 +3,41 @@
 Documents with equal sets are one node. Light sets (below a size boundary) enumerate, for
 each size that a partner can have, all their subsets of the fixed size that the two must
 share; sets that meet in such a subset link, with nothing left to verify. Heavy sets are
-put on inverted lists and the lists are scanned. Where linked sets differ little, lists are
-kept per part: with at most D differing elements between partners, of D + 1 parts of the
-elements (by hash) one at least is equal in both. Where such parts would hold fewer than
-``LEAST_PART`` elements, lists are kept per element, for the elements of a set's prefix: in
-one order for all sets, a set's first elements, as many as leave too few to be linked by.
-The order puts the corpus' rare shingles first (``commonness``), so that shared passages
-are seldom on a list; any order gives the same links. Members of a list whose sizes rule
-out a link are not tied. The lists' candidates are verified exactly. The boundary is the
-size at which enumerating a set costs more than putting it on lists and verifying it.
-
-Lists only tie their members to their first node (no pairs are made). Candidates are
-verified by candidate component, in blocks of bounded size: within a block a lower bound
-of the symmetric difference (parity sketches) discards most pairs, pairs already connected
-are skipped, the rest is intersected. What comes out is a spanning forest of all links,
-so components are exact while a group of n near copies never makes n² rows.
+put on inverted lists, one per shingle, and the lists are scanned. A set is on the lists of
+its prefix: in one order for all sets, its first shingles, as many as leave too few to be
+linked by. The order puts the corpus' rare shingles first (``commonness``), so that shared
+passages are seldom on a list; any order gives the same links. The boundary is the size at
+which enumerating a set costs more than putting it on lists and verifying it.
+
+A list of the whole corpus only ties its members, of sizes that can link, to the first (a
+slice of documents sends each list once, with its own members tied): no pairs are made. Sets
+that are tied, over any number of lists, are a group of candidates. Groups are dealt in
+blocks of bounded size, and within a block the lists are scanned for real: for each set,
+shared prefix shingles are counted over the lists of the sets before it, within the size
+bounds; candidates that are connected already are skipped, a lower bound of the symmetric
+difference (parity sketches) discards most others, the rest is intersected. Where a group has
+more than one block, each block is first scanned by itself, then one set of each class found
+in a block with those of other blocks; only sets outside the group's largest class are then
+scanned against all blocks, since links within that class are known. What comes out is a
+spanning forest of all links, so components are exact while a group of n near copies is read
+a few times and never makes n² rows.
 
 Shingles and sets are compared by 64-bit hashes.
 
 Defined results: a null or empty text, or one of white space, has the empty set and is
 linked with nothing (also not with its like); fewer words than a shingle are one shingle;
 a null doc_id takes no part and comes back with a null component; rows with the same
-doc_id are one document; an empty table gives an empty table; further columns are not read.
+doc_id are one document: their sets are linked, whatever they hold; sets of equal size need
+no order; a very long text is a slice, and a block, of its own, of which a task holds the
+shingles (8 bytes each, a few times over); an empty table gives an empty table; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
-from math import comb, exp, factorial, log
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import mix, slices, words
+from textloom.llm._text import bounded_parts, cuts_of, mix, slices, words
 from textloom.operators.components import connected_components
 from textloom.session import materialise, table
 
@@ -49,8 +55,6 @@ SHINGLE, SIMILAR = 3, (90, 100)
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
 #: Shingles whose keys meet in one bucket.
 BUCKET_ELEMENTS = 1_500_000
-#: Elements of a part below which lists are kept per element.
-LEAST_PART = 4
 #: Cells (a power of two) of the table of common shingles, one byte each: what is broadcast, at every size of the input.
 CELL_BITS = 23
 #: Shingles counted in one bucket.
@@ -59,6 +63,8 @@ COUNT_ELEMENTS = 2_000_000
 SLICE_BYTES = 2 << 20
 #: Candidates' ids are broadcast up to this size when their texts are fetched, joined by shuffle beyond it.
 BROADCAST_BYTES = 32 << 20
+#: Parts that the copies of one set are dealt over when they learn their class.
+SALTS = 16
 
 U = np.uint64
 ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
@@ -81,12 +87,6 @@ def enumeration_cost(s: int, similar=SIMILAR) -> int:
     return sum(comb(s, shared(s, r, similar)) for r in partners(s, similar))
 
 
-def per_element(similar=SIMILAR) -> bool:
-    """Whether parts of the smallest sets of a band would have fewer than ``LEAST_PART`` elements."""
-    a, b = similar
-    return a * a < LEAST_PART * b * (b - a)
-
-
 def prefix(s: int, similar=SIMILAR) -> int:
     """Elements of a set of size s of which linked sets share one at least, when taken in the same order."""
     a, b = similar
@@ -95,9 +95,7 @@ def prefix(s: int, similar=SIMILAR) -> int:
 
 def list_cost(s: int, similar=SIMILAR) -> int:
     """List entries of a heavy set of size s, and its elements for a verification."""
-    a, b = similar
-    entries = prefix(s, similar) if per_element(similar) else 2 * ((b - a) * (s + b * s // a) // (a + b) + 1)
-    return entries + s
+    return prefix(s, similar) + s
 
 
 @lru_cache(maxsize=8)
@@ -109,48 +107,6 @@ def boundary(similar=SIMILAR) -> int:
     return s
 
 
-class Bands:
-    """Size bands of heavy sets: a set's larger partners are in its own band or the next one."""
-
-    def __init__(self, similar, largest: int):
-        a, b = similar
-        edges = [max(1, -(-a * boundary(similar) // b))]
-        while edges[-1] <= largest:
-            edges.append(b * edges[-1] // a + 1)
-        self.edges = np.array(edges, np.int64)
-        low, high = self.edges[:-1], self.edges[1:] - 1
-        differ = (b - a) * (high + b * high // a) // (a + b)
-        plan = [self.division(int(s), int(d)) for s, d in zip(low, differ, strict=True)]
-        self.parts, self.informative = (np.array([x[i] for x in plan], np.int64) for i in (0, 1))
-        self.spare = self.parts - differ - 1
-
-    @staticmethod
-    @lru_cache(maxsize=4096)
-    def division(size: int, differ: int) -> tuple[int, int]:
-        """Parts, and elements from which a part says enough by itself.
-
-        Of D + 1 + e parts, e + 1 are equal in both sets. A set of this size has about e
-        parts of too few elements, so with one equal part more than those, one that says
-        enough is equal. The number of parts is raised until that holds (three standard
-        deviations); sets with more such parts than e, or too small for any, key these
-        parts by pairs.
-        """
-        for enough in (3, 2, 1):
-            k = differ + 1
-            while k < 1.5 * (differ + 1):
-                m = size / k
-                share = exp(-m) * sum(m**i / factorial(i) for i in range(enough))
-                need = differ + 1 + int(k * share + 3 * (k * share) ** 0.5) + 1
-                if need <= k:
-                    return k, enough
-                k = need
-        return differ + 1, 1
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        """Band numbers; -1: below all bands."""
-        return np.searchsorted(self.edges, sizes, "right") - 1
-
-
 def fixed(*factors: tuple[int, int]) -> np.uint64:
     """A sum of products modulo 2**64."""
     return U(sum(int(a) * int(b) for a, b in factors) & (1 << 64) - 1)
@@ -196,41 +152,6 @@ def light_keys(elements: np.ndarray, similar=SIMILAR) -> tuple[list[int], list[i
     return np.concatenate(keys), np.concatenate(roles)
 
 
-def part_keys(sets: list[np.ndarray], bands: np.ndarray, plan: Bands, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts of heavy sets taken in the given bands, and the set that each is of.
-
-    Parts that say enough are keys. A set with more others than its band can spare keys
-    these together with each part of a second, independent division.
-    """
-    sizes = np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    count = plan.parts[bands]
-    offsets = np.concatenate([[0], np.cumsum(count)])
-    k, band = count[owner].astype(np.uint64), bands[owner].astype(np.uint64)
-
-    def divide(salt):
-        part = (mix(flat + (band + U(salt)) * ODD[2]) >> U(32)) * k >> U(32)
-        slot = offsets[owner] + part.astype(np.int64)
-        content = np.zeros(offsets[-1], np.uint64)
-        np.add.at(content, slot, mix(flat + U(salt)))
-        of = np.repeat(np.arange(len(sets)), count)
-        place = (np.arange(offsets[-1]) - offsets[of]).astype(np.uint64)
-        return of, np.bincount(slot, minlength=offsets[-1]), mix(content * ODD[0] + bands[of].astype(np.uint64) * ODD[1] + place * ODD[2] + U(salt))
-
-    of, filled, keys = divide(seed)
-    few = filled < plan.informative[bands][of]
-    sparse = few & (np.bincount(of, few, len(sets)) > plan.spare[bands])[of]
-    if not sparse.any():
-        return keys[~few], of[~few]
-    _, _, second = divide(seed + 77)
-    extra, extra_of = [], []
-    for slot in np.nonzero(sparse)[0]:
-        i = of[slot]
-        extra.append(mix(keys[slot : slot + 1] * ODD[1] + second[offsets[i] : offsets[i + 1]]))
-        extra_of.append(np.full(count[i], i))
-    return np.concatenate([keys[~few], *extra]), np.concatenate([of[~few], *extra_of])
-
-
 def prefix_keys(elements: np.ndarray, common: np.ndarray | None, similar=SIMILAR) -> tuple[np.ndarray, int]:
     """Keys of a heavy set's prefix, rare elements first, and its role: 3 and the size class; linked sets are of the same or of neighbouring classes."""
     a, b = similar
@@ -240,61 +161,78 @@ def prefix_keys(elements: np.ndarray, common: np.ndarray | None, similar=SIMILAR
 
 
 def set_keys(sets: list[np.ndarray], similar=SIMILAR, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of many sets: keys, roles (3 and more: a heavy set's, to be verified) and the set of each."""
+    """Of many sets: keys, roles (3 and more: a list's, to be verified) and the set of each."""
     edge, keys, roles, of = boundary(similar), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    least = max(1, -(-similar[0] * edge // similar[1]))  # light partners of heavy sets are on the lists, too
     for i, x in enumerate(sets):
         if 0 < len(x) < edge:
             k, r = light_keys(x, similar)
             keys.append(k), roles.append(r), of.append(np.full(len(k), i))
-    if per_element(similar):
-        least = -(-similar[0] * edge // similar[1])  # light partners of heavy sets are on the lists, too
-        for i, x in enumerate(sets):
-            if len(x) >= max(1, least):
-                k, r = prefix_keys(x, common, similar)
-                keys.append(k), roles.append(np.full(len(k), r, np.uint8)), of.append(np.full(len(k), i))
-        return np.concatenate(keys), np.concatenate(roles), np.concatenate(of)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    bands = Bands(similar, int(sizes.max(initial=0)) + 1)
-    own = bands.of(sizes)
-    for down in (0, 1):  # as the smaller of two, and as the larger of a set in the band below
-        heavy = np.nonzero(own - down >= 0)[0]
-        if len(heavy):
-            k, o = part_keys([sets[i] for i in heavy], own[heavy] - down, bands)
-            keys.append(k), roles.append(np.full(len(k), 3, np.uint8)), of.append(heavy[o])
+        if len(x) >= least:
+            k, r = prefix_keys(x, common, similar)
+            keys.append(k), roles.append(np.full(len(k), r, np.uint8)), of.append(np.full(len(k), i))
     return np.concatenate(keys), np.concatenate(roles), np.concatenate(of)
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray | None = None, similar=SIMILAR) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets. ``side``: only links between a 0 and a 1 are looked for."""
+def sketches(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """The parity of how many elements fall into each of ``width`` cells, as bits."""
+    out = np.zeros((len(sets), width // 64), np.uint64)
+    for row, x in enumerate(sets):
+        odd = np.bincount((mix(x + ODD[1]) >> U(40)).astype(np.int64) % width, minlength=width) & 1
+        out[row] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
+
+
+def forest(sets: list[np.ndarray], side: np.ndarray | None = None, similar=SIMILAR, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets, by a scan of the inverted lists of their prefixes. ``side``: only links between a 0 and a 1 are looked for. ``known``: classes that are connected already."""
     order = np.argsort([len(x) for x in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    sets = [sets[i] for i in order]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if not sizes.sum():
+        return []
     a, b = similar
     differ = max(1, (b - a) * 2 * int(sizes.max(initial=1)) // (a + b) + 1)
     width = 256
     while width < min(4 * differ, 8192):
         width *= 2
-    sketch = np.zeros((len(order), width // 64), np.uint64)
-    for row, i in enumerate(order):
-        odd = np.bincount((mix(sets[i] + ODD[1]) >> U(40)).astype(np.int64) % width, minlength=width) & 1
-        sketch[row] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-    root, found = np.arange(len(order)), []
+    sketch = sketches(sets, width)
+    # lists of prefixes, the block's rare elements first: entries by element, then by set
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by = np.lexsort((code, times[code], owner))
+    place = np.arange(len(by)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
+    on = (place < np.array([prefix(int(n), similar) if n else 0 for n in sizes])[owner]) & (times[code[by]] > 1)
+    entry, holder = code[by][on], owner[on]
+    by = np.argsort(entry, kind="stable")
+    held = holder[by]
+    at = np.empty(len(by), np.int64)
+    at[by] = np.arange(len(by))  # where on its list each entry of a set stands
+    start = np.searchsorted(entry[by], entry)
+    bounds = np.searchsorted(holder, np.arange(len(sets) + 1))
+    root, found = np.arange(len(sets)) if known is None else np.unique(known[order], return_inverse=True)[1], []
     sides = None if side is None else side[order]
-    for i in range(1, len(order)):
+    for i in range(1, len(sets)):
         low = int(np.searchsorted(sizes, -(-a * sizes[i] // b)))
-        if low >= i:
+        lists = [held[x:y] for x, y in zip(start[bounds[i] : bounds[i + 1]].tolist(), at[bounds[i] : bounds[i + 1]].tolist(), strict=True) if x < y]
+        if not lists or low >= i:
             continue
-        apart = np.bitwise_count(sketch[low:i] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-        both = sizes[low:i] + sizes[i]
-        maybe = apart <= both - 2 * -(-a * both // (a + b))
+        met = np.bincount(np.concatenate(lists), minlength=i)[low:i]
+        maybe = np.nonzero(met)[0] + low
+        maybe = maybe[root[maybe] != root[i]]
         if sides is not None:
-            maybe &= sides[low:i] != sides[i]
-        for j in np.nonzero(maybe)[0] + low:
-            if root[j] == root[i] or sizes[j] == 0:
+            maybe = maybe[sides[maybe] != sides[i]]
+        if not len(maybe):
+            continue
+        both = sizes[maybe] + sizes[i]
+        apart = np.bitwise_count(sketch[maybe] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        maybe = maybe[apart <= both - 2 * -(-a * both // (a + b))]
+        for j in maybe[np.argsort(-met[maybe - low], kind="stable")]:  # those that share most of the prefix first
+            if root[j] == root[i]:
                 continue
-            x, y = sets[order[j]], sets[order[i]]
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            inter = int(np.count_nonzero(y[at] == x))
+            x, y = sets[j], sets[i]
+            spot = np.searchsorted(y, x)
+            spot[spot == len(y)] = 0
+            inter = int(np.count_nonzero(y[spot] == x))
             if b * inter >= a * (len(x) + len(y) - inter):
                 found.append((int(order[j]), int(order[i])))
                 root[root == root[i]] = root[j]
@@ -302,27 +240,29 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None, similar=SIMIL
 
 
 def verified(candidates: DataFrame, similar=SIMILAR, shingle: int = SHINGLE) -> DataFrame:
-    """Links (a, b) of a spanning forest. ``candidates``: grp, side_a, side_b (blocks), block, node, text; rows of a group come together."""
+    """Links (a, b) of a spanning forest. ``candidates``: grp, side_a, side_b (two sides to be compared, or one block), block (the row's side), node, known (its class so far), text; rows of a group come together."""
 
     def check(batches):
         held: list = []
         key = None
 
         def done():
-            sets, nodes, side = [x[1] for x in held], [x[0] for x in held], np.array([x[2] for x in held])
-            cross = side if key[1] != key[2] else None
-            pairs = [(nodes[i], nodes[j]) for i, j in forest(sets, None if cross is None else (cross != key[1]).astype(int), similar) if nodes[i] != nodes[j]]
+            sets, nodes, side, known = [x[1] for x in held], [x[0] for x in held], np.array([x[2] for x in held]), np.array([x[3] for x in held])
+            cross = (side != key[1]).astype(int) if key[1] != key[2] else None
+            pairs = [(nodes[i], nodes[j]) for i, j in forest(sets, cross, similar, known) if nodes[i] != nodes[j]]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
         for piece, texts in slices(batches):
             sets = shingle_sets(texts, shingle)
-            columns = [piece.column(c).to_pylist() for c in ("grp", "side_a", "side_b", "block", "node")]
-            for *now, block, node, own in zip(*columns, sets, strict=True):
+            columns = [piece.column(c).to_pylist() for c in ("grp", "side_a", "side_b", "block", "node", "known")]
+            for *now, block, node, known, own, made in zip(*columns, sets, node_ids(sets).tolist(), strict=True):
+                if made != node:  # another text of the same doc_id
+                    continue
                 if held and now != key:
                     yield done()
                     held = []
                 key = now
-                held.append((node, own, block))
+                held.append((node, own, block, known))
         if held:
             yield done()
 
@@ -364,8 +304,7 @@ def commonness(docs: DataFrame, total: int, shingle: int = SHINGLE) -> np.ndarra
             h = np.sort(np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in once)]))
             bucket = (h >> U(64 - bits)).astype(np.int64)
             rest = (h << U(bits) >> U(32)).astype(np.uint32)
-            cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            rows = [(k, rest[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+            rows = [(k, rest[x:y].tobytes()) for k, x, y in cuts_of(bucket)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "rest"])
 
@@ -393,7 +332,7 @@ def commonness(docs: DataFrame, total: int, shingle: int = SHINGLE) -> np.ndarra
             yield done()
 
     sent = docs.select("text").mapInArrow(send, "bucket int, rest binary")
-    counted = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, cells binary")
+    counted = sent.repartition(bounded_parts(1 << bits), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, cells binary")
     out = np.zeros((1 << bits, 1 << CELL_BITS - bits), np.uint8)
     for row in counted.collect():  # 2**CELL_BITS bytes in all
         out[row.bucket] = np.frombuffer(row.cells, np.uint8)
@@ -401,10 +340,10 @@ def commonness(docs: DataFrame, total: int, shingle: int = SHINGLE) -> np.ndarra
 
 
 def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHINGLE, common=None) -> DataFrame:
-    """node, first, open: nodes tied to the first node of a key (open: a heavy part's, to be verified).
+    """node, first, open: nodes tied to the first node of a key (open: a list's, to be verified).
 
     A slice sends each key once per bucket and size class in packed rows; nodes that meet within the slice are tied there.
-    ``common``: the broadcast table of ``commonness``, where lists are kept per element.
+    ``common``: the broadcast table of ``commonness``.
     """
     names, kinds = ["bucket", "keys", "nodes", "roles"], (pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
@@ -424,8 +363,7 @@ def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHI
             again = np.concatenate([[False], (key[1:] == key[:-1]) & (role[1:] >= 2) & (role[1:] == role[:-1])]) if len(key) else np.zeros(0, bool)
             key, node, role = key[~again], node[~again], role[~again]
             bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows += [(k, key[x:y].tobytes(), node[x:y].tobytes(), role[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+            rows += [(k, key[x:y].tobytes(), node[x:y].tobytes(), role[x:y].tobytes()) for k, x, y in cuts_of(bucket)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -452,10 +390,57 @@ def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHI
             yield done()
 
     sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, nodes binary, roles binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tie, "node long, first long, open boolean")
-
-
-def jaccard_classes(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    return sent.repartition(bounded_parts(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(tie, "node long, first long, open boolean")
+
+
+def class_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``known``: the class that links put each node in (itself, without any)."""
+    return nodes.join(connected_components(links).select("node", F.col("component").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
+
+
+def linked(docs: DataFrame, members: DataFrame, sure: DataFrame, similar, shingle: int, broadcast_bytes: int, sets: int = BLOCK_SETS, elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """Links (a, b) between candidates. ``members``: doc_id, node, n (size), grp. ``sure``: links that need no verification."""
+
+    def scanned(dealt: DataFrame) -> DataFrame:
+        dealt = materialise(dealt.select("doc_id", "node", "known", "grp", "block", "side_a", "side_b"), "dealt")
+        small = dealt.count() * 56 <= broadcast_bytes
+        texts = docs.join(F.broadcast(dealt) if small else dealt, "doc_id").select("grp", "side_a", "side_b", "block", "node", "known", "text")
+        return materialise(verified(texts.repartition("grp", "side_a", "side_b").sortWithinPartitions("grp", "side_a", "side_b"), similar, shingle), "links")
+
+    def blocks(rows: DataFrame, names: list[str]) -> DataFrame:
+        """Blocks that rows of one kind take; only where it is more than one."""
+        return rows.groupBy(*names).agg(F.ceil(F.greatest(F.count("*") / F.lit(sets), F.sum("n") / F.lit(elements))).cast("int").alias("blocks")).filter("blocks > 1")
+
+    def put(rows: DataFrame, names: list[str], salt: str) -> DataFrame:
+        """``rows`` with ``block``. The list of what takes more than one block is bounded by rows / a block's, and is broadcast if small."""
+        many = materialise(blocks(rows, names), "blocks")
+        many = F.broadcast(many) if many.count() * 32 <= broadcast_bytes else many
+        return rows.join(many, names, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("blocks")), F.lit(0)).cast("int"))
+
+    members = materialise(put(members, ["grp"], "own"), "members")
+    links = sure.unionByName(scanned(members.select("*", F.col("node").alias("known"), F.col("block").alias("side_a"), F.col("block").alias("side_b"))))
+    big = members.filter("blocks > 1").drop("blocks")
+    if not big.head(1):
+        return links
+    leaders = class_of(links, big)
+    first = leaders.groupBy("grp", "block", "known").agg(F.min("node").alias("node"))
+    leaders = leaders.join(first.select("node"), "node", "left_semi").drop("block")
+    leaders = put(leaders, ["grp"], "leaders").select("*", F.col("block").alias("side_a"), F.col("block").alias("side_b"))
+    links = links.unionByName(scanned(leaders))
+    big = materialise(class_of(links, big), "classes")
+    most = big.groupBy("grp", "known").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("known", F.struct("c", "known")).alias("largest"), F.count("*").alias("classes"))
+    most = most.filter("classes > 1").select("grp", "largest")
+    few = put(big.drop("block").join(most, "grp").filter("known <> largest").drop("largest"), ["grp"], "few").withColumn("few", F.coalesce("blocks", F.lit(1))).drop("blocks")
+    wide = big.groupBy("grp").agg(F.max("block").alias("last"))
+    asked = few.join(wide, "grp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    asked = asked.select("doc_id", "node", "known", "grp", F.col("block").alias("side_a"), (-1 - F.col("other")).alias("side_b"), F.col("block").alias("block"))
+    parts = few.groupBy("grp").agg(F.max("few").alias("few"))
+    all_of = big.join(parts, "grp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
+    all_of = all_of.select("doc_id", "node", "known", "grp", F.col("other").alias("side_a"), (-1 - F.col("block")).alias("side_b"), (-1 - F.col("block")).alias("block"))
+    return links.unionByName(scanned(asked.unionByName(all_of)))
+
+
+def jaccard_classes(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
 
     def describe(batches):
@@ -468,32 +453,23 @@ def jaccard_classes(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE, br
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BUCKET_ELEMENTS))
     named_docs = docs.filter("doc_id is not null")
-    common = docs.sparkSession.sparkContext.broadcast(commonness(named_docs, total, shingle)) if per_element(similar) else None
+    common = docs.sparkSession.sparkContext.broadcast(commonness(named_docs, total, shingle))
     edges = materialise(met_nodes(named_docs, buckets, similar, shingle, common).distinct(), "met")
-    if common:
-        common.destroy()  # the table of edges outlives it
-    maybe = connected_components(edges.filter("open").select("node", "first"))
-    reps = sets.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    members = maybe.join(reps, "node").select("doc_id", "node", "n", F.col("component").alias("grp"))
-    blocks = members.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_SETS), F.sum("n") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        members.join(blocks, "grp").withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "node", "grp", "block", F.least("block", "other").alias("side_a"), F.greatest("block", "other").alias("side_b"))
-    )
-    dealt = materialise(dealt, "dealt")
-    small = dealt.count() * 48 <= broadcast_bytes
-    texts = docs.join(F.broadcast(dealt) if small else dealt, "doc_id")
-    texts = texts.select("grp", "side_a", "side_b", "block", "node", "text").repartition("grp", "side_a", "side_b").sortWithinPartitions("grp", "side_a", "side_b")
-    links = edges.filter("not open").select(F.col("node").alias("a"), F.col("first").alias("b")).union(verified(texts, similar, shingle))
-    parts = connected_components(links)
+    common.destroy()  # the table of edges outlives it
+    full = sets.filter("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "node")
+    reps = materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "reps")
+    same = full.select("doc_id", "node").distinct().groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter("c > 1").select("doc_id", "b")
+    sure = edges.filter("not open").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    sure = sure.unionByName(full.select("doc_id", F.col("node").alias("a")).distinct().join(same, "doc_id").select("a", "b"))
+    groups = connected_components(edges.filter("open").select("node", "first")).select("node", F.col("component").alias("grp"))
+    links = linked(named_docs, groups.join(reps, "node").select("doc_id", "node", "n", "grp"), sure, similar, shingle, broadcast_bytes, block_sets)
+    parts = connected_components(links).select("node", "component")
     classes = parts.join(reps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id")).join(parts, "component").select("node", "component_id")
-    alone = reps.select("node", F.col("doc_id").alias("own_id"))
-    named = alone.join(classes, "node", "left").select("node", F.coalesce("component_id", "own_id").alias("component_id"))
-    linked = F.col("s.n_shingles") > 0
-    out = sets.select("doc_id", "n_shingles", "node").alias("s").join(named.alias("c"), (F.col("s.node") == F.col("c.node")) & linked & F.col("s.doc_id").isNotNull(), "left")
-    return out.select("s.doc_id", "s.n_shingles", F.when(linked, F.col("c.component_id")).otherwise(F.col("s.doc_id")).alias("component_id"))
+    # only sets with copies or links have to tell their documents; each does so once per salt, so copies of one set are dealt over as many tasks
+    named = reps.join(classes, "node", "left").filter("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(named, ["node", "salt"], "left")
+    return told.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE) -> DataFrame:
