@@ -8,16 +8,27 @@ that belong together. Each string of ``length`` bytes has an anchor: the least h
 ``GRAM``-byte grams, which depends on the string alone, so equal strings meet under their
 anchor. (1) Documents send the hashes of their anchors; those that stand in two documents
 come back to their documents. (2) Only around these, documents send the stretches of text
-whose strings have the anchor; copies of a stretch are merged before the shuffle. (3) The
-stretches of an anchor are sorted by suffix; previous and next smaller documents in suffix
-order, within a common prefix of ``length``, give the longest previous factor and with it
-the first document of each string. (4) Documents gather the ranges that have an earlier
-one. Exact copies of whole texts are set aside first; all but the first are removed whole.
+whose strings have the anchor; copies of a stretch are merged before the shuffle, and long
+stretches are cut, so that those of a text with a period are copies. (3) The suffixes of an
+anchor's stretches that begin such a string are put in suffix order, with the longest common
+prefix of neighbours (both as deep as a string is long, in whole machine words). From each
+suffix, the previous and the next one in that order that stand in a smaller document are
+found, and the least common prefix on the way: the larger of the two is the longest previous
+factor. Where it reaches ``length``, the string has stood before. (4) Documents gather these
+ranges. Exact copies of whole texts are set aside first; all but the first are removed whole.
+
+Anchors of more than ``HOT`` documents are common passages. Their stretches aren't brought
+together with all places where they stand: copies are merged by an aggregate that starts
+where they are, the distinct ones are judged as in (3), and the places learn the result from
+a join that deals them over ``SALTS`` tasks. What meets in one task under such an anchor is
+distinct stretches only (some 80 bytes each).
 
 Defined results: a null or empty text has nothing to remove; a null doc_id is smaller and
 larger than none, so its text stays whole; rows with one doc_id never remove each other's
-text; strings repeated within a document stay; an empty table gives an empty table;
-further columns are not read.
+text; strings repeated within a document stay; of equal texts the one of the smallest doc_id
+stays, with all rows of that id; a very long text is a step of its own, of which a task holds
+the hashes (some 40 bytes a byte); an empty table gives an empty table; further columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,15 +40,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import mix, slices
-from textloom.session import materialise, table
+from textloom.llm._text import bounded_parts, cuts_of, mix, slices
+from textloom.session import discard, materialise, table
 
 #: Bytes of a string that counts as repeated; bytes of the grams whose least hash is its anchor.
 LENGTH, GRAM = 50, 20
 #: Bytes of text whose anchors meet in one bucket of the first step.
 BUCKET_BYTES = 40 << 20
-#: Bytes of stretches that are sorted at a time.
-BLOCK_BYTES = 1 << 20
+#: Bytes of stretches that are sorted at a time (those of one anchor at least); strings of a stretch at most.
+BLOCK_BYTES, CUT = 1 << 20, 4096
+#: Bytes of text per task where stretches meet.
+PART_BYTES = 16 << 20
+#: Documents of an anchor above which it is hot; parts that the places of its stretches are dealt over.
+HOT, SALTS = 1000, 16
 #: The ids of exact copies are broadcast up to this size, joined by shuffle beyond it.
 BROADCAST_BYTES = 64 << 20
 
@@ -80,45 +95,64 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def previous_smaller(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The nearest place before each that has a smaller value and is not before ``first``; -1: none."""
-    p = np.arange(len(values)) - 1
-    p[p < first] = -1
-    active = np.nonzero(p >= 0)[0]
+def previous_smaller(values: np.ndarray, common: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest place before each that has a smaller value, and the least of ``common`` (each place's common prefix with the one before it) from there on. The search ends where that falls below ``length``; -1, 0: none."""
+    p, least = np.arange(len(values)) - 1, common.copy()
+    live = lambda at: at[(p[at] >= 0) & (least[at] >= length)]
+    active = live(np.arange(len(values)))
     active = active[values[p[active]] >= values[active]]
     while len(active):  # what lies between a place and its candidate is no smaller, so the candidate's own candidate is next
+        least[active] = np.minimum(least[active], least[p[active]])
         p[active] = p[p[active]]
-        active = active[p[active] >= 0]
+        active = live(active)
         active = active[values[p[active]] >= values[active]]
-    return p
-
-
-def first_documents(strings: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """For each string (a row of bytes), the smallest document that has it, by longest previous factors.
-
-    In suffix order, strings whose common prefix reaches the whole length are runs. Within
-    its run a suffix's previous factor is as long as the string if there is a smaller
-    document before or after it; following those leads to the first document.
+    none = (p < 0) | (least < length)
+    return np.where(none, -1, p), np.where(none, 0, least)
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at places ``at`` in order of their first bytes (``length``, up to whole words), and each one's common prefix with the one before it, as deep."""
+    words = -(-length // 8)
+    padded = np.concatenate([data, np.zeros(8 * words + 8, np.uint8)]).astype(np.uint64)
+    for width in (1, 2, 4):  # eight bytes from each place on, the first in the highest bits
+        padded = padded[:-width] << U(8 * width) | padded[width:]
+    order = np.lexsort([padded[at + 8 * w] for w in range(words - 1, -1, -1)])
+    common, open_ = np.zeros(len(at), np.int64), np.arange(1, len(at))
+    for w in range(words):
+        apart = padded[at[order[open_]] + 8 * w] ^ padded[at[order[open_ - 1]] + 8 * w]
+        differ = apart != 0
+        common[open_] += np.where(differ, sum((apart < U(1 << 8 * k)).astype(np.int64) for k in range(1, 8)), 8)
+        open_ = open_[~differ]
+    return order, common
+
+
+def previous_factors(texts: list[bytes], documents: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of ``length`` bytes in each text, in a row: its longest previous factor (0 below ``length``); and where each text's strings begin.
+
+    A factor is previous if it starts in a text of a smaller document.
     """
-    n, length = strings.shape
-    view = np.ascontiguousarray(strings).view(f"S{length}").ravel()
-    order = np.argsort(view, kind="stable")
-    ordered, docs = view[order], documents[order]
-    starts = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    first = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    ends = np.concatenate([np.nonzero(starts)[0][1:], [n]])[np.cumsum(starts) - 1]
-    before = previous_smaller(docs, first)
-    after = previous_smaller(docs[::-1], (n - ends)[::-1])[::-1]
-    after = np.where(after >= 0, n - 1 - after, -1)
-    parent = np.where(before >= 0, before, np.where(after >= 0, after, np.arange(n)))
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            break
-        parent = up
-    out = np.empty(n, documents.dtype)
-    out[order] = docs[parent]
-    return out
+    sizes = np.array([len(t) for t in texts])
+    strings = sizes - length + 1
+    marks = np.concatenate([[0], np.cumsum(strings)])
+    at = np.arange(marks[-1]) + np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1] - marks[:-1], strings)
+    order, common = suffix_order(np.frombuffer(b"".join(texts), np.uint8), at, length)
+    values = np.repeat(documents, strings)[order]
+    _, before = previous_smaller(values, common, length)
+    _, after = previous_smaller(values[::-1], np.concatenate([[0], common[:0:-1]]), length)
+    factors = np.empty(len(at), np.int64)
+    factors[order] = np.maximum(before, after[::-1])
+    return factors, marks
+
+
+def repeated(texts: list[bytes], documents: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end of each range that strings with a previous factor of ``length`` cover."""
+    factors, marks = previous_factors(texts, documents, length)
+    text = np.repeat(np.arange(len(texts)), np.diff(marks))
+    gone = np.concatenate([[False], factors >= length, [False]])
+    edge = np.concatenate([[True], text[1:] != text[:-1], [True]]) if len(text) else np.ones(1, bool)
+    begin = np.flatnonzero(gone[1:-1] & (edge[:-1] | ~gone[:-2]))
+    end = np.flatnonzero(gone[1:-1] & (edge[1:] | ~gone[2:]))
+    return text[begin], begin - marks[text[begin]], end - marks[text[begin]] + length
 
 
 def anchor_rows(docs: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -135,20 +169,17 @@ def anchor_rows(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             flat, owner, bucket = flat[by], owner[by], bucket[by]
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
             rows = ([], [], [], [])
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for k in range(buckets):
-                a, b = cuts[k], cuts[k + 1]
-                if a < b:
-                    own, count = np.unique(owner[a:b], return_counts=True)
-                    for column, value in zip(rows, (k, ids[own].astype(np.int64).tobytes(), count.astype(np.uint32).tobytes(), flat[a:b].tobytes()), strict=True):
-                        column.append(value)
+            for k, a, b in cuts_of(bucket):
+                own, count = np.unique(owner[a:b], return_counts=True)
+                for column, value in zip(rows, (k, ids[own].astype(np.int64).tobytes(), count.astype(np.uint32).tobytes(), flat[a:b].tobytes()), strict=True):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "ids", "counts", "anchors"])
 
     return docs.select("doc_id", "text").mapInArrow(send, "bucket int, ids binary, counts binary, anchors binary")
 
 
 def shared_anchors(sent: DataFrame) -> DataFrame:
-    """Step 1, answering: doc_id and those of its anchors that another document has too. Rows of a bucket come together."""
+    """Step 1, answering: doc_id and those of its anchors that another document has too, those of them that are hot again. Rows of a bucket come together."""
 
     def answer(batches):
         held, key = [], None
@@ -161,13 +192,15 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
             starts = np.nonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))[0]
             sizes = np.diff(np.concatenate([starts, [len(flat)]]))
             shared = np.repeat(np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts), sizes)
+            hot = np.repeat(sizes > HOT, sizes)[shared]
             flat, ids = flat[shared], ids[shared]
-            by = np.argsort(ids, kind="stable")
-            flat, ids = flat[by], ids[by]
+            by = np.lexsort((hot, ids))
+            flat, ids, hot = flat[by], ids[by], hot[by]
             cuts = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0] if len(ids) else np.zeros(0, np.int64)
             ends = np.concatenate([cuts, [len(ids)]]) * 8
             blob = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(ids[cuts]), blob], names=["doc_id", "shared"])
+            many = np.add.reduceat(hot, cuts, dtype=np.int64) if len(cuts) else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[cuts]), blob, pa.array(many)], names=["doc_id", "shared", "hot"])
 
         for batch in batches:
             for k, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "ids", "counts", "anchors")), strict=True):
@@ -179,11 +212,11 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    return sent.mapInArrow(answer, "doc_id long, shared binary")
+    return sent.mapInArrow(answer, "doc_id long, shared binary, hot long")
 
 
 def stretches(docs: DataFrame, length: int) -> DataFrame:
-    """Step 2: anchor, stretch, and where it stands. ``docs``: doc_id, h, text, shared (list of anchors in parts)."""
+    """Step 2: anchor, part (0; of a hot anchor, a number that spreads its rows), stretch, where it stands, and the least document there. ``docs``: doc_id, h, text, shared (list of (anchors, how many of them, at the end, are hot))."""
 
     def cut(batches):
         for piece, texts in slices(batches):
@@ -191,19 +224,26 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
             ids, hs, shared = piece.column("doc_id").to_pylist(), piece.column("h").to_pylist(), piece.column("shared").to_pylist()
             parts = []
             for i, blobs in enumerate(shared):
-                found, known = anchors(data[bounds[i] : bounds[i + 1]], length), np.unique(np.frombuffer(b"".join(blobs), np.uint64))
+                blobs = [(np.frombuffer(x["shared"], np.uint64), x["hot"]) for x in blobs]
+                found, known = anchors(data[bounds[i] : bounds[i + 1]], length), np.unique(np.concatenate([x for x, _ in blobs]))
                 if not len(found) or not len(known):
                     continue
+                common = np.isin(known, np.concatenate([x[len(x) - n :] for x, n in blobs]))
                 change = np.nonzero(np.concatenate([[True], found[1:] != found[:-1]]))[0]
                 value = found[change]
                 at = np.searchsorted(known, value)
                 at[at == len(known)] = 0
                 hit = known[at] == value
                 stop = np.concatenate([change[1:], [len(found)]])
-                parts.append((value[hit], change[hit], stop[hit], np.full(int(hit.sum()), i)))
+                parts.append((value[hit], change[hit], stop[hit], np.full(int(hit.sum()), i), common[at][hit]))
             if not parts:
                 continue
-            value, start, stop, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            value, start, stop, owner, common = (np.concatenate(x) for x in zip(*parts, strict=True))
+            pieces = -(-(stop - start) // CUT)
+            piece_of = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            value, start, stop, owner, common = (np.repeat(x, pieces) for x in (value, start, stop, owner, common))
+            start = start + piece_of * CUT
+            stop = np.minimum(stop, start + CUT)
             sizes = stop - start + length - 1
             ends = np.concatenate([[0], np.cumsum(sizes)])
             gather = np.arange(ends[-1]) + np.repeat(start + bounds[owner] - ends[:-1], sizes)
@@ -214,90 +254,152 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
             where["doc_id"], where["h"], where["start"] = np.array(ids, np.int64)[owner[by]], np.array(hs, np.int32)[owner[by]], start[by]
             cuts = np.searchsorted(code[by], np.arange(len(text.dictionary) + 1))
             spots = pa.Array.from_buffers(pa.binary(), len(text.dictionary), [None, pa.py_buffer((cuts * OCCURRENCE.itemsize).astype(np.int32).tobytes()), pa.py_buffer(where.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(value[by][cuts[:-1]].view(np.int64)), text.dictionary.cast(pa.binary()), spots], names=["anchor", "stretch", "spots"])
+            first, least = cuts[:-1], np.minimum.reduceat(where["doc_id"], cuts[:-1])
+            spread = np.where(common[by][first], 1 + (mix(where["h"][first].astype(np.uint64)) % U(SALTS)).astype(np.int32), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(value[by][first].view(np.int64)), pa.array(spread), text.dictionary.cast(pa.binary()), spots, pa.array(least)], names=["anchor", "part", "stretch", "spots", "least"])
+
+    return docs.select("doc_id", "h", "text", "shared").mapInArrow(cut, "anchor long, part int, stretch binary, spots binary, least long")
+
 
-    return docs.select("doc_id", "h", "text", "shared").mapInArrow(cut, "anchor long, stretch binary, spots binary")
+def placed(spots: np.ndarray, size: int, least: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc_id, h and ranges at all places of a stretch: in documents after the first that has it, all of it; in the first, the ranges that stood before."""
+    own = spots["doc_id"] == least
+    rest, first = spots[~own], spots[own]
+    return (
+        np.concatenate([rest["doc_id"], np.repeat(first["doc_id"], len(begin))]), np.concatenate([rest["h"], np.repeat(first["h"], len(begin))]),
+        np.concatenate([rest["start"].astype(np.int64), (first["start"].astype(np.int64)[:, None] + begin).ravel()]), np.concatenate([rest["start"].astype(np.int64) + size, (first["start"].astype(np.int64)[:, None] + end).ravel()]),
+    )
+
+
+def grouped(batches, key: str, names: list[str], block_bytes: int):
+    """Rows (as lists by column) of whole groups, which come together, in blocks of about ``block_bytes`` of their second column."""
+    held, size, now = [], 0, None
+    for batch in batches:
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in (key, *names)), strict=True):
+            if size >= block_bytes and k != now:
+                yield [list(c) for c in zip(*held, strict=True)]
+                held, size = [], 0
+            now = k
+            held.append((k, *row))
+            size += len(row[0])
+    if held:
+        yield [list(c) for c in zip(*held, strict=True)]
 
 
 def earlier_ranges(cut: DataFrame, length: int) -> DataFrame:
-    """Step 3: doc_id, h and byte ranges that an earlier document has too. Rows of an anchor come together."""
+    """Step 3: doc_id, h and byte ranges that an earlier document has too. Rows of an anchor come together; those of hot anchors go through as they are."""
+    names, kinds = ["doc_id", "h", "a", "b", "anchor", "stretch", "spots", "least"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
     def judge(batches):
-        held, size, key = [], 0, None
+        def cold():
+            for batch in batches:
+                hot = np.flatnonzero(batch.column("part").to_numpy() > 0)
+                if len(hot):
+                    waiting.append(batch.take(pa.array(hot)))
+                yield batch.filter(pa.array(batch.column("part").to_numpy() == 0))
+
+        waiting: list = []
+        for _, texts, spots, least in grouped(cold(), "anchor", ["stretch", "spots", "least"], BLOCK_BYTES):
+            spots = [np.frombuffer(x, OCCURRENCE) for x in spots]
+            text, begin, end = repeated(texts, np.array(least, np.int64), length)
+            bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+            rows = [placed(spots[i], len(texts[i]), least[i], begin[x:y], end[x:y]) for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if x < y or len(spots[i]) > 1]
+            columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds[:4], strict=True)), *(pa.nulls(len(columns[0]), t) for t in kinds[4:])], names=names)
+            while waiting:
+                yield passed(waiting.pop())
+        for batch in waiting:
+            yield passed(batch)
+
+    def passed(batch):
+        return pa.RecordBatch.from_arrays([*(pa.nulls(batch.num_rows, t) for t in kinds[:4]), *(batch.column(c) for c in names[4:])], names=names)
+
+    return cut.mapInArrow(judge, "doc_id long, h int, a long, b long, anchor long, stretch binary, spots binary, least long")
+
+
+def hot_ranges(waiting: DataFrame, length: int, parts: int) -> DataFrame:
+    """Step 3 for hot anchors: doc_id, h, a, b. ``waiting``: anchor, stretch, spots, least."""
 
-        def done():
-            texts, spots = [x[0] for x in held], [np.frombuffer(x[1], OCCURRENCE) for x in held]
-            sizes = np.array([len(t) for t in texts])
-            windows = sizes - length + 1
-            offsets = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            marks = np.concatenate([[0], np.cumsum(windows)])
-            at = np.arange(marks[-1]) + np.repeat(offsets - marks[:-1], windows)
-            strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(texts), np.uint8), length)[at]
-            least = np.array([s["doc_id"].min() for s in spots])
-            first = first_documents(strings, np.repeat(least, windows))
-            every, of = np.concatenate(spots), np.repeat(np.arange(len(spots)), [len(s) for s in spots])
-            lengths = windows[of]
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            spot = np.repeat(np.arange(len(every)), lengths)
-            within = np.arange(ends[-1]) - ends[:-1][spot]
-            gone = first[marks[:-1][of][spot] + within] < every["doc_id"][spot]
-            begin = gone & ~(np.concatenate([[False], gone[:-1]]) & (within > 0))
-            last = np.concatenate([within[1:] == 0, [True]])
-            end = gone & ~(np.concatenate([gone[1:], [False]]) & ~last)
-            spot = spot[begin]
-            base = every["start"][spot].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(every["doc_id"][spot]), pa.array(every["h"][spot]), pa.array(base + within[begin]), pa.array(base + within[end] + length)], names=["doc_id", "h", "a", "b"])
+    def judge(batches):
+        for anchors_, texts, least in grouped(batches, "anchor", ["stretch", "least"], BLOCK_BYTES):
+            text, begin, end = repeated(texts, np.array(least, np.int64), length)
+            bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(anchors_, pa.int64()), pa.array(texts, pa.binary()), pa.array(least, pa.int64()), lists(begin), lists(end)], names=["anchor", "stretch", "first", "begin", "end"])
 
+    def tell(batches):
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "stretch", "spots")), strict=True):
-                if size >= BLOCK_BYTES and k != key:
-                    yield done()
-                    held, size = [], 0
-                key = k
-                held.append(row)
-                size += len(row[0]) + len(row[1])
-        if held:
-            yield done()
+            rows = [placed(np.frombuffer(r["spots"], OCCURRENCE), len(r["stretch"]), r["first"], np.array(r["begin"], np.int64), np.array(r["end"], np.int64)) for r in batch.to_pylist()]
+            if rows:
+                doc_id, h, a, b = (np.concatenate(c) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(h, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "h", "a", "b"])
 
-    return cut.mapInArrow(judge, "doc_id long, h int, a long, b long")
+    distinct = waiting.groupBy("anchor", "stretch").agg(F.min("least").alias("least"))
+    judged = distinct.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(judge, "anchor long, stretch binary, first long, begin array<long>, end array<long>")
+    told = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return waiting.withColumn("salt", F.pmod(F.xxhash64("spots"), F.lit(SALTS)).cast("int")).join(told, ["anchor", "stretch", "salt"]).select("stretch", "spots", "first", "begin", "end").mapInArrow(tell, "doc_id long, h int, a long, b long")
 
 
 def without(docs: DataFrame) -> DataFrame:
-    """Step 4: n_removed, n_spans and the kept bytes. ``docs``: doc_id, h, text, a, b (ranges)."""
+    """Step 4: n_removed, spans (merged) and the kept bytes. ``docs``: doc_id, h, text, a, b (ranges)."""
 
     def remove(batches):
         for piece, texts in slices(batches):
             removed, spans, kept = [], [], []
             for text, a, b in zip(texts.cast(pa.large_binary()).to_pylist(), piece.column("a").to_pylist(), piece.column("b").to_pylist(), strict=True):
-                at, gone, count, parts = 0, 0, 0, []
-                for x, y in sorted(zip(a, b, strict=True)):
-                    if x > at or not count:
+                at, gone, merged, parts = 0, 0, [], []
+                for x, y in sorted(zip(a or [], b or [], strict=True)):
+                    if x > at or not merged:
                         parts.append(text[at:x])
-                        gone, count, at = gone + y - x, count + 1, y
+                        merged.append({"start": x, "end": y})
+                        gone, at = gone + y - x, y
                     elif y > at:
+                        merged[-1]["end"] = y
                         gone, at = gone + y - at, y
                 parts.append(text[at:])
-                removed.append(gone), spans.append(count), kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "h", "n_removed", "n_spans", "kept"])
+                removed.append(gone), spans.append(merged), kept.append(b"".join(parts))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "h", "n_removed", "spans", "kept"])
 
-    return docs.select("doc_id", "h", "text", "a", "b").mapInArrow(remove, "doc_id long, h int, n_removed long, n_spans long, kept binary")
+    return docs.select("doc_id", "h", "text", "a", "b").mapInArrow(remove, "doc_id long, h int, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def repeats(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """own (doc_id, text, h), facts (doc_id, h, n_bytes, sha, copy: of an earlier whole text) and ranges (doc_id, h, a, b: arrays) of the documents."""
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.expr("cast(xxhash64(text) & 2147483647 as int)"))
-    facts = materialise(own.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "facts")
-    first = facts.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    facts = materialise(facts.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first"), "facts")
+    plain = materialise(own.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "facts")
+    first = plain.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha", "first")
+    first = materialise(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "firsts")  # copies of one text are dealt over as many tasks
+    salted = plain.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    facts = materialise(salted.join(first, ["sha", "salt"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first", "salt"), "facts")
+    discard(plain), discard(first)
     copies = facts.filter("copy").select("doc_id", "h").distinct()
     sums = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count_if("copy")).first()
     texts = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).join(F.broadcast(copies) if sums[1] * 32 <= broadcast_bytes else copies, ["doc_id", "h"], "left_anti")
-    buckets = max(8, -(-sums[0] // BUCKET_BYTES))
-    sent = anchor_rows(texts, buckets, length).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    replies = shared_anchors(sent).groupBy("doc_id").agg(F.collect_list("shared").alias("shared"))
-    cut = stretches(texts.join(replies, "doc_id"), length).repartition("anchor").sortWithinPartitions("anchor")
-    ranges = materialise(earlier_ranges(cut, length).groupBy("doc_id", "h").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "ranges")
-    touched = without(texts.join(ranges, ["doc_id", "h"])).select("doc_id", "h", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    buckets, parts = (max(8, -(-sums[0] // size)) for size in (BUCKET_BYTES, PART_BYTES))
+    sent = anchor_rows(texts, buckets, length).repartition(bounded_parts(buckets), "bucket").sortWithinPartitions("bucket")
+    replies = shared_anchors(sent).groupBy("doc_id").agg(F.collect_list(F.struct("shared", "hot")).alias("shared"))
+    cut = stretches(texts.join(replies, "doc_id"), length).repartition(bounded_parts(parts), "anchor", "part").sortWithinPartitions("anchor")
+    found = materialise(earlier_ranges(cut, length), "found")
+    every = found.filter("stretch is null").select("doc_id", "h", "a", "b")
+    waiting = found.filter("stretch is not null").select("anchor", "stretch", "spots", "least")
+    if waiting.head(1):
+        every = every.unionByName(hot_ranges(waiting, length, bounded_parts(parts)))
+    return texts, facts, materialise(every.groupBy("doc_id", "h").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "ranges")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, spans (start and end of each maximal removed run, in bytes), kept (the remaining bytes)."""
+    _, facts, ranges = repeats(docs, length, broadcast_bytes)
+    whole = facts.filter(F.col("copy") & (F.col("n_bytes") >= length)).select("doc_id", "h", F.array(F.lit(0).cast("long")).alias("a"), F.array("n_bytes").alias("b")).dropDuplicates(["doc_id", "h"])
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.expr("cast(xxhash64(text) & 2147483647 as int)"))
+    joined = own.join(ranges.join(whole.select("doc_id", "h"), ["doc_id", "h"], "left_anti").unionByName(whole), ["doc_id", "h"], "left")
+    return without(joined).select("doc_id", (F.col("n_removed") + F.length("kept")).alias("n_bytes"), "n_removed", "spans", "kept")
+
+
+def digests(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``remove_repeats`` as doc_id, n_bytes, n_removed, n_spans, kept_sha256; texts that lose nothing, or all, aren't moved for it."""
+    texts, facts, ranges = repeats(docs, length, broadcast_bytes)
+    touched = without(texts.join(ranges, ["doc_id", "h"])).select("doc_id", "h", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     touched = materialise(touched, "touched").dropDuplicates(["doc_id", "h"])
     whole = F.col("copy") & (F.col("n_bytes") >= length)
     out = facts.join(touched, ["doc_id", "h"], "left")
@@ -309,4 +411,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int =
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents"))
