@@ -6,16 +6,19 @@ inner product with their centres, the best is opened, and leaves are visited in
 in which they come out. The number of visits is widened until the recall of calibration
 queries, measured against brute force over all rows, reaches ``TARGET``.
 
-Visits and vectors meet by leaf. A leaf's vectors are dealt in parts of bounded size, by
-hash, so one leaf with a third of all vectors is many tasks; its visits go to every part.
-Scores of the nearest of each part are computed again, one product at a time, in double
-precision on the original vectors, and the parts' best are merged by window.
+Queries and vectors meet by part. Neighbouring leaves share a part of bounded size, and a
+query goes there once, with the list of the leaves that it visits; a leaf above that size is
+dealt over parts by hash, so one leaf with a third of all vectors is many tasks. Parts grow
+with the table up to ``PARTS[1]`` vectors, so that copies of queries grow slower than rows.
+Within a part a leaf's vectors are compared with its visitors only. Scores of the nearest are
+computed again, one product at a time, in double precision on the original vectors, and the
+parts' best are merged by window. The recall that calibration measured comes with each row.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
 rows with a null id, take no part, nor do those whose length isn't the most frequent one
 (ties: the shortest). Ties of score go to the smaller id. Rows with one id are candidates
 each on their own, but never for that id. With fewer candidates than asked for, all come.
-An empty table gives an empty table; further columns are not read.
+An empty table gives an empty table; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,16 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.llm._text import bounded_parts, mix
 from textloom.session import materialise, table
 
 #: Expected rows of the sample that the tree is fitted on; children of a node at most.
 SAMPLE, BRANCH = 40_000, 16
 #: Calibration queries (expected), and the recall they must reach.
 CALIBRATION, TARGET = 150, 0.95
-#: Vectors of a leaf that one part holds.
-PART = 4096
-#: Results that a task gathers before it keeps each query's best of them.
-GATHER = 200_000
+#: Vectors of a part: at least and at most, and the number of parts that lies between.
+PARTS = (4096, 65_536, 256)
+#: Queries that a task compares at a time.
+BLOCK = 512
 NEIGHBOURS = 20
 
 
@@ -176,10 +180,41 @@ def calibrate(rows: DataFrame, tree: Tree, ids: np.ndarray, queries: np.ndarray,
     return visits, float(np.searchsorted(needed, visits, "right") / len(needed))
 
 
-def nearest(rows: DataFrame, every: int, most: int = NEIGHBOURS, sample: int = SAMPLE, calibration: int = CALIBRATION, target: float = TARGET, part: int = PART) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``, against all rows."""
-    spark = rows.sparkSession
-    rows = usable(rows)
+class Plan:
+    """Which parts hold the vectors of each leaf, and how many leaves a query visits."""
+
+    def __init__(self, tree: Tree, sizes: np.ndarray, part: int, visits: int, most: int):
+        self.tree, self.sizes, self.visits, self.most = tree, sizes, visits, most
+        self.count = np.maximum(1, -(-sizes // part))
+        self.first = np.zeros(len(sizes), np.int64)
+        number, room = -1, 0
+        for leaf in range(len(sizes)):  # leaves are numbered in order of the tree, so neighbours are near each other
+            if self.count[leaf] > 1:
+                self.first[leaf], number, room = number + 1, number + int(self.count[leaf]), 0
+            else:
+                if sizes[leaf] > room:
+                    number, room = number + 1, part
+                self.first[leaf], room = number, room - int(sizes[leaf])
+
+    def parts_of(self, leaves: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The part of each vector of the given leaves; ``rows``: hashes."""
+        return self.first[leaves] + (rows % self.count[leaves].astype(np.uint64)).astype(np.int64)
+
+    def asked(self, q: np.ndarray) -> dict[int, list[int]]:
+        """The leaves that a query visits, by part."""
+        seen, found = 0, {}
+        for k, leaf in enumerate(self.tree.visits(q)):
+            if k >= self.visits and seen > self.most:
+                break
+            seen += self.sizes[leaf]
+            if self.sizes[leaf]:
+                for p in range(int(self.first[leaf]), int(self.first[leaf] + self.count[leaf])):
+                    found.setdefault(p, []).append(leaf)
+        return found
+
+
+def prepare(rows: DataFrame, every: int, most: int, sample: int, calibration: int, target: float) -> tuple[Tree, int, float, int]:
+    """Of usable rows: a tree fitted on a sample, the visits that a query makes, the recall measured with them, and the number of rows."""
     is_query = F.pmod(F.col("vec_id"), F.lit(every)) == 0
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
     draw = lambda salt, share: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, share)))
@@ -187,9 +222,16 @@ def nearest(rows: DataFrame, every: int, most: int = NEIGHBOURS, sample: int = S
     vectors = np.array(got["embedding"].tolist(), float) if len(got) else np.zeros((0, 1))
     tree = Tree(vectors, leaf=max(4.0, len(vectors) / max(1.0, n**0.5)))  # as many leaves as a leaf has rows
     asked = rows.filter(is_query & draw("calibrate", calibration / max(1, n_queries))).dropDuplicates(["vec_id"]).orderBy("vec_id").toPandas()
-    visits = tree.leaves
-    if len(asked):
-        visits, _ = calibrate(rows, tree, asked["vec_id"].to_numpy(np.int64), np.array(asked["embedding"].tolist(), float), most, target)
+    if not len(asked):
+        return tree, tree.leaves, 1.0, n
+    return tree, *calibrate(rows, tree, asked["vec_id"].to_numpy(np.int64), np.array(asked["embedding"].tolist(), float), most, target), n
+
+
+def nearest(rows: DataFrame, every: int, most: int = NEIGHBOURS, sample: int = SAMPLE, calibration: int = CALIBRATION, target: float = TARGET, part: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, recall for the rows whose vec_id is divisible by ``every``, against all rows."""
+    spark = rows.sparkSession
+    rows = usable(rows)
+    tree, visits, recall, n = prepare(rows, every, most, sample, calibration, target)
     given, shape = spark.sparkContext.broadcast(tree), rows.schema["embedding"].dataType.simpleString()
 
     def put(batches):
@@ -201,67 +243,76 @@ def nearest(rows: DataFrame, every: int, most: int = NEIGHBOURS, sample: int = S
     sizes = np.zeros(max(1, tree.leaves), np.int64)
     for r in leaves.groupBy("leaf").count().collect():  # bounded by the sample, as the leaves are
         sizes[r["leaf"]] = r["count"]
-    parts = np.maximum(1, -(-sizes // part))
-    plan = spark.sparkContext.broadcast((sizes, parts, visits))
+    plan = spark.sparkContext.broadcast(Plan(tree, sizes, part or int(np.clip(n // PARTS[2], *PARTS[:2])), visits, most))
+    names = ["part", "kind", "leaf", "visited", "vec_id", "embedding"]
+
+    def deal(batches):
+        plan = plan_of.value
+        for batch in batches:
+            leaf, ids = batch.column("leaf").to_numpy(), batch.column("vec_id").to_numpy()
+            parts = plan.parts_of(leaf, mix(ids.astype(np.uint64) + np.arange(len(ids), dtype=np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.zeros(len(ids), np.int8)), batch.column("leaf"), pa.nulls(len(ids), pa.binary()), batch.column("vec_id"), batch.column("embedding")], names=names)
 
     def visit(batches):
-        tree, (sizes, parts, visits) = given.value, plan.value
+        plan = plan_of.value
         for batch in batches:
-            x = matrix(batch.column("embedding"))
-            row, leaf, piece = [], [], []
-            for i, q in enumerate(x):
-                seen = 0
-                for k, node in enumerate(tree.visits(q)):
-                    if k >= visits and seen > most:
-                        break
-                    seen += sizes[node]
-                    for p in range(parts[node] if sizes[node] else 0):
-                        row.append(i), leaf.append(node), piece.append(p)
+            row, part, visited = [], [], []
+            for i, q in enumerate(matrix(batch.column("embedding"))):
+                for p, own in plan.asked(q).items():
+                    row.append(i), part.append(p), visited.append(np.array(own, np.int32).tobytes())
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(piece, pa.int32()), pa.array(np.ones(len(row), np.int8)), batch.column("vec_id").take(at), batch.column("embedding").take(at)], names=["leaf", "part", "kind", "vec_id", "embedding"])
-
-    kind = f"leaf long, part int, kind tinyint, vec_id long, embedding {shape}"
-    asking = rows.filter(is_query).mapInArrow(visit, kind)
-    limit = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), (F.col("leaf") + 1).cast("int")) if parts.max() > 1 else F.lit(1)
-    stored = leaves.select("leaf", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), limit).cast("int").alias("part"), F.lit(0).cast("tinyint").alias("kind"), "vec_id", "embedding")
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.ones(len(row), np.int8)), pa.nulls(len(row), pa.int64()), pa.array(visited, pa.binary()), batch.column("vec_id").take(at), batch.column("embedding").take(at)], names=names)
+
+    plan_of, kind = plan, f"part long, kind tinyint, leaf long, visited binary, vec_id long, embedding {shape}"
+    asking = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).mapInArrow(visit, kind)
+    stored = leaves.mapInArrow(deal, kind)
+
+    def compared(held, ids, x, visited):
+        """The best that a block of queries finds in a part: each leaf with its visitors."""
+        leaf, own, vectors = held
+        lists = [np.frombuffer(v, np.int32) for v in visited]
+        who, where = np.repeat(np.arange(len(ids)), [len(v) for v in lists]), np.concatenate(lists)
+        by = np.argsort(where, kind="stable")
+        who, where = who[by], where[by]
+        found = [(ids[:0], own[:0], np.zeros(0))]
+        for k in np.unique(where):
+            a, b = np.searchsorted(leaf, k), np.searchsorted(leaf, k, "right")
+            if a == b:
+                continue
+            asks = who[np.searchsorted(where, k) : np.searchsorted(where, k, "right")]
+            q, v, s = best(x[asks], ids[asks], vectors[a:b], own[a:b], most)
+            found.append((ids[asks][q], own[a:b][v], s))
+        return best_of(found, most)
 
     def search(batches):
-        key, held, own, found, size = None, [], None, [], 0
-        batch_of = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["query_id", "vec_id", "score"])
+        key, held, ready = None, [], None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("leaf", "part", "kind")], axis=1)
-            cuts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(keys)]])
+            parts, kinds = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.concatenate([[0], np.nonzero((parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1]))[0] + 1, [len(parts)]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
                 ids, x = batch.column("vec_id").slice(a, b - a).to_numpy(), matrix(batch.column("embedding").slice(a, b - a))
-                if tuple(keys[a, :2]) != key:
-                    key, held, own = tuple(keys[a, :2]), [], None
-                if keys[a, 2] == 0:
-                    held.append((ids, x))
+                if parts[a] != key:
+                    key, held, ready = parts[a], [], None
+                if kinds[a] == 0:
+                    held.append((batch.column("leaf").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64), ids, x))
                     continue
-                if own is None:
+                if ready is None:
                     if not held:
                         continue
-                    own, vectors = (np.concatenate(c) for c in zip(*held, strict=True))
-                    by = np.argsort(own, kind="stable")
-                    own, vectors = own[by], vectors[by]
-                for i in range(0, len(ids), 512):
-                    q, v, s = best(x[i : i + 512], ids[i : i + 512], vectors, own, most)
-                    found.append((ids[i : i + 512][q], own[v], s))
-                    size += len(q)
-                if size >= GATHER:
-                    found = [best_of(found, most)]
-                    size = len(found[0][0])
-                    if size >= GATHER // 2:
-                        yield batch_of(found[0])
-                        found, size = [], 0
-        if found:
-            yield batch_of(best_of(found, most))
-
-    met = stored.union(asking).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
+                    leaf, own, vectors = (np.concatenate(c) for c in zip(*held, strict=True))
+                    by = np.lexsort((own, leaf))
+                    ready, held = (leaf[by], own[by], vectors[by]), []
+                visited = batch.column("visited").slice(a, b - a).to_pylist()
+                for i in range(0, len(ids), BLOCK):
+                    got = compared(ready, ids[i : i + BLOCK], x[i : i + BLOCK], visited[i : i + BLOCK])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
+
+    many = int(plan.value.first[-1] + plan.value.count[-1])
+    met = stored.union(asking).repartition(bounded_parts(max(many, 1)), "part").sortWithinPartitions("part", "kind")
     found = ranked(met.mapInArrow(search, "query_id long, vec_id long, score double"), most)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(recall).alias("recall"))
 
 
 def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
