@@ -5,9 +5,14 @@ as many of the longest as fit, then the binary digits of what is left, largest f
 Every piece is a sequence of its own in the bucket of its length, so no sequence crosses
 documents and none is padded.
 
-Defined results: a null or empty text is its end id alone; repeated rows are packed each
-on their own; an empty table gives an empty table; further columns are not read. Sequence
-ids are unique, ascending within a partition of the input, and the same in every rerun
+Ids are those of the tokenizer as its file stands: the strings of its special tokens are
+these tokens wherever they stand in a text, in just this case.
+
+Defined results: a null or empty text is its end id alone; a null doc_id is packed like any
+other; repeated rows are packed each on their own; equal lengths need no order, since each
+piece is a sequence of its own; a very long text is a step of its own, of which a task holds
+the ids (4 bytes each); an empty table gives an empty table; further columns, whatever their
+names, are not read. Sequence ids are unique, ascending within a partition of the input, and the same in every rerun
 over the same files.
 """
 
@@ -42,7 +47,8 @@ class ChunkTokenizer:
     The tokenizer's pattern never matches across white space, and its normaliser composes
     nothing with a space, so the ids of a text are those of its chunks in a row. Below
     U+0300 nothing composes at all (and but for U+0130 no letter grows in lower case), so there A-Z may be in lower case before (the
-    normaliser's last step) and a stop or comma after a letter may stand apart.
+    normaliser's last step) and a stop or comma after a letter may stand apart. Texts with the string of a special token go through
+    the tokenizer whole; chunks of other texts are ordinary text whatever they become in lower case.
     """
 
     def __init__(self, path: str | None):
@@ -52,6 +58,8 @@ class ChunkTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -89,13 +97,18 @@ class ChunkTokenizer:
 
     def all_ids(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text."""
-        beyond = pc.match_substring_regex(texts, r"[\x{0130}\x{0300}-\x{10FFFF}]").to_numpy(zero_copy_only=False)
+        marked = np.zeros(len(texts), bool)
+        for token in self.special:
+            marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        beyond = marked | pc.match_substring_regex(texts, r"[\x{0130}\x{0300}-\x{10FFFF}]").to_numpy(zero_copy_only=False)
         apart = pc.replace_substring_regex(pc.ascii_lower(texts.filter(pa.array(~beyond))), r"(\p{L})([.,])([ \n]|$)", r"\1 \2\3")
         distinct, codes, bounds = words(apart)
         found, codes = self.learn(distinct.to_pylist()), codes.tolist()
         spans, out = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), []
         for i, odd in enumerate(beyond):
-            if odd:
+            if marked[i]:
+                out.append(array("I", self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids).tobytes())
+            elif odd:
                 out.append(self.ids(texts[i].as_py()))
             else:
                 first, last = next(spans)
