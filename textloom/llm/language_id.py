@@ -16,8 +16,10 @@ language cover all documents. Everything predicted covers whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected;
 with no labelled document at all every text is; ties go to the language that is first by
-name; repeated rows are judged each on their own; an empty table gives an empty table;
-further columns are carried along unless they have a name that the operator adds.
+name; repeated rows are judged each on their own; a null doc_id is judged, and neither
+held out nor learnt from; a very long text is a slice of its own, whose words are looked up
+a block at a time; an empty table gives an empty table; further columns are carried along
+unless they have a name that the operator adds, which is then replaced.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def gram_hashes(points: np.ndarray, starts: np.ndarray, order: int) -> list[np.n
     out, h = [], np.zeros(len(points), np.uint64)
     for n in range(1, order + 1):
         # the n-gram's hash adds the character n - 1 places back to the (n - 1)-gram's, so both end at the same place
-        back = np.concatenate([np.zeros(n - 1, np.uint64), points[: len(points) - n + 1]])
+        back = np.concatenate([np.zeros(n - 1, np.uint64), points])[: len(points)]
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + back + np.uint64(n))
         out.append(np.where(place >= n - 1, h | np.uint64(1), np.uint64(0)))
     return out
@@ -106,7 +108,7 @@ class Models:
         weight = np.repeat(times, np.diff(starts))
         for n in range(order):
             h = hashes[n]
-            context = np.concatenate([[0], hashes[n - 1][:-1]]).astype(np.uint64) if n else np.zeros(len(h), np.uint64)
+            context = np.concatenate([np.zeros(1, np.uint64), hashes[n - 1][:-1]]) if n else np.zeros(len(h), np.uint64)
             real = (h != 0) & (np.arange(len(h)) != np.repeat(starts[:-1], np.diff(starts)))  # the first bound is never predicted
             keys, first, inverse = np.unique(h[real], return_index=True, return_inverse=True)
             yield keys, context[real][first], (hashes[n - 1][real][first] if n else np.zeros(len(keys), np.uint64)), np.bincount(inverse, weight[real], len(keys))
@@ -198,7 +200,7 @@ class Models:
         bits, n = self.text_bits(texts)
         best = bits.argmin(axis=1)
         low = bits[np.arange(len(bits)), best]
-        score = 1 / np.exp2((low[:, None] - bits) * np.minimum(n, 40)[:, None]).sum(axis=1)
+        score = 1 / np.exp2((low[:, None] - bits) * n[:, None]).sum(axis=1)  # the language's share of all likelihoods of the whole text
         none = n == 0
         langs = [UNDETERMINED if none[i] else self.languages[b] for i, b in enumerate(best)]
         return langs, np.where(none, 0, score), np.where(none, np.nan, low), none | (low > self.limits[best] + SLACK / np.maximum(n, 1))
