@@ -10,9 +10,11 @@ number at most (mean distinct lines of its pages) / ratio, so they fit in an arr
 never move unless the arrays of all hosts together outgrow ``broadcast_bytes``.
 
 Defined results: a null or empty text has no lines and stays as it is; blank lines are
-neither counted nor dropped; a line repeated within a page counts once; repeated rows are
-pages of their own; a null host is one host; an empty table gives an empty table; columns
-with the operator's names (n_lines, n_removed) are replaced.
+neither counted nor dropped; a line repeated within a page counts once; a line exactly at
+the ratio stays; repeated rows are pages of their own; a null host is a host of its own,
+another than the empty one; a very long text is one array of lines in its row's task; an
+empty table gives an empty table; columns named n_lines and n_removed are replaced, all
+others come back as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,8 +54,9 @@ def drop_boilerplate(pages: DataFrame, text: str, host: Column, ratio: float = R
     names = [c for c in pages.columns if c not in ("n_lines", "n_removed")]
     lines = lambda c: F.split(c, "\n", -1)
     full = lambda c: F.filter(c, lambda x: ~x.rlike(BLANK))
-    spark = pages.sparkSession
-    own = pages.select(F.coalesce(host, F.lit("")).alias("_host"), F.col(text).alias("_text"))
+    # the host is read before the columns go into a struct, where no name of theirs can clash with the operator's own;
+    # a letter before it tells a null host from an empty one
+    own = pages.select(F.coalesce(F.concat(F.lit("h"), host), F.lit("")).alias("_host"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c != text]).alias("_row"))
     totals = own.groupBy("_host").agg(F.count("*").alias("_pages"))
     found = (
         own.select("_host", F.explode(F.array_distinct(F.transform(full(lines(F.col("_text"))), lambda x: F.xxhash64(x)))).alias("_line"))
@@ -65,22 +68,20 @@ def drop_boilerplate(pages: DataFrame, text: str, host: Column, ratio: float = R
         "boilerplate",
     )
     weight = hosts.agg(F.sum(F.size("_drop") * 8 + F.length("_host") + 64)).first()[0] or 0
-    rows = pages.select(*names).withColumn("_host", F.coalesce(host, F.lit("")))
     if weight <= broadcast_bytes:
-        joined = rows.join(F.broadcast(hosts), "_host", "left")
+        joined = own.join(F.broadcast(hosts), "_host", "left")
     else:
         salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
+        joined = own.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
     gone = lambda x: F.array_contains(F.col("_drop"), F.xxhash64(x)) & ~x.rlike(BLANK)
-    touched = F.col("_drop").isNotNull() & F.col(text).isNotNull()
-    return (
-        joined.withColumn("_kept", F.when(touched, F.filter(lines(F.col(text)), lambda x: ~gone(x))))
-        .withColumn("n_lines", F.coalesce(F.size(full(lines(F.col(text)))), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-        .withColumn("n_removed", F.when(touched, F.col("n_lines") - F.size(full(F.col("_kept")))).otherwise(0).cast("long"))
-        .withColumn(text, F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-        .select(*names, "n_lines", "n_removed")
+    touched = F.col("_drop").isNotNull() & F.col("_text").isNotNull()
+    out = (
+        joined.withColumn("_kept", F.when(touched, F.filter(lines(F.col("_text")), lambda x: ~gone(x))))
+        .withColumn("_lines", F.when(F.col("_text").isNull(), 0).otherwise(F.size(full(lines(F.col("_text"))))).cast("long"))
+        .withColumn("_removed", F.when(touched, F.col("_lines") - F.size(full(F.col("_kept")))).otherwise(0).cast("long"))
+        .withColumn("_clean", F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col("_text")))
     )
+    return out.select(*[(F.col("_clean") if c == text else F.col("_row")[f"c{i}"]).alias(c) for i, c in enumerate(names)], F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
