@@ -6,8 +6,10 @@ gives a row for every packet: track, timestamp, byte range in the file, key flag
 writer stores bytes as 8-bit PCM samples of one audio track, in laced blocks, with cues.
 
 Defined results: a null or empty text is stored as 64 zero bytes; equal texts give equal
-files; repeated rows stay; an empty table gives an empty table; a file that is null or no
-Matroska has no packets and an ``error``; further columns are not read.
+files; repeated rows, and those of a null doc_id, stay; a very long text is one file, which
+a task holds a few times over; an empty table gives an empty table; a file that is null or
+no Matroska has no packets and no features but an ``error``; further columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -270,27 +272,32 @@ def samples(data: bytes, found: dict, track: int = 1) -> bytes:
 def feature(payload: bytes, found: dict) -> str:
     """Level, spread and zero crossings of the samples, and counts of the file's parts."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    n = len(x)
+    n = max(1, len(x))
     crossed = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
     last = max((t for _, t, *_ in found["packets"]), default=0)
     return f"mean={x.sum() / n:.6f};rms={(np.dot(x, x) / n) ** 0.5:.6f};crossings={crossed};packets={len(found['packets'])};cues={len(found['cues'])};last_ns={last}"
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from the stored bytes alone."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error, from the stored bytes alone. A file that can't be read has an ``error`` and nothing that comes from its samples."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
 
     def compute(batches):
         for piece, files in slices(batches, "media"):
-            out: list[list] = [[] for _ in range(6)]
-            for data in files.to_pylist():
-                found = read(data)
-                payload = samples(data, found)
-                for column, value in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, found)), strict=True):
+            out: list[list] = [[] for _ in range(7)]
+            for data, there in zip(files.to_pylist(), piece.column("media").is_valid().to_pylist(), strict=True):
+                stored = (len(data), hashlib.sha256(data).hexdigest()) if there else (None, None)
+                try:
+                    found = read(data)
+                    payload = samples(data, found)
+                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *stored, feature(payload, found), None)
+                except (ValueError, IndexError, struct.error) as e:
+                    row = (None, None, None, *stored, None, str(e))
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("n_bytes"), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("n_bytes"), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]], names=names)
 
-    return media.mapInArrow(compute, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(compute, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
