@@ -11,8 +11,9 @@ from its own start.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; documents of equal size are ordered by a hash of their id, then the id; repeated
-rows each have their own step; an empty table gives an empty table; further columns are
-carried along unless their name is one that the operator adds, which is then replaced.
+rows each have their own step; a null doc_id is taken for 0 in the order; a very long text
+only moves as part of its row; an empty table gives an empty table; ``mix_documents`` carries
+all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,26 +74,26 @@ def mix_counts(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     rows = materialise(
         docs.select("doc_id", "source", *keep, F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"))
         .withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+        .withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))  # never null, so that rows are dealt by it once for the window and the join
         .withColumn("h", id_hash(F.col("doc_id")))
         .withColumn("cls", bits * 8 + F.expr("shiftright(size * 8, length(bin(size)))").cast("int"))
         .withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")),
         "mix",
     )
-    cells = rows.groupBy("source", "cls", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    cells = rows.groupBy("source", "src", "cls", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most, seed)
-    before = Window.partitionBy("source").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("src").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select(F.col("source").alias("c_source"), F.col("cls").alias("c_cls"), F.col("bucket").alias("c_bucket"), "start")
-        .join(targets, F.col("c_source").eqNullSafe(F.col("source")))
-        .drop("source")
+        .select("src", "cls", "bucket", "start")
+        .join(targets.withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))).drop("source"), "src")
     )
-    within = Window.partitionBy("source", "cls", "bucket").orderBy("size", "h", "doc_id")
+    within = Window.partitionBy("src", "cls", "bucket").orderBy("size", "h", "doc_id")
     step = F.col("target") / F.col("source_size")
     crossed = lambda i: F.floor(i * F.col("step") + F.col("offset"))
     return (
         rows.withColumn("i", F.row_number().over(within))
-        .join(cells, (F.col("source").eqNullSafe(F.col("c_source"))) & (F.col("cls") == F.col("c_cls")) & (F.col("bucket") == F.col("c_bucket")))
+        .join(cells, ["src", "cls", "bucket"])
         .withColumn("i", F.col("i") + F.col("start"))
         .withColumn("step", F.when(F.col("source_size") > 0, step).otherwise(0.0))
         .withColumn("copies", F.least(crossed(F.col("i")) - crossed(F.col("i") - 1), F.lit(most)).cast("long"))
