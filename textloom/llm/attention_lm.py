@@ -42,14 +42,13 @@ import pickle
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import bounded_parts, cuts_of, mix, slices, words
+from textloom.llm._text import bounded_parts, cuts_of, mix, release, slices, words
 from textloom.session import materialise, table
 
 #: Ids scored per window, and ids before them that the window sees.
@@ -57,9 +56,9 @@ STRIDE = 16
 #: Width of embeddings; most frequent ids that are units of their own; classes of units (the last is the text's end).
 WIDTH, UNITS, CLASSES = 16, 2048, 64
 #: Rounds of local training, windows in a row that are trained together, such runs of a step, learning rate.
-ROUNDS, RUN, BATCH, RATE = 2, 8, 32, 0.01
+ROUNDS, RUN, BATCH, RATE = 2, 8, 48, 0.01
 #: Windows scored at a time.
-SCORED = 256
+SCORED = 512
 #: Weight of the unigram in a pair's probability.
 SMOOTH = 4.0
 #: Blocks that the table of pairs is summed in; tables or copies of the model that one task sums.
@@ -68,8 +67,10 @@ BLOCKS, FAN = 64, 64
 SLICE_BYTES = 2 << 20
 #: Folds, and the one that is held out.
 FOLDS, HELD = 7, 2
-#: Bytes of text whose words meet in one bucket.
-BUCKET_BYTES = 40 << 20
+#: Bytes of text whose words meet in one bucket, and of text that one task scores.
+BUCKET_BYTES, PART_BYTES = 20 << 20, 16 << 20
+#: Bytes of a row that holds part of a slice: rows of megabytes cost the JVM far more memory than their size.
+ROW_BYTES = 192 << 10
 
 #: Bound of attention scores before the exponential.
 LARGEST = np.float32(30)
@@ -94,20 +95,21 @@ class Subwords:
 
         with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.begins = np.zeros(IDS, bool)
         self.begins[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
 
+    def encode(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint16)
+
     def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has. Words are encoded in one text, as none reaches over a space."""
-        odd = pc.match_substring_regex(distinct, SPACES).to_numpy(zero_copy_only=False)
-        texts = distinct.to_pylist()
-        if odd.any():
-            found = [np.array(self.encode(" " + w), np.uint16) for w in texts]
+        if pc.any(pc.match_substring_regex(distinct, SPACES)).as_py():
+            found = [self.encode(" " + w) for w in distinct.to_pylist()]
             return np.concatenate(found), np.array([len(x) for x in found], np.int64)
-        flat = np.array(self.encode("".join([" " + w for w in texts])), np.uint16)
-        starts = np.flatnonzero(self.begins[flat])
-        return flat, np.diff(np.append(starts, len(flat)))
+        whole = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.string()))
+        flat = self.encode(" " + pc.binary_join(whole, " ")[0].as_py())
+        return flat, np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
 
 
 _subwords: dict = {}
@@ -124,39 +126,92 @@ def unpack(payload: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
 
 
+class Slice:
+    """Documents of a slice: their ids, which are held out, the bounds of their words, these words' codes, and of each distinct word, in order of hash: ids (in a row), how many, and how often it stands in training documents."""
+
+    def __init__(self, doc_ids: list, held: np.ndarray, texts: pa.Array, path: str | None = None):
+        distinct, codes, bounds = words(texts)
+        ids, sizes = subwords(path).ids(distinct) if len(distinct) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+        by = np.argsort(word_hashes(ids, sizes), kind="stable")
+        rank = np.empty(len(by), np.uint32)
+        rank[by] = np.arange(len(by), dtype=np.uint32)
+        self.doc_ids, self.held, self.bounds, self.codes = doc_ids, held, bounds, rank[codes]
+        self.ids, self.sizes = ids[runs(np.cumsum(sizes) - sizes, sizes, by)], sizes[by].astype(np.int32)
+        self.times = np.bincount(self.codes[np.repeat(~held, np.diff(bounds))], minlength=len(by)).astype(np.uint32)
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.ids, self.sizes)
+
+    @property
+    def words(self) -> tuple:
+        return self.bounds, self.codes, self.ids, self.sizes
+
+
 def slice_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per slice of documents (doc_id, text, held): payload (ids of documents, folds, bounds, words' codes), pieces (ids of the distinct words), their hashes, how often each stands in training documents, and the number of these."""
+    """Slices of documents (doc_id, text, held) as rows of bounded size: slice, part (-n .. -1), blob, and in the last part ends: the number of training documents."""
 
     def pack(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
         for piece, texts in slices(batches, limit=SLICE_BYTES):
-            distinct, codes, bounds = words(texts)
-            h = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)  # keyed by a constant, so alike in every worker
-            by = np.argsort(h, kind="stable")
-            rank = np.empty(len(by), np.uint32)
-            rank[by] = np.arange(len(by), dtype=np.uint32)
-            codes = rank[codes]
-            ids, sizes = subwords(path).ids(distinct.take(pa.array(by))) if len(by) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
             held = piece.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            times = np.bincount(codes[np.repeat(~held, np.diff(bounds))], minlength=len(by))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([packed((piece.column("doc_id").to_pylist(), held, bounds, codes))], pa.binary()), pa.array([packed((ids, sizes.astype(np.uint16) if sizes.max(initial=0) < IDS else sizes))], pa.binary()), pa.array([h[by].tobytes()], pa.binary()), pa.array([packed(times.astype(np.uint32))], pa.binary()), pa.array([int((~held).sum())], pa.int64())],
-                names=["payload", "pieces", "hashes", "times", "ends"],
-            )
-
-    return docs.mapInArrow(pack, "payload binary, pieces binary, hashes binary, times binary, ends long").withColumn("slice", F.monotonically_increasing_id())
+            blob = packed(Slice(piece.column("doc_id").to_pylist(), held, texts, path))
+            parts = [blob[a : a + ROW_BYTES] for a in range(0, len(blob), ROW_BYTES)]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array(range(-n, 0), pa.int64()), pa.array(parts, pa.binary()), pa.array([0] * (n - 1) + [int((~held).sum())], pa.int64())], names=["slice", "part", "blob", "ends"])
+            number += 1
+
+    return docs.mapInArrow(pack, "slice long, part long, blob binary, ends long")
+
+
+def whole(batches):
+    """(number, slice, answers) of rows (slice, part, blob) in order: parts from 0 on are answers, which follow their slice."""
+    number, made, parts, answers = None, None, [], []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own, part = batch.column("slice")[i].as_py(), batch.column("part")[i].as_py()
+            if made is not None and own != number:
+                yield number, made, answers
+                made, answers = None, []
+            if part < 0:
+                parts.append(batch.column("blob")[i].as_py())
+                if part == -1:
+                    number, made, parts = own, unpack(b"".join(parts)), []
+            else:
+                answers.append(batch.column("blob")[i].as_py())
+    if made is not None:
+        yield number, made, answers
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The places of runs ``of`` (which start at ``starts`` and have ``sizes``), one run after another."""
+    size = sizes[of]
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[of] - ends + size, size)
+
+
+def word_hashes(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's ids, which are the word."""
+    starts, h = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.uint64)
+    active = np.arange(len(sizes))
+    for place in range(int(sizes.max(initial=0))):
+        active = active[sizes[active] > place]
+        h[active] = mix(h[active] * U(0x9E3779B97F4A7C15) + ids[starts[active] + place] + U(1))
+    return mix(h + sizes.astype(np.uint64))
 
 
 def word_counts(sliced: DataFrame, buckets: int) -> DataFrame:
     """Per slice and bucket, the corpus counts of the slice's words in order of hash; per bucket (slice -1), its training tokens, the distinct words among them, and how many of these begin with each id."""
 
     def send(batches):
-        for batch in batches:
-            for number, h, times, pieces in zip(*(batch.column(c).to_pylist() for c in ("slice", "hashes", "times", "pieces")), strict=True):
-                h, times, first = np.frombuffer(h, np.uint64), unpack(times), first_ids(*unpack(pieces))
-                bucket = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # rises with the hash, so a bucket is a range of sorted hashes
-                part = [(k, number, h[a:b].tobytes(), times[a:b].tobytes(), first[a:b].tobytes()) for k, a, b in cuts_of(bucket)]
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "slice", "hashes", "times", "firsts"])
+        for number, own, _ in whole(batches):
+            h, first = own.hashes, first_ids(own.ids, own.sizes)
+            bucket = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # rises with the hash, so a bucket is a range of sorted hashes
+            part = [(k, number, h[a:b].tobytes(), own.times[a:b].tobytes(), first[a:b].tobytes()) for k, a, b in cuts_of(bucket)]
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "slice", "hashes", "times", "firsts"])
 
     def add(batches):
         held, key = [], None
@@ -183,7 +238,7 @@ def word_counts(sliced: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield done()
 
-    sent = sliced.select("slice", "hashes", "times", "pieces").mapInArrow(send, "bucket long, slice long, hashes binary, times binary, firsts binary")
+    sent = sliced.select("slice", "part", "blob").mapInArrow(send, "bucket long, slice long, hashes binary, times binary, firsts binary")
     return sent.repartition(bounded_parts(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(add, "slice long, bucket long, counts binary, types long, tokens long")
 
 
@@ -196,8 +251,8 @@ def packed(x) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
 
 
-def summed(rows: DataFrame) -> np.ndarray | None:
-    """The sum of arrays of one shape (``cells``: packed), by levels of ``FAN`` until so many tasks are left; None without any."""
+def summed(rows: DataFrame, many: bool = False) -> np.ndarray | None:
+    """The sum of arrays of one shape (``cells``: packed; a row per task, or ``many``), by levels of ``FAN`` until so many tasks are left; None without any."""
 
     def add(batches):
         total = None
@@ -207,7 +262,7 @@ def summed(rows: DataFrame) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], names=["cells"])
 
-    tasks, rows = rows.rdd.getNumPartitions(), rows.mapInArrow(add, "cells binary")
+    tasks, rows = rows.rdd.getNumPartitions(), rows.mapInArrow(add, "cells binary") if many else rows
     while tasks > FAN:
         tasks = -(-tasks // FAN)
         rows = rows.repartition(tasks).mapInArrow(add, "cells binary")
@@ -235,13 +290,11 @@ def id_counts(sliced: DataFrame) -> np.ndarray:
 
     def count(batches):
         out = np.zeros(IDS, np.int64)
-        for batch in batches:
-            for pieces, times in zip(batch.column("pieces").to_pylist(), batch.column("times").to_pylist(), strict=True):
-                (ids, sizes), times = unpack(pieces), unpack(times)
-                out += np.bincount(ids, np.repeat(times, sizes), IDS).astype(np.int64)
+        for _, own, _ in whole(batches):
+            out += np.bincount(own.ids, np.repeat(own.times, own.sizes), IDS).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([packed(out)], pa.binary())], names=["cells"])
 
-    out = summed(sliced.select("pieces", "times").mapInArrow(count, "cells binary"))
+    out = summed(sliced.select("slice", "part", "blob").mapInArrow(count, "cells binary"))
     return np.zeros(IDS, np.int64) if out is None else out
 
 
@@ -250,16 +303,13 @@ def pair_counts(sliced: DataFrame, unit: np.ndarray) -> np.ndarray:
 
     def count(batches):
         out = np.zeros(SIZE * SIZE, np.int64)
-        for batch in batches:
-            for payload, pieces in zip(batch.column("payload").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
-                _, held, bounds, codes = unpack(payload)
-                x, weight, _ = stream(bounds, codes, *unpack(pieces), unit, np.flatnonzero(~held))
-                x = x[: len(x) // STRIDE * STRIDE]
-                after = np.append(x[1:], np.int16(EDGE))
-                out += np.bincount((x.astype(np.int32) * np.int32(SIZE) + after)[weight], minlength=SIZE * SIZE)
+        for _, own, _ in whole(batches):
+            x, weight, _ = stream(*own.words, unit, np.flatnonzero(~own.held))
+            after = np.append(x[1:], np.int16(EDGE))
+            out += np.bincount((x.astype(np.int32) * np.int32(SIZE) + after)[weight], minlength=SIZE * SIZE)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([packed(x) for x in np.array_split(out, BLOCKS)], pa.binary())], names=["block", "cells"])
 
-    out = summed_in_blocks(sliced.select("payload", "pieces").mapInArrow(count, "block int, cells binary"))
+    out = summed_in_blocks(sliced.select("slice", "part", "blob").mapInArrow(count, "block int, cells binary"))
     return (out if len(out) else np.zeros(SIZE * SIZE, np.int64)).reshape(SIZE, SIZE)
 
 
@@ -271,12 +321,9 @@ def stream(bounds: np.ndarray, codes: np.ndarray, ids: np.ndarray, sizes: np.nda
     """
     n = np.diff(bounds)[chosen]
     mine = codes if len(chosen) == len(bounds) - 1 else codes[np.repeat(np.isin(np.arange(len(bounds) - 1), chosen), np.diff(bounds))]
-    sizes = sizes.astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    size = sizes[mine]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    flat = unit[ids][np.arange(ends[-1]) + np.repeat(starts[mine] - ends[:-1], size)] if len(mine) else np.zeros(0, np.int16)
-    many = np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
+    sizes = sizes.astype(np.int32)
+    flat = unit[ids][runs(np.cumsum(sizes, dtype=np.int32) - sizes, sizes, mine)]
+    many = np.diff(np.concatenate([[0], np.cumsum(sizes[mine], dtype=np.int64)])[np.concatenate([[0], np.cumsum(n)])])
     windows = 1 + -(-(many + 1) // STRIDE)
     first = (np.concatenate([[0], np.cumsum(windows)])[:-1] + 1) * STRIDE
     x = np.full(int(windows.sum()) * STRIDE, EDGE, np.int16)
@@ -394,67 +441,73 @@ class Attention:
         step = kv.strides[1]
         kv = np.lib.stride_tricks.as_strided(kv, (runs, places // STRIDE - 1, 2 * STRIDE, kv.shape[2]), (kv.strides[0], STRIDE * step, step, kv.strides[2]))
         s = q @ kv[..., :WIDTH].transpose(0, 1, 3, 2)
-        np.minimum(s, LARGEST, out=s)
+        if np.sqrt((queries**2).sum(axis=1).max() * (keys[:, :WIDTH] ** 2).sum(axis=1).max()) > LARGEST:
+            np.minimum(s, LARGEST, out=s)
         np.exp(s, out=s)
         s *= np.exp(self.p["near"])[self.back] * self.causal
         return q, kv, s, s @ kv[..., WIDTH:]
 
-    def logits(self, h: np.ndarray, x: np.ndarray, class_log: np.ndarray) -> np.ndarray:
+    def logits(self, keys: np.ndarray, h: np.ndarray, x: np.ndarray, class_log: np.ndarray) -> np.ndarray:
+        """A state is a mean of values, so no logit is larger than the largest that a value would give."""
         out = h.reshape(-1, WIDTH) @ self.p["out"]
-        out += class_log[x[:, STRIDE:].ravel()]
-        np.minimum(out, 2 * LARGEST, out=out)
+        out += np.take(class_log, x[:, STRIDE:].ravel(), axis=0)
+        if (keys[:, WIDTH : 2 * WIDTH] @ self.p["out"]).max() > 2 * LARGEST:
+            np.minimum(out, 2 * LARGEST, out=out)
         return out
 
     def log_probability(self, queries, keys, x: np.ndarray, target: np.ndarray, class_log: np.ndarray, ended: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of the target classes' probabilities, and of all classes from ``ended`` on together: a number per place of the runs' windows."""
         _, _, _, state = self.attend(queries, keys, x)
-        logits = self.logits(state[..., :WIDTH] / state[..., WIDTH:], x, class_log)
+        logits = self.logits(keys, state[..., :WIDTH] / state[..., WIDTH:], x, class_log)
         picked = logits[np.arange(len(logits)), target]
         np.exp(logits, out=logits)
-        end = logits[:, ended:].sum(axis=1)
-        total = np.log(end + logits[:, :ended].sum(axis=1))
-        return picked - total, np.log(end) - total
+        sums = np.log(logits @ np.stack([np.ones(CLASSES), np.arange(CLASSES) >= ended], axis=1).astype(np.float32))
+        return picked - sums[:, 0], sums[:, 1] - sums[:, 0]
 
     def gradient(self, emb: np.ndarray, x: np.ndarray, target: np.ndarray, weight: np.ndarray, class_log: np.ndarray):
         """Gradient of the mean loss by parameter. x: places' rows of ``emb`` and of ``class_log``; that by emb is of these rows."""
         p, (queries, keys) = self.p, self.tables(emb)
         q, kv, s, state = self.attend(queries, keys, x)
         total, h = state[..., WIDTH:], state[..., :WIDTH] / state[..., WIDTH:]
-        d = self.logits(h, x, class_log)
+        d = self.logits(keys, h, x, class_log)
         np.exp(d, out=d)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(d)), target] -= 1
-        d *= (weight / max(1, np.count_nonzero(weight))).astype(np.float32)[:, None]
+        share = (weight / max(1, np.count_nonzero(weight))).astype(np.float32)
+        d *= (share / (d @ np.ones(CLASSES, np.float32)))[:, None]
+        d[np.arange(len(d)), target] -= share
         g = {"out": h.reshape(-1, WIDTH).T @ d}
         dh = (d @ p["out"].T).reshape(h.shape)
         s /= total
         dv = s.transpose(0, 1, 3, 2) @ dh
-        ds = dh @ kv[..., WIDTH : 2 * WIDTH].transpose(0, 1, 3, 2)
-        ds -= (dh * h).sum(axis=3, keepdims=True)
+        ds = np.concatenate([dh, -np.einsum("abij,abij->abi", dh, h)[..., None]], axis=3) @ kv[..., WIDTH:].transpose(0, 1, 3, 2)
         ds *= s
         g["near"] = np.bincount(self.back.ravel(), (ds.sum(axis=(0, 1)) * self.causal).ravel(), 2 * STRIDE).astype(np.float32)
         dq, dk = ds @ kv[..., :WIDTH], ds.transpose(0, 1, 3, 2) @ q
-        runs, windows = ds.shape[:2]
-        every = np.zeros((runs, windows + 1, STRIDE, 3 * WIDTH), np.float32)
-        every[:, 1:, :, :WIDTH] = dq
-        for half, at in ((slice(None, STRIDE), slice(None, -1)), (slice(STRIDE, None), slice(1, None))):
-            every[:, at, :, WIDTH : 2 * WIDTH] += dk[:, :, half]
-            every[:, at, :, 2 * WIDTH :] += dv[:, :, half]
-        dq, dk, dv = np.split(added(len(emb), x.ravel(), every.reshape(-1, 3 * WIDTH)), 3, axis=1)
-        dq = dq * np.float32(WIDTH**-0.5)
+        dq, dk, dv = added(len(emb), x.ravel(), np.concatenate([np.zeros_like(dq[:, :1]), dq], axis=1), overlaid(dk), overlaid(dv))
+        dq *= np.float32(WIDTH**-0.5)
         g |= {"q": emb.T @ dq, "k": emb.T @ dk, "v": emb.T @ dv}
         g["emb"] = dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
         return g
 
 
-def added(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """``n`` rows; each has the sum of the rows of ``values`` whose place in ``at`` has its number."""
+def overlaid(x: np.ndarray) -> np.ndarray:
+    """Sums of what windows of 2 STRIDE places, STRIDE apart, give each place."""
+    out = np.zeros((x.shape[0], x.shape[1] + 1, STRIDE, x.shape[3]), np.float32)
+    out[:, :-1] = x[:, :, :STRIDE]
+    out[:, 1:] += x[:, :, STRIDE:]
+    return out
+
+
+def added(n: int, at: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Of each array, ``n`` rows; each is the sum of the array's rows whose place in ``at`` has its number."""
     by = np.argsort(at.astype(np.int16), kind="stable")
     at = at[by]
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out = np.zeros((n, values.shape[1]), np.float32)
-    out[at[starts]] = np.add.reduceat(values[by], starts, axis=0)
-    return out
+    found = []
+    for x in values:
+        out = np.zeros((n, WIDTH), np.float32)
+        out[at[starts]] = np.add.reduceat(np.take(x.reshape(-1, WIDTH), by, axis=0), starts, axis=0)
+        found.append(out)
+    return found
 
 
 class Learner:
@@ -504,18 +557,16 @@ def train(sliced: DataFrame, vocabulary, model: Attention, number: int, rounds:
     def learn(batches):
         v = vocabulary.value
         learner = Learner(pickle.loads(pickle.dumps(given.value)), v)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_ids, held, bounds, codes = unpack(batch.column("payload")[i].as_py())
-                chosen = np.flatnonzero(~held & (round_of(doc_ids, rounds) == number))
-                if len(chosen):
-                    x, weight, _ = stream(bounds, codes, *unpack(batch.column("pieces")[i].as_py()), v.unit, chosen)
-                    learner.learn(x, weight, number)
+        for _, own, _ in whole(batches):
+            chosen = np.flatnonzero(~own.held & (round_of(own.doc_ids, rounds) == number))
+            if len(chosen):
+                x, weight, _ = stream(*own.words, v.unit, chosen)
+                learner.learn(x, weight, number)
         if learner.seen:
             cells = np.concatenate([[1.0], *(learner.model.p[k].ravel() for k in Attention.NAMES)]) * learner.seen
             yield pa.RecordBatch.from_arrays([pa.array([packed(cells)], pa.binary())], names=["cells"])
 
-    total = summed(sliced.select("payload", "pieces").mapInArrow(learn, "cells binary"))
+    total = summed(sliced.select("slice", "part", "blob").mapInArrow(learn, "cells binary"))
     if total is not None:
         mean, at = (total[1:] / total[0]).astype(np.float32), 0
         for k in Attention.NAMES:
@@ -535,7 +586,7 @@ def text_scores(model: Attention, v: Vocabulary, bounds, codes, ids, sizes, coun
         b = min(len(weight), a + SCORED * STRIDE)
         here, after = x[a:b], x[a + 1 : b + 1]
         got, end = model.log_probability(queries, keys, x[None, a - STRIDE : b], v.kind[after], v.class_log, v.ended)
-        out[a:b], ended[a:b] = np.where(weight[a:b], got + v.unit_log[here, after], 0), end
+        out[a:b], ended[a:b] = np.where(weight[a:b], got + np.take(v.unit_log, here.astype(np.int32) * np.int32(SIZE) + after), 0), end
     begins = weight & v.begins[x[1:]]  # here a word, or the text, is at its end, and the next thing begins
     out[begins] -= ended[begins]
     total = np.add.reduceat(np.where(begins, out, 0), first) if len(first) else np.zeros(0)
@@ -568,32 +619,30 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     types, tokens = counted.filter("slice = -1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     ends = sliced.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
     train_tokens, vocabulary_size = tokens + ends, types + (ends > 0)
-    v = Vocabulary(id_counts(sliced), summed(counted.filter("slice = -1").select(F.col("counts").alias("cells"))))
+    v = Vocabulary(id_counts(sliced), summed(counted.filter("slice = -1").select(F.col("counts").alias("cells")), many=True))
     vocabulary = spark.sparkContext.broadcast(v.fit(pair_counts(sliced, v.unit)))
     model = Attention(vocabulary.value)
     for number in range(rounds if train_tokens else 0):
         model = train(sliced, vocabulary, model, number, rounds)
     ready = spark.sparkContext.broadcast(model)
-    answers = counted.filter("slice >= 0").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("answers"))
+    rest = np.log10(train_tokens + vocabulary_size + 1)
 
     def score(batches):
-        rest = np.log10(train_tokens + vocabulary_size + 1)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                answer = batch.column("answers")[i].as_py()
-                doc_ids, held, bounds, codes = unpack(batch.column("payload")[i].as_py())
-                c = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(a["counts"]), np.uint64) for a in answer or [])]).astype(np.float64)
-                n = np.diff(bounds) + 1
-                per = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[codes])])[bounds])
-                base_score, known = per(np.log10(c + 1) - rest) + np.log10(ends + 1) - rest, per((c > 0).astype(np.int64)) + (ends > 0)
-                total = text_scores(ready.value, vocabulary.value, bounds, codes, *unpack(batch.column("pieces")[i].as_py()), c) / np.log(10) if train_tokens else base_score
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), train_tokens)), pa.array(base_score), pa.array(total)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    joined = sliced.select("slice", "payload", "pieces").join(answers, "slice", "left")
-    return joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for _, own, answers in whole(batches):
+            c = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint64) for x in answers)]).astype(np.float64)
+            n = np.diff(own.bounds) + 1
+            per = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[own.codes])])[own.bounds])  # noqa: B023, E731
+            base_score, known = per(np.log10(c + 1) - rest) + np.log10(ends + 1) - rest, per((c > 0).astype(np.int64)) + (ends > 0)
+            total = text_scores(ready.value, vocabulary.value, *own.words, c) / np.log(10) if train_tokens else base_score
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.doc_ids, pa.int64()), pa.array(own.held), pa.array(n), pa.array(known), pa.array(np.full(len(n), train_tokens)), pa.array(base_score), pa.array(total)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+        release()
+
+    answers = counted.filter("slice >= 0").select("slice", F.col("bucket").alias("part"), F.col("counts").alias("blob"))
+    met = sliced.select("slice", "part", "blob").unionByName(answers).repartition(bounded_parts(max(8, -(-size // PART_BYTES))), "slice").sortWithinPartitions("slice", "part")
+    return met.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
