@@ -56,6 +56,31 @@ def test_jaccard_classes(docs, none):
     assert ngram_join.jaccard_classes(none).count() == 0
 
 
+def test_jaccard_classes_over_many_blocks(spark):
+    """Chains of near copies, repeated ids and clashing columns, with blocks so small that groups take many."""
+    rnd = random.Random(6)
+    texts, now = [], [f"w{i}" for i in range(60)]
+    for i in range(120):
+        if i % 40 == 0:
+            now = [f"v{i}x{k}" for k in range(60)]
+        now = now[:]
+        now[rnd.randrange(60)] = f"n{i}"
+        texts.append((i, " ".join(now)))
+    texts += [(200, texts[5][1]), (200, texts[50][1]), (201, "one two three"), (201, "four five six"), (202, "four five six"), (203, "one two")]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, node long, grp long")
+    for similar, shingle in (((90, 100), 3), ((80, 100), 5)):
+        sets = [(i, {tuple(t.split()[k : k + shingle]) for k in range(len(t.split()) - shingle + 1)} or {tuple(t.split())}) for i, t in texts]
+        root = {i: i for i, _ in texts}
+        for i, a in sets:
+            for j, b in sets:
+                if 100 * len(a & b) >= similar[0] * len(a | b) and root[i] != root[j]:
+                    low, high = sorted((root[i], root[j]))
+                    root = {k: low if r == high else r for k, r in root.items()}
+        for block in (2048, 7):
+            got = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_classes(frame, similar, shingle, block_sets=block).collect()}
+            assert got == set(root.items())
+
+
 def test_keys_miss_no_link():
     rng = np.random.default_rng(1)
     for similar in ((90, 100), (80, 100)):
@@ -104,9 +129,7 @@ def test_commonness(docs):
         assert table[h >> 64 - ngram_join.CELL_BITS] >= (int(8 * np.log2(n)) if n > 1 else 0)
 
 
-def test_suffix_dedup(docs, none):
-    got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect())
-    texts = sorted((i, (t or "").encode()) for i, t, *_ in rows())
+def removed_by_brute_force(texts):
     want = []
     for i, b in texts:
         earlier = {x[p : p + 50] for j, x in texts if j < i for p in range(len(x) - 49)}
@@ -116,13 +139,54 @@ def test_suffix_dedup(docs, none):
                 gone[p : p + 50] = b"\1" * 50
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    assert got == want
-    assert suffix_dedup.remove_repeats(none).count() == 0
+    return sorted(want)
+
+
+def odd_texts():
+    """Periods, very long texts, common passages in changing surroundings, repeated ids."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcde ") for _ in range(rnd.randrange(1, 30)))
+    out = [(i, word() + PASSAGE * (i % 2) + word() + ("ab" * 90 if i % 5 == 0 else "") + word()) for i in range(60)]
+    return out + [(70, "xyz" * 9000), (71, "q" + "xyz" * 4000), (71, "zzz" + PASSAGE * 2), (72, "a" * 20_000), (73, "b" + "a" * 300), (74, PASSAGE[:49]), (75, None), (76, ""), (3, PASSAGE + "again")]
+
+
+def test_suffix_dedup(spark, docs, none, monkeypatch):
+    for texts in ([(i, t) for i, t, *_ in rows()], odd_texts()):
+        frame = spark.createDataFrame([(i, t, 1, "x") for i, t in texts], "doc_id long, text string, h long, stretch string")
+        want = removed_by_brute_force([(i, (t or "").encode()) for i, t in texts])
+        for hot, cut in ((1000, 4096), (3, 40)):  # the second: most anchors are hot, stretches are short
+            monkeypatch.setattr(suffix_dedup, "HOT", hot)
+            monkeypatch.setattr(suffix_dedup, "CUT", cut)
+            assert sorted(tuple(r) for r in suffix_dedup.digests(frame).collect()) == want
+        full = suffix_dedup.remove_repeats(frame).collect()
+        assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in full) == want
+        assert all(sum(x["end"] - x["start"] for x in r["spans"]) == r["n_removed"] for r in full)
+    assert suffix_dedup.digests(none).count() == suffix_dedup.remove_repeats(none).count() == 0
 
 
 def test_previous_smaller():
     values = np.array([3, 1, 2, 2, 0, 5, 4])
-    assert suffix_dedup.previous_smaller(values, np.zeros(7, np.int64)).tolist() == [-1, -1, 1, 1, -1, 4, 4]
+    common = np.array([0, 9, 9, 7, 9, 9, 5])
+    assert [x.tolist() for x in suffix_dedup.previous_smaller(values, common, 1)] == [[-1, -1, 1, 1, -1, 4, 4], [0, 0, 9, 7, 0, 9, 5]]
+    assert suffix_dedup.previous_smaller(values, common, 6)[0].tolist() == [-1, -1, 1, 1, -1, 4, -1]
+
+
+def test_previous_factors_against_brute_force():
+    rnd = random.Random(8)
+    for length in (3, 8, 13):
+        texts = [bytes(rnd.choice(b"ab\xff\0") for _ in range(rnd.randrange(length, 60))) for _ in range(30)] + [b"a" * 40, b"a" * 25, b"ab" * 20]
+        documents = np.array([rnd.randrange(8) for _ in texts])
+        factors, marks = suffix_dedup.previous_factors(texts, documents, length)
+        order, common = suffix_dedup.suffix_order(np.frombuffer(b"".join(texts), np.uint8), np.arange(20), length)
+        whole = b"".join(texts) + bytes(80)
+        depth = -(-length // 8) * 8
+        heads = [whole[p : p + depth] for p in order]
+        assert heads == sorted(heads)
+        assert common[1:].tolist() == [next((k for k in range(depth) if x[k] != y[k]), depth) for x, y in zip(heads[:-1], heads[1:], strict=True)]
+        for i, t in enumerate(texts):
+            for p in range(len(t) - length + 1):
+                before = any(t[p : p + length] in u for u, d in zip(texts, documents, strict=True) if d < documents[i])
+                assert (factors[marks[i] + p] >= length) == before
 
 
 def test_matroska_round_trip():
@@ -227,7 +291,7 @@ def test_vector_search_finds_all_when_all_leaves_are_visited(spark):
 
 
 def test_attention_lm(docs, none):
-    got = attention_lm.score_documents(docs, rounds=1, share=1.0).collect()
+    got = attention_lm.score_documents(docs).collect()
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows()}
     low = lambda t: [*(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)), None]
     counts = Counter(w for i, t, *_ in rows() if not held[i] for w in low(t))
@@ -236,48 +300,125 @@ def test_attention_lm(docs, none):
     for r in got:
         tokens = low(texts[r["doc_id"]])
         base = sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in tokens)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(tokens), sum(counts[w] > 0 for w in tokens), n)
         assert r["base_score"] == pytest.approx(base) and np.isfinite(r["score"]) and r["score"] < 0
     assert attention_lm.score_documents(none).count() == 0
 
 
-def test_attention_trains_on_every_training_document(spark, docs, monkeypatch):
-    assert attention_lm.CLASSES == 8 * 16 + 1
-    own = docs.filter("doc_id <> 44").select("doc_id", docs.text, attention_lm.held_out(docs.doc_id).alias("held")).fillna("", "text").coalesce(1)
-    vocabulary = spark.sparkContext.broadcast(attention_lm.Vocabulary())
-    sliced = attention_lm.slice_rows(own, vocabulary, 8)
-    default, whole = (attention_lm.train(sliced, vocabulary, attention_lm.Attention(), 0, **share).p for share in ({}, {"share": 1.0}))
-    assert all(np.allclose(default[k], whole[k], atol=1e-6) for k in whole)
-    assert not np.allclose(whole["out"], attention_lm.Attention().p["out"])
-
-
-def test_attention_topics_come_from_all_training_documents(spark):
-    rare = ["zyzzyva", "quokka", "xylyl"]
-    texts = [(i, " ".join(rare) if i % 500 == 0 else f"the thing of {i % 7} and er") for i in range(9000)]
-    frame = spark.createDataFrame(texts, "doc_id long, text string")
-    own = frame.select("doc_id", "text", attention_lm.held_out(frame.doc_id).alias("held"))
-    sliced = attention_lm.slice_rows(own, spark.sparkContext.broadcast(attention_lm.Vocabulary()), 8)
-    v = attention_lm.Vocabulary().fit(sliced)
-    counts = Counter()
-    for i, t in texts:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            ids, sizes = v.subwords(t.split())
-            counts.update(ids.tolist())
-    order = sorted(counts, key=lambda k: (-counts[k], k))
-    assert v.row[order].tolist() == list(range(len(order)))
-    scored = lambda t: v.topic_score[v.subwords(t.split())[0]].sum(axis=0).argmax()
-    assert scored(" ".join(rare)) not in {scored(f"the thing of {k} and er") for k in range(7)}
+def test_attention_lm_without_training_documents_scores_as_the_base(docs):
+    only = docs.filter(attention_lm.held_out(docs.doc_id))
+    assert only.count() and all(r["score"] == r["base_score"] and r["train_tokens"] == 0 for r in attention_lm.score_documents(only).collect())
+
+
+def small_model(texts, taught):
+    """A vocabulary and a model with random parameters, and the words of ``texts`` as a slice has them."""
+    distinct, codes, bounds = attention_lm.words(pa.array(texts, pa.large_string()))
+    ids, sizes = attention_lm.subwords().ids(distinct)
+    times = np.bincount(codes[np.repeat(taught, np.diff(bounds))], minlength=len(sizes))
+    v = attention_lm.Vocabulary(np.bincount(ids, np.repeat(times, sizes), attention_lm.IDS).astype(np.int64), np.bincount(attention_lm.first_ids(ids, sizes)[times > 0], minlength=attention_lm.IDS))
+    x, weight, _ = attention_lm.stream(bounds, codes, ids, sizes, v.unit, np.flatnonzero(taught))
+    pairs = np.zeros((attention_lm.SIZE, attention_lm.SIZE), np.int64)
+    np.add.at(pairs, (x[weight], np.append(x[1:], attention_lm.EDGE)[weight]), 1)
+    return v.fit(pairs), (bounds, codes, ids, sizes, times), pairs
+
+
+def test_attention_scores_agree_with_a_loop_over_ids():
+    """Each id is predicted once, from its window, and a word's rest is the stated mixture."""
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice([*WORDS, "unbelievably", "straßenbahn", "x1y2"]) for _ in range(n)) for n in (0, 1, 5, 40, 90)] + ["neverseen wörds"]
+    v, (bounds, codes, ids, sizes, times), _ = small_model(texts, np.array([True] * 5 + [False]))
+    model, rng, s = attention_lm.Attention(v), np.random.default_rng(5), attention_lm.STRIDE
+    model.p["near"] = rng.normal(size=2 * s).astype(np.float32)
+    got = attention_lm.text_scores(model, v, bounds, codes, ids, sizes, times)
+    p = {k: x.astype(float) for k, x in model.p.items()}
+    starts = np.cumsum(sizes) - sizes
+
+    def probabilities(seen, last):
+        """Of all units, given the places that the window has: those of its own stride up to ``last`` and of the stride before."""
+        low = (last // s) * s - s
+        places = [seen[q] if q >= 0 else attention_lm.EDGE for q in range(low, last + 1)]
+        emb = p["emb"][places]
+        weight = np.exp(emb @ p["k"] @ (emb[-1] @ p["q"] * attention_lm.WIDTH**-0.5) + p["near"][np.arange(len(places))[::-1]])
+        logits = weight @ (emb @ p["v"]) / weight.sum() @ p["out"] + v.class_log[places[-1]]
+        classes = np.exp(logits) / np.exp(logits).sum()
+        units = classes[v.kind] * np.exp(v.unit_log[places[-1]].astype(float))
+        assert units.sum() == pytest.approx(1, abs=1e-4)
+        return units, classes[v.ended :].sum()
+
+    for i in range(len(texts)):
+        seen, total = [attention_lm.EDGE], 0.0
+        for w in codes[bounds[i] : bounds[i + 1]]:
+            own = ids[starts[w] : starts[w] + sizes[w]]
+            units, ended = probabilities(seen, len(seen) - 1)
+            assert np.isclose(ended, units[v.begins].sum(), atol=1e-4)
+            total += np.log(units[v.unit[own[0]]] / ended) + v.within[own[0]]
+            seen.append(int(v.unit[own[0]]))
+            rest = 1.0
+            for x in own[1:]:
+                units, _ = probabilities(seen, len(seen) - 1)
+                rest *= units[v.unit[x]] * np.exp(v.within[x])
+                seen.append(int(v.unit[x]))
+            rest *= probabilities(seen, len(seen) - 1)[1]
+            n, t = v.times[own[0]], v.types[own[0]]
+            known = n / max(1, n + t)
+            total += np.log(known * times[w] / max(1, n) + (1 - known) * rest)
+        units, ended = probabilities(seen, len(seen) - 1)
+        total += np.log(units[attention_lm.EDGE] / ended)
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_subwords_of_odd_words():
+    odd = ["a\u00a0b", "\u3000", "x\u2003", "'s", "don't", "12ab", "...", "é" * 40, "日本語", "\x1c", "plain"]
+    encode = attention_lm.subwords()
+    ids, sizes = encode.ids(pa.array(odd, pa.large_string()))
+    assert encode.encoding.decode(ids.tolist()) == "".join(" " + w for w in odd)
+    plain = [w for w in odd if not re.search("[\u00a0\u3000\u2003]", w)]
+    found, many = encode.ids(pa.array(plain, pa.large_string()))
+    assert [x.tolist() for x in np.split(found, np.cumsum(many)[:-1])] == [encode.encode(" " + w).tolist() for w in plain]
+
+
+def test_attention_counts_and_trains_on_every_training_document(spark, docs, monkeypatch):
+    own = docs.select("doc_id", "text", attention_lm.held_out(docs.doc_id).alias("held")).fillna("", "text").coalesce(3)
+    sliced = attention_lm.slice_rows(own)
+    texts = [(i, t or "") for i, t, *_ in rows()]
+    v, (bounds, codes, ids, sizes, times), pairs = small_model([t for _, t in texts], np.array([zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in texts]))
+    counts = attention_lm.id_counts(sliced)
+    assert counts.tolist() == v.times.tolist() and (attention_lm.pair_counts(sliced, v.unit) == pairs).all()
+    rounds = attention_lm.round_of([i for i, _ in texts], 2)
+    assert set(rounds) == {0, 1}
+    given = spark.sparkContext.broadcast(v)
+    for number in range(2):
+        model = attention_lm.Attention(v)
+        start = model.p["out"].copy()
+        after = attention_lm.train(attention_lm.slice_rows(own.coalesce(1)), given, model, number)
+        learner = attention_lm.Learner(attention_lm.Attention(v), v)
+        chosen = np.flatnonzero([zlib.crc32(str(i).encode()) % 7 != 2 and r == number for (i, _), r in zip(texts, rounds, strict=True)])
+        learner.learn(*attention_lm.stream(bounds, codes, ids, sizes, v.unit, chosen)[:2], number)
+        n = np.diff(bounds)[chosen].sum()
+        assert n and learner.seen == sum(int(sizes[codes[bounds[i] : bounds[i + 1]]].sum()) + 1 for i in chosen)
+        assert not np.allclose(after.p["out"], start)
+    monkeypatch.setattr(attention_lm, "FAN", 2)  # sums by levels
+    assert attention_lm.id_counts(sliced).tolist() == counts.tolist()
+
+
+def test_attention_beats_the_base_on_held_out_documents(spark):
+    rnd = random.Random(9)
+    kinds = [["the", "of", "and", "thing", "there"], ["der", "die", "straße", "und", "nicht"], ["que", "de", "ción", "los", "para"]]
+    data = [(i, " ".join(rnd.choice(kinds[i % 3]) for _ in range(rnd.randrange(5, 80)))) for i in range(400)]
+    got = attention_lm.score_documents(spark.createDataFrame(data, "doc_id long, text string")).filter("held_out").collect()
+    assert len(got) > 30 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 0.1 * sum(r["n_tokens"] for r in got)
 
 
 def test_attention_gradient():
-    model, rng = attention_lm.Attention(), np.random.default_rng(0)
-    x = rng.normal(size=(9, attention_lm.WIDTH)).astype(np.float32)
-    codes, valid = rng.integers(0, 9, (2, 2 * attention_lm.STRIDE)), np.ones((2, 2 * attention_lm.STRIDE), bool)
-    target, scored = rng.integers(0, attention_lm.CLASSES, (2, attention_lm.STRIDE)), np.ones((2, attention_lm.STRIDE), bool)
-    loss = lambda: -model.log_probability(model.project(x), codes, valid, target).astype(float).mean()
-    g, _ = model.gradient(x, codes, valid, target, scored)
-    for name in ("q", "k", "v", "near", "out", "bias"):
-        p = model.p[name]
+    v, _, _ = small_model(["the of thing and er"] * 4, np.ones(4, bool))
+    model, rng = attention_lm.Attention(v), np.random.default_rng(0)
+    emb = rng.normal(size=(9, attention_lm.WIDTH)).astype(np.float32)
+    x = rng.integers(0, 9, (2, 3 * attention_lm.STRIDE)).astype(np.int16)
+    n = 2 * 2 * attention_lm.STRIDE
+    target, weight, class_log = rng.integers(0, attention_lm.CLASSES, n), rng.random(n) < 0.7, rng.normal(size=(9, attention_lm.CLASSES)).astype(np.float32)
+    loss = lambda: -model.log_probability(*model.tables(emb), x, target, class_log)[0].astype(float)[weight].mean()
+    g = model.gradient(emb, x, target, weight, class_log)
+    for name, p in [*((k, model.p[k]) for k in ("q", "k", "v", "near", "out")), ("emb", emb)]:
         i = np.unravel_index(np.abs(g[name]).argmax(), p.shape)
         step, before = np.float32(0.02), p[i]
         p[i] = before + step
