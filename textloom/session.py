@@ -30,23 +30,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests,
-    one temporary folder per session is made and kept in the setting.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset and the driver is all
+    there is, as in tests, one temporary folder per session is made and kept in the setting;
+    on a cluster a machine's own folder would lose rows, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder in the shared one that holds this application's tables."""
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
-    The files outlive any executor, so a lost one costs only its own running tasks.
+    The files outlive any executor, so a lost one costs only its own running tasks. They stay
+    as long as something may read them: until ``discard``, or until ``clean`` at the end.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,3 +67,9 @@ def discard(df: DataFrame) -> None:
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application materialised, once none of its results is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
