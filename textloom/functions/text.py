@@ -47,9 +47,18 @@ def get_ext(path: Column) -> Column:
 
 
 def strip_locale(path: Column) -> Column:
-    """Without the first locale suffix that stands before a dot or the end."""
-    codes = "|".join(LOCALES)
-    return F.regexp_replace(path, rf"(?i)^(.*?)[_-](?:{codes})(?:[_-][A-Z]{{2}})?(?=\.|$)", "$1")
+    """Without the first locale that ends a part between dots: a name of ``LOCALES`` after - or _, or such a name and two more letters."""
+    known = lambda x: F.lower(x).isin(*LOCALES)
+    parts = F.split(path, r"\.", -1)
+
+    def excess(part):
+        names = F.split(part, "[_-]", -1)
+        last, before = F.element_at(names, -1), F.when(F.size(names) > 2, F.try_element_at(names, F.lit(-2)))
+        return F.when(known(before) & last.rlike("^[A-Za-z]{2}$"), F.length(before) + F.length(last) + 2).when((F.size(names) > 1) & known(last), F.length(last) + 1).otherwise(0)
+
+    cuts = F.transform(parts, excess)
+    first = F.array_position(F.transform(cuts, lambda n: n > 0), True)
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i + 1 == first, F.left(x, F.length(x) - F.get(cuts, i))).otherwise(x)), ".")
 
 
 def entropy(text: Column) -> Column:

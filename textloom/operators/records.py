@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import entropy, mask
+from textloom.functions.text import entropy, mask, norm_line, slashes
+from textloom.operators import diffs
+from textloom.session import discard, materialise
 
 #: Words in a subject that make a commit a fix (fixed values).
 FIXES = ("fix", "bug", "hotfix", "patch", "regression")
-#: Extensions that a module's name may lack.
+#: Extensions that a module's name may lack (fixed values).
 MODULE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-#: Import forms; group 1 is the specifier.
-IMPORTS = (r"import\s+(?:[^\"']+\s+from\s+)?[\"']([^\"']+)[\"']", r"export\s+(?:[^\"']+\s+from\s+)?[\"']([^\"']+)[\"']", r"require\s*\(\s*[\"']([^\"']+)[\"']\s*\)", r"import\s*\(\s*[\"']([^\"']+)[\"']\s*\)")
 #: Secrets by name; group 1 is the secret.
 SECRETS = (
     ("cloud_access_key", r"\b(AKIA[0-9A-Z]{16})\b"),
@@ -50,12 +50,48 @@ def requirements_txt(path: Column, text: Column, files: DataFrame) -> DataFrame:
 
 
 def go_mod(path: Column, text: Column, files: DataFrame) -> DataFrame:
-    """path, name, constraint of require lines and blocks."""
-    block = F.regexp_extract_all(text, F.lit(r"(?ms)^require\s*\((.*?)^\)"), F.lit(1))
-    single = F.regexp_extract_all(text, F.lit(r"(?m)^require\s+([^\s(].*)$"), F.lit(1))
-    lines = files.select(path.alias("path"), F.posexplode(F.concat(F.flatten(F.transform(block, lambda b: F.split(b, "\n"))), single)).alias("p", "l"))
-    lines = lines.withColumn("l", F.regexp_replace(F.regexp_replace("l", "//.*$", ""), r"^\s+|\s+$", "")).filter("l <> ''")
-    return lines.select("path", F.regexp_extract("l", r"^(\S+)", 1).alias("name"), F.regexp_extract("l", r"^\S+\s+(\S+)", 1).alias("constraint"), "p").groupBy("path", "name").agg(F.max_by("constraint", "p").alias("constraint"))
+    """path, name, constraint of require lines and blocks; the last line of a module wins, lines of less than two words drop out.
+
+    Whether a line is in a block is what the last opening or closing line before it says.
+    """
+    lines = files.select(path.alias("path"), F.posexplode(F.split(text, "\n", -1)).alias("p", "l")).withColumn("l", norm_line(F.col("l")))
+    opens, closes = F.col("l").startswith("require ("), F.col("l") == ")"
+    before = Window.partitionBy("path").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(before), F.lit(False))
+    said = lines.withColumn("inside", inside).filter(~opens & ~(closes & F.col("inside")) & (F.col("inside") | F.col("l").startswith("require ")))
+    words = F.split(norm_line(F.regexp_replace(F.when(F.col("inside"), F.col("l")).otherwise(F.expr("substring(l, 9)")), r"\s*//.*$", "")), r"\s+")
+    return said.select("path", "p", words.alias("w")).filter("size(w) > 1").groupBy("path", F.get("w", F.lit(0)).alias("name")).agg(F.max_by(F.get("w", F.lit(1)), "p").alias("constraint"))
+
+
+def manifest_format(path: Column) -> Column:
+    """npm, pip or go by the file's name; null for others."""
+    return F.when(path.endswith("package.json"), "npm").when(path.endswith("requirements.txt"), "pip").when(path.endswith("go.mod"), "go")
+
+
+def manifest_entries(files: DataFrame) -> DataFrame:
+    """path, name, constraint of manifests of any known format. ``files``: path, content."""
+    own = lambda kind: files.filter(manifest_format(F.col("path")) == kind)
+    parsed = [package_json(F.col("path"), F.col("content"), own("npm")).filter("name is not null").drop("reason"), requirements_txt(F.col("path"), F.col("content"), own("pip")), go_mod(F.col("path"), F.col("content"), own("go"))]
+    return parsed[0].unionByName(parsed[1]).unionByName(parsed[2])
+
+
+def dependency_diff(manifests: DataFrame) -> DataFrame:
+    """path, name, change (added or removed), constraint and unpinned (of added names), reason.
+
+    ``manifests``: path, before, after (contents; null or empty: not there). What has another
+    constraint only is no change. A path of no known format, or without content after the
+    change, is one row with a reason.
+    """
+    files = manifests.withColumn("path", slashes(F.col("path")))
+    kind = manifest_format(F.col("path"))
+    why = F.when(kind.isNull(), F.concat(F.lit("unsupported dependency manifest: "), "path")).when(F.coalesce(F.col("after"), F.lit("")) == "", F.concat(F.lit("could not read "), "path"))
+    fine = files.filter(why.isNull())
+    sides = [manifest_entries(fine.select("path", F.col(side).alias("content"))) for side in ("before", "after")]
+    changed = snapshot_diff(*sides, ["path", "name"]).join(sides[1], ["path", "name"], "left")
+    none = F.lit(None).cast("string")
+    loose = F.when(F.col("change") == "added", F.coalesce(*[F.when(manifest_format(F.col("path")) == k, unpinned(F.col("constraint"), k)) for k in ("npm", "pip", "go")]))
+    found = changed.select("path", "name", "change", "constraint", loose.alias("unpinned"), none.alias("reason"))
+    return found.unionByName(files.filter(why.isNotNull()).select("path", none.alias("name"), none.alias("change"), none.alias("constraint"), F.lit(None).cast("boolean").alias("unpinned"), why.alias("reason")))
 
 
 def unpinned(constraint: Column, kind: str = "npm") -> Column:
@@ -78,9 +114,32 @@ def history_stats(commits: DataFrame, key: str, ts: str, subject: str) -> DataFr
     return commits.groupBy(key).agg(F.count("*").alias("total_commits"), F.max(ts).alias("last_modified"), F.avg(F.coalesce(fix, F.lit(False)).cast("double")).alias("fix_commit_ratio"))
 
 
+def follow_renames(commits: DataFrame, renames: DataFrame, rounds: int = 40) -> DataFrame:
+    """``commits`` with path as the file is called now. ``renames``: old, new; a name is given away once, and chains are halved in each round."""
+    now = materialise(renames.select("old", "new").filter(F.col("old") != F.col("new")).dropDuplicates(["old"]), "renames")
+    for _ in range(rounds):
+        further = now.select(F.col("old").alias("new"), F.col("new").alias("_later"))
+        after = materialise(now.join(further, "new", "left").select("old", F.coalesce("_later", "new").alias("new"), F.col("_later").isNotNull().alias("moved")), "renames")
+        discard(now)
+        now = after.select("old", "new")
+        if not after.filter("moved").head(1):
+            break
+    else:
+        raise RuntimeError("renames go in a circle")
+    return commits.join(now.select(F.col("old").alias("path"), "new"), "path", "left").withColumn("path", F.coalesce("new", "path")).drop("new")
+
+
 def import_edges(files: DataFrame, path: str, text: str) -> DataFrame:
-    """importer, specifier."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in IMPORTS]))
+    """importer, specifier: what stands between two quotes after an import, an export, their ``from``, or the parenthesis of a call to require or import."""
+    pieces = F.split(text, "[\"']", -1)
+    stated = lambda before: before.rlike(r"(?s)(import|export)\s+([^\s].*\s+from\s+)?$")
+    called = lambda before, after: before.rlike(r"(require|import)\s*\($|(require|import)\s*\(\s+$") & after.rlike(r"^\s*\)")
+
+    def specifier(piece, i):
+        before, after = F.get(pieces, i - 1), F.get(pieces, i + 1)
+        return F.when((i > 0) & (piece != "") & after.isNotNull() & (stated(before) | called(before, after)), piece)
+
+    found = F.filter(F.transform(pieces, specifier), lambda x: x.isNotNull())
     return files.select(F.col(path).alias("importer"), F.explode(F.array_distinct(found)).alias("specifier"))
 
 
@@ -106,6 +165,12 @@ def links(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit('href="([^"]+)"'), F.lit(1)))).alias("target"))
 
 
+def added_lines(changes: DataFrame, key: str, diff: str) -> DataFrame:
+    """key, path, line, content of the lines that diffs add."""
+    rows = diffs.parse(changes, key, diff).filter("type = 'added'")
+    return rows.select(key, F.col("new_path").alias("path"), F.col("new_no").cast("int").alias("line"), "content")
+
+
 def scan_secrets(lines: DataFrame, key: str, content: str = "content") -> DataFrame:
     """key, line, pattern, matched (masked): known patterns, then literals of high entropy on lines without one."""
 
@@ -118,32 +183,48 @@ def scan_secrets(lines: DataFrame, key: str, content: str = "content") -> DataFr
     return lines.select(key, "line", F.explode(all_of).alias("s")).select(key, "line", "s.pattern", mask(F.col("s.secret")).alias("matched"))
 
 
-#: Line formats of text linters: expression, and the groups of path, line, severity and message.
-LINE_FORMATS = {
-    "tsc": (r"^(.+?)\((\d+),\d+\): (error|warning|info) TS\d+: (.*)$", (1, 2, 3, 4)),
-    "go_vet": (r"^(?!#)([^:]+):(\d+):(?:\d+:)? ?(.*)$", (1, 2, 0, 3)),
-    "clippy": (r"^([^:]+):(\d+):\d+: (error|warning|note|help): (.*)$", (1, 2, 3, 4)),
-}
+#: Where a linter's line says it is: path and line, in lazy order of places.
+PLACES = {"call": r"(.+?)\((\d+),\d+\)", "line": r"(.+?):(\d+)", "line and column": r"(.+?):(\d+):\d+"}
+#: Of each text linter: its place, the severities that it names (none: all are warnings), the code after them.
+TEXT_LINTERS = {"tsc": ("call", ("error", "warning", "info"), r"\s+TS\d+"), "go_vet": ("line", (), ""), "clippy": ("line and column", ("error", "warning"), "")}
 
 
 def lint_lines(output: DataFrame, tool: str, content: str = "content") -> DataFrame:
-    """``output`` with path, line, severity, message, tool of the lines in the tool's format."""
-    form, (p, n, s, m) = LINE_FORMATS[tool]
+    """``output`` with path, line, severity, message, tool of the lines in the tool's format; lines whose path begins with # are the tool's own notes."""
+    place, severities, code = TEXT_LINTERS[tool]
+    named = rf"\s+({'|'.join(severities)}){code}:" if severities else ""
+    form = rf"^{PLACES[place]}:{named}\s+(.+)\z"
     part = lambda i: F.regexp_extract(content, form, i)
-    severity = F.when(part(s).isin("error", "warning"), part(s)).otherwise("info") if s else F.lit("warning")
-    return output.filter(F.col(content).rlike(form)).withColumns({"path": part(p), "line": part(n).cast("int"), "severity": severity, "message": part(m), "tool": F.lit(tool)})
+    found = output.filter(F.col(content).rlike(form) & ~part(1).startswith("#"))
+    return found.withColumns({"path": slashes(part(1)), "line": part(2).cast("int"), "severity": part(3) if severities else F.lit("warning"), "message": part(4 if severities else 3), "tool": F.lit(tool)})
 
 
 def lint_json(output: DataFrame, tool: str, content: str) -> DataFrame:
     """path, line, severity, message, tool of eslint's or ruff's JSON; text that doesn't parse gives no rows."""
+    text = lambda message, code: F.concat(F.coalesce(message, F.lit("")), F.coalesce(F.concat(F.lit(" ("), F.when(code != "", code), F.lit(")")), F.lit("")))
+    where = lambda path, line: (slashes(F.coalesce(path, F.lit(""))).alias("path"), F.coalesce(line, F.lit(0)).alias("line"))
     if tool == "eslint":
         rows = output.select(F.explode(F.from_json(content, "array<struct<filePath string, messages array<struct<line int, severity int, message string, ruleId string>>>>")).alias("f")).select("f.filePath", F.explode("f.messages").alias("m"))
         severity = F.when(F.col("m.severity") == 2, "error").when(F.col("m.severity") == 1, "warning").otherwise("info")
-        return rows.select(F.col("filePath").alias("path"), F.col("m.line").alias("line"), severity.alias("severity"), F.concat("m.message", F.coalesce(F.concat(F.lit(" ("), "m.ruleId", F.lit(")")), F.lit(""))).alias("message"), F.lit(tool).alias("tool"))
+        return rows.select(*where(F.col("filePath"), F.col("m.line")), severity.alias("severity"), text(F.col("m.message"), F.col("m.ruleId")).alias("message"), F.lit(tool).alias("tool"))
     rows = output.select(F.explode(F.from_json(content, "array<struct<filename string, code string, message string, location struct<row int>>>")).alias("m"))
-    return rows.select(F.col("m.filename").alias("path"), F.col("m.location.row").alias("line"), F.lit("warning").alias("severity"), F.concat("m.message", F.coalesce(F.concat(F.lit(" ("), "m.code", F.lit(")")), F.lit(""))).alias("message"), F.lit(tool).alias("tool"))
+    return rows.select(*where(F.col("m.filename"), F.col("m.location.row")), F.lit("warning").alias("severity"), text(F.col("m.message"), F.col("m.code")).alias("message"), F.lit(tool).alias("tool"))
+
+
+def lint_findings(output: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """path, line, severity, message, tool of all tools' output. ``output``: tool, content (all that it said); unknown tools give nothing."""
+    found = None
+    for tool in ("eslint", "ruff", *TEXT_LINTERS):
+        own = output.filter(F.col("tool") == tool)
+        if tool in TEXT_LINTERS:
+            own = lint_lines(own.select(F.explode(F.split("content", "\n", -1)).alias("content")), tool).drop("content")
+        else:
+            own = lint_json(own, tool, "content")
+        own = own.select("path", F.col("line").cast("int").alias("line"), "severity", "message", "tool")
+        found = own if found is None else found.unionByName(own)
+    return findings_of(found, files)
 
 
 def findings_of(findings: DataFrame, files: DataFrame | None) -> DataFrame:
-    """Only findings in the files asked for; all, if none are."""
+    """Only findings in the files asked for; all, if none are asked for."""
     return findings if files is None else findings.join(files.select("path").distinct(), "path", "left_semi")
