@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import get_ext, strip_ext, strip_locale
+from textloom.functions.text import change_density, get_ext, strip_ext, strip_locale
 
 #: Characters of a bundle.
 CAP = 20_000
@@ -24,12 +24,53 @@ def fold_bins(sizes: Column, cap: int = CAP) -> Column:
 
 
 def pack(files: DataFrame, group: list[str], size: str, order: list[Column], cap: int = CAP) -> DataFrame:
-    """``files`` with bin and bin_size: a greedy fold within each group, in order. A group is what belongs together (a pair, variants), so it is small."""
-    item = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*[c for c in files.columns]).alias("row"))
-    grouped = files.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    bins = grouped.withColumn("bins", fold_bins(F.transform("items", lambda x: x["row"][size]), cap))
-    out = bins.select(F.explode(F.arrays_zip("items", "bins")).alias("x")).select("x.items.row.*", F.col("x.bins").alias("bin"))
-    return out.withColumn("bin_size", F.sum(size).over(Window.partitionBy(*group, "bin")))
+    """``files`` with bin and bin_size: a greedy fold within each group, in order.
+
+    The fold goes through what decides it alone, order and size of each file, which are then
+    known by their place; files learn their bin from a join on group and place.
+    """
+    keys = [f"_g{i}" for i in range(len(group))]
+    placed = files.select("*", *[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    sizes = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", F.col(size).cast("long").alias("size")))).alias("_items"))
+    folded = sizes.select(*keys, F.explode(F.arrays_zip(F.transform("_items", lambda x: x["_at"]).alias("at"), fold_bins(F.transform("_items", lambda x: x["size"]), cap).alias("bin"))).alias("x"))
+    folded = folded.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("x.at").alias("_at_"), F.col("x.bin").alias("bin"))
+    same = F.col("_at") == F.col("_at_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    out = placed.join(folded, same).withColumn("bin_size", F.sum(size).over(Window.partitionBy(*keys, "bin")))
+    return out.select(*files.columns, "bin", "bin_size")
+
+
+def file_bundles(files: DataFrame, path: str = "path", position: str = "position", cap: int = CAP) -> DataFrame:
+    """``files`` (path, position, diff, additions, deletions) with reason, group_id, bin and total_chars: grouped, the densest change of a group first, packed up to the cap. Files without a diff drop out."""
+    grouped = pairing_groups(files.filter(F.col("diff").isNotNull()), path, position).withColumn("_size", F.length("diff"))
+    density = change_density(F.col("additions"), F.col("deletions"), F.col("diff"))
+    return pack(grouped, ["group_id"], "_size", [F.desc(density), F.col(position)], cap).withColumnRenamed("bin_size", "total_chars").drop("_size")
+
+
+def json_keys(files: DataFrame, path: str, text: str) -> DataFrame:
+    """path, keys: the top-level keys of a JSON object, the places of an array; null for any other text."""
+    value = F.try_parse_json(F.col(text))
+    places = F.transform(F.sequence(F.lit(1), F.json_array_length(text)), lambda i: (i - 1).cast("string"))
+    listed = F.when(F.json_array_length(text) > 0, places).when(F.json_array_length(text) == 0, F.array().cast("array<string>"))
+    return files.select(path, F.when(value.isNotNull(), F.array_distinct(F.coalesce(F.json_object_keys(text), listed))).alias("keys"))
+
+
+def bundle_keys(bundled: DataFrame, contents: DataFrame, path: str = "path") -> DataFrame:
+    """Of locale variants' last bundle in each group: group_id, path, missing and extra keys (sorted), and a reason where a file holds no JSON keys.
+
+    ``bundled``: of ``file_bundles``; ``contents``: path, content. A key is extra if another file of the bundle lacks it.
+    """
+    last = bundled.filter("reason = 'i18n_variants'").select("group_id", "bin", path).withColumn("_last", F.max("bin").over(Window.partitionBy("group_id"))).filter("bin = _last")
+    held = last.select("group_id", path).join(json_keys(contents, path, "content"), path, "left")
+    per = key_consistency(held.select("group_id", path, F.explode("keys").alias("key")), ["group_id"], path, "key").groupBy("group_id", path).agg(
+        F.sort_array(F.collect_list(F.when(F.col("missing"), F.col("key")))).alias("missing"), F.sort_array(F.collect_list(F.when(F.col("extra"), F.col("key")))).alias("extra")
+    )
+    none = F.array().cast("array<string>")
+    unions = held.groupBy("group_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("_all"))
+    out = held.join(per, ["group_id", path], "left").join(unions, "group_id")  # a file without any key lacks all of them
+    empty = F.col("keys").isNotNull() & (F.size("keys") == 0)
+    return out.select("group_id", path, F.when(empty, F.col("_all")).otherwise(F.coalesce("missing", none)).alias("missing"), F.coalesce("extra", none).alias("extra"), F.when(F.col("keys").isNull(), "not parseable as JSON").alias("reason"))
 
 
 def test_key(path: Column) -> tuple[Column, Column]:

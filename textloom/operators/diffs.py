@@ -15,6 +15,11 @@ def pre_snapshot(ref: Column) -> Column:
     return F.when(ref.contains("..."), None).when(ref.rlike(r"^.+?\.\..+$"), F.regexp_extract(ref, r"^(.+?)\.\.(.+)$", 1)).otherwise(F.lit("HEAD"))
 
 
+def search_snapshot(ref: Column) -> Column:
+    """Where a search looks: HEAD: the work tree; a..b: b; any other ref, unlike in ``post_snapshot``: itself."""
+    return F.when(ref == "HEAD", "WORKTREE").when(ref.rlike(r"^.+?\.\..+$"), F.regexp_extract(ref, r"^(.+?)\.\.(.+)$", 2)).otherwise(ref)
+
+
 def file_lines(text: Column) -> Column:
     """Lines of a file without the empty one after a final line end."""
     split = F.split(text, "\n", -1)

@@ -15,7 +15,7 @@ def lines(files: DataFrame, key: str, text: str) -> DataFrame:
     """key, line (from 1), content; a text's final empty line is no line."""
     split = F.split(text, "\n", -1)
     split = F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)
-    return files.select(key, F.posexplode(split).alias("p", "content")).select(key, (F.col("p") + 1).alias("line"), "content")
+    return files.select(key, F.posexplode(split).alias("_at", "content")).select(key, (F.col("_at") + 1).alias("line"), "content")
 
 
 def search(files: DataFrame, key: str, text: str, query: str, include=(), exclude=(), path: str | None = None) -> DataFrame:
@@ -46,6 +46,18 @@ def totals(found: DataFrame, most: int = MATCHES) -> DataFrame:
     return found.agg(F.count("*").alias("total_matches")).withColumn("truncated", F.col("total_matches") > most)
 
 
+def outcome(files: DataFrame, key: str, text: str, query: str, include=(), exclude=(), path: str | None = None, most: int = MATCHES) -> DataFrame:
+    """One row: query, total_matches, truncated, reason (why there is none; null if the query matched anywhere, in files that the paths leave out as well)."""
+    out = lambda found, why: totals(found, most).select(F.lit(query).alias("query"), "total_matches", "truncated", why.alias("reason"))
+    if not query:
+        return out(search(files, key, text, query), F.lit("empty query"))
+    where = F.col("_path")
+    passes = (where.rlike(any_glob(include)) if include else F.lit(True)) & (~where.rlike(any_glob(exclude)) if exclude else F.lit(True))
+    own = files.select(F.col(path or key).cast("string").alias("_path"), F.col(text).alias("_text"))
+    found = search(own, "_path", "_text", query).agg(F.count("*").alias("n"), F.count_if(passes).alias("total_matches"))
+    return found.select(F.lit(query).alias("query"), "total_matches", (F.col("total_matches") > most).alias("truncated"), F.when(F.col("n") == 0, "no matches or invalid pattern").alias("reason"))
+
+
 def context(files: DataFrame, text: str, start: Column, end: Column, most: int = CONTEXT) -> DataFrame:
     """Adds start_line, end_line, content, truncated, reason: the lines start..end, within the file and the cap."""
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)

@@ -33,16 +33,25 @@ def locate_exact(comments: DataFrame, files: DataFrame, on: list[str], code: str
 
 
 def first_line_index(files: DataFrame, key: str, text: str) -> DataFrame:
-    """line, key, p, run: every line that isn't blank, with the lines from it on (a few, for verification by the caller)."""
-    lines = norm_lines(F.col(text))
-    return files.select(key, lines.alias("_l")).select(key, F.posexplode("_l").alias("p", "line"), "_l")
+    """line, key, p (from 0): every line that isn't blank."""
+    return files.select(key, F.posexplode(norm_lines(F.col(text))).alias("p", "line"))
 
 
 def search_snippets(snippets: DataFrame, files: DataFrame, snippet_key: str, snippet: str, key: str, text: str) -> DataFrame:
-    """Every file's first run of every snippet: an equality join on the snippet's first line, then the whole run. Empty snippets match nothing."""
-    wanted = snippets.select(snippet_key, norm_lines(F.col(snippet)).alias("_target")).filter(F.size("_target") > 0).withColumn("line", F.get("_target", F.lit(0)))
-    met = first_line_index(files, key, text).join(wanted, "line").filter(F.slice("_l", F.col("p") + 1, F.size("_target")) == F.col("_target"))
-    return met.groupBy(snippet_key, key).agg((F.min("p") + 1).alias("at"))
+    """Every file's first run of every snippet: an equality join on the snippet's first line, then the whole run. Empty snippets match nothing.
+
+    Lines meet without the files that they are of; only where a first line is found, and the
+    snippet has more than that, the file's lines are joined back.
+    """
+    wanted = snippets.select(F.col(snippet_key).alias("_s"), norm_lines(F.col(snippet)).alias("_target")).filter(F.size("_target") > 0).withColumn("line", F.get("_target", F.lit(0)))
+    index = first_line_index(files.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t")
+    met = index.join(wanted.select("_s", "line", (F.size("_target") > 1).alias("_more")), "line").groupBy("_s", "_k", "_more").agg(F.sort_array(F.collect_set("p")).alias("_at"))
+    done = met.filter("not _more").select("_s", "_k", (F.get("_at", F.lit(0)) + 1).alias("at"))
+    texts = files.select(F.col(key).alias("_k"), norm_lines(F.col(text)).alias("_l"))
+    long = met.filter("_more").join(wanted.select("_s", "_target"), "_s").join(texts, "_k")
+    first = F.get(F.filter("_at", lambda p: F.slice(F.col("_l"), p + 1, F.size("_target")) == F.col("_target")), F.lit(0))
+    found = done.unionByName(long.select("_s", "_k", (first + 1).alias("at")).filter("at is not null"))
+    return found.groupBy(F.col("_s").alias(snippet_key), F.col("_k").alias(key)).agg(F.min("at").alias("at"))
 
 
 def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:

@@ -35,6 +35,14 @@ def untracked(files: DataFrame, head: str = "HEAD", worktree: str = "WORKTREE")
     return files.filter(F.col("snapshot") == worktree).join(known, "path", "left_anti").select("path", "content")
 
 
+def statuses(files: DataFrame, head: str = "HEAD", worktree: str = "WORKTREE") -> DataFrame:
+    """path, status (untracked or modified) of the files that the work tree has otherwise than the head, or not at all."""
+    old, new = (files.filter(F.col("snapshot") == s).select("path", F.col("content").alias(name)) for s, name in ((head, "_old"), (worktree, "_new")))
+    both = old.withColumn("_known", F.lit(True)).join(new, "path", "full")
+    changed = F.col("_known").isNull() | ~F.col("_old").eqNullSafe(F.col("_new"))
+    return both.filter(changed).select("path", F.when(F.col("_known").isNull(), "untracked").otherwise("modified").alias("status"))
+
+
 def workspace_diffs(tracked: DataFrame, new_files: DataFrame) -> DataFrame:
     """path, diff: those of tracked files, and a synthesised one for each new file whose name and content aren't binary."""
     made = new_files.filter(~selection.is_binary_path(F.col("path"))).select("path", diffs.synthesize(F.col("path"), F.col("content")).alias("diff"))

@@ -14,7 +14,11 @@ def read_folder(spark: SparkSession, folder: str, extensions=SOURCES) -> DataFra
     """path (relative), content of the text files under a folder."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").format("binaryFile").load(folder)
     skipped = "(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")(/|$)"
-    relative = F.regexp_replace("path", r"^.*?" + folder.rstrip("/").split("/")[-1] + "/", "")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(hadoop).toString().rstrip("/")
+    bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")  # noqa: E731  # file:/x and file:///x are one folder
+    relative = F.expr(f"substring(_bare, {len('/' + root.split(':', 1)[-1].lstrip('/')) + 2})")
+    files = files.withColumn("_bare", bare(F.col("path")))
     return files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content")).filter(~F.col("path").rlike(skipped))
 
 
@@ -24,5 +28,17 @@ def read_rules(spark: SparkSession, file: str) -> DataFrame:
     return rows.select("ord", F.coalesce("r.pattern", "r.path").alias("pattern"), "r.rule").filter("pattern is not null and rule is not null")
 
 
+def read_patches(spark: SparkSession, folder: str) -> DataFrame:
+    """file, diff: the whole text of each patch file."""
+    return spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("diff"))
+
+
+def read_log(spark: SparkSession, file: str, path: str) -> DataFrame:
+    """path, hash, ts, subject of a commit log with a line for each commit: hash, ISO date and subject between tabs; other lines drop out."""
+    part = F.split("value", "\t", 3)
+    rows = spark.read.text(file).filter(F.size(part) == 3).select(F.lit(path).alias("path"), F.get(part, F.lit(0)).alias("hash"), F.try_to_timestamp(F.get(part, F.lit(1))).alias("ts"), F.get(part, F.lit(2)).alias("subject"))
+    return rows.filter("hash <> ''")
+
+
 def write_json(df: DataFrame, folder: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
