@@ -78,7 +78,7 @@ def content_fallback(spark, sf_dir):
 
 
 def requirements_parse(spark, sf_dir):
-    line = F.concat(F.lit("pkg_"), "p_partkey", F.lit("[extra] >=1."), "p_size", F.lit(" ; python_version"))
+    line = F.concat(F.lit("pkg_"), "p_partkey", F.lit(" <1\npkg_"), "p_partkey", F.lit("[extra] >=1."), "p_size", F.lit(" ; python_version"))
     files = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).alias("g")).agg(F.concat(F.lit("# pins\n-r base\n\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
     return records.requirements_txt(F.col("g"), F.col("text"), files)
 
@@ -91,7 +91,7 @@ def package_json_parse(spark, sf_dir):
 
 
 def go_mod_parse(spark, sf_dir):
-    text = F.concat(F.lit("module m\n\nrequire (\n\tx/a v1."), "p_size", F.lit(" // indirect\n\tx/b v2.0.0\n)\nrequire y/"), "p_partkey", F.lit(" v3\n"))
+    text = F.concat(F.lit("module m\nrequire x/b v0\n\nrequire (\n\tx/a v1."), "p_size", F.lit(" // indirect\n\tx/b v2.0.0\n  )\nrequire lonely\nrequire y/"), "p_partkey", F.lit(" v3\n"))
     return records.go_mod(F.col("p_partkey"), F.col("text"), table(spark, sf_dir, "part").select("p_partkey", text.alias("text")))
 
 
