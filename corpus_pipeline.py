@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import language_id, line_dedup, mixing, ngram_join, packing
-from textloom.session import materialise, table
+from textloom.session import discard, materialise, table
 
 #: Near-duplicate stage: words of a shingle, and the least similarity.
 SHINGLE, SIMILAR = 5, (80, 100)
@@ -43,12 +43,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", detect_language), ("line_dedup", drop_lines), ("ngram_join", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
 
-#: Language models and the subword vocabulary can't be expressed in SQL; tests hold the stages against brute force.
+#: Language models and the subword vocabulary can't be expressed in SQL; a test holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:  # nothing reads it any more
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
