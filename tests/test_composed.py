@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import bundles, diffs, lines, locate, records, review
+from textloom.operators import bundles, diffs, lines, locate, records, review, selection
 from textloom.plans import catalogue, changes, composed
 from textloom.sources import corpus
 from textloom.streaming import scan
@@ -17,6 +17,7 @@ SMALL = "/root/testdata/sf0.001"
         (composed.file_bundles, "reason = 'i18n_variants' and bin > 0"), (composed.file_bundles, "reason = 'test_source_pair'"), (composed.bundle_keys, "missing <> '' and extra <> ''"), (composed.bundle_keys, "reason <> ''"),
         (composed.dependency_changes, "change = 'added' and unpinned = 'true'"), (composed.dependency_changes, "change = 'removed'"), (composed.dependency_changes, "reason like 'unsupported%'"), (composed.dependency_changes, "reason like 'could not%'"),
         *[(composed.lint_all, f"tool = '{t}'") for t in ("eslint", "ruff", "tsc", "go_vet", "clippy")], *[(composed.added_secrets, f"pattern = '{k}'") for k in ("cloud_access_key", "private_key", "json_web_token", "assigned_secret", "high_entropy")],
+        *[(composed.configured_paths, f"outcome = '{o}'") for o in ("binary", "excluded", "not_included", "kept")], (composed.prompt_sections, "first = 'own'"), (composed.search_skips_binary, "doc_id % 5 = 1"),
         (composed.search_outcome, "reason = 'empty query'"), (composed.search_outcome, "total_matches > 0"), (composed.snapshots_of_refs, "search <> post"), (composed.work_tree_status, "status = 'modified'"),
         *[(composed.status_derivation, f"status = '{s}'") for s in ("added", "deleted", "renamed", "modified")], (catalogue.locate_exact, "item_id <> doc_id"), *[(catalogue.locate_cascade, f"located_by = '{b}'") for b in ("text_match", "fuzzy_match", "failed")],
         (catalogue.locate_cascade, "located_by = 'fuzzy_match' and at > 3"), (changes.go_mod_parse, "name = 'x/b' and constraint = 'v2.0.0'"),
@@ -100,6 +101,11 @@ def test_sources_and_sinks(spark, tmp_path):
         assert {tuple(r) for r in corpus.read_folder(spark, given).collect()} == {("a.ts", "one"), ("deep/b.js", "two"), ("src/e.ts", "three")}
     (tmp_path / "rules.json").write_text('{"rules": [{"path": "a/*", "rule": "A"}, {"pattern": "b", "path": "c", "rule": "B"}, {"rule": "none"}]}')
     assert [tuple(r) for r in corpus.read_rules(spark, f"{tmp_path}/rules.json").collect()] == [(0, "a/*", "A"), (1, "b", "B")]
+    (tmp_path / "filters.json").write_text('{"filters": {"exclude": ["gen/**"]}, "rules": []}')
+    own = corpus.read_filters(spark, f"{tmp_path}/filters.json")
+    assert own == {"exclude": ["gen/**"]} and corpus.read_filters(spark, f"{tmp_path}/none.json") is None and corpus.read_filters(spark, f"{tmp_path}/rules.json") is None
+    exclude, include = selection.merge_config(own, {"exclude": ["x", "gen/**"], "include": ["y"]})
+    assert exclude == [*selection.LEFT_OUT, "x", "gen/**"] and include == ["y"] and selection.merge_config({"include": []}, {"include": ["y"]})[1] == []
     corpus.write_json(spark.createDataFrame([(1, "x")], ["a", "b"]), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").first().asDict() == {"a": 1, "b": "x"}
     (tmp_path / "p").mkdir()

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.operators import bundles, diffs, lines, records, review, similar
+from textloom.functions.patterns import glob_regex
+from textloom.operators import bundles, diffs, lines, records, review, selection, similar
 from textloom.plans.catalogue import TOKENS, L
 from textloom.session import table
 
@@ -97,6 +98,31 @@ def search_outcome(spark, sf_dir):
     return out.withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
+def configured_paths(spark, sf_dir):
+    """Paths, some with backslashes, under the exclusions of both configurations and the inclusions of the nearer one."""
+    exclude, include = selection.merge_config({"exclude": ["gen/**"], "include": ["**/*.py", "src/**"]}, {"exclude": ["**/*_pb.py"], "include": ["nothing"]})
+    path = F.concat(pick(F.col("p") % 4, "gen/", "src\\", "lib/a/", "src/x/"), F.lit("f"), "p", pick(F.col("p") % 7, ".py", "_pb.py", ".PNG", ".lock", ".txt", ".min.js", ".ts"))
+    return parts(spark, sf_dir).select("p", F.coalesce(selection.drop_reason(path, exclude, include), F.lit("kept")).alias("outcome"))
+
+
+def prompt_sections(spark, sf_dir):
+    """For each path the text of all rules that apply to it, from rules as data."""
+    paths = parts(spark, sf_dir).select("p", F.concat(F.lit("src/f"), "p", pick(F.col("p") % 3, ".py", ".test.py", ".md")).alias("path"))
+    known = ((0, 0, "own", "**/*.test.py"), (1, 0, "python", "**/*.py"), (1, 1, "source", "src/**"))
+    rules = spark.createDataFrame([(layer, i, rule, glob_regex(pattern)) for layer, i, rule, pattern in known], ["layer", "ord", "rule", "regex"])
+    first = selection.rule_join(paths, rules, "path").withColumnRenamed("rule", "first")
+    met = paths.join(rules, F.expr("path rlike regex")).groupBy("p").agg(F.array_sort(F.collect_list(F.struct("layer", "ord", "rule"))).alias("r"))
+    return met.join(first, "p").select("p", "path", "first", X.bulleted(F.transform("r", lambda x: x["rule"])).alias("section"))
+
+
+def search_skips_binary(spark, sf_dir):
+    """Matches in texts of which some have a NUL near the beginning, and some far behind it."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a\0"), "text")).when(F.col("doc_id") % 5 == 1, F.concat(F.col("text"), F.repeat(F.lit(" "), 8000), F.lit("\0"))).otherwise(F.col("text"))
+    found = lines.search(docs.select("doc_id", text.alias("text")), "doc_id", "text", "[[:digit:]]{3}")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 def snapshots_of_refs(spark, sf_dir):
     ref = pick(F.col("p") % 4, F.lit("HEAD"), F.concat(F.lit("a..b"), "p"), F.concat(F.lit("v"), "p"), F.lit("x^..x"))
     return parts(spark, sf_dir).select("p", diffs.search_snapshot(ref).alias("search"), diffs.post_snapshot(ref).alias("post"), diffs.pre_snapshot(ref).alias("pre"))
@@ -136,7 +162,7 @@ def code_normalise(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = (file_bundles, bundle_keys, dependency_changes, lint_all, added_secrets, search_outcome, snapshots_of_refs, work_tree_status, status_derivation, near_dup_code, near_dup_code_groups, code_normalise)
+    found = (file_bundles, bundle_keys, dependency_changes, lint_all, added_secrets, search_outcome, configured_paths, prompt_sections, search_skips_binary, snapshots_of_refs, work_tree_status, status_derivation, near_dup_code, near_dup_code_groups, code_normalise)
     return {f.__name__: f for f in found}
 
 
@@ -192,6 +218,10 @@ def oracle_sql() -> dict:
         "search_outcome": rf"""WITH x AS ({where}), y AS (SELECT count(*) AS n FROM x WHERE regexp_matches(content, '[0-9]{{3}}') AND regexp_matches(path, '^(en|fr)/[^/]*$') AND NOT path LIKE '%7')
 SELECT '' AS query, CAST(0 AS BIGINT) AS total_matches, false AS truncated, 'empty query' AS reason UNION ALL SELECT '[[:digit:]]{{3}}', n, n > 50, '' FROM y
 UNION ALL SELECT 'no such line anywhere', 0, false, 'no matches or invalid pattern' UNION ALL SELECT 'er', 0, false, CASE WHEN (SELECT count(*) FROM x WHERE contains(content, 'er')) = 0 THEN 'no matches or invalid pattern' ELSE '' END""",
+        "configured_paths": """SELECT p, CASE WHEN e = '.PNG' THEN 'binary' WHEN d = 'gen/' OR e IN ('_pb.py', '.lock', '.min.js') THEN 'excluded' WHEN e <> '.py' AND d NOT LIKE 'src/%' THEN 'not_included' ELSE 'kept' END AS outcome
+ FROM (SELECT p_partkey AS p, ['gen/', 'src/', 'lib/a/', 'src/x/'][p_partkey % 4 + 1] AS d, ['.py', '_pb.py', '.PNG', '.lock', '.txt', '.min.js', '.ts'][p_partkey % 7 + 1] AS e FROM part)""",
+        "prompt_sections": "SELECT p_partkey AS p, 'src/f' || p_partkey || ['.py', '.test.py', '.md'][p_partkey % 3 + 1] AS path, ['python', 'own', 'source'][p_partkey % 3 + 1] AS first, ['- python' || chr(10) || '- source', '- own' || chr(10) || '- python' || chr(10) || '- source', 'source'][p_partkey % 3 + 1] AS section FROM part",
+        "search_skips_binary": f"SELECT doc_id, count(*) AS n FROM {L} WHERE doc_id % 5 <> 0 AND regexp_matches(content, '[0-9]{{3}}') GROUP BY doc_id",
         "snapshots_of_refs": "SELECT p_partkey AS p, CASE p_partkey % 4 WHEN 0 THEN 'WORKTREE' WHEN 1 THEN 'b' || p_partkey WHEN 2 THEN 'v' || p_partkey ELSE 'x' END AS search, CASE p_partkey % 4 WHEN 1 THEN 'b' || p_partkey WHEN 3 THEN 'x' ELSE 'WORKTREE' END AS post, CASE p_partkey % 4 WHEN 1 THEN 'a' WHEN 3 THEN 'x^' ELSE 'HEAD' END AS pre FROM part",
         "work_tree_status": "SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 2 = 1 THEN 'untracked' ELSE 'modified' END AS status FROM part WHERE p_partkey % 2 = 1 OR (p_partkey % 6 = 0 AND p_partkey % 10 <> 4) OR p_partkey % 10 = 4",
         "status_derivation": "SELECT p_partkey AS p, CASE p_partkey % 4 WHEN 0 THEN '' ELSE 'f' || p_partkey END AS old_path, CASE p_partkey % 4 WHEN 1 THEN '' WHEN 2 THEN 'g' || p_partkey ELSE 'f' || p_partkey END AS new_path, ['added', 'deleted', 'renamed', 'modified'][p_partkey % 4 + 1] AS status, CAST([1, 0, 0, 1][p_partkey % 4 + 1] AS BIGINT) AS insertions, CAST([0, 1, 0, 1][p_partkey % 4 + 1] AS BIGINT) AS deletions FROM part",

@@ -28,6 +28,15 @@ def read_rules(spark: SparkSession, file: str) -> DataFrame:
     return rows.select("ord", F.coalesce("r.pattern", "r.path").alias("pattern"), "r.rule").filter("pattern is not null and rule is not null")
 
 
+def read_filters(spark: SparkSession, file: str) -> dict | None:
+    """exclude and include of a JSON rule file (those that it has); None if it is missing, isn't JSON or has no filters."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    row = spark.read.option("multiLine", "true").schema("filters struct<exclude array<string>, include array<string>>").json(file).first()
+    return {k: v for k, v in row["filters"].asDict().items() if v is not None} if row and row["filters"] else None
+
+
 def read_patches(spark: SparkSession, folder: str) -> DataFrame:
     """file, diff: the whole text of each patch file."""
     return spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("diff"))
