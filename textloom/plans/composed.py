@@ -119,7 +119,7 @@ def search_skips_binary(spark, sf_dir):
     """Matches in texts of which some have a NUL near the beginning, and some far behind it."""
     docs = table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a\0"), "text")).when(F.col("doc_id") % 5 == 1, F.concat(F.col("text"), F.repeat(F.lit(" "), 8000), F.lit("\0"))).otherwise(F.col("text"))
-    found = lines.search(docs.select("doc_id", text.alias("text")), "doc_id", "text", "[[:digit:]]{3}")
+    found = lines.search(docs.select("doc_id", text.alias("text")), "doc_id", "text", "[[:alpha:]]er")
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -221,7 +221,7 @@ UNION ALL SELECT 'no such line anywhere', 0, false, 'no matches or invalid patte
         "configured_paths": """SELECT p, CASE WHEN e = '.PNG' THEN 'binary' WHEN d = 'gen/' OR e IN ('_pb.py', '.lock', '.min.js') THEN 'excluded' WHEN e <> '.py' AND d NOT LIKE 'src/%' THEN 'not_included' ELSE 'kept' END AS outcome
  FROM (SELECT p_partkey AS p, ['gen/', 'src/', 'lib/a/', 'src/x/'][p_partkey % 4 + 1] AS d, ['.py', '_pb.py', '.PNG', '.lock', '.txt', '.min.js', '.ts'][p_partkey % 7 + 1] AS e FROM part)""",
         "prompt_sections": "SELECT p_partkey AS p, 'src/f' || p_partkey || ['.py', '.test.py', '.md'][p_partkey % 3 + 1] AS path, ['python', 'own', 'source'][p_partkey % 3 + 1] AS first, ['- python' || chr(10) || '- source', '- own' || chr(10) || '- python' || chr(10) || '- source', 'source'][p_partkey % 3 + 1] AS section FROM part",
-        "search_skips_binary": f"SELECT doc_id, count(*) AS n FROM {L} WHERE doc_id % 5 <> 0 AND regexp_matches(content, '[0-9]{{3}}') GROUP BY doc_id",
+        "search_skips_binary": f"SELECT doc_id, count(*) AS n FROM {L} WHERE doc_id % 5 <> 0 AND regexp_matches(content, '[A-Za-z]er') GROUP BY doc_id",
         "snapshots_of_refs": "SELECT p_partkey AS p, CASE p_partkey % 4 WHEN 0 THEN 'WORKTREE' WHEN 1 THEN 'b' || p_partkey WHEN 2 THEN 'v' || p_partkey ELSE 'x' END AS search, CASE p_partkey % 4 WHEN 1 THEN 'b' || p_partkey WHEN 3 THEN 'x' ELSE 'WORKTREE' END AS post, CASE p_partkey % 4 WHEN 1 THEN 'a' WHEN 3 THEN 'x^' ELSE 'HEAD' END AS pre FROM part",
         "work_tree_status": "SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 2 = 1 THEN 'untracked' ELSE 'modified' END AS status FROM part WHERE p_partkey % 2 = 1 OR (p_partkey % 6 = 0 AND p_partkey % 10 <> 4) OR p_partkey % 10 = 4",
         "status_derivation": "SELECT p_partkey AS p, CASE p_partkey % 4 WHEN 0 THEN '' ELSE 'f' || p_partkey END AS old_path, CASE p_partkey % 4 WHEN 1 THEN '' WHEN 2 THEN 'g' || p_partkey ELSE 'f' || p_partkey END AS new_path, ['added', 'deleted', 'renamed', 'modified'][p_partkey % 4 + 1] AS status, CAST([1, 0, 0, 1][p_partkey % 4 + 1] AS BIGINT) AS insertions, CAST([0, 1, 0, 1][p_partkey % 4 + 1] AS BIGINT) AS deletions FROM part",
