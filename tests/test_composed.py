@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import text
 from textloom.operators import bundles, diffs, lines, locate, records, review, selection
 from textloom.plans import catalogue, changes, composed
 from textloom.sources import corpus
@@ -18,6 +19,7 @@ SMALL = "/root/testdata/sf0.001"
         (composed.dependency_changes, "change = 'added' and unpinned = 'true'"), (composed.dependency_changes, "change = 'removed'"), (composed.dependency_changes, "reason like 'unsupported%'"), (composed.dependency_changes, "reason like 'could not%'"),
         *[(composed.lint_all, f"tool = '{t}'") for t in ("eslint", "ruff", "tsc", "go_vet", "clippy")], *[(composed.added_secrets, f"pattern = '{k}'") for k in ("cloud_access_key", "private_key", "json_web_token", "assigned_secret", "high_entropy")],
         *[(composed.configured_paths, f"outcome = '{o}'") for o in ("binary", "excluded", "not_included", "kept")], (composed.prompt_sections, "first = 'own'"), (composed.search_skips_binary, "doc_id % 5 = 1"),
+        (composed.linters_in_use, "tools like '%,%'"), (composed.linters_in_use, "tools <> ''"), *[(composed.declared_tests, f"reason like '{r}%'") for r in ("-", "no package.json", "package.json is", "no scripts")],
         (composed.search_outcome, "reason = 'empty query'"), (composed.search_outcome, "total_matches > 0"), (composed.snapshots_of_refs, "search <> post"), (composed.work_tree_status, "status = 'modified'"),
         *[(composed.status_derivation, f"status = '{s}'") for s in ("added", "deleted", "renamed", "modified")], (catalogue.locate_exact, "item_id <> doc_id"), *[(catalogue.locate_cascade, f"located_by = '{b}'") for b in ("text_match", "fuzzy_match", "failed")],
         (catalogue.locate_cascade, "located_by = 'fuzzy_match' and at > 3"), (changes.go_mod_parse, "name = 'x/b' and constraint = 'v2.0.0'"),
@@ -86,6 +88,12 @@ def test_fuzzy_windows_against_brute_force(spark):
         assert at == (near[0] if near else None)
 
 
+def test_front_matter(spark):
+    texts = {"---\na: 1\n---\nbody\n": "body\n", "---\na\n...\nb": "b", "---\nopen": "---\nopen", "x\n---\n": "x\n---\n", "---\n---": "", "--- \na\n---\n": "--- \na\n---\n"}
+    got = spark.createDataFrame([(t,) for t in texts], ["t"]).select("t", text.strip_front_matter(F.col("t")).alias("b")).collect()
+    assert {r["t"]: r["b"] for r in got} == texts
+
+
 def test_statuses(spark):
     rows = [("HEAD", "a", "1"), ("HEAD", "b", "1"), ("HEAD", "c", "1"), ("WORKTREE", "a", "1"), ("WORKTREE", "b", "2"), ("WORKTREE", "d", "1")]
     got = {tuple(r) for r in review.statuses(spark.createDataFrame(rows, ["snapshot", "path", "content"])).collect()}

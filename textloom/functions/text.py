@@ -24,6 +24,14 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+"), lambda x: x != ""))
 
 
+def strip_front_matter(text: Column) -> Column:
+    """Without a block of metadata at the start: from a first line --- to the next line --- or ...; unchanged if it doesn't begin or end so."""
+    lines = F.split(text, "\n", -1)
+    ends = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & x.isin("---", "..."), i)), lambda i: i.isNotNull())
+    end = F.get(ends, F.lit(0))
+    return F.when(text.startswith("---\n") & end.isNotNull(), F.array_join(F.slice(lines, end + 2, F.size(lines)), "\n")).otherwise(text)
+
+
 def norm_code(code: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(code, F.lit("")), r"\s+", " ")))
 

@@ -225,6 +225,28 @@ def lint_findings(output: DataFrame, files: DataFrame | None = None) -> DataFram
     return findings_of(found, files)
 
 
+#: Files at the root of a repository that tell which linters it uses (fixed values).
+LINTER_FILES = {
+    "eslint": ("eslint.config.js", "eslint.config.mjs", "eslint.config.cjs", ".eslintrc.js", ".eslintrc.cjs", ".eslintrc.json", ".eslintrc.yml", ".eslintrc.yaml"),
+    "tsc": ("tsconfig.json",), "ruff": ("ruff.toml", ".ruff.toml", "pyproject.toml"), "go_vet": ("go.mod",), "clippy": ("Cargo.toml",),
+}
+
+
+def applicable_linters(files: DataFrame, repo: str, path: str) -> DataFrame:
+    """repo, tools (in fixed order), reason (why there is none) of each repository with files."""
+    has = [F.bool_or(F.col(path).isin(*names)).alias(tool) for tool, names in LINTER_FILES.items()]
+    tools = F.array_compact(F.array(*[F.when(F.col(t), t) for t in LINTER_FILES]))
+    return files.groupBy(repo).agg(*has).select(repo, tools.alias("tools"), F.when(F.size(tools) == 0, "no known lint/typecheck configuration detected").alias("reason"))
+
+
+def test_scripts(manifests: DataFrame, repo: str, content: str) -> DataFrame:
+    """repo, script, reason: the test script that a package.json declares, or why there is none. Null content: no such file."""
+    text = F.col(content)
+    script = F.get_json_object(text, "$.scripts.test")
+    reason = F.when(text.isNull(), "no package.json found in repo root").when(F.try_parse_json(text).isNull(), "package.json is not valid JSON").when(F.coalesce(script, F.lit("")) == "", "no scripts.test defined in package.json")
+    return manifests.select(repo, F.when(reason.isNull(), script).alias("script"), reason.alias("reason"))
+
+
 def findings_of(findings: DataFrame, files: DataFrame | None) -> DataFrame:
     """Only findings in the files asked for; all, if none are asked for."""
     return findings if files is None else findings.join(files.select("path").distinct(), "path", "left_semi")

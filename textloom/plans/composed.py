@@ -123,6 +123,24 @@ def search_skips_binary(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def front_matter(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    head = pick(F.col("doc_id") % 5, "---\ntitle: x\n---\n", "---\ntitle: x\n...\n", "--- \nno\n---\n", "---\nnever closed\n", "")
+    return docs.select("doc_id", F.md5(X.strip_front_matter(F.concat(head, "text"))).alias("body_md5"))
+
+
+def linters_in_use(spark, sf_dir):
+    name = pick(F.col("p") % 8, "eslint.config.mjs", "tsconfig.json", "pyproject.toml", "go.mod", "Cargo.toml", "README", "sub/go.mod", "main.rs")
+    files = parts(spark, sf_dir).select(F.floor(F.sqrt("p")).alias("repo"), name.alias("path"))
+    return records.applicable_linters(files, "repo", "path").select("repo", F.array_join("tools", ",").alias("tools"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def declared_tests(spark, sf_dir):
+    text = pick(F.col("p") % 5, F.lit('{"scripts": {"test": "vitest run"}}'), F.lit("{nope"), F.lit(None).cast("string"), F.lit('{"scripts": {}}'), F.lit('{"scripts": {"test": ""}}'))
+    found = records.test_scripts(parts(spark, sf_dir).select("p", text.alias("content")), "p", "content")
+    return found.select("p", F.coalesce("script", F.lit("-")).alias("script"), F.coalesce("reason", F.lit("-")).alias("reason"))
+
+
 def snapshots_of_refs(spark, sf_dir):
     ref = pick(F.col("p") % 4, F.lit("HEAD"), F.concat(F.lit("a..b"), "p"), F.concat(F.lit("v"), "p"), F.lit("x^..x"))
     return parts(spark, sf_dir).select("p", diffs.search_snapshot(ref).alias("search"), diffs.post_snapshot(ref).alias("post"), diffs.pre_snapshot(ref).alias("pre"))
@@ -162,7 +180,7 @@ def code_normalise(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = (file_bundles, bundle_keys, dependency_changes, lint_all, added_secrets, search_outcome, configured_paths, prompt_sections, search_skips_binary, snapshots_of_refs, work_tree_status, status_derivation, near_dup_code, near_dup_code_groups, code_normalise)
+    found = (file_bundles, bundle_keys, dependency_changes, lint_all, added_secrets, search_outcome, configured_paths, prompt_sections, search_skips_binary, front_matter, linters_in_use, declared_tests, snapshots_of_refs, work_tree_status, status_derivation, near_dup_code, near_dup_code_groups, code_normalise)
     return {f.__name__: f for f in found}
 
 
@@ -222,6 +240,10 @@ UNION ALL SELECT 'no such line anywhere', 0, false, 'no matches or invalid patte
  FROM (SELECT p_partkey AS p, ['gen/', 'src/', 'lib/a/', 'src/x/'][p_partkey % 4 + 1] AS d, ['.py', '_pb.py', '.PNG', '.lock', '.txt', '.min.js', '.ts'][p_partkey % 7 + 1] AS e FROM part)""",
         "prompt_sections": "SELECT p_partkey AS p, 'src/f' || p_partkey || ['.py', '.test.py', '.md'][p_partkey % 3 + 1] AS path, ['python', 'own', 'source'][p_partkey % 3 + 1] AS first, ['- python' || chr(10) || '- source', '- own' || chr(10) || '- python' || chr(10) || '- source', 'source'][p_partkey % 3 + 1] AS section FROM part",
         "search_skips_binary": f"SELECT doc_id, count(*) AS n FROM {L} WHERE doc_id % 5 <> 0 AND regexp_matches(content, '[A-Za-z]er') GROUP BY doc_id",
+        "front_matter": "SELECT doc_id, md5(CASE doc_id % 5 WHEN 2 THEN '--- ' || chr(10) || 'no' || chr(10) || '---' || chr(10) || text WHEN 3 THEN CASE WHEN regexp_matches(chr(10) || text || chr(10), chr(10) || '(---|[.]{3})' || chr(10)) THEN regexp_replace(chr(10) || text, '^(?s:.*?)' || chr(10) || '(---|[.]{3})(' || chr(10) || '|$)', '') ELSE '---' || chr(10) || 'never closed' || chr(10) || text END ELSE text END) AS body_md5 FROM documents WHERE text IS NOT NULL",
+        "linters_in_use": """SELECT repo, array_to_string(t, ',') AS tools, CASE WHEN len(t) = 0 THEN 'no known lint/typecheck configuration detected' ELSE '' END AS reason FROM (SELECT CAST(floor(sqrt(p_partkey)) AS BIGINT) AS repo,
+ list_filter([CASE WHEN bool_or(p_partkey % 8 = 0) THEN 'eslint' END, CASE WHEN bool_or(p_partkey % 8 = 1) THEN 'tsc' END, CASE WHEN bool_or(p_partkey % 8 = 2) THEN 'ruff' END, CASE WHEN bool_or(p_partkey % 8 = 3) THEN 'go_vet' END, CASE WHEN bool_or(p_partkey % 8 = 4) THEN 'clippy' END], lambda x: x IS NOT NULL) AS t FROM part GROUP BY ALL)""",
+        "declared_tests": "SELECT p_partkey AS p, CASE WHEN p_partkey % 5 = 0 THEN 'vitest run' ELSE '-' END AS script, ['-', 'package.json is not valid JSON', 'no package.json found in repo root', 'no scripts.test defined in package.json', 'no scripts.test defined in package.json'][p_partkey % 5 + 1] AS reason FROM part",
         "snapshots_of_refs": "SELECT p_partkey AS p, CASE p_partkey % 4 WHEN 0 THEN 'WORKTREE' WHEN 1 THEN 'b' || p_partkey WHEN 2 THEN 'v' || p_partkey ELSE 'x' END AS search, CASE p_partkey % 4 WHEN 1 THEN 'b' || p_partkey WHEN 3 THEN 'x' ELSE 'WORKTREE' END AS post, CASE p_partkey % 4 WHEN 1 THEN 'a' WHEN 3 THEN 'x^' ELSE 'HEAD' END AS pre FROM part",
         "work_tree_status": "SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 2 = 1 THEN 'untracked' ELSE 'modified' END AS status FROM part WHERE p_partkey % 2 = 1 OR (p_partkey % 6 = 0 AND p_partkey % 10 <> 4) OR p_partkey % 10 = 4",
         "status_derivation": "SELECT p_partkey AS p, CASE p_partkey % 4 WHEN 0 THEN '' ELSE 'f' || p_partkey END AS old_path, CASE p_partkey % 4 WHEN 1 THEN '' WHEN 2 THEN 'g' || p_partkey ELSE 'f' || p_partkey END AS new_path, ['added', 'deleted', 'renamed', 'modified'][p_partkey % 4 + 1] AS status, CAST([1, 0, 0, 1][p_partkey % 4 + 1] AS BIGINT) AS insertions, CAST([0, 1, 0, 1][p_partkey % 4 + 1] AS BIGINT) AS deletions FROM part",
