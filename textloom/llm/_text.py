@@ -59,6 +59,17 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds
 
 
+def strings(values: pa.Array) -> list:
+    """Python strings, or bytes, of an array; several times as fast as ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def joined(values: pa.Array, between: str) -> str:
+    """All strings of an array in one."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(pa.string()))
+    return pc.binary_join(whole, between)[0].as_py()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that sums and products of hashes spread well."""
     x = x ^ (x >> np.uint64(30))

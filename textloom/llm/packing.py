@@ -18,6 +18,7 @@ over the same files.
 
 from __future__ import annotations
 
+import os
 from array import array
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import slices, words
+from textloom.llm._text import slices, strings, words
 from textloom.session import table
 
 #: Longest sequence; a power of two.
@@ -35,8 +36,11 @@ LONGEST = 2048
 END = 1
 #: Where the tokenizer's file is; None: word_bpe_49k.json of the installed vocabularies.
 TOKENIZER = None
-#: Distinct chunks after which a worker starts a new generation of those it keeps.
-CACHE = 200_000
+#: How the tokenizer writes bytes (fixed by its format): printable ones as they are, the others from U+0100 on, in order.
+PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
+LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+#: Distinct chunks after which a worker starts a new generation of those it keeps; bytes of text of a step.
+CACHE, SLICE_BYTES = 100_000, 2 << 20
 
 SCHEMA = "doc_id long, start long, length long, bucket int, doc_tokens long, ids binary"
 
@@ -52,15 +56,15 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str | None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
@@ -77,8 +81,12 @@ class ChunkTokenizer:
                     missing.append(c)
         tokenize, rest = self.model.tokenize, []
         for c in missing:
-            if c.isascii() and c.isalpha() and c.islower():  # one match of the pattern, whose bytes stand for themselves
-                known[c] = array("I", [t.id for t in tokenize(c)]).tobytes()
+            if not c.isalpha():
+                rest.append(c)
+            elif c.isascii():  # letters are one match of the pattern; those below U+0300 compose with nothing
+                known[c] = array("I", [t.id for t in tokenize(c.lower())]).tobytes()
+            elif max(c) < "\u0300" and "\u0130" not in c:
+                known[c] = array("I", [t.id for t in tokenize(c.lower().encode().decode("latin-1").translate(LETTERS))]).tobytes()
             else:
                 rest.append(c)
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
@@ -103,11 +111,13 @@ class ChunkTokenizer:
         beyond = marked | pc.match_substring_regex(texts, r"[\x{0130}\x{0300}-\x{10FFFF}]").to_numpy(zero_copy_only=False)
         apart = pc.replace_substring_regex(pc.ascii_lower(texts.filter(pa.array(~beyond))), r"(\p{L})([.,])([ \n]|$)", r"\1 \2\3")
         distinct, codes, bounds = words(apart)
-        found, codes = self.learn(distinct.to_pylist()), codes.tolist()
+        found, codes = self.learn(strings(distinct)), codes.tolist()
         spans, out = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), []
         for i, odd in enumerate(beyond):
             if marked[i]:
-                out.append(array("I", self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids).tobytes())
+                self.tokenizer.encode_special_tokens = False
+                out.append(array("I", self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids).tobytes())
+                self.tokenizer.encode_special_tokens = True
             elif odd:
                 out.append(self.ids(texts[i].as_py()))
             else:
@@ -140,7 +150,7 @@ def pack_power_of_two(docs: DataFrame, longest: int = LONGEST, end: int = END, t
 
     def pack(batches):
         made = chunk_tokenizer(tokenizer)
-        for piece, texts in slices(batches):
+        for piece, texts in slices(batches, limit=SLICE_BYTES):
             out = ([], [], [], [], [], [])
             for doc_id, ids in zip(piece.column("doc_id").to_pylist(), made.all_ids(texts), strict=True):
                 ids += tail
