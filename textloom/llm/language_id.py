@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import mix, slices
+from textloom.llm._text import joined, mix, release, slices
 from textloom.session import table
 
 ORDER = 5
@@ -71,7 +71,7 @@ def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def framed(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All characters of the words, each word between two zeros, and where each word starts."""
-    text = "\0" + "\0\0".join(distinct.to_pylist()) + "\0" if len(distinct) else ""
+    text = "\0" + joined(distinct, "\0\0") + "\0" if len(distinct) else ""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64) + 2
     return points, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
@@ -230,7 +230,10 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL
 def fit(docs: DataFrame, **options) -> Models:
     found = sample(docs, **options)
     models = Models().fit({k: pa.array(texts, pa.large_string()) for k, texts, _ in found}) if found else Models()
-    return models.calibrate({k: pa.array(texts, pa.large_string()) for k, _, texts in found if texts})
+    models.calibrate({k: pa.array(texts, pa.large_string()) for k, _, texts in found if texts})
+    del found
+    release()
+    return models
 
 
 def identify(docs: DataFrame, models: Models | None = None) -> DataFrame:
