@@ -154,7 +154,7 @@ def test_suffix_dedup(spark, docs, none, monkeypatch):
     for texts in ([(i, t) for i, t, *_ in rows()], odd_texts()):
         frame = spark.createDataFrame([(i, t, 1, "x") for i, t in texts], "doc_id long, text string, h long, stretch string")
         want = removed_by_brute_force([(i, (t or "").encode()) for i, t in texts])
-        for hot, cut in ((1000, 4096), (3, 40)):  # the second: most anchors are hot, stretches are short
+        for hot, cut in (((1000, 1_000_000), 4096), ((3, 3), 40)):  # the second: most anchors are hot, stretches are short
             monkeypatch.setattr(suffix_dedup, "HOT", hot)
             monkeypatch.setattr(suffix_dedup, "CUT", cut)
             assert sorted(tuple(r) for r in suffix_dedup.digests(frame).collect()) == want

@@ -17,7 +17,7 @@ found, and the least common prefix on the way: the larger of the two is the long
 factor. Where it reaches ``length``, the string has stood before. (4) Documents gather these
 ranges. Exact copies of whole texts are set aside first; all but the first are removed whole.
 
-Anchors of more than ``HOT`` documents are common passages. Their stretches aren't brought
+Anchors of more than one in ``SHARE`` documents are common passages. Their stretches aren't brought
 together with all places where they stand: copies are merged by an aggregate that starts
 where they are, the distinct ones are judged as in (3), and the places learn the result from
 a join that deals them over ``SALTS`` tasks. What meets in one task under such an anchor is
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import bounded_parts, cuts_of, mix, slices
+from textloom.llm._text import bounded_parts, cuts_of, mix, slices, strings
 from textloom.session import discard, materialise, table
 
 #: Bytes of a string that counts as repeated; bytes of the grams whose least hash is its anchor.
@@ -51,8 +51,10 @@ BUCKET_BYTES = 40 << 20
 BLOCK_BYTES, CUT = 1 << 20, 4096
 #: Bytes of text per task where stretches meet.
 PART_BYTES = 16 << 20
-#: Documents of an anchor above which it is hot; parts that the places of its stretches are dealt over.
-HOT, SALTS = 1000, 16
+#: An anchor is hot in more than one in so many documents, if these are more than the first number; and in more than the second in any case.
+SHARE, HOT = 128, (1000, 1_000_000)
+#: Parts that the places of a hot anchor's stretches are dealt over.
+SALTS = 16
 #: The ids of exact copies are broadcast up to this size, joined by shuffle beyond it.
 BROADCAST_BYTES = 64 << 20
 
@@ -110,13 +112,27 @@ def previous_smaller(values: np.ndarray, common: np.ndarray, length: int) -> tup
     return np.where(none, -1, p), np.where(none, 0, least)
 
 
+def ranks(values: np.ndarray) -> np.ndarray:
+    """Each value's place among the distinct ones."""
+    by = np.argsort(values)
+    ordered = values[by]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]])[: len(by)])
+    return out
+
+
 def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at places ``at`` in order of their first bytes (``length``, up to whole words), and each one's common prefix with the one before it, as deep."""
     words = -(-length // 8)
     padded = np.concatenate([data, np.zeros(8 * words + 8, np.uint8)]).astype(np.uint64)
     for width in (1, 2, 4):  # eight bytes from each place on, the first in the highest bits
         padded = padded[:-width] << U(8 * width) | padded[width:]
-    order = np.lexsort([padded[at + 8 * w] for w in range(words - 1, -1, -1)])
+    rank = ranks(padded[at])
+    for w in range(1, words):  # a word more: by the rank so far, then by the word's own
+        if len(at) and rank.max() == len(at) - 1:
+            break
+        rank = ranks(rank * np.int64(len(at) + 1) + ranks(padded[at + 8 * w]))
+    order = np.argsort(rank)
     common, open_ = np.zeros(len(at), np.int64), np.arange(1, len(at))
     for w in range(words):
         apart = padded[at[order[open_]] + 8 * w] ^ padded[at[order[open_ - 1]] + 8 * w]
@@ -178,8 +194,8 @@ def anchor_rows(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(send, "bucket int, ids binary, counts binary, anchors binary")
 
 
-def shared_anchors(sent: DataFrame) -> DataFrame:
-    """Step 1, answering: doc_id and those of its anchors that another document has too, those of them that are hot again. Rows of a bucket come together."""
+def shared_anchors(sent: DataFrame, most: int) -> DataFrame:
+    """Step 1, answering: doc_id and those of its anchors that another document has too, and how many of these, the last, are hot: in more than ``most`` documents. Rows of a bucket come together."""
 
     def answer(batches):
         held, key = [], None
@@ -192,7 +208,7 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
             starts = np.nonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))[0]
             sizes = np.diff(np.concatenate([starts, [len(flat)]]))
             shared = np.repeat(np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts), sizes)
-            hot = np.repeat(sizes > HOT, sizes)[shared]
+            hot = np.repeat(sizes > most, sizes)[shared]
             flat, ids = flat[shared], ids[shared]
             by = np.lexsort((hot, ids))
             flat, ids, hot = flat[by], ids[by], hot[by]
@@ -261,21 +277,25 @@ def stretches(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "h", "text", "shared").mapInArrow(cut, "anchor long, part int, stretch binary, spots binary, least long")
 
 
-def placed(spots: np.ndarray, size: int, least: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """doc_id, h and ranges at all places of a stretch: in documents after the first that has it, all of it; in the first, the ranges that stood before."""
-    own = spots["doc_id"] == least
-    rest, first = spots[~own], spots[own]
-    return (
-        np.concatenate([rest["doc_id"], np.repeat(first["doc_id"], len(begin))]), np.concatenate([rest["h"], np.repeat(first["h"], len(begin))]),
-        np.concatenate([rest["start"].astype(np.int64), (first["start"].astype(np.int64)[:, None] + begin).ravel()]), np.concatenate([rest["start"].astype(np.int64) + size, (first["start"].astype(np.int64)[:, None] + end).ravel()]),
-    )
+def placed(texts: list[bytes], spots: list[bytes], least: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """doc_id, h, a, b at all places of stretches: in documents after the first that has one, all of it; in the first, the ranges (``text``, ``begin``, ``end``) that stood before."""
+    every = np.frombuffer(b"".join(spots), OCCURRENCE)
+    of = np.repeat(np.arange(len(texts)), np.array([len(x) for x in spots]) // OCCURRENCE.itemsize)
+    own = every["doc_id"] == least[of]
+    rest, first, which = every[~own], every[own], of[own]
+    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+    many = np.diff(bounds)[which]
+    at = np.arange(many.sum()) + np.repeat(bounds[which] - np.cumsum(many) + many, many)
+    again, start = np.repeat(first, many), rest["start"].astype(np.int64)
+    base, sizes = again["start"].astype(np.int64), np.array([len(x) for x in texts], np.int64)
+    return [np.concatenate(c) for c in ((rest["doc_id"], again["doc_id"]), (rest["h"], again["h"]), (start, base + begin[at]), (start + sizes[of[~own]], base + end[at]))]
 
 
 def grouped(batches, key: str, names: list[str], block_bytes: int):
     """Rows (as lists by column) of whole groups, which come together, in blocks of about ``block_bytes`` of their second column."""
     held, size, now = [], 0, None
     for batch in batches:
-        for k, *row in zip(*(batch.column(c).to_pylist() for c in (key, *names)), strict=True):
+        for k, *row in zip(*(strings(batch.column(c)) for c in (key, *names)), strict=True):
             if size >= block_bytes and k != now:
                 yield [list(c) for c in zip(*held, strict=True)]
                 held, size = [], 0
@@ -300,11 +320,8 @@ def earlier_ranges(cut: DataFrame, length: int) -> DataFrame:
 
         waiting: list = []
         for _, texts, spots, least in grouped(cold(), "anchor", ["stretch", "spots", "least"], BLOCK_BYTES):
-            spots = [np.frombuffer(x, OCCURRENCE) for x in spots]
-            text, begin, end = repeated(texts, np.array(least, np.int64), length)
-            bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-            rows = [placed(spots[i], len(texts[i]), least[i], begin[x:y], end[x:y]) for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if x < y or len(spots[i]) > 1]
-            columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
+            first = np.array(least, np.int64)
+            columns = placed(texts, spots, first, *repeated(texts, first, length))
             yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds[:4], strict=True)), *(pa.nulls(len(columns[0]), t) for t in kinds[4:])], names=names)
             while waiting:
                 yield passed(waiting.pop())
@@ -329,10 +346,13 @@ def hot_ranges(waiting: DataFrame, length: int, parts: int) -> DataFrame:
 
     def tell(batches):
         for batch in batches:
-            rows = [placed(np.frombuffer(r["spots"], OCCURRENCE), len(r["stretch"]), r["first"], np.array(r["begin"], np.int64), np.array(r["end"], np.int64)) for r in batch.to_pylist()]
-            if rows:
-                doc_id, h, a, b = (np.concatenate(c) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(h, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "h", "a", "b"])
+            if not batch.num_rows:
+                continue
+            ranges = batch.column("begin"), batch.column("end")
+            text = np.repeat(np.arange(batch.num_rows), np.diff(ranges[0].offsets.to_numpy()))
+            begin, end = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges)
+            columns = placed(strings(batch.column("stretch")), strings(batch.column("spots")), batch.column("first").to_numpy(), text, begin, end)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t), k) for c, t, k in zip(columns, (np.int64, np.int32, np.int64, np.int64), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "h", "a", "b"])
 
     distinct = waiting.groupBy("anchor", "stretch").agg(F.min("least").alias("least"))
     judged = distinct.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(judge, "anchor long, stretch binary, first long, begin array<long>, end array<long>")
@@ -373,11 +393,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, broadcast_bytes: int = BROADC
     facts = materialise(salted.join(first, ["sha", "salt"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first", "salt"), "facts")
     discard(plain), discard(first)
     copies = facts.filter("copy").select("doc_id", "h").distinct()
-    sums = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count_if("copy")).first()
+    sums = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count_if("copy"), F.count("*")).first()
     texts = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).join(F.broadcast(copies) if sums[1] * 32 <= broadcast_bytes else copies, ["doc_id", "h"], "left_anti")
     buckets, parts = (max(8, -(-sums[0] // size)) for size in (BUCKET_BYTES, PART_BYTES))
     sent = anchor_rows(texts, buckets, length).repartition(bounded_parts(buckets), "bucket").sortWithinPartitions("bucket")
-    replies = shared_anchors(sent).groupBy("doc_id").agg(F.collect_list(F.struct("shared", "hot")).alias("shared"))
+    replies = shared_anchors(sent, min(HOT[1], max(HOT[0], sums[2] // SHARE))).groupBy("doc_id").agg(F.collect_list(F.struct("shared", "hot")).alias("shared"))
     cut = stretches(texts.join(replies, "doc_id"), length).repartition(bounded_parts(parts), "anchor", "part").sortWithinPartitions("anchor")
     found = materialise(earlier_ranges(cut, length), "found")
     every = found.filter("stretch is null").select("doc_id", "h", "a", "b")
