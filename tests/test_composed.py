@@ -29,6 +29,11 @@ def test_queries_have_the_cases_that_they_check(spark, query, condition):
     assert query(spark, SMALL).filter(condition).count() > 0
 
 
+def test_untracked_files_change_verdicts(spark):
+    both = [f(spark, "/root/testdata/sf0.01") for f in (changes.reflect_comments, changes.reflect_untracked)]
+    assert both[1].exceptAll(both[0]).filter("verdict = 'keep'").count() > 0
+
+
 def test_go_mod_goes_by_the_order_of_lines(spark):
     text = "require a/b v3\nrequire (\n\ta/b v1\n  c/d v1 // x\n  )\nrequire c/d v2\nrequire lonely\nrequire(e/f v1)\nrequire (\nlast v9"
     got = {r["name"]: r["constraint"] for r in records.go_mod(F.lit("g"), F.col("t"), spark.createDataFrame([(text,)], ["t"])).collect()}

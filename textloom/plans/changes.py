@@ -52,14 +52,24 @@ def position_comments(spark, sf_dir):
     return review.position(comments(files), changes, files.select("path", "content")).select("doc_id", "start_line", "end_line", "located_by")
 
 
-def reflect_comments(spark, sf_dir):
-    files = edited(spark, sf_dir)
+def reflected(files: DataFrame, texts: DataFrame) -> DataFrame:
     changes = review.change_sets(files.filter("diff is not null"), "path", "diff")
     ref = lambda path, snippet: F.array(F.struct(path.alias("path"), snippet.alias("snippet")))
     kind = F.col("doc_id") % 6
     evidence = F.when(kind == 0, ref(F.col("path"), F.col("edit"))).when(kind == 1, ref(F.col("path"), F.coalesce(F.get("ls", F.lit(1)), F.lit("")))).when(kind == 2, ref(F.lit("missing"), F.lit("x")))
     claims = comments(files).join(files.select("doc_id", evidence.alias("evidence")), "doc_id").withColumn("start_line", F.col("doc_id") % 4).withColumn("end_line", F.col("start_line") + F.col("doc_id") % 3)
-    return review.reflect(claims, changes, files.select("path", "content"), "doc_id").select("doc_id", "verdict", "reason")
+    return review.reflect(claims, changes, texts, "doc_id").select("doc_id", "verdict", "reason")
+
+
+def reflect_comments(spark, sf_dir):
+    files = edited(spark, sf_dir)
+    return reflected(files, files.select("path", "content"))
+
+
+def reflect_untracked(spark, sf_dir):
+    """The same, where every second file is known to be untracked: without a diff it is new."""
+    files = edited(spark, sf_dir)
+    return reflected(files, files.select("path", "content", (F.col("doc_id") % 2 == 0).alias("untracked")))
 
 
 def snapshots(spark, sf_dir) -> DataFrame:
@@ -111,7 +121,7 @@ def module_importers(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = (review_targets, review_totals, position_comments, reflect_comments, untracked_files, content_fallback, requirements_parse, package_json_parse, go_mod_parse, lint_json_parse, module_importers)
+    found = (review_targets, review_totals, position_comments, reflect_comments, reflect_untracked, untracked_files, content_fallback, requirements_parse, package_json_parse, go_mod_parse, lint_json_parse, module_importers)
     return {f.__name__: f for f in found}
 
 
@@ -127,7 +137,18 @@ TARGETS = f"""WITH {FILES} SELECT path, md5('diff --git a/' || path || ' b/' ||
  CASE WHEN n > 1 THEN 1 ELSE n END AS additions, CASE WHEN n > 1 THEN 1 ELSE 0 END AS deletions, CASE WHEN n > 1 THEN 'modified' ELSE 'added' END AS status, CASE doc_id % 4 WHEN 3 THEN 'binary' WHEN 2 THEN 'excluded' ELSE 'kept' END AS outcome FROM f WHERE n > 1 OR doc_id % 4 <> 3"""
 
 
+NEW = "(n <= 1 AND doc_id % 2 = 0)"
+
+
 def oracle_sql() -> dict:
+    found = checked()
+    reflect = found["reflect_comments"]
+    # an untracked file without a diff passes what is asked of the change, if the claim has lines at all
+    found["reflect_untracked"] = reflect.replace("n > 1 AND doc_id % 4 > 0 AND 2 BETWEEN doc_id % 4 AND doc_id % 4 + doc_id % 3 AS c1", f"doc_id % 4 > 0 AND ((n > 1 AND 2 BETWEEN doc_id % 4 AND doc_id % 4 + doc_id % 3) OR {NEW}) AS c1").replace("len(t) = 0 OR (n > 1 AND (", f"len(t) = 0 OR {NEW} OR (n > 1 AND (")
+    return found
+
+
+def checked() -> dict:
     return {
         "review_targets": TARGETS,
         "review_totals": f"SELECT count(*) FILTER (outcome = 'kept') AS total_files, count(*) FILTER (outcome <> 'kept') AS filtered_out FROM ({TARGETS})",
