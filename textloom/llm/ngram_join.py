@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import bounded_parts, cuts_of, mix, slices, words
+from textloom.llm._text import bounded_parts, cuts_of, mix, release, slices, strings, words
 from textloom.operators.components import connected_components
 from textloom.session import materialise, table
 
@@ -113,7 +113,7 @@ def fixed(*factors: tuple[int, int]) -> np.uint64:
 
 
 def word_hashes(distinct: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.cast(pa.large_binary()).to_pylist()], np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings(distinct.cast(pa.large_binary()))), np.uint64, len(distinct))
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -456,6 +456,7 @@ def jaccard_classes(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE, br
     common = docs.sparkSession.sparkContext.broadcast(commonness(named_docs, total, shingle))
     edges = materialise(met_nodes(named_docs, buckets, similar, shingle, common).distinct(), "met")
     common.destroy()  # the table of edges outlives it
+    release()
     full = sets.filter("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "node")
     reps = materialise(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "reps")
     same = full.select("doc_id", "node").distinct().groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter("c > 1").select("doc_id", "b")
