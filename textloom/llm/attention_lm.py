@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._text import bounded_parts, cuts_of, mix, release, slices, words
+from textloom.llm._text import bounded_parts, cuts_of, joined, mix, release, slices, strings, words
 from textloom.session import materialise, table
 
 #: Ids scored per window, and ids before them that the window sees.
@@ -105,10 +105,9 @@ class Subwords:
     def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has. Words are encoded in one text, as none reaches over a space."""
         if pc.any(pc.match_substring_regex(distinct, SPACES)).as_py():
-            found = [self.encode(" " + w) for w in distinct.to_pylist()]
+            found = [self.encode(" " + w) for w in strings(distinct)]
             return np.concatenate(found), np.array([len(x) for x in found], np.int64)
-        whole = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.string()))
-        flat = self.encode(" " + pc.binary_join(whole, " ")[0].as_py())
+        flat = self.encode(" " + joined(distinct, " "))
         return flat, np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
 
 
@@ -271,7 +270,7 @@ def summed(rows: DataFrame, many: bool = False) -> np.ndarray | None:
 
 
 def summed_in_blocks(rows: DataFrame) -> np.ndarray:
-    """The sum of tables that tasks send in blocks (block, cells)."""
+    """The sum of tables that tasks send in blocks (block, cells): block k has every ``BLOCKS``-th cell from k on, so that frequent pairs are dealt over all."""
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -282,7 +281,11 @@ def summed_in_blocks(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([packed(x) for x in held.values()], pa.binary())], names=["block", "cells"])
 
     got = rows.repartition(BLOCKS, "block").mapInArrow(add, "block int, cells binary").collect()  # a table of fixed size
-    return np.concatenate([unpack(r["cells"]) for r in sorted(got, key=lambda r: r["block"])]) if got else np.zeros(0, np.int64)
+    found = {r["block"]: unpack(r["cells"]) for r in got}
+    out = np.zeros(sum(map(len, found.values())), np.int64)
+    for k, cells in found.items():
+        out[k::BLOCKS] = cells
+    return out
 
 
 def id_counts(sliced: DataFrame) -> np.ndarray:
@@ -307,7 +310,7 @@ def pair_counts(sliced: DataFrame, unit: np.ndarray) -> np.ndarray:
             x, weight, _ = stream(*own.words, unit, np.flatnonzero(~own.held))
             after = np.append(x[1:], np.int16(EDGE))
             out += np.bincount((x.astype(np.int32) * np.int32(SIZE) + after)[weight], minlength=SIZE * SIZE)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([packed(x) for x in np.array_split(out, BLOCKS)], pa.binary())], names=["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([packed(out[k::BLOCKS]) for k in range(BLOCKS)], pa.binary())], names=["block", "cells"])
 
     out = summed_in_blocks(sliced.select("slice", "part", "blob").mapInArrow(count, "block int, cells binary"))
     return (out if len(out) else np.zeros(SIZE * SIZE, np.int64)).reshape(SIZE, SIZE)
