@@ -41,12 +41,11 @@ def package_json(path: Column, text: Column, files: DataFrame) -> DataFrame:
 
 
 def requirements_txt(path: Column, text: Column, files: DataFrame) -> DataFrame:
-    """path, name, constraint of pip requirements; the last line of a name wins."""
-    lines = files.select(path.alias("path"), F.posexplode(F.split(text, "\n", -1)).alias("p", "l")).withColumn("l", F.regexp_replace(F.split("l", ";")[0], r"^\s+|\s+$", ""))
-    lines = lines.filter(~F.col("l").rlike("^(#|-|$)"))
-    form = r"^([A-Za-z0-9_.-]+)(?:\[[^\]]*\])?\s*(.*)$"
-    named = lines.select("path", "p", F.regexp_extract("l", form, 1).alias("name"), F.regexp_extract("l", form, 2).alias("constraint")).filter("name <> ''")
-    return named.groupBy("path", "name").agg(F.max_by("constraint", "p").alias("constraint"))
+    """path, name, constraint of pip requirements: a name, extras in brackets that are left out, the rest; the last line of a name wins. Comments, options and markers after a semicolon are no part."""
+    lines = files.select(path.alias("path"), F.posexplode(F.split(text, "\n", -1)).alias("p", "l")).withColumn("l", norm_line(F.split("l", ";")[0]))
+    named = lines.filter(~F.col("l").startswith("#") & ~F.col("l").startswith("-")).withColumn("name", F.regexp_extract("l", r"^[\w.-]+", 0)).filter("name <> ''")
+    rest = norm_line(F.regexp_replace(F.expr("substring(l, length(name) + 1)"), r"^\[[^]]*]", ""))
+    return named.select("path", "p", "name", rest.alias("constraint")).groupBy("path", "name").agg(F.max_by("constraint", "p").alias("constraint"))
 
 
 def go_mod(path: Column, text: Column, files: DataFrame) -> DataFrame:
