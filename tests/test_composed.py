@@ -147,6 +147,7 @@ def test_streams_scan_like_tables(spark, tmp_path):
     found = scan.stream_secrets(spark, f"{tmp_path}/in", "path string, line int, content string", "path", "content")
     assert drained(found, "secrets") == sorted(map(tuple, records.scan_secrets(rows, "path").collect()))
     files = spark.readStream.schema("path string, line int, content string").parquet(f"{tmp_path}/in")
+    assert sorted(map(tuple, scan.drained(found, "secrets").collect())) == sorted(map(tuple, records.scan_secrets(rows, "path").collect()))
     assert drained(scan.stream_search(files, "path", "content", "AKIA"), "lines") == [("f2", 1, "AKIA" + "A1" * 8)]
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.functions.patterns import glob_regex
 from textloom.operators import bundles, diffs, lines, records, review, selection, similar
+from textloom.plans import catalogue
 from textloom.plans.catalogue import TOKENS, L
 from textloom.session import table
+from textloom.streaming import scan
 
 
 def pick(index, *values):
@@ -123,6 +125,17 @@ def search_skips_binary(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def streamed_search(spark, sf_dir):
+    """The documents as a stream of files, searched as they come."""
+    docs = scan.stream_table(spark, f"{sf_dir}/documents.parquet")
+    return scan.drained(scan.stream_search(docs, "doc_id", "text", "[[:digit:]]{3}"), "search")
+
+
+def streamed_secrets(spark, sf_dir):
+    docs = scan.stream_table(spark, f"{sf_dir}/documents.parquet")
+    return scan.drained(records.scan_secrets(lines.lines(docs, "doc_id", "text"), "doc_id"), "secrets")
+
+
 def front_matter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     head = pick(F.col("doc_id") % 5, "---\ntitle: x\n---\n", "---\ntitle: x\n...\n", "--- \nno\n---\n", "---\nnever closed\n", "")
@@ -180,7 +193,7 @@ def code_normalise(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = (file_bundles, bundle_keys, dependency_changes, lint_all, added_secrets, search_outcome, configured_paths, prompt_sections, search_skips_binary, front_matter, linters_in_use, declared_tests, snapshots_of_refs, work_tree_status, status_derivation, near_dup_code, near_dup_code_groups, code_normalise)
+    found = (file_bundles, bundle_keys, dependency_changes, lint_all, added_secrets, search_outcome, configured_paths, prompt_sections, search_skips_binary, streamed_search, streamed_secrets, front_matter, linters_in_use, declared_tests, snapshots_of_refs, work_tree_status, status_derivation, near_dup_code, near_dup_code_groups, code_normalise)
     return {f.__name__: f for f in found}
 
 
@@ -240,6 +253,8 @@ UNION ALL SELECT 'no such line anywhere', 0, false, 'no matches or invalid patte
  FROM (SELECT p_partkey AS p, ['gen/', 'src/', 'lib/a/', 'src/x/'][p_partkey % 4 + 1] AS d, ['.py', '_pb.py', '.PNG', '.lock', '.txt', '.min.js', '.ts'][p_partkey % 7 + 1] AS e FROM part)""",
         "prompt_sections": "SELECT p_partkey AS p, 'src/f' || p_partkey || ['.py', '.test.py', '.md'][p_partkey % 3 + 1] AS path, ['python', 'own', 'source'][p_partkey % 3 + 1] AS first, ['- python' || chr(10) || '- source', '- own' || chr(10) || '- python' || chr(10) || '- source', 'source'][p_partkey % 3 + 1] AS section FROM part",
         "search_skips_binary": f"SELECT doc_id, count(*) AS n FROM {L} WHERE doc_id % 5 <> 0 AND regexp_matches(content, '[A-Za-z]er') GROUP BY doc_id",
+        "streamed_search": f"SELECT doc_id, CAST(line AS INT) AS line, content FROM {L} WHERE regexp_matches(content, '[0-9]{{3}}')",
+        "streamed_secrets": catalogue.oracle_sql()["secret_scan"],
         "front_matter": "SELECT doc_id, md5(CASE doc_id % 5 WHEN 2 THEN '--- ' || chr(10) || 'no' || chr(10) || '---' || chr(10) || text WHEN 3 THEN CASE WHEN regexp_matches(chr(10) || text || chr(10), chr(10) || '(---|[.]{3})' || chr(10)) THEN regexp_replace(chr(10) || text, '^(?s:.*?)' || chr(10) || '(---|[.]{3})(' || chr(10) || '|$)', '') ELSE '---' || chr(10) || 'never closed' || chr(10) || text END ELSE text END) AS body_md5 FROM documents WHERE text IS NOT NULL",
         "linters_in_use": """SELECT repo, array_to_string(t, ',') AS tools, CASE WHEN len(t) = 0 THEN 'no known lint/typecheck configuration detected' ELSE '' END AS reason FROM (SELECT CAST(floor(sqrt(p_partkey)) AS BIGINT) AS repo,
  list_filter([CASE WHEN bool_or(p_partkey % 8 = 0) THEN 'eslint' END, CASE WHEN bool_or(p_partkey % 8 = 1) THEN 'tsc' END, CASE WHEN bool_or(p_partkey % 8 = 2) THEN 'ruff' END, CASE WHEN bool_or(p_partkey % 8 = 3) THEN 'go_vet' END, CASE WHEN bool_or(p_partkey % 8 = 4) THEN 'clippy' END], lambda x: x IS NOT NULL) AS t FROM part GROUP BY ALL)""",
