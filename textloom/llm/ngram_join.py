@@ -53,6 +53,8 @@ from textloom.session import materialise, table
 SHINGLE, SIMILAR = 3, (90, 100)
 #: Members and shingles of a verification block at most (a longer document is a block of its own).
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
+#: Rounds in which one set of each class is compared, at most.
+LEADER_ROUNDS = 8
 #: Shingles whose keys meet in one bucket.
 BUCKET_ELEMENTS = 1_500_000
 #: Cells (a power of two) of the table of common shingles, one byte each: what is broadcast, at every size of the input.
@@ -422,12 +424,19 @@ def linked(docs: DataFrame, members: DataFrame, sure: DataFrame, similar, shingl
     big = members.filter("blocks > 1").drop("blocks")
     if not big.head(1):
         return links
-    leaders = class_of(links, big)
-    first = leaders.groupBy("grp", "block", "known").agg(F.min("node").alias("node"))
-    leaders = leaders.join(first.select("node"), "node", "left_semi").drop("block")
-    leaders = put(leaders, ["grp"], "leaders").select("*", F.col("block").alias("side_a"), F.col("block").alias("side_b"))
-    links = links.unionByName(scanned(leaders))
     big = materialise(class_of(links, big), "classes")
+    for number in range(LEADER_ROUNDS):  # each round leaves up to as many times fewer classes as a block has sets
+        classes = big.groupBy("grp", "known").agg(F.min("node").alias("node"))
+        several = classes.groupBy("grp").count().filter("count > 1").select("grp")
+        leaders = materialise(big.join(classes.select("node"), "node", "left_semi").join(several, "grp", "left_semi").drop("block"), "leaders")
+        before = leaders.count()
+        if not before:
+            break
+        dealt = put(leaders, ["grp"], f"leaders {number}").select("*", F.col("block").alias("side_a"), F.col("block").alias("side_b"))
+        links = links.unionByName(scanned(dealt))
+        big = materialise(class_of(links, big.drop("known")), "classes")
+        if big.join(several, "grp", "left_semi").select("grp", "known").distinct().count() * 2 > before:
+            break
     most = big.groupBy("grp", "known").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("known", F.struct("c", "known")).alias("largest"), F.count("*").alias("classes"))
     most = most.filter("classes > 1").select("grp", "largest")
     few = put(big.drop("block").join(most, "grp").filter("known <> largest").drop("largest"), ["grp"], "few").withColumn("few", F.coalesce("blocks", F.lit(1))).drop("blocks")
