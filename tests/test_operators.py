@@ -69,6 +69,28 @@ def test_components_of_a_chain(spark):
     assert connected_components(edges.filter("a < 0")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    from textloom.operators import components
+
+    monkeypatch.setattr(components, "HUB", 4)
+    monkeypatch.setattr(components, "HUBS", 20)
+    edges = [*((500, i) for i in range(100, 180)), (179, 600), (600, 601), *((1, i) for i in range(700, 730)), (40, 41)]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, ["a", "b"])).collect()}
+    assert {found[i] for i in (*range(100, 180), 500, 600, 601)} == {100} and {found[i] for i in (1, *range(700, 730))} == {1} and found[41] == 40
+
+
+def test_near_duplicate_classes_with_hot_words_and_keys(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HOT", 1)
+    texts = [(i, f"a b c d e x{i % 4}", "k") for i in range(20)] + [(3, "p q r s t", None), (30, "p q r s t", "k K"), (31, "p q r s t", "k"), (32, "", "k"), (33, None, "k")]
+    frame = spark.createDataFrame(texts, "id int, t string, c string")
+    groups = {r["id"]: (r["duplicate_of"], r["is_kept"]) for r in similar.near_groups(frame, "id", "t").collect()}
+    assert groups == {**{i: (0, i == 0) for i in range(20)}, 30: (0, False), 31: (0, False), 32: (32, True), 33: (32, False)}
+    coded = {r["id"]: r["duplicate_of"] for r in similar.near_groups(frame, "id", "t", code="c").collect()}
+    assert coded == {**{i: 0 for i in range(20)}, 30: 30, 31: 30, 32: 32, 33: 32}
+    pairs = similar.similar_pairs(frame, "id", "t", code="c").collect()
+    assert {(r["a"], r["b"]) for r in pairs if r["a"] > 20} == {(30, 31), (32, 33)}
+
+
 def test_near_duplicates_against_all_pairs(spark):
     texts = ["a b c d e", "a b c d f", "a b c d e", "", "", "x y", "a b c", "e d c b a"]
     got = {(r["a"], r["b"]) for r in similar.similar_pairs(spark.createDataFrame(list(enumerate(texts)), ["id", "t"]), "id", "t").collect()}
