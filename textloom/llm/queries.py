@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import attention_lm, language_id, line_dedup, matroska, mixing, ngram_join, packing, sharding, suffix_dedup, target_encoding, vector_search, warc
+from textloom.llm import attention_lm, hard_negatives, language_id, line_dedup, matroska, mixing, ngram_join, packing, sharding, suffix_dedup, target_encoding, vector_search, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_warc": warc.op11_warc,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_target_encoding": target_encoding.op13_target_encoding,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_ngram_join": ngram_join.oracle_sql(), "op9_mixing": mixing.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql(), "op11_warc": warc.oracle_sql(), "op13_target_encoding": target_encoding.oracle_sql()}
+    return {"op2_ngram_join": ngram_join.oracle_sql(), "op9_mixing": mixing.oracle_sql(), "op10_line_dedup": line_dedup.oracle_sql(), "op11_warc": warc.oracle_sql(), "op12_hard_negatives": hard_negatives.oracle_sql(), "op13_target_encoding": target_encoding.oracle_sql()}
