@@ -167,9 +167,9 @@ def history(rows: DataFrame, count: int, gap: int = 0, shard_rows: int = SHARD_R
     answers = materialise(dealt.mapInArrow(_answer, ANSWER), "history")
     openings = materialise(opening_balances(answers.filter(F.col("side") != ANSWERED)), "openings")
     own = answers.filter(F.col("side") == ANSWERED)
-    begun = own.filter("first").join(openings, ["shard", "fold"])
-    raised = lambda c: (F.col(c) + F.col(f"more_{c}") - F.when(F.col("tie"), F.col(f"tie_{c}")).otherwise(0) + F.when(F.col("tie_fold"), F.col(f"tie_fold_{c}")).otherwise(0)).alias(c)
-    return own.filter("not first").select("level", "row", "n", "s").unionByName(begun.select("level", "row", raised("n"), raised("s")))
+    # every row is joined, though only those of first values are raised: then the join makes as many rows as there are
+    raised = lambda c: F.when(F.col("first"), F.col(c) + F.col(f"more_{c}") - F.when(F.col("tie"), F.col(f"tie_{c}")).otherwise(0) + F.when(F.col("tie_fold"), F.col(f"tie_fold_{c}")).otherwise(0)).otherwise(F.col(c)).alias(c)
+    return own.join(openings, ["shard", "fold"], "left").select("level", "row", raised("n"), raised("s"))
 
 
 def wide(found: DataFrame, codes: dict[str, int], row: str = "row") -> DataFrame:
@@ -207,7 +207,8 @@ def sold_lines(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: Da
 
     kind, nation and segment are those of the ids; of an id that stands several times in its table, the smallest.
     """
-    one = lambda rows, key, value: rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg(F.min(value).alias(value))
+    # as tables, so that a hot id's rows on the other side of a join can be dealt over tasks
+    one = lambda rows, key, value: materialise(rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg(F.min(value).alias(value)), value)
     own = lines.filter("sale_id is not null").groupBy("sale_id", F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), F.col("vendor_id").cast("long").alias("vendor_id"))
     own = own.agg(F.count("*").alias("n"), F.count_if(F.col("flag") == "returned").alias("s"))
     sold = sales.filter("sale_id is not null and sold_at is not null").select("sale_id", F.coalesce("client_id", F.lit(-1)).cast("long").alias("client_id"), micros("sold_at").alias("at"))
