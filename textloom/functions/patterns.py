@@ -1,12 +1,9 @@
-"""Globs and POSIX extended expressions compiled to Java regular expressions, on the driver."""
+"""Globs compiled to Java regular expressions, on the driver."""
 
 from __future__ import annotations
 
 import re
 
-_CLASSES = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "punct": r"\p{Punct}", "space": r"\s", "blank": r"[ \t]", "xdigit": r"\p{XDigit}", "cntrl": r"\p{Cntrl}", "print": r"\p{Print}", "graph": r"\p{Graph}"}
-
-
 def expand_braces(glob: str) -> list[str]:
     """``a{b,c}`` as its alternatives; braces without a comma stand for themselves."""
     depth, start = 0, -1
@@ -64,13 +61,3 @@ def glob_regex(glob: str) -> str:
 def any_glob(globs) -> str:
     """One expression for any of the globs; no glob matches nothing."""
     return "(?i)" + ("|".join(glob_regex(g)[4:] for g in globs) if globs else r"(?!)")
-
-
-def posix_regex(pattern: str) -> str:
-    """A POSIX extended expression with its bracket classes in Java's form."""
-    return re.sub(r"\[:(\w+):\]", lambda m: _CLASSES[m[1]].strip("[]"), pattern)
-
-
-def mandatory_literal(pattern: str) -> str | None:
-    """A substring that every match must hold, for a prefilter that reaches the scan; None if that isn't plain to see."""
-    return pattern if re.fullmatch(r"[\w \-=/\"':;,<>@#%&!~`]+", pattern) and len(pattern) > 2 else None

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.patterns import any_glob, mandatory_literal, posix_regex
+from textloom.functions import ere
+from textloom.functions.patterns import any_glob
 
 #: Matches returned, lines of context on either side, lines of context at most.
 MATCHES, AROUND, CONTEXT = 50, 10, 200
@@ -18,23 +19,54 @@ def lines(files: DataFrame, key: str, text: str) -> DataFrame:
     return files.select(key, F.posexplode(split).alias("_at", "content")).select(key, (F.col("_at") + 1).alias("line"), "content")
 
 
+#: Why a search has no rows; the same for an expression that isn't one (fixed value).
+NO_MATCHES = "no matches or invalid pattern"
+
+
+def holds(text: Column, query: tuple) -> Column | None:
+    """Whether a text holds what ``ere.held`` says that it must, where that is worth asking: literals of at least three characters."""
+    if query[0] == "has":
+        return text.contains(query[1]) if len(query[1]) > 2 else None
+    if query[0] not in ("and", "or"):
+        return None
+    parts = [holds(text, x) for x in query[1:]]
+    if query[0] == "or" and None in [p if p is None else 1 for p in parts]:
+        return None
+    out = None
+    for p in parts:
+        if p is not None:
+            out = p if out is None else (out & p if query[0] == "and" else out | p)
+    return out
+
+
+def passes(where: Column, include=(), exclude=()) -> Column:
+    """Whether a path passes globs."""
+    ok = where.rlike(any_glob(include)) if include else F.lit(True)
+    return ok & ~where.rlike(any_glob(exclude)) if exclude else ok
+
+
+def is_text(text: Column) -> Column:
+    """No NUL within the first 8000 characters."""
+    return F.instr(F.substring(text, 1, 8000), "\0") == 0
+
+
 def search(files: DataFrame, key: str, text: str, query: str, include=(), exclude=(), path: str | None = None) -> DataFrame:
-    """Lines that match a POSIX extended expression, in files whose path passes; binary texts (a NUL in 8000 characters) are skipped.
+    """Lines that match a POSIX extended expression, in files whose path passes; binary texts are skipped.
 
-    An empty query matches nothing. If the query is a plain literal, ``contains`` on the
-    text goes down to the scan.
+    An empty query matches nothing, and neither does an invalid expression (``ere.compile_ere``
+    says why it is). Literals that a match must hold are looked for in the whole text first;
+    a single one goes down to the scan.
     """
-    if not query:
+    found, _ = ere.compile_ere(query)
+    if not query or found is None:
         return lines(files.filter(F.lit(False)), key, text)
-    files = files.filter(F.instr(F.substring(F.col(text), 1, 8000), "\0") == 0)
-    if mandatory_literal(query):
-        files = files.filter(F.col(text).contains(query))
-    where = F.col(path or key).cast("string")
-    if include:
-        files = files.filter(where.rlike(any_glob(include)))
-    if exclude:
-        files = files.filter(~where.rlike(any_glob(exclude)))
-    return lines(files, key, text).filter(F.col("content").rlike(posix_regex(query)))
+    files = files.filter(is_text(F.col(text)))
+    must = holds(F.col(text), ere.held(ere.parse(query)))
+    if must is not None:
+        files = files.filter(must)
+    if include or exclude:
+        files = files.filter(passes(F.col(path or key).cast("string"), include, exclude))
+    return lines(files, key, text).filter(F.col("content").rlike(found))
 
 
 def first_matches(found: DataFrame, key: str, most: int = MATCHES) -> DataFrame:
@@ -51,11 +83,23 @@ def outcome(files: DataFrame, key: str, text: str, query: str, include=(), exclu
     out = lambda found, why: totals(found, most).select(F.lit(query).alias("query"), "total_matches", "truncated", why.alias("reason"))
     if not query:
         return out(search(files, key, text, query), F.lit("empty query"))
-    where = F.col("_path")
-    passes = (where.rlike(any_glob(include)) if include else F.lit(True)) & (~where.rlike(any_glob(exclude)) if exclude else F.lit(True))
     own = files.select(F.col(path or key).cast("string").alias("_path"), F.col(text).alias("_text"))
-    found = search(own, "_path", "_text", query).agg(F.count("*").alias("n"), F.count_if(passes).alias("total_matches"))
-    return found.select(F.lit(query).alias("query"), "total_matches", (F.col("total_matches") > most).alias("truncated"), F.when(F.col("n") == 0, "no matches or invalid pattern").alias("reason"))
+    found = search(own, "_path", "_text", query).agg(F.count("*").alias("n"), F.count_if(passes(F.col("_path"), include, exclude)).alias("total_matches"))
+    return found.select(F.lit(query).alias("query"), "total_matches", (F.col("total_matches") > most).alias("truncated"), F.when(F.col("n") == 0, NO_MATCHES).alias("reason"))
+
+
+def outcomes(files: DataFrame, key: str, text: str, queries: list[str], include=(), exclude=(), path: str | None = None, most: int = MATCHES) -> DataFrame:
+    """The rows of ``outcome`` of several expressions, in one pass over the files."""
+    own = files.select(F.col(path or key).cast("string").alias("_path"), F.col(text).alias("_text")).filter(is_text(F.col("_text")))
+    valid = {q: found for q in dict.fromkeys(queries) if q and (found := ere.compile_ere(q)[0]) is not None}
+    content, ok = F.col("content"), passes(F.col("_path"), include, exclude)
+    hits = {q: content.rlike(found) for q, found in valid.items()}
+    counts = lines(own, "_path", "_text").agg(*[F.struct(F.count_if(h).alias("n"), F.count_if(h & ok).alias("total")).alias(f"q{i}") for i, h in enumerate(hits.values())] or [F.count("*")])
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
+    at = {q: F.col(f"q{i}") for i, q in enumerate(hits)}
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(q).alias("query"), at.get(q, none).alias("c")) for q in queries])).alias("r")).select("r.query", "r.c")
+    reason = F.when(F.col("query") == "", "empty query").when(F.col("c.n") == 0, NO_MATCHES)
+    return rows.select("query", F.col("c.total").alias("total_matches"), (F.col("c.total") > most).alias("truncated"), reason.alias("reason"))
 
 
 def context(files: DataFrame, text: str, start: Column, end: Column, most: int = CONTEXT) -> DataFrame:

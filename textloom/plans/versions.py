@@ -1,12 +1,14 @@
-"""Queries over versions of files: diffs of snapshots, renames over time; and the SQL that checks them."""
+"""Queries over versions of files and expressions over their lines: diffs of snapshots, renames over time, search with an index; and the SQL that checks them."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import diffs, linediff
-from textloom.session import materialise, table
+from textloom.operators import diffs, lines, linediff, text_index
+from textloom.session import materialise, table, work_dir
 
 
 def versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -42,8 +44,38 @@ def snapshot_line_diffs(spark, sf_dir):
     return counts.join(made, "path").select("path", F.when(F.col("status") == "renamed", F.col("old_path")).alias("moved_from"), "status", "insertions", "deletions", "patched_md5", "patch_error")
 
 
+#: Expressions of every kind; those of the second line are none, or need what only POSIX or the GNU extensions have.
+EXPRESSIONS = ["[[:digit:]]{3}", "(the|der|les) .*(and|und|et)", "Permission is hereby granted", "colou?r", "password|api_key", "[A-Z]{12}", "nowhere to be found", "(ab){2}", "^[^ ]+$", "q"]
+ODD = ["x{2", "[[:nope:]]", "(a", "a\\", "*a", "", r"[\d]7", r"\<th", r"ing\>", "a)b"]
+
+
+def search_expressions(spark, sf_dir):
+    """What each expression finds, and why it finds nothing, in one pass over all documents."""
+    return lines.outcomes(table(spark, sf_dir, "documents"), "doc_id", "text", EXPRESSIONS + ODD)
+
+
+def text_indexed(spark, sf_dir) -> str:
+    folder = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    text_index.build(table(spark, sf_dir, "documents"), "doc_id", "text", folder)
+    return folder
+
+
+def indexed_search(spark, sf_dir):
+    """The lines that the index finds for each expression."""
+    folder, out = text_indexed(spark, sf_dir), None
+    for query in EXPRESSIONS[1:8]:
+        found = text_index.indexed_search(spark, folder, query).select(F.lit(query).alias("query"), F.col("key").alias("doc_id"), "line", F.md5("content").alias("content_md5"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def indexed_reads(spark, sf_dir):
+    """How many texts each search verifies."""
+    return text_index.reads(spark, text_indexed(spark, sf_dir), EXPRESSIONS[1:8])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (snapshot_line_diffs,)}
+    return {f.__name__: f for f in (snapshot_line_diffs, search_expressions, indexed_search, indexed_reads)}
 
 
 VERSIONS = """d AS (SELECT doc_id, list_transform(CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END, lambda x: doc_id || '|' || x) AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
@@ -52,7 +84,22 @@ v AS (SELECT *, len(list_filter(range(1, len(ls) + 1), lambda i: i % 7 = 3)) AS
   list_sum(list_transform(list_filter(ls, lambda x, i: i % 7 <> 3 AND i % 11 <> 5), lambda x: len(x) + 1)) AS same, list_sum(list_transform(ls, lambda x: len(x) + 1)) AS before, list_sum(list_transform(edited, lambda x: len(x) + 1)) AS after, array_to_string(list_transform(edited, lambda x: x || chr(10)), '') AS post, array_to_string(list_transform(ls, lambda x: x || chr(10)), '') AS pre FROM e)"""
 
 
+LINES = "(SELECT doc_id, unnest(ls) AS content, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+#: The odd expressions as SQL conditions on a line; the first five aren't expressions.
+ODD_SQL = {5: "false", 6: r"regexp_matches(content, '[\\d]7')", 7: r"regexp_matches(content, '(^|[^A-Za-z0-9_])th')", 8: r"regexp_matches(content, 'ing($|[^A-Za-z0-9_])')", 9: "contains(content, 'a)b')"}
+#: What a text must hold for the expressions that the index is asked, written out by hand.
+NEEDED = {1: [["the ", "der ", "les "]], 2: [["Permission is hereby granted"]], 3: [["color", "colour"]], 4: [["password", "api_key"]], 6: [["nowhere to be found"]], 7: [["abab"]]}
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def oracle_sql() -> dict:
+    matches = {i: f"regexp_matches(content, {quoted(p)})" for i, p in enumerate(EXPRESSIONS)}
+    count = lambda query, where, empty="NULL": f"SELECT {quoted(query)} AS query, count(*) FILTER ({where}) AS total_matches, count(*) FILTER ({where}) > 50 AS truncated, CASE WHEN {empty} IS NOT NULL THEN {empty} WHEN count(*) FILTER ({where}) = 0 THEN '{lines.NO_MATCHES}' END AS reason FROM x"
+    outcomes = [count(q, matches[i]) for i, q in enumerate(EXPRESSIONS)] + [count(q, ODD_SQL.get(i, "false"), "'empty query'" if not q else "CAST(NULL AS VARCHAR)") for i, q in enumerate(ODD)]
+    grams = lambda s: " AND ".join(f"contains(text, {quoted(s[i:i + 3])})" for i in range(len(s) - 2))
     row = lambda path, moved, status, ins, dels, post: f"{path} AS path, {moved} AS moved_from, '{status}' AS status, CAST({ins} AS BIGINT) AS insertions, CAST({dels} AS BIGINT) AS deletions, {post} AS patched_md5, CAST(NULL AS VARCHAR) AS patch_error"
     here, there, none = "'d/' || doc_id || '.txt'", "'moved/' || doc_id || '.txt'", "CAST(NULL AS VARCHAR)"
     moved = f"kind = 4 AND coalesce(same, 0) >= {linediff.SIMILAR} * greatest(before, after)"
@@ -63,4 +110,9 @@ UNION ALL SELECT {row(there, here, 'renamed', 'changed + more', 'cut + changed',
 UNION ALL SELECT {row(there, none, 'added', 'len(edited)', '0', 'md5(post)')} FROM v WHERE kind = 4 AND NOT ({moved})
 UNION ALL SELECT {row(here, none, 'deleted', '0', 'len(ls)', none)} FROM v WHERE kind = 5 OR (kind = 4 AND NOT ({moved}))
 UNION ALL SELECT {row(here, none, 'added', 'len(ls)', '0', 'md5(pre)')} FROM v WHERE kind = 6""",
+        "search_expressions": f"WITH x AS MATERIALIZED (SELECT content FROM {LINES}) " + " UNION ALL ".join(outcomes),
+        "indexed_search": f"WITH x AS MATERIALIZED (SELECT * FROM {LINES}) " + " UNION ALL ".join(f"SELECT {quoted(q)} AS query, doc_id, CAST(line AS INT) AS line, md5(content) AS content_md5 FROM x WHERE {matches[i]}" for i, q in enumerate(EXPRESSIONS) if 1 <= i <= 7),
+        "indexed_reads": " UNION ALL ".join(
+            f"SELECT {quoted(EXPRESSIONS[i])} AS query, count(*) FILTER ({' AND '.join('(' + ' OR '.join('(' + grams(s) + ')' for s in some) + ')' for some in NEEDED[i]) if i in NEEDED else 'true'}) AS files_read, count(*) AS files FROM documents" for i in range(1, 8)
+        ),
     }
