@@ -324,3 +324,27 @@ def test_words_of_very_long_and_odd_texts(spark):
     classes = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_classes(frame).collect()}
     assert classes == {(1, 1), (2, 2), (None, None), (3, 3), (4, 4), (5, 4)}
     assert re.match(r"^[0-9a-f]{64}$", suffix_dedup.digests(frame.filter("doc_id > 3")).first()["kept_sha256"])
+
+
+def test_language_sample_has_every_language_within_its_bounds(spark):
+    xx = [(i, f"wort wert wirt {i} " * 20, "xx", None, None) for i in range(300)]
+    zz = [(10_000 + i, "zuzu zaza zozo " * 200_000, "zz", None, None) for i in range(3)]
+    docs = spark.createDataFrame(xx + zz, SCHEMA)
+    found = language_id.sample(docs)
+    assert [x[0] for x in found] == ["xx", "zz"] and all(x[1] for x in found)
+    models = language_id.fit(docs)
+    assert models.languages == ["xx", "zz"] and models.predict(pa.array(["zaza zuzu zozo", "wirt wort"], pa.large_string()))[0] == ["zz", "xx"]
+    one = "lorem ipsum dolor " * 55_000
+    many = spark.createDataFrame([(i, one, "la", None, None) for i in range(40)] + [(77, "und so weiter", "de", None, None)] * 5000, SCHEMA)
+    found = {x[0]: x[1:] for x in language_id.sample(many, characters=4_000_000)}
+    for fit, calibrate in found.values():
+        assert fit and sum(map(len, fit)) <= 4_000_000 and len(fit) <= language_id.PER_LANGUAGE
+        assert len(calibrate) <= max(language_id.DRAWN, len(fit)) and sum(map(len, calibrate)) <= 4_000_000
+
+
+def test_vector_sample_is_bounded_where_one_id_repeats(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").unionByName(spark.range(60_000).selectExpr("1000 vec_id", "array(0.1D, 0.2D, 0.3D, 0.4D) embedding"))
+    tree, _, recall, n = vector_search.prepare(vector_search.usable(df), 20, 5, 100, 50, 0.9)
+    assert n == 60_200 and recall >= 0.9 and tree.leaves <= 200

@@ -10,9 +10,11 @@ training documents that the models haven't seen). Where a language's sample has
 them, documents outside the sample calibrate as well; a language that is still short of
 ``ENOUGH`` has the limit of all languages' calibration together, or its own if that is higher.
 
-Training reads a bounded sample of labelled whole documents: ``PER_LANGUAGE`` of each
-language and ``TOTAL`` in all, in expectation, chosen by a hash of the id. Counts per
-language cover all documents. Everything predicted covers whole texts.
+Training reads a bounded sample of labelled documents: of each language the first in order of
+a hash, at least one, up to ``PER_LANGUAGE`` (fewer where there are so many languages that
+``TOTAL`` is met) and ``CHARACTERS``, so every labelled language is learnt and what the driver
+gets is bounded whatever repeats or runs long; a document adds ``LONG`` characters at most.
+Counts per language cover all documents. Everything predicted covers whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected;
 with no labelled document at all every text is; ties go to the language that is first by
@@ -27,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm._text import joined, mix, release, slices
@@ -36,11 +38,11 @@ from textloom.session import table
 ORDER = 5
 #: Documents that the models of one language, and all models together, are fitted on (expected numbers of the hashed sample).
 PER_LANGUAGE, TOTAL = 600, 8000
-#: Characters of one language that models and calibration are fitted on at most, in whole documents.
-CHARACTERS = 4_000_000
+#: Characters of one language that its model is fitted on, and of all languages together; of one document; of a document that only calibrates.
+CHARACTERS, ALL_CHARACTERS, LONG, CALIBRATION_LONG = 4_000_000, 40_000_000, 200_000, 20_000
 #: Of the sampled documents of a language, one in so many calibrates its rejection.
 CALIBRATE = 4
-#: Calibrating documents that a language's own limit needs; expected number that is drawn where the sample has fewer.
+#: Calibrating documents that a language's own limit needs; how many there are at most where the sample has fewer.
 ENOUGH, DRAWN = 20, 60
 #: A text is rejected above this quantile of its language's calibration, plus a margin in bits, plus slack / characters.
 QUANTILE, MARGIN, SLACK = 0.995, 0.75, 24.0
@@ -206,25 +208,39 @@ class Models:
         return langs, np.where(none, 0, score), np.where(none, np.nan, low), none | (low > self.limits[best] + SLACK / np.maximum(n, 1))
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL, characters: int = CHARACTERS) -> list[tuple[str, list[str], list[str]]]:
-    """(language, texts to fit, texts to calibrate): a bounded sample by a hash of the id, of the documents not held out."""
-    known = docs.filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL, characters: int = CHARACTERS, every: int = ALL_CHARACTERS) -> list[tuple[str, list[str], list[str]]]:
+    """(language, texts to fit, texts to calibrate) of every labelled language: the first documents not held out in order of a hash, at least one of each.
+
+    Of a language at most ``per_language`` texts and ``characters`` characters come, and at most ``DRAWN`` more calibrate; of a document longer than ``LONG`` a run of its words does, from a place that its hash picks.
+    """
+    known = docs.filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    h = F.pmod("h", F.lit(1 << 30))
+    told = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("first")).collect()
+    counts = {r["lang"]: r["n"] for r in told}
     if not counts:
         return []
-    each = min(per_language, max(1, total // len(counts)))
-    share = {r["lang"]: min(1.0, each / r["n"], characters / max(1, r["c"])) for r in counts}
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    more = {r["lang"]: share[r["lang"]] + max(0.0, DRAWN - r["n"] * share[r["lang"]] / CALIBRATE) / r["n"] for r in counts}
-    limit, last = (F.element_at(F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.lit(v))]), F.col("lang")) for by in (share, more))
-    part = F.when(h < limit, F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATE))).otherwise(F.lit(-1))
-    rows = known.filter(h < last).select("lang", "text", part.alias("part")).collect()
+    each, characters = min(per_language, max(1, total // len(counts))), min(characters, max(LONG, every // len(counts)))
+    most = each + DRAWN
+    # some times as many as are needed, so that few rows are ranked; of small languages all, of each at least the first (which may be all of its rows)
+    last = F.element_at(F.create_map(*[x for r in told for x in (F.lit(r["lang"]), F.lit(max(r["first"], int((1 << 30) * min(1.0, 4.0 * most / r["n"])))))]), F.col("lang"))
+    start = (F.pmod(F.col("h"), F.greatest(F.length("text") - LONG, F.lit(1))) + 1).cast("int")
+    run = F.regexp_replace(F.substring("text", start, F.lit(LONG)), r"(?s)^\S*\s|\s\S*$", "")
+    drawn = known.filter(h <= last).withColumn("text", F.when(F.length("text") > LONG, run).otherwise(F.col("text")))
+    by_hash = Window.partitionBy("lang").orderBy(h, "h", "text")
+    ranked = drawn.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= most)
+    used = F.sum(F.length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0))
+    fits = (F.col("rank") <= each) & ((F.col("rank") == 1) | (used <= characters))
+    fitted = ranked.withColumn("fits", fits).withColumn("n", F.sum(F.col("fits").cast("int")).over(Window.partitionBy("lang"))).filter(F.col("rank") <= F.col("n") + DRAWN)
+    part = F.when(F.col("fits"), F.pmod(F.xxhash64(F.lit("calibrate"), "h"), F.lit(CALIBRATE))).otherwise(F.lit(-1))
+    rows = fitted.select("lang", F.when(F.col("fits"), F.col("text")).otherwise(F.substring("text", 1, CALIBRATION_LONG)).alias("text"), part.alias("part"), "rank").collect()
     out = []
-    for lang in sorted(share):
-        own = sorted((r["text"], r["part"]) for r in rows if r["lang"] == lang)
-        few = sum(p >= 0 for _, p in own) < 8
-        out.append((lang, [t for t, p in own if p > 0 or (few and p == 0)], [t for t, p in own if p <= 0]))
-    return [x for x in out if x[1]]
+    for lang in sorted(counts):
+        own = [(r["text"], r["part"]) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: r["rank"])]
+        calibrating = sum(p == 0 for _, p in own)
+        few = calibrating < 8
+        more = [t for t, p in own if p < 0][: DRAWN - calibrating] if calibrating < ENOUGH else []
+        out.append((lang, [t for t, p in own if p > 0 or (few and p == 0)], [t for t, p in own if p == 0] + more))
+    return out
 
 
 def fit(docs: DataFrame, **options) -> Models:

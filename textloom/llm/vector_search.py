@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from textloom.llm._text import bounded_parts, mix
 from textloom.session import materialise, table
 
-#: Expected rows of the sample that the tree is fitted on; children of a node at most.
+#: Expected rows of the sample that the tree is fitted on (twice as many at most, whatever repeats); children of a node at most.
 SAMPLE, BRANCH = 40_000, 16
-#: Calibration queries (expected), and the recall they must reach.
+#: Calibration queries (expected; four times as many at most), and the recall they must reach.
 CALIBRATION, TARGET = 150, 0.95
 #: Vectors of a part: at least and at most, and the number of parts that lies between.
 PARTS = (4096, 65_536, 256)
@@ -217,11 +217,13 @@ def prepare(rows: DataFrame, every: int, most: int, sample: int, calibration: in
     """Of usable rows: a tree fitted on a sample, the visits that a query makes, the recall measured with them, and the number of rows."""
     is_query = F.pmod(F.col("vec_id"), F.lit(every)) == 0
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    draw = lambda salt, share: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, share)))
-    got = rows.filter(draw("tree", sample / max(1, n))).orderBy("vec_id").toPandas()
+    key = lambda salt, *of: F.pmod(F.xxhash64(F.lit(salt), *of), F.lit(1 << 30))
+    draw = lambda salt, share, *of: key(salt, *of) < F.lit(int((1 << 30) * min(1.0, share)))
+    of_row = ("vec_id", "embedding")  # rows that share an id are drawn apart
+    got = rows.filter(draw("tree", sample / max(1, n), *of_row)).orderBy(key("tree", *of_row), "vec_id").limit(2 * sample).toPandas().sort_values("vec_id", kind="stable")
     vectors = np.array(got["embedding"].tolist(), float) if len(got) else np.zeros((0, 1))
     tree = Tree(vectors, leaf=max(4.0, len(vectors) / max(1.0, n**0.5)))  # as many leaves as a leaf has rows
-    asked = rows.filter(is_query & draw("calibrate", calibration / max(1, n_queries))).dropDuplicates(["vec_id"]).orderBy("vec_id").toPandas()
+    asked = rows.filter(is_query & draw("calibrate", calibration / max(1, n_queries), "vec_id")).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy("vec_id").limit(4 * calibration).toPandas()
     if not len(asked):
         return tree, tree.leaves, 1.0, n
     return tree, *calibrate(rows, tree, asked["vec_id"].to_numpy(np.int64), np.array(asked["embedding"].tolist(), float), most, target), n
