@@ -130,12 +130,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r["total_commits"], r["fix_commit_ratio"]) for r in records.history_stats(log, "path", "ts", "subject").collect()] == [(2, 0.5)]
 
 
-def test_history_follows_renames(spark):
-    commits = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("z", "4")], ["path", "hash"])
-    renames = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], ["old", "new"])
-    assert {(r["hash"], r["path"]) for r in records.follow_renames(commits, renames).collect()} == {("1", "d"), ("2", "d"), ("3", "d"), ("4", "z")}
-
-
 def test_streams_scan_like_tables(spark, tmp_path):
     rows = spark.createDataFrame([("f1", 1, "token = abcdefgh12345"), ("f1", 2, "nothing"), ("f2", 1, "AKIA" + "A1" * 8)], "path string, line int, content string")
     rows.write.parquet(f"{tmp_path}/in")

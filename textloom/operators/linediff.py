@@ -252,21 +252,22 @@ def _compared(batches):
         yield pa.RecordBatch.from_arrays([batch.column("old_path"), batch.column("new_path"), pa.array(found, pa.string())], names=["old_path", "new_path", "diff"])
 
 
-def _weighed(files: DataFrame) -> DataFrame:
-    """path, line (a hash), size (characters of all its copies), total (of the file)."""
+def _weighed(files: DataFrame, within: str | None) -> DataFrame:
+    """path (with what it is within), line (a hash), size (characters of all its copies), total (of the file)."""
     split = F.split("content", "\n", -1)
-    lines = files.select("path", F.length("content").alias("total"), F.posexplode(split).alias("at", "line"), (F.size(split) - 1).alias("last"))
+    apart = F.col(within) if within else F.lit(0)
+    lines = files.select(F.struct(apart.alias("within"), "path").alias("path"), F.length("content").alias("total"), F.posexplode(split).alias("at", "line"), (F.size(split) - 1).alias("last"))
     # a line end belongs to its line
-    lines = lines.select("path", "total", F.xxhash64("line").alias("line"), (F.length("line") + (F.col("at") < F.col("last")).cast("int")).alias("size"))
+    lines = lines.select("path", "total", F.xxhash64("line", "path.within").alias("line"), (F.length("line") + (F.col("at") < F.col("last")).cast("int")).alias("size"))
     return lines.filter("size > 0").groupBy("path", "total", "line").agg(F.sum("size").alias("size"))
 
 
-def renames(gone: DataFrame, come: DataFrame, least: float = SIMILAR) -> DataFrame:
+def renames(gone: DataFrame, come: DataFrame, least: float = SIMILAR, within: str | None = None) -> DataFrame:
     """old, new, similarity of the files (path, content) that are renamed; each path is in one pair at most.
 
-    Lines are compared by 64-bit hashes. Equal contents come first, then the most similar; ties go to the smaller paths.
+    ``within``: a column (a commit, say) that both sides have, is returned first, and is equal in a pair. Lines are compared by 64-bit hashes. Equal contents come first, then the most similar; ties go to the smaller paths.
     """
-    sides = [materialise(_weighed(x.filter("content is not null and content <> ''")), "lines") for x in (gone, come)]
+    sides = [materialise(_weighed(x.filter("content is not null and content <> ''"), within), "lines") for x in (gone, come)]
     often = sides[0].unionByName(sides[1]).groupBy("line").agg(F.count("*").alias("df"))
 
     def rarest(side: DataFrame) -> DataFrame:
@@ -276,7 +277,7 @@ def renames(gone: DataFrame, come: DataFrame, least: float = SIMILAR) -> DataFra
         return placed.filter(F.col("total") - F.col("before") >= F.col("total") * least).select("path", "line", "total")
 
     a, b = (rarest(s).select(F.col("path").alias(n), "line", F.col("total").alias(f"{n}_total")) for s, n in zip(sides, ("old", "new"), strict=True))
-    fits = (F.col("old_total") >= F.col("new_total") * least) & (F.col("new_total") >= F.col("old_total") * least)
+    fits = F.col("old.within").eqNullSafe(F.col("new.within")) & (F.col("old_total") >= F.col("new_total") * least) & (F.col("new_total") >= F.col("old_total") * least)
     met = a.join(b, "line").filter(fits).select("old", "new").distinct()
     shared = met.join(sides[0].select(F.col("path").alias("old"), "line", F.col("size").alias("s"), F.col("total").alias("t")), "old")
     shared = shared.join(sides[1].select(F.col("path").alias("new"), "line", F.col("size").alias("s2"), F.col("total").alias("t2")), ["new", "line"])
@@ -292,7 +293,8 @@ def renames(gone: DataFrame, come: DataFrame, least: float = SIMILAR) -> DataFra
         if not left.head(1):
             for x in (*sides, left):
                 discard(x)
-            return taken
+            own = [F.col("old.within").alias(within)] if within else []
+            return taken.select(*own, F.col("old.path").alias("old"), F.col("new.path").alias("new"), "similarity")
 
 
 def snapshot_diffs(before: DataFrame, after: DataFrame, follow: bool = True, least: float = SIMILAR) -> DataFrame:

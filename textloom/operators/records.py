@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import entropy, mask, norm_line, slashes
 from textloom.operators import diffs
-from textloom.session import discard, materialise
 
 #: Words in a subject that make a commit a fix (fixed values).
 FIXES = ("fix", "bug", "hotfix", "patch", "regression")
@@ -113,21 +112,6 @@ def history_stats(commits: DataFrame, key: str, ts: str, subject: str) -> DataFr
     return commits.groupBy(key).agg(F.count("*").alias("total_commits"), F.max(ts).alias("last_modified"), F.avg(F.coalesce(fix, F.lit(False)).cast("double")).alias("fix_commit_ratio"))
 
 
-def follow_renames(commits: DataFrame, renames: DataFrame, rounds: int = 40) -> DataFrame:
-    """``commits`` with path as the file is called now. ``renames``: old, new; a name is given away once, and chains are halved in each round."""
-    now = materialise(renames.select("old", "new").filter(F.col("old") != F.col("new")).dropDuplicates(["old"]), "renames")
-    for _ in range(rounds):
-        further = now.select(F.col("old").alias("new"), F.col("new").alias("_later"))
-        after = materialise(now.join(further, "new", "left").select("old", F.coalesce("_later", "new").alias("new"), F.col("_later").isNotNull().alias("moved")), "renames")
-        discard(now)
-        now = after.select("old", "new")
-        if not after.filter("moved").head(1):
-            break
-    else:
-        raise RuntimeError("renames go in a circle")
-    return commits.join(now.select(F.col("old").alias("path"), "new"), "path", "left").withColumn("path", F.coalesce("new", "path")).drop("new")
-
-
 def import_edges(files: DataFrame, path: str, text: str) -> DataFrame:
     """importer, specifier: what stands between two quotes after an import, an export, their ``from``, or the parenthesis of a call to require or import."""
     pieces = F.split(text, "[\"']", -1)

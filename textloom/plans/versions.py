@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import diffs, lines, linediff, text_index
+from textloom.operators import diffs, history, lines, linediff, text_index
 from textloom.session import materialise, table, work_dir
 
 
@@ -74,8 +74,22 @@ def indexed_reads(spark, sf_dir):
     return text_index.reads(spark, text_indexed(spark, sf_dir), EXPRESSIONS[1:8])
 
 
+def history_renames(spark, sf_dir):
+    """Every name's history, where the events are commits of few files: one in nine gives a name away, one in 45 swaps two, and half of the subjects fix."""
+    log = table(spark, sf_dir, "events").filter("user_id is not null")
+    files = F.greatest(F.floor(F.lit(log.count()) / 12), F.lit(7))
+    name = lambda n: F.concat(F.lit("f"), F.pmod(n, files))
+    seq, moves, swaps = F.col("event_id"), F.col("event_id") % 9 == 4, F.col("event_id") % 45 == 13
+    a, b = name(seq * 37 + F.col("user_id")), name(seq * 101 + 5)
+    subject = F.when(seq % 2 == 0, F.concat("event_type", F.lit(" Hotfix"))).otherwise(F.col("event_type"))
+    of = lambda path, old: (F.lit("r").alias("repo"), seq.alias("seq"), path.alias("path"), old.alias("old_path"), F.col("ts").cast("string").alias("ts"), subject.alias("subject"))
+    rows = materialise(log.select(*of(a, F.when(moves | swaps, b))).unionByName(log.filter(swaps).select(*of(b, a))), "log")
+    paths = rows.select("repo", "path").unionByName(rows.filter("old_path is not null").select("repo", F.col("old_path").alias("path"))).unionByName(rows.limit(1).select("repo", F.lit("never").alias("path")))
+    return history.history(paths, rows).select("path", "total_commits", "last_modified", F.round("fix_commit_ratio", 6).alias("fix_commit_ratio"), "reason")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (snapshot_line_diffs, search_expressions, indexed_search, indexed_reads)}
+    return {f.__name__: f for f in (snapshot_line_diffs, history_renames, search_expressions, indexed_search, indexed_reads)}
 
 
 VERSIONS = """d AS (SELECT doc_id, list_transform(CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END, lambda x: doc_id || '|' || x) AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
@@ -110,6 +124,18 @@ UNION ALL SELECT {row(there, here, 'renamed', 'changed + more', 'cut + changed',
 UNION ALL SELECT {row(there, none, 'added', 'len(edited)', '0', 'md5(post)')} FROM v WHERE kind = 4 AND NOT ({moved})
 UNION ALL SELECT {row(here, none, 'deleted', '0', 'len(ls)', none)} FROM v WHERE kind = 5 OR (kind = 4 AND NOT ({moved}))
 UNION ALL SELECT {row(here, none, 'added', 'len(ls)', '0', 'md5(pre)')} FROM v WHERE kind = 6""",
+        "history_renames": f"""WITH RECURSIVE c AS (SELECT greatest(count(*) // 12, 7) AS files FROM events WHERE user_id IS NOT NULL),
+e AS (SELECT event_id AS seq, 'f' || (event_id * 37 + user_id) % files AS a, 'f' || (event_id * 101 + 5) % files AS b, event_id % 9 = 4 AS moves, event_id % 45 = 13 AS swaps, ts, event_type || CASE WHEN event_id % 2 = 0 THEN ' Hotfix' ELSE '' END AS subject FROM events, c WHERE user_id IS NOT NULL),
+l AS (SELECT seq, a AS path, CASE WHEN moves OR swaps THEN b END AS old_path FROM e UNION ALL SELECT seq, b, a FROM e WHERE swaps),
+r AS MATERIALIZED (SELECT seq, path AS new, min(old_path) AS old FROM l WHERE old_path <> path GROUP BY ALL),
+p AS (SELECT r.*, (SELECT max(q.seq) FROM r q WHERE q.new = r.old AND q.seq < r.seq) AS prior FROM r),
+n AS (SELECT path FROM l UNION SELECT old_path FROM l WHERE old_path IS NOT NULL UNION SELECT 'never'),
+s AS (SELECT n.path, n.path AS name, max(r.seq) AS low, CAST(NULL AS BIGINT) AS high FROM n LEFT JOIN r ON r.new = n.path GROUP BY n.path
+  UNION ALL SELECT s.path, p.old, p.prior, p.seq FROM s JOIN p ON s.name = p.new AND s.low = p.seq),
+t AS (SELECT DISTINCT seq, path FROM (SELECT seq, path FROM l UNION ALL SELECT seq, old_path FROM l WHERE old_path IS NOT NULL)),
+h AS (SELECT s.path, e.seq, e.ts, e.subject FROM s JOIN t ON s.name = t.path AND (s.low IS NULL OR t.seq >= s.low) AND (s.high IS NULL OR t.seq < s.high) JOIN e ON t.seq = e.seq)
+SELECT n.path, count(h.seq) AS total_commits, strftime(max_by(ts, seq), '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(max_by(ts, seq)) % 1000000 = 0 THEN '' ELSE rtrim('.' || lpad(CAST(microsecond(max_by(ts, seq)) % 1000000 AS VARCHAR), 6, '0'), '0') END AS last_modified,
+  round(coalesce(avg(CASE WHEN h.seq IS NULL THEN NULL WHEN lower(subject) LIKE '%hotfix%' THEN 1.0 ELSE 0.0 END), 0), 6) AS fix_commit_ratio, CASE WHEN count(h.seq) = 0 THEN '{history.NO_HISTORY}' END AS reason FROM n LEFT JOIN h USING (path) GROUP BY n.path""",
         "search_expressions": f"WITH x AS MATERIALIZED (SELECT content FROM {LINES}) " + " UNION ALL ".join(outcomes),
         "indexed_search": f"WITH x AS MATERIALIZED (SELECT * FROM {LINES}) " + " UNION ALL ".join(f"SELECT {quoted(q)} AS query, doc_id, CAST(line AS INT) AS line, md5(content) AS content_md5 FROM x WHERE {matches[i]}" for i, q in enumerate(EXPRESSIONS) if 1 <= i <= 7),
         "indexed_reads": " UNION ALL ".join(
