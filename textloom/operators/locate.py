@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import norm_line, norm_lines
+from textloom.operators import ranges
 
 #: Edit distance over length below which a window matches.
 FUZZY = 0.15
@@ -73,19 +74,25 @@ def align(hints: DataFrame, hunks: DataFrame, on: list[str], hint: str, start: s
     """``hints`` with hunk and line: the first hunk that holds the hint, at the hint.
 
     Before the first hunk its start, after the last its end, and between them the start of
-    the hunk with the nearest start (ties: the first). Hunks are in order of ``number``; a
-    partial aggregate per hint keeps three of them, so no file's hunks are gathered.
+    the hunk with the nearest start (ties: the first). Hunks are in order of ``number``. Hints
+    of files without hunks drop out. The hunk that holds a hint is found by a range join, the
+    starts on either side by as-of joins, so a file with many of both isn't one group.
     """
     h = F.struct(F.col(number).alias("number"), F.col(start).alias("start"), F.col(end).alias("end"))
-    inside = F.col(hint).between(F.col(start), F.col(end))
-    met = hints.join(hunks, on).groupBy(*hints.columns).agg(
-        F.min_by(h, F.when(inside, F.col(number))).alias("_in"), F.min_by(h, F.col(number)).alias("_first"), F.max_by(h, F.col(number)).alias("_last"),
-        F.min_by(h, F.struct(F.abs(F.col(hint) - F.col(start)), F.col(number))).alias("_near"),
-    )
+    asked = hints.filter(F.col(hint).isNotNull()).select(*on, hint).distinct()
+    held = ranges.range_join(asked, hunks.select(*on, h.alias("_h"), start, end), on, hint, start, end)
+    held = held.groupBy(*[F.col(f"point.{c}").alias(c) for c in (*on, hint)]).agg(F.min_by("range._h", "range._h.number").alias("_in"))
+    starts = hunks.select(*on, F.col(start).alias("_start"), h.alias("_h"))
+    near = ranges.asof(ranges.asof(asked, starts, on, hint, "_start", "_h", "_before"), starts, on, hint, "_start", "_h", "_after", strict=True, forward=True)
+    ends = hunks.groupBy(*on).agg(F.min_by(h, F.col(number)).alias("_first"), F.max_by(h, F.col(number)).alias("_last"))
+    met = near.join(ends, on).join(held, [*on, hint], "left")
+    apart = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(hint) - F.col(f"{c}.start")).alias("d"), F.col(f"{c}.number").alias("number"), F.col(f"{c}.start").alias("start")))
+    nearest = F.least(apart("_before"), apart("_after"))
     before, after = F.col(hint) < F.col("_first.start"), F.col(hint) > F.col("_last.end")
-    hunk = F.when(F.col("_in").isNotNull(), F.col("_in.number")).when(before, F.col("_first.number")).when(after, F.col("_last.number")).otherwise(F.col("_near.number"))
-    line = F.when(F.col("_in").isNotNull(), F.col(hint)).when(before, F.col("_first.start")).when(after, F.col("_last.end")).otherwise(F.col("_near.start"))
-    return met.withColumn("hunk", hunk).withColumn("line", line).drop("_in", "_first", "_last", "_near")
+    hunk = F.when(F.col("_in").isNotNull(), F.col("_in.number")).when(before, F.col("_first.number")).when(after, F.col("_last.number")).otherwise(nearest["number"])
+    line = F.when(F.col("_in").isNotNull(), F.col(hint)).when(before, F.col("_first.start")).when(after, F.col("_last.end")).otherwise(nearest["start"])
+    placed = met.select(*on, hint, hunk.alias("hunk"), line.alias("line"))
+    return hints.join(placed, [*on, hint]).select(*hints.columns, "hunk", "line")
 
 
 def cascade(text_match: Column, hunk_align: Column, fuzzy: Column) -> Column:
@@ -101,10 +108,6 @@ def verdict(checks: dict[str, Column]) -> tuple[Column, Column]:
 
 
 def lines_in_range(claims: DataFrame, changed: DataFrame, on: list[str], start: str, end: str, line: str) -> DataFrame:
-    """The claims whose range holds a changed line of their file."""
-    c, d = claims.alias("c"), changed.alias("d")
-    same = [F.col(f"c.{k}") == F.col(f"d.{k}") for k in on]
-    condition = F.col(f"d.{line}").between(F.col(f"c.{start}"), F.col(f"c.{end}"))
-    for k in same:
-        condition = condition & k
-    return c.join(d, condition, "left_semi")
+    """The claims whose range holds a changed line of their file: those whose last changed line up to the end isn't before the start."""
+    last = ranges.asof(claims, changed.select(*on, F.col(line).alias("_line")), on, end, "_line", "_line", "_last_changed")
+    return last.filter(F.col("_last_changed") >= F.col(start)).select(*claims.columns)
