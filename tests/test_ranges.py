@@ -60,3 +60,32 @@ def test_a_hot_file_is_many_tasks(spark):
     got = locate.align(hints, hunks, ["f"], "hint", "start", "end", "number")
     assert got.agg(F.count("*"), F.count_if(F.expr("hunk = i and line = i * 10 + 1 or hunk = i + 1 and line = (i + 1) * 10 + 1 or i = 99999"))).first()[:] == (n, n)
     assert got.filter("i = 5").first()["line"] == 61 and got.filter("i = 99999").first()["line"] == 999994
+
+
+def test_fuzzy_join_against_every_window(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcde é") for _ in range(rnd.choice([1, 4, 6, 12, 30, 60]))).strip() or "x"
+    files = {f: [word() for _ in range(rnd.randrange(25))] for f in range(30)}
+    files[99] = ["same line of text"] * 40
+    wanted = []
+    for f, ls in files.items():
+        for _ in range(4):
+            at, n = rnd.randrange(len(ls) + 1), rnd.randrange(1, 4)
+            own = list(ls[at : at + n]) or [word()]
+            for _ in range(rnd.randrange(5)):
+                k = rnd.randrange(len(own))
+                i = rnd.randrange(len(own[k]) + 1)
+                own[k] = own[k][:i] + rnd.choice(["", "z", "yz"]) + own[k][i + rnd.randrange(2) :]
+            wanted.append((len(wanted), f, "\n".join(own)))
+    wanted += [(1000, 5, None), (1001, 5, " \n "), (1002, 12345, "abc"), (1003, None, "abc")]
+    fs = spark.createDataFrame([(f, "\n\n".join(ls)) for f, ls in files.items()] + [(500, None)], "f int, at string")
+    got = {r.i: (r["at"], r.measured) for r in locate.fuzzy_join(spark.createDataFrame(wanted, "i int, f int, code string"), fs, ["f"], "code", "at").collect()}
+    from textloom.functions.text import norm_lines
+
+    pairs = fs.join(spark.createDataFrame(wanted, "i int, f int, code string"), "f").select("i", locate.locate_fuzzy(norm_lines(F.col("at")), norm_lines(F.col("code"))).alias("w"), F.size(norm_lines(F.col("at"))).alias("n"))
+    plain = {r.i: r for r in pairs.collect()}
+    assert len(got) == len(wanted) and sum(x.w is not None for x in plain.values()) > 40
+    for i, (at, measured) in got.items():
+        assert at == (plain[i].w if i in plain else None)
+        assert measured <= (max(plain[i].n, 0) + 3 if i in plain else 0)
+    assert sum(m for _, m in got.values()) < sum(max(x.n, 0) for x in plain.values()) / 2

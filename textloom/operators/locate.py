@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import norm_line, norm_lines
 from textloom.operators import ranges
+from textloom.session import materialise
 
 #: Edit distance over length below which a window matches.
 FUZZY = 0.15
@@ -70,6 +71,56 @@ def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:
     return F.try_element_at(F.filter(places, near), F.lit(1))
 
 
+#: Characters of a key of the edit-distance join.
+GRAM = 3
+
+
+def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: float = FUZZY) -> DataFrame:
+    """_s, at: windows that may be near enough. ``snippets``: on, _s, _target; ``files``: on, p (from 1), line.
+
+    A window under the limit has a line whose distance is under limit / (1 - limit) of its
+    target line's length. Cut into one piece more than that allows edits, the target line has a
+    piece that stands unchanged in the window's, shifted by no more places than edits: pieces
+    meet lines by file and first characters. Lines too short for an edit must be equal.
+    """
+    ratio = limit / (1 - limit)
+    lines = snippets.select(*on, "_s", F.posexplode("_target").alias("i", "t")).withColumn("edits", F.greatest(F.ceil(F.length("t") * F.lit(ratio)) - 1, F.lit(0)).cast("int"))
+    cut = lambda j: F.floor(F.length("t") * j / (F.col("edits") + 1)).cast("int")
+    pieces = lines.select(*on, "_s", "i", "t", "edits", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("j")).withColumn("start", cut(F.col("j")))
+    pieces = pieces.withColumn("piece", F.substring(F.col("t"), F.col("start") + 1, cut(F.col("j") + 1) - F.col("start")))
+    key = F.when(F.col("edits") == 0, F.col("t")).otherwise(F.substring("piece", 1, GRAM))
+    pieces = pieces.select(*on, "_s", "i", "edits", "start", "piece", key.alias("key"), (F.col("edits") == 0).alias("whole"))
+    asked = snippets.select(*on).distinct()
+    own = files.join(asked, on, "left_semi")
+    spots = F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - GRAM + 1, F.lit(1))), lambda i: F.struct(F.lit(False).alias("whole"), (i - 1).alias("spot"), F.substring(F.col("line"), i, F.lit(GRAM)).alias("key")))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), F.lit(0).alias("spot"), F.col("line").alias("key")))
+    index = own.select(*on, "p", "line", F.explode(F.concat(whole, F.when(F.length("line") >= GRAM, spots).otherwise(F.slice(spots, 1, 0)))).alias("k")).select(*on, "p", "line", "k.*")
+    met = pieces.join(index, [*on, "whole", "key"]).filter(F.abs(F.col("spot") - F.col("start")) <= F.col("edits"))
+    met = met.filter(F.col("whole") | (F.substring(F.col("line"), F.col("spot") + 1, F.length("piece")) == F.col("piece")))
+    return met.select("_s", (F.col("p") - F.col("i")).alias("at")).filter("at > 0").distinct()
+
+
+def fuzzy_join(snippets: DataFrame, files: DataFrame, on: list[str], code: str, text: str, limit: float = FUZZY) -> DataFrame:
+    """``snippets`` with at: the first window of its file's lines (blank ones don't count) that is near enough, as in ``locate_fuzzy``; null if there is none; and measured, how many windows were.
+
+    Only the windows of ``near_lines`` are measured, line by line, and a line's distance is only followed as far as the whole snippet allows.
+    """
+    names = snippets.columns
+    wanted = snippets.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], norm_lines(F.coalesce(F.col(code), F.lit(""))).alias("_target"))
+    wanted = materialise(wanted.withColumn("_s", F.monotonically_increasing_id()), "snippets")
+    keys = [f"_k{i}" for i in range(len(on))]
+    index = files.select(*[F.col(c).alias(k) for c, k in zip(on, keys, strict=True)], F.posexplode(norm_lines(F.col(text))).alias("p", "line")).withColumn("p", F.col("p") + 1)
+    some = wanted.filter(F.size("_target") > 0).select(*keys, "_s", "_target")
+    near = materialise(near_lines(some, index, keys, limit), "windows")
+    total = F.aggregate("_target", F.lit(0), lambda t, x: t + F.length(x))
+    parts = near.join(some, "_s").select(*keys, "_s", "at", F.size("_target").alias("n"), F.ceil(total * F.lit(limit / (1 - limit))).cast("int").alias("most"), F.posexplode("_target").alias("i", "t")).withColumn("p", F.col("at") + F.col("i"))
+    measured = parts.join(index, [*keys, "p"]).withColumn("d", F.expr("levenshtein(line, t, most)")).filter("d >= 0")
+    whole = measured.groupBy("_s", "at", "n").agg(F.count("*").alias("lines"), F.sum("d").alias("d"), F.sum(F.greatest(F.length("line"), F.length("t"))).alias("longest"))
+    first = whole.filter((F.col("lines") == F.col("n")) & (F.col("d") / F.col("longest") < limit)).groupBy("_s").agg(F.min("at").alias("at"))
+    out = wanted.join(first, "_s", "left").join(near.groupBy("_s").agg(F.count("*").alias("measured")), "_s", "left")
+    return out.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(names)], "at", F.coalesce("measured", F.lit(0)).alias("measured"))
+
+
 def align(hints: DataFrame, hunks: DataFrame, on: list[str], hint: str, start: str, end: str, number: str) -> DataFrame:
     """``hints`` with hunk and line: the first hunk that holds the hint, at the hint.
 

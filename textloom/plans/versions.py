@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import diffs, history, lines, linediff, text_index
+from textloom.functions.text import norm_lines
+from textloom.operators import diffs, history, lines, linediff, locate, text_index
 from textloom.session import materialise, table, work_dir
 
 
@@ -44,6 +45,7 @@ def snapshot_line_diffs(spark, sf_dir):
     return counts.join(made, "path").select("path", F.when(F.col("status") == "renamed", F.col("old_path")).alias("moved_from"), "status", "insertions", "deletions", "patched_md5", "patch_error")
 
 
+NORM = r"regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
 #: Expressions of every kind; those of the second line are none, or need what only POSIX or the GNU extensions have.
 EXPRESSIONS = ["[[:digit:]]{3}", "(the|der|les) .*(and|und|et)", "Permission is hereby granted", "colou?r", "password|api_key", "[A-Z]{12}", "nowhere to be found", "(ab){2}", "^[^ ]+$", "q"]
 ODD = ["x{2", "[[:nope:]]", "(a", "a\\", "*a", "", r"[\d]7", r"\<th", r"ing\>", "a)b"]
@@ -88,8 +90,18 @@ def history_renames(spark, sf_dir):
     return history.history(paths, rows).select("path", "total_commits", "last_modified", F.round("fix_commit_ratio", 6).alias("fix_commit_ratio"), "reason")
 
 
+def fuzzy_positions(spark, sf_dir):
+    """Two lines from the middle of every document, edited, are looked for in it; letters outside ASCII are question marks, since the checking SQL counts bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
+    kind, ls = F.col("doc_id") % 4, F.slice(norm_lines(F.col("text")), F.floor(F.size(norm_lines(F.col("text"))) / 2).cast("int") + 1, 2)
+    edit = lambda x: F.when(kind == 0, F.concat(F.substring(x, 1, 2), F.lit("Z"), F.substring(x, 3, 1 << 30))).when(kind == 1, F.substring(x, 2, 1 << 30)).when(kind == 2, F.concat(x, F.lit(" end")))
+    code = F.when(kind == 3, "nowhere to be found").otherwise(F.array_join(F.transform(ls, edit), "\n"))
+    wanted = docs.select("doc_id", code.alias("code"))
+    return locate.fuzzy_join(wanted, docs, ["doc_id"], "code", "text").select("doc_id", "at")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (snapshot_line_diffs, history_renames, search_expressions, indexed_search, indexed_reads)}
+    return {f.__name__: f for f in (snapshot_line_diffs, history_renames, fuzzy_positions, search_expressions, indexed_search, indexed_reads)}
 
 
 VERSIONS = """d AS (SELECT doc_id, list_transform(CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END, lambda x: doc_id || '|' || x) AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
@@ -136,6 +148,10 @@ t AS (SELECT DISTINCT seq, path FROM (SELECT seq, path FROM l UNION ALL SELECT s
 h AS (SELECT s.path, e.seq, e.ts, e.subject FROM s JOIN t ON s.name = t.path AND (s.low IS NULL OR t.seq >= s.low) AND (s.high IS NULL OR t.seq < s.high) JOIN e ON t.seq = e.seq)
 SELECT n.path, count(h.seq) AS total_commits, strftime(max_by(ts, seq), '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(max_by(ts, seq)) % 1000000 = 0 THEN '' ELSE rtrim('.' || lpad(CAST(microsecond(max_by(ts, seq)) % 1000000 AS VARCHAR), 6, '0'), '0') END AS last_modified,
   round(coalesce(avg(CASE WHEN h.seq IS NULL THEN NULL WHEN lower(subject) LIKE '%hotfix%' THEN 1.0 ELSE 0.0 END), 0), 6) AS fix_commit_ratio, CASE WHEN count(h.seq) = 0 THEN '{history.NO_HISTORY}' END AS reason FROM n LEFT JOIN h USING (path) GROUP BY n.path""",
+        "fuzzy_positions": f"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), chr(10)), lambda x: {NORM}), lambda x: x <> '') AS ls FROM documents),
+c AS (SELECT doc_id, ls, CASE WHEN doc_id % 4 = 3 THEN ['nowhere to be found'] ELSE list_transform(ls[len(ls) // 2 + 1:len(ls) // 2 + 2], lambda x: CASE doc_id % 4 WHEN 0 THEN x[1:2] || 'Z' || x[3:] WHEN 1 THEN x[2:] ELSE x || ' end' END) END AS raw FROM d),
+t AS (SELECT doc_id, ls, list_filter(list_transform(raw, lambda x: {NORM}), lambda x: x <> '') AS t FROM c)
+SELECT doc_id, CAST(list_filter(range(1, CASE WHEN len(t) > 0 THEN len(ls) - len(t) + 2 ELSE 1 END), lambda i: list_sum(list_transform(range(1, len(t) + 1), lambda k: levenshtein(ls[i + k - 1], t[k]))) < {locate.FUZZY} * list_sum(list_transform(range(1, len(t) + 1), lambda k: greatest(len(ls[i + k - 1]), len(t[k])))))[1] AS INT) AS at FROM t""",
         "search_expressions": f"WITH x AS MATERIALIZED (SELECT content FROM {LINES}) " + " UNION ALL ".join(outcomes),
         "indexed_search": f"WITH x AS MATERIALIZED (SELECT * FROM {LINES}) " + " UNION ALL ".join(f"SELECT {quoted(q)} AS query, doc_id, CAST(line AS INT) AS line, md5(content) AS content_md5 FROM x WHERE {matches[i]}" for i, q in enumerate(EXPRESSIONS) if 1 <= i <= 7),
         "indexed_reads": " UNION ALL ".join(
