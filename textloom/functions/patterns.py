@@ -61,3 +61,27 @@ def glob_regex(glob: str) -> str:
 def any_glob(globs) -> str:
     """One expression for any of the globs; no glob matches nothing."""
     return "(?i)" + ("|".join(glob_regex(g)[4:] for g in globs) if globs else r"(?!)")
+
+
+#: Letters that expressions take for equal; others keep their case.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters of a name's beginning that serve as a key.
+HEAD = 3
+
+
+def glob_key(glob: str) -> tuple[str, str]:
+    """A kind and a key that every path which a glob (without braces) matches has: its whole path, its name, an ending after a dot of its name, a folder above it, or its name's beginning; ("any", "") where the glob tells none."""
+    parts = glob.translate(str.maketrans(UPPER, LOWER)).split("/")
+    wild = [any(c in "*?[" for c in p) for p in parts]
+    last = parts[-1]
+    if not any(wild):
+        return "path", "/".join(parts)
+    if not wild[-1]:
+        return "name", last
+    tail = re.split(r"[*?\]]", last)[-1]
+    if "." in tail:
+        return "ending", tail.partition(".")[2]
+    if not wild[0]:
+        return "folder", "/".join(parts[: wild.index(True)])
+    head = re.split(r"[*?\[]", last)[0]
+    return ("head", head[:HEAD]) if len(head) >= HEAD else ("any", "")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import norm_lines
-from textloom.operators import diffs, history, lines, linediff, locate, text_index
+from textloom.operators import diffs, history, lines, linediff, locate, rule_index, text_index
 from textloom.session import materialise, table, work_dir
 
 
@@ -100,8 +100,23 @@ def fuzzy_positions(spark, sf_dir):
     return locate.fuzzy_join(wanted, docs, ["doc_id"], "code", "text").select("doc_id", "at")
 
 
+def page_paths(spark, sf_dir) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]+/?", ""), r"[?#].*$", "")
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+
+
+def rules_from_table(spark, sf_dir):
+    """The first rule of every page's path, where every page has made a rule of its own path: by its page_id an exact one, one of a name or its end, of an ending, of a folder."""
+    pages = page_paths(spark, sf_dir)
+    kind, folder, stem = F.col("page_id") % 6, F.regexp_extract("path", "^[^/]*", 0), F.regexp_extract("path", "/([0-9]+)", 1)
+    of = F.when(kind == 0, F.col("path")).when(kind == 1, F.concat(folder, F.lit("/*"), stem)).when(kind == 2, F.concat(F.lit("**/"), stem))
+    of = of.when(kind == 3, F.concat(F.lit("**/*"), F.substring(stem, -2, 2), F.lit(".html"))).when(kind == 4, F.concat(folder, F.lit("/"), F.substring(stem, 1, 1), F.lit("*"))).otherwise(F.concat(F.lit("**/"), stem, F.lit(".{html,htm}")))
+    rules = pages.select((F.col("page_id") % 3).alias("layer"), F.col("page_id").alias("ord"), of.alias("glob"), F.concat(F.lit("rule "), "page_id").alias("rule"))
+    return rule_index.glob_join(pages, rules)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (snapshot_line_diffs, history_renames, fuzzy_positions, search_expressions, indexed_search, indexed_reads)}
+    return {f.__name__: f for f in (snapshot_line_diffs, history_renames, fuzzy_positions, rules_from_table, search_expressions, indexed_search, indexed_reads)}
 
 
 VERSIONS = """d AS (SELECT doc_id, list_transform(CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END, lambda x: doc_id || '|' || x) AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
@@ -152,6 +167,13 @@ SELECT n.path, count(h.seq) AS total_commits, strftime(max_by(ts, seq), '%Y-%m-%
 c AS (SELECT doc_id, ls, CASE WHEN doc_id % 4 = 3 THEN ['nowhere to be found'] ELSE list_transform(ls[len(ls) // 2 + 1:len(ls) // 2 + 2], lambda x: CASE doc_id % 4 WHEN 0 THEN x[1:2] || 'Z' || x[3:] WHEN 1 THEN x[2:] ELSE x || ' end' END) END AS raw FROM d),
 t AS (SELECT doc_id, ls, list_filter(list_transform(raw, lambda x: {NORM}), lambda x: x <> '') AS t FROM c)
 SELECT doc_id, CAST(list_filter(range(1, CASE WHEN len(t) > 0 THEN len(ls) - len(t) + 2 ELSE 1 END), lambda i: list_sum(list_transform(range(1, len(t) + 1), lambda k: levenshtein(ls[i + k - 1], t[k]))) < {locate.FUZZY} * list_sum(list_transform(range(1, len(t) + 1), lambda k: greatest(len(ls[i + k - 1]), len(t[k])))))[1] AS INT) AS at FROM t""",
+        "rules_from_table": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/?', ''), '[?#].*$', '') AS path FROM pages),
+r AS (SELECT page_id, page_id % 3 AS layer, path AS own, page_id % 6 AS kind, regexp_extract(path, '^[^/]*') AS folder, regexp_extract(path, '/([0-9]+)', 1) AS stem FROM p),
+q AS (SELECT DISTINCT path FROM p),
+m AS (SELECT path, page_id, layer FROM q JOIN r ON CASE kind WHEN 0 THEN path = own WHEN 1 THEN regexp_matches(path, '^' || folder || '/[^/]*' || stem || '$') WHEN 2 THEN regexp_matches(path, '(^|/)' || stem || '$')
+  WHEN 3 THEN regexp_matches(path, right(stem, 2) || '\.html$') WHEN 4 THEN regexp_matches(path, '^' || folder || '/' || left(stem, 1) || '[^/]*$') ELSE regexp_matches(path, '(^|/)' || stem || '\.html?$') END),
+f AS (SELECT path, 'rule ' || arg_min(page_id, layer * 1000000000 + page_id) AS rule FROM m GROUP BY path)
+SELECT page_id, path, rule FROM p LEFT JOIN f USING (path)""",
         "search_expressions": f"WITH x AS MATERIALIZED (SELECT content FROM {LINES}) " + " UNION ALL ".join(outcomes),
         "indexed_search": f"WITH x AS MATERIALIZED (SELECT * FROM {LINES}) " + " UNION ALL ".join(f"SELECT {quoted(q)} AS query, doc_id, CAST(line AS INT) AS line, md5(content) AS content_md5 FROM x WHERE {matches[i]}" for i, q in enumerate(EXPRESSIONS) if 1 <= i <= 7),
         "indexed_reads": " UNION ALL ".join(
