@@ -89,3 +89,23 @@ def test_fuzzy_join_against_every_window(spark):
         assert at == (plain[i].w if i in plain else None)
         assert measured <= (max(plain[i].n, 0) + 3 if i in plain else 0)
     assert sum(m for _, m in got.values()) < sum(max(x.n, 0) for x in plain.values()) / 2
+
+
+@pytest.mark.parametrize("cap", [1, 100, 2500])
+def test_bins_of_hot_groups_are_those_of_the_fold(spark, cap):
+    from textloom.operators import bundles
+
+    rnd = random.Random(cap)
+    rows = [(i, rnd.choice(["hot", "hot", "hot", None, f"g{i % 5}"]), rnd.choice([0, 0, 1, 7, 60, 99, 100, 101, 3000, None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id int, g string, size int").withColumn("bin_of", F.lit("kept"))
+    got = {r.id: (r.bin, r.bin_size) for r in bundles.pack(df, ["g"], "size", [F.desc("id")], cap, hot=20, block=16).collect()}
+    assert got == {r.id: (r.bin, r.bin_size) for r in bundles.pack(df, ["g"], "size", [F.desc("id")], cap).collect()}
+    for group in ("hot", None, "g1"):
+        number, used, want = -1, 0, {}
+        for i, _, s in sorted((r for r in rows if r[1] == group), reverse=True):
+            if number < 0 or used + (s or 0) > cap:
+                number, used = number + 1, 0
+            used += s or 0
+            want[i] = number
+        assert {i: got[i][0] for i in want} == want
+    assert bundles.pack(df.limit(0), ["g"], "size", [F.col("id")], cap).count() == 0

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import change_density, get_ext, strip_ext, strip_locale
+from textloom.operators import ranges
+from textloom.operators.running import placed
+from textloom.session import materialise
 
 #: Characters of a bundle.
 CAP = 20_000
+#: Files of a group up to which it is folded as an array; files of a block of a larger one.
+HOT, BLOCK = 2000, 32_768
+#: No bin follows.
+END = 1 << 62
 
 
 def fold_bins(sizes: Column, cap: int = CAP) -> Column:
@@ -23,22 +33,99 @@ def fold_bins(sizes: Column, cap: int = CAP) -> Column:
     return F.aggregate(F.transform(sizes, lambda x: x.cast("long")), start, step, lambda s: s["bins"])
 
 
-def pack(files: DataFrame, group: list[str], size: str, order: list[Column], cap: int = CAP) -> DataFrame:
-    """``files`` with bin and bin_size: a greedy fold within each group, in order.
-
-    The fold goes through what decides it alone, order and size of each file, which are then
-    known by their place; files learn their bin from a join on group and place.
-    """
+def _folded(files: DataFrame, group: list[str], size: str, order: list[Column], cap: int) -> DataFrame:
+    """_row, bin of groups that fit in an array: the fold goes through order and size of each file, which are then known by their place."""
     keys = [f"_g{i}" for i in range(len(group))]
-    placed = files.select("*", *[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    sizes = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", F.col(size).cast("long").alias("size")))).alias("_items"))
-    folded = sizes.select(*keys, F.explode(F.arrays_zip(F.transform("_items", lambda x: x["_at"]).alias("at"), fold_bins(F.transform("_items", lambda x: x["size"]), cap).alias("bin"))).alias("x"))
-    folded = folded.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("x.at").alias("_at_"), F.col("x.bin").alias("bin"))
-    same = F.col("_at") == F.col("_at_")
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(files.columns)])
+    placed = files.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], row.alias("_row"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), at.alias("_at"))
+    sizes = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", F.col("_size").alias("size")))).alias("_items"))
+    folded = sizes.select(*[F.col(k).alias(f"{k}_") for k in keys], F.explode(F.arrays_zip(F.transform("_items", lambda x: x["_at"]).alias("at"), fold_bins(F.transform("_items", lambda x: x["size"]), cap).alias("bin"))).alias("x"))
+    same = F.col("_at") == F.col("x.at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    out = placed.join(folded, same).withColumn("bin_size", F.sum(size).over(Window.partitionBy(*keys, "bin")))
-    return out.select(*files.columns, "bin", "bin_size")
+    return placed.join(folded, same).select("_row", "_size", F.struct(*keys).alias("_g"), F.col("x.bin").cast("int").alias("bin"))
+
+
+def _exits(group: pa.Table) -> pa.Table:
+    """Where the bins that begin at a block's entries leave the block: the first bin after it."""
+    group = group.sort_by("_at").combine_chunks()
+    at, after = group.column("_at").to_numpy(), pc.fill_null(group.column("_next"), END).to_numpy()
+    end = at[-1] + 1
+    out = after.copy()
+    for i in np.flatnonzero(after < end)[::-1]:
+        out[i] = out[after[i] - at[0]]
+    own = group.filter(group.column("_entry"))
+    where = np.flatnonzero(group.column("_entry").to_numpy())
+    return pa.table({"_g": own.column("_g"), "_at": own.column("_at"), "_exit": pa.array(out[where], pa.int64())})
+
+
+def _chain(group: pa.Table) -> pa.Table:
+    """The entries that are reached from a group's first file."""
+    leave, at, met = dict(zip(group.column("_at").to_pylist(), group.column("_exit").to_pylist(), strict=True)), 1, []
+    while at != END:
+        met.append(at)
+        at = leave[at]
+    return pa.table({"_g": group.column("_g").take(pa.array([0] * len(met), pa.int64())), "_in": pa.array(met, pa.int64())})
+
+
+def _starts(group: pa.Table) -> pa.Table:
+    """How many bins have begun in the block, up to and with each file."""
+    group = group.sort_by("_at").combine_chunks()
+    at, after, entry = group.column("_at").to_numpy(), pc.fill_null(group.column("_next"), END).to_numpy(), group.column("_in")[0].as_py()
+    begun = np.zeros(len(at), np.int64)
+    while entry is not None and entry <= at[-1]:
+        begun[entry - at[0]] = 1
+        entry = int(after[entry - at[0]])
+    return pa.table({"_g": group.column("_g"), "_at": group.column("_at"), "_begun": pa.array(np.cumsum(begun))})
+
+
+def _packed(files: DataFrame, group: list[str], size: str, order: list[Column], cap: int, block: int) -> DataFrame:
+    """_row, bin of groups of any size.
+
+    A bin that begins at a file ends before the first one whose running size exceeds what
+    stood before the bin by more than the cap: an as-of join on running sizes tells each
+    file's next bin. Groups are cut into blocks; few files can be the first of a bin in their
+    block, and where a bin from there leaves the block is found within it. These few pointers
+    are followed from block to block, and each block then marks its own bins.
+    """
+    rows = placed(files, group, order, size)
+    asks = rows.select("_g", "_at", (F.col("_sum") - F.col("_size") + cap).alias("_most"))
+    found = ranges.asof(asks, rows.select("_g", "_sum", F.col("_at").alias("_place")), ["_g"], "_most", "_sum", "_place", "_found", strict=True, forward=True, width=64 * max(1, cap))
+    of = lambda c: F.floor((F.col(c) - 1) / block)
+    last = rows.groupBy("_g").agg(F.max("_at").alias("_last"))
+    nexts = found.join(last, "_g").select("_g", "_at", F.greatest("_found", F.when(F.col("_found").isNotNull(), F.col("_at") + 1)).alias("_next"), "_last").withColumn("_next", F.when(F.col("_next") <= F.col("_last"), F.col("_next"))).drop("_last")
+    nexts = materialise(nexts.withColumn("_block", of("_at")), "next")
+    enter = nexts.filter(of("_next") > F.col("_block")).select("_g", F.col("_next").alias("_at")).unionByName(nexts.select("_g", F.lit(1).cast("long").alias("_at"))).distinct().withColumn("_entry", F.lit(True))
+    flagged = nexts.join(enter, ["_g", "_at"], "left").withColumn("_entry", F.coalesce("_entry", F.lit(False)))
+    kind = rows.select("_g").schema[0].dataType.simpleString()
+    exits = flagged.groupBy("_g", "_block").applyInArrow(_exits, f"_g {kind}, _at long, _exit long")
+    reached = exits.groupBy("_g").applyInArrow(_chain, f"_g {kind}, _in long").withColumn("_block", of("_in"))
+    begun = materialise(nexts.join(reached, ["_g", "_block"], "left").groupBy("_g", "_block").applyInArrow(_starts, f"_g {kind}, _at long, _begun long").withColumn("_block", of("_at")), "begun")
+    before = begun.groupBy("_g", "_block").agg(F.max("_begun").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bins = begun.join(before, ["_g", "_block"]).select("_g", "_at", (F.col("_before") + F.col("_begun") - 1).cast("int").alias("bin"))
+    return rows.join(bins, ["_g", "_at"]).select("_row", "_size", "_g", "bin")
+
+
+def pack(files: DataFrame, group: list[str], size: str, order: list[Column], cap: int = CAP, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """``files`` with bin and bin_size: a greedy fold within each group, in order.
+
+    Groups of up to ``hot`` files are folded as arrays; the bins of larger ones are found in
+    parallel, with the same result. A null size is 0; null keys are a group; files of equal
+    order are taken in an order that is found once.
+    """
+    keyed = files.select("*", F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)]).alias("_group"))
+    large = keyed.groupBy("_group").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(F.col("_group").alias("_hot"))
+    large = materialise(large, "large")
+    if large.head(1):
+        there = F.col("_group").eqNullSafe(F.col("_hot"))
+        small = keyed.join(large, there, "left_anti").drop("_group")
+        packed = _folded(small, group, size, order, cap).select("_row", "_size", F.struct(*[F.col(f"_g._g{i}").alias(f"g{i}") for i in range(len(group))]).alias("_g"), "bin")
+        packed = packed.unionByName(_packed(keyed.join(large, there, "left_semi").drop("_group"), group, size, order, cap, block))
+    else:
+        packed = _folded(files, group, size, order, cap)
+    out = packed.withColumn("bin_size", F.sum("_size").over(Window.partitionBy("_g", "bin")))
+    return out.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(files.columns)], "bin", "bin_size")
 
 
 def file_bundles(files: DataFrame, path: str = "path", position: str = "position", cap: int = CAP) -> DataFrame:

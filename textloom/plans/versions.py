@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import norm_lines
-from textloom.operators import diffs, history, lines, linediff, locate, rule_index, text_index
+from textloom.operators import bundles, diffs, history, lines, linediff, locate, rule_index, text_index
 from textloom.session import materialise, table, work_dir
 
 
@@ -115,8 +115,14 @@ def rules_from_table(spark, sf_dir):
     return rule_index.glob_join(pages, rules)
 
 
+def pack_one_group(spark, sf_dir):
+    """All documents as one group, whose bins are found in parallel."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("all").alias("grp"), F.col("n_chars").alias("size"))
+    return bundles.pack(docs, ["grp"], "size", [F.desc("size"), F.col("doc_id")], hot=500, block=4096)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (snapshot_line_diffs, history_renames, fuzzy_positions, rules_from_table, search_expressions, indexed_search, indexed_reads)}
+    return {f.__name__: f for f in (snapshot_line_diffs, history_renames, fuzzy_positions, rules_from_table, pack_one_group, search_expressions, indexed_search, indexed_reads)}
 
 
 VERSIONS = """d AS (SELECT doc_id, list_transform(CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END, lambda x: doc_id || '|' || x) AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
@@ -174,6 +180,9 @@ m AS (SELECT path, page_id, layer FROM q JOIN r ON CASE kind WHEN 0 THEN path =
   WHEN 3 THEN regexp_matches(path, right(stem, 2) || '\.html$') WHEN 4 THEN regexp_matches(path, '^' || folder || '/' || left(stem, 1) || '[^/]*$') ELSE regexp_matches(path, '(^|/)' || stem || '\.html?$') END),
 f AS (SELECT path, 'rule ' || arg_min(page_id, layer * 1000000000 + page_id) AS rule FROM m GROUP BY path)
 SELECT page_id, path, rule FROM p LEFT JOIN f USING (path)""",
+        "pack_one_group": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, n_chars AS size, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS i FROM documents),
+r AS (SELECT doc_id, size, i, 0 AS bin, coalesce(size, 0) AS used FROM d WHERE i = 1 UNION ALL SELECT d.doc_id, d.size, d.i, CASE WHEN r.used + coalesce(d.size, 0) > {bundles.CAP} THEN r.bin + 1 ELSE r.bin END, CASE WHEN r.used + coalesce(d.size, 0) > {bundles.CAP} THEN coalesce(d.size, 0) ELSE r.used + coalesce(d.size, 0) END FROM r JOIN d ON d.i = r.i + 1)
+SELECT doc_id, 'all' AS grp, size, bin, CAST(sum(coalesce(size, 0)) OVER (PARTITION BY bin) AS BIGINT) AS bin_size FROM r""",
         "search_expressions": f"WITH x AS MATERIALIZED (SELECT content FROM {LINES}) " + " UNION ALL ".join(outcomes),
         "indexed_search": f"WITH x AS MATERIALIZED (SELECT * FROM {LINES}) " + " UNION ALL ".join(f"SELECT {quoted(q)} AS query, doc_id, CAST(line AS INT) AS line, md5(content) AS content_md5 FROM x WHERE {matches[i]}" for i, q in enumerate(EXPRESSIONS) if 1 <= i <= 7),
         "indexed_reads": " UNION ALL ".join(
