@@ -135,3 +135,16 @@ def test_secrets_are_masked(spark):
 def test_lint(spark):
     said = spark.createDataFrame([("a.ts(3,4): error TS1: bad",), ("noise",)], ["content"])
     assert [(r["path"], r["line"], r["severity"], r["message"]) for r in records.lint_lines(said, "tsc").collect()] == [("a.ts", 3, "error", "bad")]
+
+
+def test_requirements_and_linters_lines(spark):
+    lines = ["Flask", "x[extra, more] >= 1.0 ; python_version < '4'", "# only", "y==2 # pinned", "-r other", "  z @ https://h/z.whl#sha", "a.b-c_d (<3)", "9lives", "_no", "q[open", "w#1", ""]
+    pip = spark.createDataFrame([(1, "\n".join(lines))], "f int, t string")
+    want = {("Flask", ""), ("x", ">= 1.0"), ("y", "==2"), ("z", "@ https://h/z.whl#sha"), ("a.b-c_d", "(<3)"), ("9lives", ""), ("w", "#1")}
+    assert {(r["name"], r["constraint"]) for r in records.requirements_txt(F.col("f"), F.col("t"), pip).collect()} == want
+    said = [
+        ("tsc", "a(b)\\c.ts(10,5): error TS2322: Type: 'x'.\nnoise\nb.ts(1,2): fatal TS1: m\nb.ts(1,2): error TSx: m\nc.ts(3): error TS1: m"),
+        ("go_vet", "# pkg\nf.go:7: unused: x\n#x.go:1: note\n:3: m\ng.go:2:\tboth"), ("clippy", "src/l.rs:3:9: warning: a: b\nsrc/l.rs:3: warning: no\nx.rs:1:1: help: no"), ("eslint", "no json"), ("other", "f.go:7: m"), ("ruff", None),
+    ]
+    got = sorted(tuple(r) for r in records.lint_findings(spark.createDataFrame(said, "tool string, content string")).collect())
+    assert got == [("a(b)/c.ts", 10, "error", "Type: 'x'.", "tsc"), ("f.go", 7, "warning", "unused: x", "go_vet"), ("g.go", 2, "warning", "both", "go_vet"), ("src/l.rs", 3, "warning", "a: b", "clippy")]

@@ -39,12 +39,32 @@ def package_json(path: Column, text: Column, files: DataFrame) -> DataFrame:
     return found.unionByName(bad)
 
 
+#: A distribution's name: letters and digits at its ends, also ``-``, ``_`` and ``.`` between.
+DISTRIBUTION = r"^[0-9A-Za-z](?:[-_.0-9A-Za-z]*[0-9A-Za-z])?"
+
+
+def requirement(line: Column) -> Column:
+    """struct<name, constraint> of a line of pip's requirement format; null for blank lines, comments, options and what has no name.
+
+    A comment begins the line or follows white space; a marker follows a semicolon; extras are in
+    brackets after the name. What is left is the constraint: versions, in parentheses or not, or ``@`` and an address.
+    """
+    bare = norm_line(F.get(F.split(norm_line(F.regexp_replace(line, r"(^|\s)#.*", "")), ";"), F.lit(0)))
+
+    def of(l: Column) -> Column:
+        name = F.regexp_extract(l, DISTRIBUTION, 0)
+        rest = F.ltrim(F.substring(l, F.length(name) + 1, F.length(l)))
+        extras = F.when(rest.startswith("["), F.locate("]", rest)).otherwise(0)
+        said = F.when(rest.startswith("[") & (extras == 0), None).otherwise(norm_line(F.substring(rest, extras + 1, F.length(rest))))
+        return F.when((name != "") & said.isNotNull(), F.struct(name.alias("name"), said.alias("constraint")))
+
+    return F.get(F.transform(F.array(bare), of), F.lit(0))
+
+
 def requirements_txt(path: Column, text: Column, files: DataFrame) -> DataFrame:
-    """path, name, constraint of pip requirements: a name, extras in brackets that are left out, the rest; the last line of a name wins. Comments, options and markers after a semicolon are no part."""
-    lines = files.select(path.alias("path"), F.posexplode(F.split(text, "\n", -1)).alias("p", "l")).withColumn("l", norm_line(F.split("l", ";")[0]))
-    named = lines.filter(~F.col("l").startswith("#") & ~F.col("l").startswith("-")).withColumn("name", F.regexp_extract("l", r"^[\w.-]+", 0)).filter("name <> ''")
-    rest = norm_line(F.regexp_replace(F.expr("substring(l, length(name) + 1)"), r"^\[[^]]*]", ""))
-    return named.select("path", "p", "name", rest.alias("constraint")).groupBy("path", "name").agg(F.max_by("constraint", "p").alias("constraint"))
+    """path, name, constraint of pip requirements; the last line of a name wins."""
+    lines = files.select(path.alias("path"), F.posexplode(F.split(text, "\n", -1)).alias("p", "l"))
+    return lines.select("path", "p", requirement(F.col("l")).alias("r")).filter("r is not null").groupBy("path", F.col("r.name").alias("name")).agg(F.max_by("r.constraint", "p").alias("constraint"))
 
 
 def go_mod(path: Column, text: Column, files: DataFrame) -> DataFrame:
@@ -166,46 +186,66 @@ def scan_secrets(lines: DataFrame, key: str, content: str = "content") -> DataFr
     return lines.select(key, "line", F.explode(all_of).alias("s")).select(key, "line", "s.pattern", mask(F.col("s.secret")).alias("matched"))
 
 
-#: Where a linter's line says it is: path and line, in lazy order of places.
-PLACES = {"call": r"(.+?)\((\d+),\d+\)", "line": r"(.+?):(\d+)", "line and column": r"(.+?):(\d+):\d+"}
-#: Of each text linter: its place, the severities that it names (none: all are warnings), the code after them.
-TEXT_LINTERS = {"tsc": ("call", ("error", "warning", "info"), r"\s+TS\d+"), "go_vet": ("line", (), ""), "clippy": ("line and column", ("error", "warning"), "")}
+#: Of each tool that writes lines: the severities that it names (none: all are warnings).
+SEVERITIES = {"tsc": ("error", "warning", "info"), "go_vet": (), "clippy": ("error", "warning")}
+FINDING = "array<struct<path: string, line: int, severity: string, message: string>>"
+
+
+def lint_line(tool: str, text: Column) -> Column:
+    """struct<path, line, severity, message> of a line; null if it isn't a finding.
+
+    A finding's parts are divided by a colon and white space: the place, the severity (with a
+    code, of tsc) where the tool names one, the message. The numbers end the place: after
+    the last parenthesis for tsc, after the last colons for the others. Lines that begin with # are notes.
+    """
+    named = SEVERITIES[tool]
+    part = F.split(text, r":\s+", 3 if named else 2)
+    place, kind, message = F.get(part, F.lit(0)), F.split(F.get(part, F.lit(1)), r"\s+"), F.get(part, F.lit(2 if named else 1))
+    if tool == "tsc":
+        last = F.substring_index(place, "(", -1)
+        number, ends = F.get(F.split(last, ","), F.lit(0)), last.rlike(r"^\d+,\d+\)$")
+    elif tool == "clippy":
+        last = F.substring_index(place, ":", -2)
+        number, ends = F.get(F.split(last, ":"), F.lit(0)), last.rlike(r"^\d+:\d+$")
+    else:
+        last = F.substring_index(place, ":", -1)
+        number, ends = last, last.rlike(r"^\d+$")
+    path = F.substring(place, F.lit(1), F.length(place) - F.length(last) - 1)
+    coded = (F.size(kind) == 2) & F.get(kind, F.lit(1)).rlike(r"^TS\d+$") if tool == "tsc" else F.size(kind) == 1
+    fine = ends & (path != "") & ~path.startswith("#") & (message != "") & (coded & F.get(kind, F.lit(0)).isin(*named) if named else F.lit(True))
+    severity = F.get(kind, F.lit(0)) if named else F.lit("warning")
+    return F.when(F.coalesce(fine, F.lit(False)), F.struct(slashes(path).alias("path"), number.cast("int").alias("line"), severity.alias("severity"), message.alias("message")))
 
 
 def lint_lines(output: DataFrame, tool: str, content: str = "content") -> DataFrame:
-    """``output`` with path, line, severity, message, tool of the lines in the tool's format; lines whose path begins with # are the tool's own notes."""
-    place, severities, code = TEXT_LINTERS[tool]
-    named = rf"\s+({'|'.join(severities)}){code}:" if severities else ""
-    form = rf"^{PLACES[place]}:{named}\s+(.+)\z"
-    part = lambda i: F.regexp_extract(content, form, i)
-    found = output.filter(F.col(content).rlike(form) & ~part(1).startswith("#"))
-    return found.withColumns({"path": slashes(part(1)), "line": part(2).cast("int"), "severity": part(3) if severities else F.lit("warning"), "message": part(4 if severities else 3), "tool": F.lit(tool)})
+    """``output`` (a line each) with path, line, severity, message, tool of the lines in the tool's format."""
+    found = output.withColumn("_f", lint_line(tool, F.col(content))).filter("_f is not null")
+    return found.withColumns({c: F.col(f"_f.{c}") for c in ("path", "line", "severity", "message")} | {"tool": F.lit(tool)}).drop("_f")
 
 
-def lint_json(output: DataFrame, tool: str, content: str) -> DataFrame:
-    """path, line, severity, message, tool of eslint's or ruff's JSON; text that doesn't parse gives no rows."""
+def lint_items(tool: str, content: Column) -> Column:
+    """All findings of what a tool said, as an array; text that doesn't parse gives none."""
     text = lambda message, code: F.concat(F.coalesce(message, F.lit("")), F.coalesce(F.concat(F.lit(" ("), F.when(code != "", code), F.lit(")")), F.lit("")))
-    where = lambda path, line: (slashes(F.coalesce(path, F.lit(""))).alias("path"), F.coalesce(line, F.lit(0)).alias("line"))
+    item = lambda path, line, severity, message: F.struct(slashes(F.coalesce(path, F.lit(""))).alias("path"), F.coalesce(line, F.lit(0)).alias("line"), severity.alias("severity"), message.alias("message"))
     if tool == "eslint":
-        rows = output.select(F.explode(F.from_json(content, "array<struct<filePath string, messages array<struct<line int, severity int, message string, ruleId string>>>>")).alias("f")).select("f.filePath", F.explode("f.messages").alias("m"))
-        severity = F.when(F.col("m.severity") == 2, "error").when(F.col("m.severity") == 1, "warning").otherwise("info")
-        return rows.select(*where(F.col("filePath"), F.col("m.line")), severity.alias("severity"), text(F.col("m.message"), F.col("m.ruleId")).alias("message"), F.lit(tool).alias("tool"))
-    rows = output.select(F.explode(F.from_json(content, "array<struct<filename string, code string, message string, location struct<row int>>>")).alias("m"))
-    return rows.select(*where(F.col("m.filename"), F.col("m.location.row")), F.lit("warning").alias("severity"), text(F.col("m.message"), F.col("m.code")).alias("message"), F.lit(tool).alias("tool"))
+        files = F.from_json(content, "array<struct<filePath string, messages array<struct<line int, severity int, message string, ruleId string>>>>")
+        level = lambda m: F.when(m["severity"] == 2, "error").when(m["severity"] == 1, "warning").otherwise("info")
+        return F.flatten(F.transform(files, lambda f: F.transform(F.coalesce(f["messages"], F.array()), lambda m: item(f["filePath"], m["line"], level(m), text(m["message"], m["ruleId"])))))
+    if tool == "ruff":
+        found = F.from_json(content, "array<struct<filename string, code string, message string, location struct<row int>>>")
+        return F.transform(found, lambda m: item(m["filename"], m["location"]["row"], F.lit("warning"), text(m["message"], m["code"])))
+    return F.filter(F.transform(F.split(content, "\n", -1), lambda x: lint_line(tool, x)), lambda x: x.isNotNull())
+
+
+def lint_json(output: DataFrame, tool: str, content: str) -> DataFrame:
+    """path, line, severity, message, tool of eslint's or ruff's JSON; text that doesn't parse gives no rows."""
+    return output.select(F.explode(lint_items(tool, F.col(content))).alias("f")).select("f.*", F.lit(tool).alias("tool"))
 
 
 def lint_findings(output: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """path, line, severity, message, tool of all tools' output. ``output``: tool, content (all that it said); unknown tools give nothing."""
-    found = None
-    for tool in ("eslint", "ruff", *TEXT_LINTERS):
-        own = output.filter(F.col("tool") == tool)
-        if tool in TEXT_LINTERS:
-            own = lint_lines(own.select(F.explode(F.split("content", "\n", -1)).alias("content")), tool).drop("content")
-        else:
-            own = lint_json(own, tool, "content")
-        own = own.select("path", F.col("line").cast("int").alias("line"), "severity", "message", "tool")
-        found = own if found is None else found.unionByName(own)
-    return findings_of(found, files)
+    """path, line, severity, message, tool of all tools' output, in one pass. ``output``: tool, content (all that it said); unknown tools give nothing."""
+    items = F.coalesce(*[F.when(F.col("tool") == t, lint_items(t, F.col("content")).cast(FINDING)) for t in ("eslint", "ruff", *SEVERITIES)])
+    return findings_of(output.select("tool", F.explode(items).alias("f")).select("f.*", "tool"), files)
 
 
 #: Files at the root of a repository that tell which linters it uses (fixed values).
