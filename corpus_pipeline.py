@@ -16,14 +16,28 @@ from textloom.session import discard, materialise, table
 SHINGLE, SIMILAR = 5, (80, 100)
 
 
+#: Columns that operators add, which a document's own of such a name must not meet.
+ADDED = {*language_id.ADDED, "n_lines", "n_removed"}
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """``docs`` whose columns of operators' names are called something else meanwhile."""
+    return docs.withColumnsRenamed({c: f"own {c}" for c in docs.columns if c in ADDED})
+
+
+def back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from what an operator made of ``apart``."""
+    return rows.select(*[F.col(f"`own {c}`").alias(c) if c in ADDED else F.col(c) for c in docs.columns])
+
+
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language ID rejects."""
-    return language_id.identify(docs).filter("not rejected").select(*docs.columns)
+    return back(language_id.identify(apart(docs)).filter("not rejected"), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines above the boilerplate ratio within their source; every document stays."""
-    return line_dedup.drop_boilerplate(docs, "text", F.col("source")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return back(line_dedup.drop_boilerplate(apart(docs), "text", F.col("source")).withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -348,3 +348,14 @@ def test_vector_sample_is_bounded_where_one_id_repeats(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").unionByName(spark.range(60_000).selectExpr("1000 vec_id", "array(0.1D, 0.2D, 0.3D, 0.4D) embedding"))
     tree, _, recall, n = vector_search.prepare(vector_search.usable(df), 20, 5, 100, 50, 0.9)
     assert n == 60_200 and recall >= 0.9 and tree.leaves <= 200
+
+
+def test_pipeline_stages_keep_a_users_columns(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"the people of the town say that it is a good day {i}\nsame line here", "en", f"s{i % 2}", 9, f"own {i}", "mine", 7) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang_pred string, rejected string, n_lines int")
+    for stage in (corpus_pipeline.detect_language, corpus_pipeline.drop_lines):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {tuple(r) for r in out.select("doc_id", "lang_pred", "rejected", "n_lines").collect()} <= {(r[0], *r[5:]) for r in rows}
+    assert out.count() == 40

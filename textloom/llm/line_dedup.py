@@ -26,8 +26,8 @@ from textloom.session import materialise, table
 
 #: Share of a host's pages above which a line is boilerplate.
 RATIO = 0.3
-#: Pages on which a line must stand to be boilerplate at all.
-MIN_PAGES = 3
+#: Pages on which a line must stand to be boilerplate at all: two, the fewest that have it in common.
+MIN_PAGES = 2
 #: The hosts' arrays of boilerplate lines are broadcast up to this size, joined by shuffle beyond it.
 BROADCAST_BYTES = 16 << 20
 #: Parts that the pages of one host are dealt over if they have to be shuffled.
