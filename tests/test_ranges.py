@@ -109,3 +109,10 @@ def test_bins_of_hot_groups_are_those_of_the_fold(spark, cap):
             want[i] = number
         assert {i: got[i][0] for i in want} == want
     assert bundles.pack(df.limit(0), ["g"], "size", [F.col("id")], cap).count() == 0
+
+
+def test_snippets_by_their_rarest_line(spark):
+    files = {1: "a\nb\na\nc\na\nb", 2: "b\n\n a \nc", 3: None, 4: "x\nx\nx\ny", 5: ""}
+    snippets = [("ab", "a\nb"), ("ac", "a\n\nc"), ("xxy", "x\nx\ny"), ("no", "a\nz"), ("none", None), ("blank", " "), ("one", "c"), ("two", "a\nb"), ("two", "c"), ("aba", "b\na\nc\na")]
+    found = locate.search_snippets(spark.createDataFrame(snippets, "s string, t string"), spark.createDataFrame(list(files.items()), "k int, c string"), "s", "t", "k", "c")
+    assert {(r.s, r.k, r["at"]) for r in found.collect()} == {("ab", 1, 1), ("ac", 1, 3), ("ac", 2, 2), ("xxy", 4, 2), ("one", 1, 4), ("one", 2, 3), ("two", 1, 1), ("two", 2, 3), ("aba", 1, 2)}

@@ -40,20 +40,26 @@ def first_line_index(files: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def search_snippets(snippets: DataFrame, files: DataFrame, snippet_key: str, snippet: str, key: str, text: str) -> DataFrame:
-    """Every file's first run of every snippet: an equality join on the snippet's first line, then the whole run. Empty snippets match nothing.
+    """Every file's first run of every snippet. Empty snippets match nothing; a key that has several snippets is found where one of them is.
 
-    Lines meet without the files that they are of; only where a first line is found, and the
-    snippet has more than that, the file's lines are joined back.
+    A snippet meets the files by the one of its lines that stands in the fewest places; a
+    snippet with a line that stands nowhere meets none. Its other lines are then looked up
+    where they would have to stand: rows of a file and place, no file's text. Lines are
+    compared by two 64-bit hashes.
     """
-    wanted = snippets.select(F.col(snippet_key).alias("_s"), norm_lines(F.col(snippet)).alias("_target")).filter(F.size("_target") > 0).withColumn("line", F.get("_target", F.lit(0)))
-    index = first_line_index(files.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t")
-    met = index.join(wanted.select("_s", "line", (F.size("_target") > 1).alias("_more")), "line").groupBy("_s", "_k", "_more").agg(F.sort_array(F.collect_set("p")).alias("_at"))
-    done = met.filter("not _more").select("_s", "_k", (F.get("_at", F.lit(0)) + 1).alias("at"))
-    texts = files.select(F.col(key).alias("_k"), norm_lines(F.col(text)).alias("_l"))
-    long = met.filter("_more").join(wanted.select("_s", "_target"), "_s").join(texts, "_k")
-    first = F.get(F.filter("_at", lambda p: F.slice(F.col("_l"), p + 1, F.size("_target")) == F.col("_target")), F.lit(0))
-    found = done.unionByName(long.select("_s", "_k", (first + 1).alias("at")).filter("at is not null"))
-    return found.groupBy(F.col("_s").alias(snippet_key), F.col("_k").alias(key)).agg(F.min("at").alias("at"))
+    hashed = (F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    own = snippets.select(snippet_key, snippet).filter(F.col(snippet).isNotNull()).distinct().select(F.struct(F.col(snippet_key).alias("key"), F.xxhash64(snippet).alias("text")).alias("_s"), F.posexplode(norm_lines(F.col(snippet))).alias("i", "line"))
+    wanted = own.select("_s", "i", *hashed)
+    index = first_line_index(files.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t").select("_k", "p", *hashed)
+    index = materialise(index, "lines")
+    known = wanted.join(index.groupBy("h", "h2").agg(F.count("*").alias("places")), ["h", "h2"], "left").withColumn("places", F.coalesce("places", F.lit(0)))
+    rarest = known.groupBy("_s").agg(F.min(F.struct("places", "i", "h", "h2")).alias("r"), F.count("*").alias("n")).filter("r.places > 0")
+    met = index.join(rarest.select("_s", "n", "r.i", "r.h", "r.h2"), ["h", "h2"]).select("_s", "_k", "n", (F.col("p") - F.col("i")).alias("at"), "i").filter("at >= 0")
+    met = materialise(met, "met")
+    rest = met.filter("n > 1").withColumnRenamed("i", "_seen").join(wanted, "_s").filter("i <> _seen").select("_s", "_k", "n", "at", (F.col("at") + F.col("i")).alias("p"), "h", "h2")
+    whole = rest.join(index, ["_k", "p", "h", "h2"]).groupBy("_s", "_k", "n", "at").agg(F.count("*").alias("_found")).filter("_found = n - 1")
+    found = met.filter("n = 1").select("_s", "_k", "at").unionByName(whole.select("_s", "_k", "at"))
+    return found.groupBy(F.col("_s.key").alias(snippet_key), F.col("_k").alias(key)).agg((F.min("at") + 1).alias("at"))
 
 
 def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:
