@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +79,8 @@ def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:
     return F.try_element_at(F.filter(places, near), F.lit(1))
 
 
-#: Characters of a key of the edit-distance join.
-GRAM = 3
+#: Characters of a key of the edit-distance join: of lines whose pieces are long enough, and of others.
+GRAMS = (5, 3)
 
 
 def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: float = FUZZY) -> DataFrame:
@@ -94,15 +96,17 @@ def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: floa
     cut = lambda j: F.floor(F.length("t") * j / (F.col("edits") + 1)).cast("int")
     pieces = lines.select(*on, "_s", "i", "t", "edits", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("j")).withColumn("start", cut(F.col("j")))
     pieces = pieces.withColumn("piece", F.substring(F.col("t"), F.col("start") + 1, cut(F.col("j") + 1) - F.col("start")))
-    key = F.when(F.col("edits") == 0, F.col("t")).otherwise(F.substring("piece", 1, GRAM))
-    pieces = pieces.select(*on, "_s", "i", "edits", "start", "piece", key.alias("key"), (F.col("edits") == 0).alias("whole"))
+    (long, short), most = GRAMS, math.ceil(1 / ratio) + 1  # a piece is shorter than that
+    size = F.when(F.col("edits") == 0, 0).when(F.floor(F.length("t") / (F.col("edits") + 1)) >= long, long).otherwise(short)
+    pieces = pieces.withColumn("size", size).withColumn("key", F.when(F.col("size") == 0, F.col("t")).otherwise(F.substring(F.col("piece"), F.lit(1), F.col("size"))))
+    pieces = pieces.select(*on, "_s", "i", "edits", "start", "piece", "key", "size")
     asked = snippets.select(*on).distinct()
     own = files.join(asked, on, "left_semi")
-    spots = F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - GRAM + 1, F.lit(1))), lambda i: F.struct(F.lit(False).alias("whole"), (i - 1).alias("spot"), F.substring(F.col("line"), i, F.lit(GRAM)).alias("key")))
-    whole = F.array(F.struct(F.lit(True).alias("whole"), F.lit(0).alias("spot"), F.col("line").alias("key")))
-    index = own.select(*on, "p", "line", F.explode(F.concat(whole, F.when(F.length("line") >= GRAM, spots).otherwise(F.slice(spots, 1, 0)))).alias("k")).select(*on, "p", "line", "k.*")
-    met = pieces.join(index, [*on, "whole", "key"]).filter(F.abs(F.col("spot") - F.col("start")) <= F.col("edits"))
-    met = met.filter(F.col("whole") | (F.substring(F.col("line"), F.col("spot") + 1, F.length("piece")) == F.col("piece")))
+    spots = lambda g: F.when(F.length("line") >= g, F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - g + 1, F.lit(1))), lambda i: F.struct(F.lit(g).alias("size"), (i - 1).alias("spot"), F.substring(F.col("line"), i, F.lit(g)).alias("key"), F.substring(F.col("line"), i, F.lit(most)).alias("seen")))).otherwise(F.array())
+    whole = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("spot"), F.col("line").alias("key"), F.lit("").alias("seen")))
+    index = own.select(*on, "p", F.explode(F.concat(whole, spots(long), spots(short))).alias("k")).select(*on, "p", "k.*")
+    met = pieces.join(index, [*on, "size", "key"]).filter(F.abs(F.col("spot") - F.col("start")) <= F.col("edits"))
+    met = met.filter((F.col("size") == 0) | F.col("seen").startswith(F.col("piece")))
     return met.select("_s", (F.col("p") - F.col("i")).alias("at")).filter("at > 0").distinct()
 
 
