@@ -132,8 +132,8 @@ def history_stats(commits: DataFrame, key: str, ts: str, subject: str) -> DataFr
     return commits.groupBy(key).agg(F.count("*").alias("total_commits"), F.max(ts).alias("last_modified"), F.avg(F.coalesce(fix, F.lit(False)).cast("double")).alias("fix_commit_ratio"))
 
 
-def import_edges(files: DataFrame, path: str, text: str) -> DataFrame:
-    """importer, specifier: what stands between two quotes after an import, an export, their ``from``, or the parenthesis of a call to require or import."""
+def specifiers(text: Column) -> Column:
+    """What stands between two quotes after an import, an export, their ``from``, or the parenthesis of a call to require or import; each once, as an array."""
     pieces = F.split(text, "[\"']", -1)
     stated = lambda before: before.rlike(r"(?s)(import|export)\s+([^\s].*\s+from\s+)?$")
     called = lambda before, after: before.rlike(r"(require|import)\s*\($|(require|import)\s*\(\s+$") & after.rlike(r"^\s*\)")
@@ -142,20 +142,29 @@ def import_edges(files: DataFrame, path: str, text: str) -> DataFrame:
         before, after = F.get(pieces, i - 1), F.get(pieces, i + 1)
         return F.when((i > 0) & (piece != "") & after.isNotNull() & (stated(before) | called(before, after)), piece)
 
-    found = F.filter(F.transform(pieces, specifier), lambda x: x.isNotNull())
-    return files.select(F.col(path).alias("importer"), F.explode(F.array_distinct(found)).alias("specifier"))
+    return F.array_distinct(F.filter(F.transform(pieces, specifier), lambda x: x.isNotNull()))
 
 
-def module_paths(edges: DataFrame) -> DataFrame:
-    """importer, target: every file that a relative specifier can mean; bare names are packages and drop out."""
-    folder = F.regexp_replace("importer", r"/?[^/]*$", "")
-    joined = F.concat_ws("/", F.when(folder != "", folder), F.col("specifier"))
+def import_edges(files: DataFrame, path: str, text: str) -> DataFrame:
+    """importer, specifier: each of ``specifiers`` of a file."""
+    return files.select(F.col(path).alias("importer"), F.explode(specifiers(F.col(text))).alias("specifier"))
+
+
+def module_targets(importer: Column, specifier: Column) -> Column:
+    """Every file that a relative specifier can mean; bare names are packages and have none."""
+    folder = F.regexp_replace(importer, r"/?[^/]*$", "")
+    joined = F.concat_ws("/", F.when(folder != "", folder), specifier)
     parts = F.filter(F.split(joined, "/"), lambda x: ~x.isin("", "."))
     folded = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when((x == "..") & (F.size(done) > 0), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
     whole = F.array_join(folded, "/")
-    lacks = ~F.col("specifier").rlike(r"\.[^./]+$")
+    lacks = ~specifier.rlike(r"\.[^./]+$")
     variants = F.when(lacks, F.concat(F.array(whole), *[F.array(F.concat(whole, F.lit(e)), F.concat(whole, F.lit("/index" + e))) for e in MODULE_EXTENSIONS])).otherwise(F.array(whole))
-    return edges.filter(F.col("specifier").rlike(r"^\.{1,2}(/|$)")).select("importer", F.explode(variants).alias("target"))
+    return F.when(specifier.rlike(r"^\.{1,2}(/|$)"), variants).otherwise(F.array().cast("array<string>"))
+
+
+def module_paths(edges: DataFrame) -> DataFrame:
+    """importer, target: every file that a relative specifier can mean."""
+    return edges.select("importer", F.explode(module_targets(F.col("importer"), F.col("specifier"))).alias("target"))
 
 
 def importers(targets: DataFrame, edges: DataFrame, path: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from textloom.functions.text import norm_lines
 from textloom.operators import bundles, diffs, history, lines, linediff, locate, rule_index, text_index
 from textloom.session import materialise, table, work_dir
+from textloom.streaming.kept import HISTORY_KEY, history_updates, keep, kept, kept_history, link_updates, reverse
+from textloom.streaming.scan import stream_table
 
 
 def versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -76,8 +78,8 @@ def indexed_reads(spark, sf_dir):
     return text_index.reads(spark, text_indexed(spark, sf_dir), EXPRESSIONS[1:8])
 
 
-def history_renames(spark, sf_dir):
-    """Every name's history, where the events are commits of few files: one in nine gives a name away, one in 45 swaps two, and half of the subjects fix."""
+def event_log(spark, sf_dir) -> DataFrame:
+    """The events as commits of few files: one in nine gives a name away, one in 45 swaps two, and half of the subjects fix."""
     log = table(spark, sf_dir, "events").filter("user_id is not null")
     files = F.greatest(F.floor(F.lit(log.count()) / 12), F.lit(7))
     name = lambda n: F.concat(F.lit("f"), F.pmod(n, files))
@@ -85,11 +87,46 @@ def history_renames(spark, sf_dir):
     a, b = name(seq * 37 + F.col("user_id")), name(seq * 101 + 5)
     subject = F.when(seq % 2 == 0, F.concat("event_type", F.lit(" Hotfix"))).otherwise(F.col("event_type"))
     of = lambda path, old: (F.lit("r").alias("repo"), seq.alias("seq"), path.alias("path"), old.alias("old_path"), F.col("ts").cast("string").alias("ts"), subject.alias("subject"))
-    rows = materialise(log.select(*of(a, F.when(moves | swaps, b))).unionByName(log.filter(swaps).select(*of(b, a))), "log")
+    return materialise(log.select(*of(a, F.when(moves | swaps, b))).unionByName(log.filter(swaps).select(*of(b, a))), "log")
+
+
+def history_renames(spark, sf_dir):
+    """Every name's history across renames, where the events are commits."""
+    rows = event_log(spark, sf_dir)
     paths = rows.select("repo", "path").unionByName(rows.filter("old_path is not null").select("repo", F.col("old_path").alias("path"))).unionByName(rows.limit(1).select("repo", F.lit("never").alias("path")))
     return history.history(paths, rows).select("path", "total_commits", "last_modified", F.round("fix_commit_ratio", 6).alias("fix_commit_ratio"), "reason")
 
 
+def arrivals(spark, rows: DataFrame, part: Column, updates) -> tuple[DataFrame, str]:
+    """``rows`` come in three parts; after each one the stream is started again and goes on. Returns the updates and their folder."""
+    folder = f"{work_dir(spark)}/kept-{uuid.uuid4().hex}"
+    for i in range(3):
+        rows.filter(part == i).write.mode("append").parquet(f"{folder}/arrived")
+        found = updates(stream_table(spark, f"{folder}/arrived"))
+        keep(found, f"{folder}/table").awaitTermination()
+    return found, f"{folder}/table"
+
+
+def streamed_history(spark, sf_dir):
+    """Every name's own history from a stream of the commits; a tenth comes twice, in different parts, and the oldest commits come last."""
+    rows = event_log(spark, sf_dir)
+    twice = rows.withColumn("part", 2 - F.pmod("seq", F.lit(3))).unionByName(rows.filter("seq % 10 = 0").withColumn("part", F.pmod("seq", F.lit(3))))
+    found, folder = arrivals(spark, twice, F.col("part"), lambda log: history_updates(log))
+    return kept_history(kept(spark, folder, found.schema, HISTORY_KEY)).select("path", "total_commits", "last_modified", F.round("fix_commit_ratio", 6).alias("fix_commit_ratio"))
+
+
+def streamed_links(spark, sf_dir):
+    """Pages by what they link to, from a stream of the pages' versions: of some the newer version comes first, some change their links, some go."""
+    html = F.col("html")
+    first = table(spark, sf_dir, "pages").select("page_id", F.lit(1).alias("seq"), html.alias("html"))
+    second = first.filter("page_id % 3 <> 0").withColumns({"seq": F.lit(2), "html": F.when(F.col("page_id") % 3 == 1, F.replace(html, F.lit('href="'), F.lit('href="new:')))})
+    part = F.when(F.col("page_id") % 2 == 0, F.col("seq") - 1).otherwise(2 - F.col("seq") + F.when(F.col("page_id") % 5 == 0, 1).otherwise(0))
+    versions = first.unionByName(second).withColumn("part", part)
+    targets = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
+    found, folder = arrivals(spark, versions, F.col("part"), lambda rows: link_updates(rows, "page_id", "seq", targets))
+    return reverse(kept(spark, folder, found.schema, ["importer"])).select("target", F.col("importer").alias("page_id"))
+
+
 def fuzzy_positions(spark, sf_dir):
     """Two lines from the middle of every document, edited, are looked for in it; letters outside ASCII are question marks, since the checking SQL counts bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
@@ -122,7 +159,7 @@ def pack_one_group(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (snapshot_line_diffs, history_renames, fuzzy_positions, rules_from_table, pack_one_group, search_expressions, indexed_search, indexed_reads)}
+    return {f.__name__: f for f in (snapshot_line_diffs, history_renames, fuzzy_positions, rules_from_table, pack_one_group, streamed_history, streamed_links, search_expressions, indexed_search, indexed_reads)}
 
 
 VERSIONS = """d AS (SELECT doc_id, list_transform(CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END, lambda x: doc_id || '|' || x) AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
@@ -131,6 +168,13 @@ v AS (SELECT *, len(list_filter(range(1, len(ls) + 1), lambda i: i % 7 = 3)) AS
   list_sum(list_transform(list_filter(ls, lambda x, i: i % 7 <> 3 AND i % 11 <> 5), lambda x: len(x) + 1)) AS same, list_sum(list_transform(ls, lambda x: len(x) + 1)) AS before, list_sum(list_transform(edited, lambda x: len(x) + 1)) AS after, array_to_string(list_transform(edited, lambda x: x || chr(10)), '') AS post, array_to_string(list_transform(ls, lambda x: x || chr(10)), '') AS pre FROM e)"""
 
 
+LOG = """c AS (SELECT greatest(count(*) // 12, 7) AS files FROM events WHERE user_id IS NOT NULL),
+e AS (SELECT event_id AS seq, 'f' || (event_id * 37 + user_id) % files AS a, 'f' || (event_id * 101 + 5) % files AS b, event_id % 9 = 4 AS moves, event_id % 45 = 13 AS swaps, ts, event_type || CASE WHEN event_id % 2 = 0 THEN ' Hotfix' ELSE '' END AS subject FROM events, c WHERE user_id IS NOT NULL),
+l AS (SELECT seq, a AS path, CASE WHEN moves OR swaps THEN b END AS old_path FROM e UNION ALL SELECT seq, b, a FROM e WHERE swaps),
+t AS (SELECT DISTINCT seq, path FROM (SELECT seq, path FROM l UNION ALL SELECT seq, old_path FROM l WHERE old_path IS NOT NULL))"""
+LAST = "strftime(max_by(ts, seq), '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(max_by(ts, seq)) % 1000000 = 0 THEN '' ELSE rtrim('.' || lpad(CAST(microsecond(max_by(ts, seq)) % 1000000 AS VARCHAR), 6, '0'), '0') END AS last_modified"
+
+
 LINES = "(SELECT doc_id, unnest(ls) AS content, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 #: The odd expressions as SQL conditions on a line; the first five aren't expressions.
 ODD_SQL = {5: "false", 6: r"regexp_matches(content, '[\\d]7')", 7: r"regexp_matches(content, '(^|[^A-Za-z0-9_])th')", 8: r"regexp_matches(content, 'ing($|[^A-Za-z0-9_])')", 9: "contains(content, 'a)b')"}
@@ -157,17 +201,18 @@ UNION ALL SELECT {row(there, here, 'renamed', 'changed + more', 'cut + changed',
 UNION ALL SELECT {row(there, none, 'added', 'len(edited)', '0', 'md5(post)')} FROM v WHERE kind = 4 AND NOT ({moved})
 UNION ALL SELECT {row(here, none, 'deleted', '0', 'len(ls)', none)} FROM v WHERE kind = 5 OR (kind = 4 AND NOT ({moved}))
 UNION ALL SELECT {row(here, none, 'added', 'len(ls)', '0', 'md5(pre)')} FROM v WHERE kind = 6""",
-        "history_renames": f"""WITH RECURSIVE c AS (SELECT greatest(count(*) // 12, 7) AS files FROM events WHERE user_id IS NOT NULL),
-e AS (SELECT event_id AS seq, 'f' || (event_id * 37 + user_id) % files AS a, 'f' || (event_id * 101 + 5) % files AS b, event_id % 9 = 4 AS moves, event_id % 45 = 13 AS swaps, ts, event_type || CASE WHEN event_id % 2 = 0 THEN ' Hotfix' ELSE '' END AS subject FROM events, c WHERE user_id IS NOT NULL),
-l AS (SELECT seq, a AS path, CASE WHEN moves OR swaps THEN b END AS old_path FROM e UNION ALL SELECT seq, b, a FROM e WHERE swaps),
+        "streamed_history": f"""WITH {LOG}
+SELECT path, count(*) AS total_commits, {LAST}, round(avg(CASE WHEN lower(subject) LIKE '%hotfix%' THEN 1.0 ELSE 0.0 END), 6) AS fix_commit_ratio FROM t JOIN e USING (seq) GROUP BY path""",
+        "streamed_links": """WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS urls FROM pages)
+SELECT DISTINCT CASE WHEN page_id % 3 = 1 THEN 'new:' ELSE '' END || url AS target, page_id FROM (SELECT page_id, unnest(urls) AS url FROM p WHERE page_id % 3 <> 2)""",
+        "history_renames": f"""WITH RECURSIVE {LOG},
 r AS MATERIALIZED (SELECT seq, path AS new, min(old_path) AS old FROM l WHERE old_path <> path GROUP BY ALL),
 p AS (SELECT r.*, (SELECT max(q.seq) FROM r q WHERE q.new = r.old AND q.seq < r.seq) AS prior FROM r),
 n AS (SELECT path FROM l UNION SELECT old_path FROM l WHERE old_path IS NOT NULL UNION SELECT 'never'),
 s AS (SELECT n.path, n.path AS name, max(r.seq) AS low, CAST(NULL AS BIGINT) AS high FROM n LEFT JOIN r ON r.new = n.path GROUP BY n.path
   UNION ALL SELECT s.path, p.old, p.prior, p.seq FROM s JOIN p ON s.name = p.new AND s.low = p.seq),
-t AS (SELECT DISTINCT seq, path FROM (SELECT seq, path FROM l UNION ALL SELECT seq, old_path FROM l WHERE old_path IS NOT NULL)),
 h AS (SELECT s.path, e.seq, e.ts, e.subject FROM s JOIN t ON s.name = t.path AND (s.low IS NULL OR t.seq >= s.low) AND (s.high IS NULL OR t.seq < s.high) JOIN e ON t.seq = e.seq)
-SELECT n.path, count(h.seq) AS total_commits, strftime(max_by(ts, seq), '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(max_by(ts, seq)) % 1000000 = 0 THEN '' ELSE rtrim('.' || lpad(CAST(microsecond(max_by(ts, seq)) % 1000000 AS VARCHAR), 6, '0'), '0') END AS last_modified,
+SELECT n.path, count(h.seq) AS total_commits, {LAST},
   round(coalesce(avg(CASE WHEN h.seq IS NULL THEN NULL WHEN lower(subject) LIKE '%hotfix%' THEN 1.0 ELSE 0.0 END), 0), 6) AS fix_commit_ratio, CASE WHEN count(h.seq) = 0 THEN '{history.NO_HISTORY}' END AS reason FROM n LEFT JOIN h USING (path) GROUP BY n.path""",
         "fuzzy_positions": f"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), chr(10)), lambda x: {NORM}), lambda x: x <> '') AS ls FROM documents),
 c AS (SELECT doc_id, ls, CASE WHEN doc_id % 4 = 3 THEN ['nowhere to be found'] ELSE list_transform(ls[len(ls) // 2 + 1:len(ls) // 2 + 2], lambda x: CASE doc_id % 4 WHEN 0 THEN x[1:2] || 'Z' || x[3:] WHEN 1 THEN x[2:] ELSE x || ' end' END) END AS raw FROM d),
