@@ -148,3 +148,11 @@ def test_requirements_and_linters_lines(spark):
     ]
     got = sorted(tuple(r) for r in records.lint_findings(spark.createDataFrame(said, "tool string, content string")).collect())
     assert got == [("a(b)/c.ts", 10, "error", "Type: 'x'.", "tsc"), ("f.go", 7, "warning", "unused: x", "go_vet"), ("g.go", 2, "warning", "both", "go_vet"), ("src/l.rs", 3, "warning", "a: b", "clippy")]
+
+
+def test_folder_with_bytes_that_are_no_text(spark, tmp_path):
+    from textloom.sources.corpus import read_folder
+
+    (tmp_path / "a.ts").write_bytes(b"caf\xe9\n")
+    (tmp_path / "b.ts").write_bytes("größe".encode())
+    assert {r.path: r.content for r in read_folder(spark, str(tmp_path)).collect()} == {"a.ts": "caf�\n", "b.ts": "größe"}

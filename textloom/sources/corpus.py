@@ -19,7 +19,7 @@ def read_folder(spark: SparkSession, folder: str, extensions=SOURCES) -> DataFra
     bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")  # noqa: E731  # file:/x and file:///x are one folder
     relative = F.expr(f"substring(_bare, {len('/' + root.split(':', 1)[-1].lstrip('/')) + 2})")
     files = files.withColumn("_bare", bare(F.col("path")))
-    return files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content")).filter(~F.col("path").rlike(skipped))
+    return files.select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")).filter(~F.col("path").rlike(skipped))
 
 
 def read_rules(spark: SparkSession, file: str) -> DataFrame:
