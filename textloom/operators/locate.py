@@ -102,7 +102,9 @@ def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: floa
     pieces = pieces.select(*on, "_s", "i", "edits", "start", "piece", "key", "size")
     asked = snippets.select(*on).distinct()
     own = files.join(asked, on, "left_semi")
-    spots = lambda g: F.when(F.length("line") >= g, F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - g + 1, F.lit(1))), lambda i: F.struct(F.lit(g).alias("size"), (i - 1).alias("spot"), F.substring(F.col("line"), i, F.lit(g)).alias("key"), F.substring(F.col("line"), i, F.lit(most)).alias("seen")))).otherwise(F.array())
+    # what begins at each character, found in one pass: a substring by its place would walk a long line anew for each
+    own = own.withColumn("seen", F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{1,{most}}}))."), F.lit(1)))
+    spots = lambda g: F.filter(F.transform("seen", lambda x, i: F.struct(F.lit(g).alias("size"), i.alias("spot"), F.substring(x, 1, g).alias("key"), x.alias("seen"))), lambda x: F.length(x["key"]) == g)
     whole = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("spot"), F.col("line").alias("key"), F.lit("").alias("seen")))
     index = own.select(*on, "p", F.explode(F.concat(whole, spots(long), spots(short))).alias("k")).select(*on, "p", "k.*")
     met = pieces.join(index, [*on, "size", "key"]).filter(F.abs(F.col("spot") - F.col("start")) <= F.col("edits"))
