@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -58,3 +59,11 @@ def test_bounds_hold_and_leave_few_rows_in_question():
     assert [(-s, i) for i, s in zip(*found[0], strict=True)] == want and scored < 400
     one, least, most = H._cut(np.full((5, 2), 7), 4)  # all rows equal: one cell
     assert (one == 0).all() and (least[:, 0] == 7).all() and (most[:, 0] == 7).all()
+
+
+def test_the_query_has_the_columns_of_its_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW embeddings AS FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    want = con.sql(H.oracle_sql())
+    got = H.op12_hard_negatives(spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())

@@ -233,7 +233,8 @@ def mine(rows: DataFrame, anchors: Column, n_positives: int = POSITIVES, n_negat
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    return mine(whole_vectors(rows, "vec_id", "embedding", label), F.col("id") % 50 == 0)
+    # the operator also tells how many rows were scored; the query's columns are those of its SQL
+    return mine(whole_vectors(rows, "vec_id", "embedding", label), F.col("id") % 50 == 0).drop("scored")
 
 
 def oracle_sql() -> str:
