@@ -150,16 +150,24 @@ def import_edges(files: DataFrame, path: str, text: str) -> DataFrame:
     return files.select(F.col(path).alias("importer"), F.explode(specifiers(F.col(text))).alias("specifier"))
 
 
-def module_targets(importer: Column, specifier: Column) -> Column:
-    """Every file that a relative specifier can mean; bare names are packages and have none."""
+def module_place(importer: Column, specifier: Column) -> tuple[Column, Column]:
+    """(the path that a relative specifier names, whether it may lack an extension)."""
     folder = F.regexp_replace(importer, r"/?[^/]*$", "")
     joined = F.concat_ws("/", F.when(folder != "", folder), specifier)
     parts = F.filter(F.split(joined, "/"), lambda x: ~x.isin("", "."))
     folded = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when((x == "..") & (F.size(done) > 0), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
-    whole = F.array_join(folded, "/")
-    lacks = ~specifier.rlike(r"\.[^./]+$")
+    return F.array_join(folded, "/"), ~specifier.rlike(r"\.[^./]+$")
+
+
+def is_relative(specifier: Column) -> Column:
+    return specifier.rlike(r"^\.{1,2}(/|$)")
+
+
+def module_targets(importer: Column, specifier: Column) -> Column:
+    """Every file that a relative specifier can mean; bare names are packages and have none."""
+    whole, lacks = module_place(importer, specifier)
     variants = F.when(lacks, F.concat(F.array(whole), *[F.array(F.concat(whole, F.lit(e)), F.concat(whole, F.lit("/index" + e))) for e in MODULE_EXTENSIONS])).otherwise(F.array(whole))
-    return F.when(specifier.rlike(r"^\.{1,2}(/|$)"), variants).otherwise(F.array().cast("array<string>"))
+    return F.when(is_relative(specifier), variants).otherwise(F.array().cast("array<string>"))
 
 
 def module_paths(edges: DataFrame) -> DataFrame:
@@ -168,8 +176,19 @@ def module_paths(edges: DataFrame) -> DataFrame:
 
 
 def importers(targets: DataFrame, edges: DataFrame, path: str) -> DataFrame:
-    """path, importers: sorted files that mean each target."""
-    met = targets.select(F.col(path).alias("target")).join(module_paths(edges), "target", "left")
+    """path, importers: sorted files that mean each target.
+
+    A target is met by its path and, by specifiers that may lack an extension, by its path
+    without one or without an index file's name: a row for each edge, not for each file that it
+    can mean. Rows made from texts are more than a plan's estimate, so nothing may be broadcast.
+    """
+    whole, lacks = module_place(F.col("importer"), F.col("specifier"))
+    named = edges.filter(is_relative(F.col("specifier"))).select("importer", whole.alias("_key"), lacks.alias("_lacks"))
+    own, less = F.col(path), lambda end: F.substring(F.col(path), F.lit(1), F.length(path) - len(end))
+    bare = [F.when(own.endswith(end), less(end)) for e in MODULE_EXTENSIONS for end in (e, "/index" + e)]
+    known = F.concat(F.array(F.struct(own.alias("key"), F.lit(False).alias("bare"))), F.transform(F.array_compact(F.array(*bare)), lambda x: F.struct(x.alias("key"), F.lit(True).alias("bare"))))
+    keyed = targets.select(own.alias("target"), F.explode(known).alias("_k"))
+    met = keyed.join(named.hint("merge"), (F.col("_k.key") == F.col("_key")) & (~F.col("_k.bare") | F.col("_lacks")), "left")
     return met.groupBy("target").agg(F.array_sort(F.collect_set("importer")).alias("importers"))
 
 
@@ -280,5 +299,5 @@ def test_scripts(manifests: DataFrame, repo: str, content: str) -> DataFrame:
 
 
 def findings_of(findings: DataFrame, files: DataFrame | None) -> DataFrame:
-    """Only findings in the files asked for; all, if none are asked for."""
-    return findings if files is None else findings.join(files.select("path").distinct(), "path", "left_semi")
+    """Only findings in the files asked for; all, if none are asked for. The files meet by shuffle, repeated as they are: to tell them apart before it would be a table of all in one task's memory."""
+    return findings if files is None else findings.join(files.select("path").hint("merge"), "path", "left_semi")

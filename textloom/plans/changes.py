@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import diffs, records, review
-from textloom.session import table
+from textloom.session import spread, table
 
 NORM = r"regexp_replace({}, '^[\s\x{{FEFF}}\x{{A0}}\x{{85}}\x0B\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{FEFF}}\x{{A0}}\x{{85}}\x0B\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
 EXTENSIONS = (".txt", ".py", ".min.js", ".png")
@@ -114,7 +114,7 @@ def lint_json_parse(spark, sf_dir):
 
 
 def module_importers(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("src/m"), "p_partkey", F.lit(".ts")).alias("path"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.concat(F.lit("src/m"), "p_partkey", F.lit(".ts")).alias("path"))
     text = F.concat(F.lit("import a from '../src/./m"), F.floor(F.col("p_partkey") / 3), F.lit("'\nimport b from 'react'\nexport * from './none.css'\n"))
     edges = records.import_edges(part.withColumn("text", text), "path", "text")
     return records.importers(part, edges, "path").select("target", F.array_join("importers", ",").alias("importers"))
