@@ -10,7 +10,7 @@ from textloom.functions.patterns import glob_regex
 from textloom.operators import bundles, diffs, lines, records, review, selection, similar
 from textloom.plans import catalogue
 from textloom.plans.catalogue import TOKENS, L
-from textloom.session import table
+from textloom.session import spread, table
 from textloom.streaming import scan
 
 
@@ -20,7 +20,7 @@ def pick(index, *values):
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("n"))
+    return spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("n")), "p")
 
 
 def changed_files(spark, sf_dir) -> DataFrame:
@@ -39,12 +39,12 @@ def changed_files(spark, sf_dir) -> DataFrame:
 
 
 def file_bundles(spark, sf_dir):
-    return bundles.file_bundles(changed_files(spark, sf_dir)).select("position", "path", "reason", "group_id", "bin", F.col("total_chars").cast("long").alias("total_chars"))
+    return bundles.file_bundles(changed_files(spark, sf_dir), keep=["position", "path"]).select("position", "path", "reason", "group_id", "bin", F.col("total_chars").cast("long").alias("total_chars"))
 
 
 def bundle_keys(spark, sf_dir):
     files = changed_files(spark, sf_dir)
-    found = bundles.bundle_keys(bundles.file_bundles(files), files.select("path", "content"))
+    found = bundles.bundle_keys(bundles.file_bundles(files, keep=["position", "path"]), files.select("path", "content"))
     return found.select("group_id", "path", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
