@@ -34,17 +34,22 @@ def fold_bins(sizes: Column, cap: int = CAP) -> Column:
 
 
 def _folded(files: DataFrame, group: list[str], size: str, order: list[Column], cap: int) -> DataFrame:
-    """_row, bin of groups that fit in an array: the fold goes through order and size of each file, which are then known by their place."""
+    """c0, c1 ... (the columns of ``files``), _size, _g, bin of groups that fit in an array: the fold goes through order and size of each file, which are then known by their place.
+
+    Columns stay columns, so that what a caller doesn't read isn't carried.
+    """
     keys = [f"_g{i}" for i in range(len(group))]
-    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(files.columns)])
-    placed = files.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], row.alias("_row"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), at.alias("_at"))
+    amount = F.coalesce(F.col(size), F.lit(0)).cast("long")
+    # found twice, for the sizes and for the rows: of equal order, files of equal size can stand for each other
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order, amount))
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(files.columns)]
+    placed = files.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], *own, amount.alias("_size"), at.alias("_at"))
     sizes = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", F.col("_size").alias("size")))).alias("_items"))
     folded = sizes.select(*[F.col(k).alias(f"{k}_") for k in keys], F.explode(F.arrays_zip(F.transform("_items", lambda x: x["_at"]).alias("at"), fold_bins(F.transform("_items", lambda x: x["size"]), cap).alias("bin"))).alias("x"))
     same = F.col("_at") == F.col("x.at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    return placed.join(folded, same).select("_row", "_size", F.struct(*keys).alias("_g"), F.col("x.bin").cast("int").alias("bin"))
+    return placed.join(folded, same).select(*[f"c{i}" for i in range(len(own))], "_size", F.struct(*[F.col(k).alias(f"g{i}") for i, k in enumerate(keys)]).alias("_g"), F.col("x.bin").cast("int").alias("bin"))
 
 
 def _exits(group: pa.Table) -> pa.Table:
@@ -120,19 +125,28 @@ def pack(files: DataFrame, group: list[str], size: str, order: list[Column], cap
     if large.head(1):
         there = F.col("_group").eqNullSafe(F.col("_hot"))
         small = keyed.join(large, there, "left_anti").drop("_group")
-        packed = _folded(small, group, size, order, cap).select("_row", "_size", F.struct(*[F.col(f"_g._g{i}").alias(f"g{i}") for i in range(len(group))]).alias("_g"), "bin")
-        packed = packed.unionByName(_packed(keyed.join(large, there, "left_semi").drop("_group"), group, size, order, cap, block))
+        packed = _folded(small, group, size, order, cap)
+        hot_ones = _packed(keyed.join(large, there, "left_semi").drop("_group"), group, size, order, cap, block)
+        packed = packed.unionByName(hot_ones.select("_row.*", "_size", "_g", "bin"))
     else:
         packed = _folded(files, group, size, order, cap)
     out = packed.withColumn("bin_size", F.sum("_size").over(Window.partitionBy("_g", "bin")))
-    return out.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(files.columns)], "bin", "bin_size")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(files.columns)], "bin", "bin_size")
 
 
-def file_bundles(files: DataFrame, path: str = "path", position: str = "position", cap: int = CAP) -> DataFrame:
-    """``files`` (path, position, diff, additions, deletions) with reason, group_id, bin and total_chars: grouped, the densest change of a group first, packed up to the cap. Files without a diff drop out."""
-    grouped = pairing_groups(files.filter(F.col("diff").isNotNull()), path, position).withColumn("_size", F.length("diff"))
-    density = change_density(F.col("additions"), F.col("deletions"), F.col("diff"))
-    return pack(grouped, ["group_id"], "_size", [F.desc(density), F.col(position)], cap).withColumnRenamed("bin_size", "total_chars").drop("_size")
+def file_bundles(files: DataFrame, path: str = "path", position: str = "position", cap: int = CAP, keep: list[str] | None = None) -> DataFrame:
+    """``files`` (path, position, diff, additions, deletions) with reason, group_id, bin and total_chars: grouped, the densest change of a group first, packed up to the cap. Files without a diff drop out.
+
+    ``keep``: the columns of ``files`` that come back. Without a diff among them, diffs are read once, to be measured, and what follows handles narrow rows.
+    """
+    # measured before anything is shuffled: a diff itself goes along only if it is read afterwards
+    sized = files.filter(F.col("diff").isNotNull()).withColumns({"_size": F.length("diff"), "_density": change_density(F.col("additions"), F.col("deletions"), F.col("diff"))})
+    if keep is not None:
+        sized = materialise(sized.select(*dict.fromkeys([*keep, path, position]), "_size", "_density"), "sized")
+    grouped = pairing_groups(sized, path, position)
+    if keep is not None:
+        grouped = materialise(grouped, "grouped")
+    return pack(grouped, ["group_id"], "_size", [F.desc("_density"), F.col(position)], cap).withColumnRenamed("bin_size", "total_chars").drop("_size", "_density")
 
 
 def json_keys(files: DataFrame, path: str, text: str) -> DataFrame:
@@ -149,7 +163,7 @@ def bundle_keys(bundled: DataFrame, contents: DataFrame, path: str = "path") ->
     ``bundled``: of ``file_bundles``; ``contents``: path, content. A key is extra if another file of the bundle lacks it.
     """
     last = bundled.filter("reason = 'i18n_variants'").select("group_id", "bin", path).withColumn("_last", F.max("bin").over(Window.partitionBy("group_id"))).filter("bin = _last")
-    held = last.select("group_id", path).join(json_keys(contents, path, "content"), path, "left")
+    held = materialise(last.select("group_id", path).join(json_keys(contents, path, "content"), path, "left"), "held")  # read three times
     per = key_consistency(held.select("group_id", path, F.explode("keys").alias("key")), ["group_id"], path, "key").groupBy("group_id", path).agg(
         F.sort_array(F.collect_list(F.when(F.col("missing"), F.col("key")))).alias("missing"), F.sort_array(F.collect_list(F.when(F.col("extra"), F.col("key")))).alias("extra")
     )
