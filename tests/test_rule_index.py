@@ -29,3 +29,17 @@ def test_every_path_and_glob(spark):
 
 def test_keys():
     assert [patterns.glob_key(g) for g in ("src/a.py", "**/Makefile", "**/*.d.TS", "src/**", "**/Doc*", "*", "a/[b].c", "**/x*y")] == [("path", "src/a.py"), ("name", "makefile"), ("ending", "d.ts"), ("folder", "src"), ("head", "doc"), ("any", ""), ("ending", "c"), ("any", "")]
+
+
+def test_keys_tell_what_ends_and_begins_a_path():
+    assert [patterns.literal_key(g) for g in ("en/*123", "**/*12.HTML", "en/1*", "**/Doc*", "*", "src/a.py", "a[", "x/[ab]", "src/**/y?.go", "**/" + "*" + "z" * 30)] == [("tail", "123"), ("tail", "12.html"), ("start", "en/1"), ("head", "doc"), ("any", ""), ("path", "src/a.py"), ("tail", "a["), ("start", "x/"), ("start", "src/"), ("tail", "z" * 24)]
+
+
+def test_rules_that_share_a_folder_or_an_ending_do_not_meet_all_its_paths(spark):
+    n = 400
+    paths = spark.range(n).select(F.concat(F.lit("en/"), F.col("id") + 1000, F.lit(".html")).alias("path"))
+    rules = spark.range(n).select(F.lit(0).alias("layer"), F.col("id").alias("ord"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("en/*"), F.col("id") + 1000, F.lit(".html"))).otherwise("**/*7.html").alias("glob"), F.concat(F.lit("r"), "id").alias("rule"))
+    got = rule_index.glob_join(paths, rules).collect()
+    assert {r.path: r.rule for r in got} == {f"en/{i + 1000}.html": "r1" if i % 10 == 7 else f"r{i}" if i % 2 == 0 else None for i in range(n)}
+    keys = rule_index.compiled(rules).select("kind", "key").collect()
+    assert sum(f"en/{i + 1000}.html".endswith(k.key) for k in set(keys) for i in range(n)) == 200 + 40
