@@ -73,7 +73,10 @@ def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:
         pairs = F.zip_with(F.slice(lines, i, n), target, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         longest = F.aggregate(pairs, F.lit(0), lambda t, x: t + F.greatest(F.length(x["a"]), F.length(x["b"])))
         apart = F.aggregate(pairs, F.lit(0), lambda t, x: t + F.abs(F.length(x["a"]) - F.length(x["b"])))
-        distance = F.aggregate(pairs, F.lit(0), lambda t, x: t + F.levenshtein(x["a"], x["b"]))
+        # no further than the window may differ; a line beyond that rules the window out
+        most = F.ceil(longest * F.lit(limit)).cast("int")
+        apart_by = lambda d: F.when(d < 0, longest).otherwise(d)
+        distance = F.aggregate(F.transform(pairs, lambda x: F.call_function("levenshtein", x["a"], x["b"], most)), F.lit(0), lambda t, d: t + apart_by(d))
         return F.when(apart / longest >= limit, False).otherwise(distance / longest < limit)  # lengths alone rule most windows out
 
     return F.try_element_at(F.filter(places, near), F.lit(1))

@@ -136,8 +136,9 @@ def locate_cascade(spark, sf_dir):
     kind = F.col("doc_id") % 4
     code = F.when(kind == 0, F.slice(ls, 2, 2)).when(kind == 1, changed(F.floor(n / 2))).when(kind == 2, changed(n)).otherwise(F.array(F.lit("nowhere to be found")))
     wanted = docs.select("doc_id", found.alias("ls")).select("doc_id", "ls", code.alias("code"))
-    at, near = F.coalesce(locate.run_at(ls, F.col("code")), F.lit(0)), F.coalesce(locate.locate_fuzzy(ls, F.col("code")), F.lit(0))
-    return wanted.select("doc_id", locate.cascade(at, F.lit(0), near).alias("located_by"), F.greatest(at, F.when(at > 0, 0).otherwise(near)).alias("at"))
+    at = F.coalesce(locate.run_at(ls, F.col("code")), F.lit(0))
+    near = F.when(at > 0, 0).otherwise(F.coalesce(locate.locate_fuzzy(ls, F.col("code")), F.lit(0)))  # only where the text itself isn't found
+    return wanted.select("doc_id", locate.cascade(at, F.lit(0), near).alias("located_by"), F.greatest(at, near).alias("at"))
 
 
 def hunk_align_nearest(spark, sf_dir):
