@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textloom.operators import bundles, records
+from textloom.operators import bundles, locate, records
 
 
 def plan(df) -> str:
@@ -34,3 +34,11 @@ def test_bundles_of_kept_columns_do_not_carry_diffs(spark):
     assert narrow.columns == ["position", "path", "group_id", "reason", "bin", "total_chars"] and "diff" in whole.columns
     assert sorted(narrow.collect()) == sorted(whole.select(narrow.columns).collect())
     assert "diff" not in plan(narrow)
+
+
+def test_lines_are_indexed_where_snippets_ask_with_the_same_windows(spark, monkeypatch):
+    files = spark.createDataFrame([(1, p, line) for p, line in enumerate(["x", "alpha beta gamma delta", "", "wholly other text here", "alpha beta gamme delta"])] + [(2, 1, "alpha beta gamma delta")], "f int, p int, line string")
+    wanted = spark.createDataFrame([(1, 7, ["alpha beta gamma deltas"]), (1, 8, ["x"]), (2, 9, ["nowhere"])], "f int, _s long, _target array<string>")
+    few = sorted(map(tuple, locate.near_lines(wanted, files, ["f"]).collect()))
+    monkeypatch.setattr(locate, "ASKED", 0)  # every character
+    assert few == sorted(map(tuple, locate.near_lines(wanted, files, ["f"]).collect())) == [(7, 1), (7, 4)]

@@ -84,6 +84,8 @@ def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:
 
 #: Characters of a key of the edit-distance join: of lines whose pieces are long enough, and of others.
 GRAMS = (5, 3)
+#: Different keys of a file's snippets up to which its lines are indexed by these keys only.
+ASKED = 20_000
 
 
 def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: float = FUZZY) -> DataFrame:
@@ -103,13 +105,19 @@ def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: floa
     size = F.when(F.col("edits") == 0, 0).when(F.floor(F.length("t") / (F.col("edits") + 1)) >= long, long).otherwise(short)
     pieces = pieces.withColumn("size", size).withColumn("key", F.when(F.col("size") == 0, F.col("t")).otherwise(F.substring(F.col("piece"), F.lit(1), F.col("size"))))
     pieces = pieces.select(*on, "_s", "i", "edits", "start", "piece", "key", "size")
-    asked = snippets.select(*on).distinct()
-    own = files.join(asked, on, "left_semi")
+    # a file's lines are indexed where one of its snippets asks: else every character would be two rows
+    hashed = lambda size, key: F.xxhash64(size, key)
+    keys = pieces.select(*on, hashed(F.col("size"), F.col("key")).alias("h")).distinct()
+    few = keys.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") <= ASKED)
+    asked = keys.join(few, on, "left_semi").groupBy(*on).agg(F.collect_list("h").alias("_asked"))
+    asked = snippets.select(*on).distinct().join(asked, on, "left")
+    own = files.join(asked, on)
     # what begins at each character, found in one pass: a substring by its place would walk a long line anew for each
     own = own.withColumn("seen", F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{1,{most}}}))."), F.lit(1)))
     spots = lambda g: F.filter(F.transform("seen", lambda x, i: F.struct(F.lit(g).alias("size"), i.alias("spot"), F.substring(x, 1, g).alias("key"), x.alias("seen"))), lambda x: F.length(x["key"]) == g)
     whole = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("spot"), F.col("line").alias("key"), F.lit("").alias("seen")))
-    index = own.select(*on, "p", F.explode(F.concat(whole, spots(long), spots(short))).alias("k")).select(*on, "p", "k.*")
+    some = lambda g, found: F.filter(found, lambda x: F.col("_asked").isNull() | F.array_contains("_asked", hashed(F.lit(g), x["key"])))
+    index = own.select(*on, "p", F.explode(F.concat(some(0, whole), some(long, spots(long)), some(short, spots(short)))).alias("k")).select(*on, "p", "k.*")
     met = pieces.join(index, [*on, "size", "key"]).filter(F.abs(F.col("spot") - F.col("start")) <= F.col("edits"))
     met = met.filter((F.col("size") == 0) | F.col("seen").startswith(F.col("piece")))
     return met.select("_s", (F.col("p") - F.col("i")).alias("at")).filter("at > 0").distinct()
