@@ -99,6 +99,43 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {(i, j) for i in range(8) for j in range(i + 1, 8) if close(sets[i], sets[j])}
 
 
+def test_near_duplicates_of_prose_hold_no_rows_by_word(spark, monkeypatch):
+    """Blocks of sets, sketches of several widths, groups of near copies; what is written for a set doesn't grow with its words (lists by word had a row with a sketch for each of 40 % of them)."""
+    import random
+
+    monkeypatch.setattr(similar, "HOT", 60)
+    rng = random.Random(5)
+    common, texts = [f"w{i}" for i in range(400)], []
+    for _ in range(150):
+        words = rng.sample(common, rng.choice((5, 12, 30, 90, 200))) + [f"own{rng.getrandbits(40)}" for _ in range(rng.choice((0, 3, 40)))]
+        texts.append(words)
+        for _ in range(rng.choice((0, 1, 3))):  # on either side of the threshold
+            keep = rng.sample(words, max(1, int(len(words) * rng.uniform(0.55, 1))))
+            texts.append(keep + [f"new{rng.getrandbits(40)}" for _ in range(rng.randrange(1 + len(words) // 5))])
+    texts += [[f"v{j}" for j in range(1500) if j % 9 != i] for i in range(6)]
+    written, write = [], similar.materialise
+
+    def seen(df, label):
+        out = write(df, label)
+        if label not in ("sets", "met"):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "materialise", seen)
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, t string")
+    got = {(r["a"], r["b"]): r["similarity"] for r in similar.similar_pairs(frame, "id", "t").collect()}
+    assert written and max(written) <= len(texts)
+    sets = [set(t) for t in texts]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    want = {k: v for k, v in want.items() if v >= 0.6}
+    assert got == want and len(want) > 50
+    group = {i: i for i in range(len(sets))}
+    for _ in range(len(sets)):
+        for i, j in want:
+            group[i] = group[j] = min(group[i], group[j])
+    assert {r["id"]: r["duplicate_of"] for r in similar.near_groups(frame, "id", "t").collect()} == group
+
+
 def test_manifests(spark):
     files = spark.createDataFrame([("p", '{"dependencies": {"a": "1", "b": "*"}, "devDependencies": {"a": "2"}}'), ("q", "{")], ["f", "t"])
     got = {(r["path"], r["name"]): r["constraint"] for r in records.package_json(F.col("f"), F.col("t"), files).collect()}
