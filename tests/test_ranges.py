@@ -116,3 +116,21 @@ def test_snippets_by_their_rarest_line(spark):
     snippets = [("ab", "a\nb"), ("ac", "a\n\nc"), ("xxy", "x\nx\ny"), ("no", "a\nz"), ("none", None), ("blank", " "), ("one", "c"), ("two", "a\nb"), ("two", "c"), ("aba", "b\na\nc\na")]
     found = locate.search_snippets(spark.createDataFrame(snippets, "s string, t string"), spark.createDataFrame(list(files.items()), "k int, c string"), "s", "t", "k", "c")
     assert {(r.s, r.k, r["at"]) for r in found.collect()} == {("ab", 1, 1), ("ac", 1, 3), ("ac", 2, 2), ("xxy", 4, 2), ("one", 1, 4), ("one", 2, 3), ("two", 1, 1), ("two", 2, 3), ("aba", 1, 2)}
+
+
+def test_equal_snippets_are_searched_as_one(spark, monkeypatch):
+    """What is looked up grows with the snippets' different texts; before, each of n equal snippets met each of n files."""
+    monkeypatch.setattr(locate, "SHARED", 7)
+    rows, write = {}, locate.materialise
+
+    def seen(df, label):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(locate, "materialise", seen)
+    files = spark.createDataFrame([(i, f"own {i}\nsame\nlines") for i in range(40)], "k int, c string")
+    snippets = spark.createDataFrame([(i, " same\n\nlines" if i % 2 else "same\nlines") for i in range(40)] + [(3, "own 5"), (None, "own 6\nsame")], "s int, t string")
+    found = locate.search_snippets(snippets, files, "s", "t", "k", "c").collect()
+    assert sorted((-1 if r.s is None else r.s, r.k, r["at"]) for r in found) == sorted([(i, k, 1 if (i, k) == (3, 5) else 2) for i in range(40) for k in range(40)] + [(-1, 6, 1)])
+    assert rows["met"] == 42

@@ -44,14 +44,16 @@ def first_line_index(files: DataFrame, key: str, text: str) -> DataFrame:
 def search_snippets(snippets: DataFrame, files: DataFrame, snippet_key: str, snippet: str, key: str, text: str) -> DataFrame:
     """Every file's first run of every snippet. Empty snippets match nothing; a key that has several snippets is found where one of them is.
 
-    A snippet meets the files by the one of its lines that stands in the fewest places; a
+    Equal snippets are searched as one, and only what is found is told to each key that has
+    them. A snippet meets the files by the one of its lines that stands in the fewest places; a
     snippet with a line that stands nowhere meets none. Its other lines are then looked up
     where they would have to stand: rows of a file and place, no file's text. Lines are
     compared by two 64-bit hashes.
     """
     hashed = (F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
-    own = snippets.select(snippet_key, snippet).filter(F.col(snippet).isNotNull()).distinct().select(F.struct(F.col(snippet_key).alias("key"), F.xxhash64(snippet).alias("text")).alias("_s"), F.posexplode(norm_lines(F.col(snippet))).alias("i", "line"))
-    wanted = own.select("_s", "i", *hashed)
+    own = snippets.select(F.struct(F.col(snippet_key).alias("k")).alias("key"), norm_lines(F.col(snippet)).alias("ls")).filter(F.size("ls") > 0)
+    own = materialise(own.select("key", "ls", F.struct(F.xxhash64("ls").alias("a"), F.xxhash64(F.lit("second"), "ls").alias("b")).alias("_s")).distinct(), "snippets")
+    wanted = own.groupBy("_s").agg(F.first("ls").alias("ls")).select("_s", F.posexplode("ls").alias("i", "line")).select("_s", "i", *hashed)
     index = first_line_index(files.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t").select("_k", "p", *hashed)
     index = materialise(index, "lines")
     known = wanted.join(index.groupBy("h", "h2").agg(F.count("*").alias("places")), ["h", "h2"], "left").withColumn("places", F.coalesce("places", F.lit(0)))
@@ -60,8 +62,16 @@ def search_snippets(snippets: DataFrame, files: DataFrame, snippet_key: str, sni
     met = materialise(met, "met")
     rest = met.filter("n > 1").withColumnRenamed("i", "_seen").join(wanted, "_s").filter("i <> _seen").select("_s", "_k", "n", "at", (F.col("at") + F.col("i")).alias("p"), "h", "h2")
     whole = rest.join(index, ["_k", "p", "h", "h2"]).groupBy("_s", "_k", "n", "at").agg(F.count("*").alias("_found")).filter("_found = n - 1")
-    found = met.filter("n = 1").select("_s", "_k", "at").unionByName(whole.select("_s", "_k", "at"))
-    return found.groupBy(F.col("_s.key").alias(snippet_key), F.col("_k").alias(key)).agg((F.min("at") + 1).alias("at"))
+    found = met.filter("n = 1").select("_s", "_k", "at").unionByName(whole.select("_s", "_k", "at")).groupBy("_s", "_k").agg(F.min("at").alias("at"))
+    # a snippet that many keys have is dealt over tasks with what it is found in; only keys with several snippets have to be brought together again
+    keys = own.select("key", "_s").distinct()
+    many = keys.groupBy("_s").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("salts"))
+    told = keys.join(keys.groupBy("key").agg((F.count("*") > 1).alias("several")), "key").join(many, "_s").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    found = materialise(found, "found").join(many, "_s").withColumn("salt", F.pmod(F.xxhash64("_k"), F.col("salts")).cast("int"))
+    told = materialise(told, "keys")
+    out = lambda which: found.join(told.filter(which).select("_s", "salt", "key"), ["_s", "salt"]).select("key", "_k", "at")
+    several = out("several").groupBy("key", "_k").agg(F.min("at").alias("at"))
+    return out("not several").unionByName(several).select(F.col("key.k").alias(snippet_key), F.col("_k").alias(key), (F.col("at") + 1).alias("at"))
 
 
 def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:
@@ -86,6 +96,8 @@ def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:
 GRAMS = (5, 3)
 #: Different keys of a file's snippets up to which its lines are indexed by these keys only.
 ASKED = 20_000
+#: Keys with an equal snippet that one task is told at a time.
+SHARED = 512
 
 
 def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: float = FUZZY) -> DataFrame:
