@@ -82,3 +82,21 @@ def test_snapshots_renames_and_what_the_parser_says(spark):
     assert linediff.snapshot_diffs(a.limit(0), b).filter("old_path is not null").count() == 0
     done = linediff.patched(a.filter("path = 'edited'").withColumn("patched", a.path), a.content, F.lit(rows["edited", "edited"]))
     assert done.columns == ["path", "content", "patched", "patched", "patch_error"] and done.first()[-2] == dict(after)["edited"]
+
+
+def test_few_texts_are_held_at_a_time():
+    """A batch of Arrow's is thousands of rows; before, all of its texts and diffs were held as Python strings at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = ["".join(f"line {i} {j}\n" for j in range(300)) for i in range(600)]
+    new = [x.replace("line 7", "changed") for x in text]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{i}" for i in range(600)])] * 2 + [pa.array(text), pa.array(new)], names=["old_path", "new_path", "old", "new"])
+    tracemalloc.start()
+    try:
+        rows = sum(x.num_rows for x in linediff._compared(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 600 and peak < batch.nbytes / 2

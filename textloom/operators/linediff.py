@@ -36,6 +36,8 @@ AROUND, EDITS, TABLE = 3, 200, 1024
 SIMILAR = 0.5
 #: Characters in which a NUL makes a file binary.
 SNIFF = 8000
+#: Files that a task holds as Python strings at a time.
+ROWS = 64
 
 
 def _run(a: np.ndarray, b: np.ndarray, x: int, y: int) -> int:
@@ -245,8 +247,15 @@ def apply(old: str | None, diff: str) -> str | None:
     return None if gone else "".join(out + lines[at:])
 
 
-def _compared(batches):
+def _few(batches):
+    """Batches of at most ``ROWS`` rows: a batch of thousands of texts would be held as Python strings, with all that is made of them, at once."""
     for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
+def _compared(batches):
+    for batch in _few(batches):
         columns = [batch.column(c).to_pylist() for c in ("old_path", "new_path", "old", "new")]
         found = [unified(a if a is not None else b, b if b is not None else a, old, new) for a, b, old, new in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("old_path"), batch.column("new_path"), pa.array(found, pa.string())], names=["old_path", "new_path", "diff"])
@@ -317,7 +326,7 @@ def patched(files: DataFrame, content: Column, diff: Column) -> DataFrame:
     names = files.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             found, errors = [], []
             for old, text in zip(batch.column("_old").to_pylist(), batch.column("_diff").to_pylist(), strict=True):
                 try:
