@@ -429,6 +429,31 @@ def test_attention_gradient():
         assert (up - down) / (2 * float(step)) == pytest.approx(float(g[name][i]), rel=0.1, abs=1e-4)
 
 
+def test_attention_gradient_is_summed_over_runs_taken_together(monkeypatch):
+    """The sum doesn't depend on how many runs are held at a time, which bound what a step holds."""
+    import tracemalloc
+
+    v, _, _ = small_model(["the of thing and er"] * 4, np.ones(4, bool))
+    model, rng, runs, s = attention_lm.Attention(v), np.random.default_rng(0), attention_lm.BATCH, attention_lm.STRIDE
+    model.p["near"] = rng.normal(size=2 * s).astype(np.float32)
+    x = rng.integers(0, 9, (runs, (attention_lm.RUN + 1) * s)).astype(np.int16)
+    n = runs * attention_lm.RUN * s
+    given = rng.normal(size=(9, attention_lm.WIDTH)).astype(np.float32), x, rng.integers(0, attention_lm.CLASSES, n), rng.random(n) < 0.7, rng.normal(size=(9, attention_lm.CLASSES)).astype(np.float32)
+
+    def found(together):
+        monkeypatch.setattr(attention_lm, "TOGETHER", together)
+        tracemalloc.start()
+        g = model.gradient(*given)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return g, peak
+
+    whole, most = found(runs)
+    for together in (16, 7, 1):
+        part, peak = found(together)
+        assert peak < most / 2 and all(np.allclose(part[k], whole[k], rtol=1e-3, atol=1e-5) for k in model.p)
+
+
 def test_shard_store(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", small_bytes=1, target_bytes=1 << 20, fan_in=2)
     for k in range(4):

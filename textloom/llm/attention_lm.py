@@ -57,6 +57,8 @@ STRIDE = 16
 WIDTH, UNITS, CLASSES = 16, 2048, 64
 #: Rounds of local training, windows in a row that are trained together, such runs of a step, learning rate.
 ROUNDS, RUN, BATCH, RATE = 2, 8, 48, 0.01
+#: Runs of a step whose arrays are in the processor's cache at a time, of which the step's gradient is the sum.
+TOGETHER = 16
 #: Windows scored at a time.
 SCORED = 512
 #: Weight of the unigram in a pair's probability.
@@ -100,7 +102,7 @@ class Subwords:
         self.begins[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint16)
+        return np.array(self.encoding.encode_ordinary(text), np.uint16)
 
     def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has. Words are encoded in one text, as none reaches over a space."""
@@ -309,7 +311,7 @@ def pair_counts(sliced: DataFrame, unit: np.ndarray) -> np.ndarray:
         for _, own, _ in whole(batches):
             x, weight, _ = stream(*own.words, unit, np.flatnonzero(~own.held))
             after = np.append(x[1:], np.int16(EDGE))
-            out += np.bincount((x.astype(np.int32) * np.int32(SIZE) + after)[weight], minlength=SIZE * SIZE)
+            np.add.at(out, (x.astype(np.int64) * SIZE + after)[weight], 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([packed(out[k::BLOCKS]) for k in range(BLOCKS)], pa.binary())], names=["block", "cells"])
 
     out = summed_in_blocks(sliced.select("slice", "part", "blob").mapInArrow(count, "block int, cells binary"))
@@ -432,85 +434,111 @@ class Attention:
         a, b = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
         self.back, self.causal = (a - b).clip(0), (b <= a).astype(np.float32)
 
-    def tables(self, emb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of embeddings: queries, and keys next to values next to a one (which sums the weights)."""
-        p = self.p
-        return (emb @ p["q"]) * np.float32(WIDTH**-0.5), np.concatenate([emb @ p["k"], emb @ p["v"], np.ones((len(emb), 1), np.float32)], axis=1)
-
-    def attend(self, queries: np.ndarray, keys: np.ndarray, x: np.ndarray):
-        """x: (runs, places), the first window of a run being context only. Returns queries and keys of windows, weights, and states with the weights' sums."""
-        runs, places = x.shape
-        q, kv = queries[x[:, STRIDE:]].reshape(runs, -1, STRIDE, WIDTH), keys[x]
-        step = kv.strides[1]
-        kv = np.lib.stride_tricks.as_strided(kv, (runs, places // STRIDE - 1, 2 * STRIDE, kv.shape[2]), (kv.strides[0], STRIDE * step, step, kv.strides[2]))
-        s = q @ kv[..., :WIDTH].transpose(0, 1, 3, 2)
-        if np.sqrt((queries**2).sum(axis=1).max() * (keys[:, :WIDTH] ** 2).sum(axis=1).max()) > LARGEST:
+    def tables(self, emb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of embeddings: queries, what windows take (embeddings next to a one, which sums the weights), and what a mean of embeddings adds to the logits.
+
+        Queries and keys only meet in a product, and values only in their mean, so keys and
+        values are the embeddings as they are, and their matrices stand in the others'.
+        """
+        form, into = self.forms()
+        return emb @ form, np.concatenate([emb, np.ones((len(emb), 1), np.float32)], axis=1), into
+
+    def forms(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.p["q"] @ self.p["k"].T * np.float32(WIDTH**-0.5), self.p["v"] @ self.p["out"]
+
+    def bounds(self, queries: np.ndarray, keys: np.ndarray, into: np.ndarray) -> tuple[bool, bool]:
+        """Whether scores, and logits, may be too large. A state is a mean, so no logit is larger than the largest that an embedding would give."""
+        emb = keys[:, :WIDTH]
+        return bool(np.sqrt((queries**2).sum(axis=1).max() * (emb**2).sum(axis=1).max()) > LARGEST), bool((emb @ into).max() > 2 * LARGEST)
+
+    def weigh(self, q: np.ndarray, kv: np.ndarray, large: bool, out: np.ndarray | None = None) -> np.ndarray:
+        s = np.matmul(q, kv[..., :WIDTH].transpose(0, 1, 3, 2), out=out)
+        if large:
             np.minimum(s, LARGEST, out=s)
         np.exp(s, out=s)
         s *= np.exp(self.p["near"])[self.back] * self.causal
-        return q, kv, s, s @ kv[..., WIDTH:]
-
-    def logits(self, keys: np.ndarray, h: np.ndarray, x: np.ndarray, class_log: np.ndarray) -> np.ndarray:
-        """A state is a mean of values, so no logit is larger than the largest that a value would give."""
-        out = h.reshape(-1, WIDTH) @ self.p["out"]
-        out += np.take(class_log, x[:, STRIDE:].ravel(), axis=0)
-        if (keys[:, WIDTH : 2 * WIDTH] @ self.p["out"]).max() > 2 * LARGEST:
-            np.minimum(out, 2 * LARGEST, out=out)
-        return out
-
-    def log_probability(self, queries, keys, x: np.ndarray, target: np.ndarray, class_log: np.ndarray, ended: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logs of the target classes' probabilities, and of all classes from ``ended`` on together: a number per place of the runs' windows."""
-        _, _, _, state = self.attend(queries, keys, x)
-        logits = self.logits(keys, state[..., :WIDTH] / state[..., WIDTH:], x, class_log)
-        picked = logits[np.arange(len(logits)), target]
+        return s
+
+    def log_probability(self, queries, keys, into, x: np.ndarray, target: np.ndarray, class_log: np.ndarray, ended: int = 0, large: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of the target classes' probabilities, and of all classes from ``ended`` on together: a number per place of the runs' windows. x: (runs, places), the first window of a run being context only. ``large``: the tables' ``bounds``, if known."""
+        here = x[:, STRIDE:]
+        large = large or self.bounds(queries, keys, into)
+        kv = windows(np.take(keys, x, axis=0))
+        state = self.weigh(np.take(queries, here, axis=0).reshape(*kv.shape[:2], STRIDE, WIDTH), kv, large[0]) @ kv
+        logits = classed((state[..., :WIDTH] / state[..., WIDTH:]).reshape(-1, WIDTH) @ into, class_log, here, large[1])
+        picked = np.take(logits, np.arange(0, logits.size, CLASSES) + target)
         np.exp(logits, out=logits)
         sums = np.log(logits @ np.stack([np.ones(CLASSES), np.arange(CLASSES) >= ended], axis=1).astype(np.float32))
         return picked - sums[:, 0], sums[:, 1] - sums[:, 0]
 
     def gradient(self, emb: np.ndarray, x: np.ndarray, target: np.ndarray, weight: np.ndarray, class_log: np.ndarray):
-        """Gradient of the mean loss by parameter. x: places' rows of ``emb`` and of ``class_log``; that by emb is of these rows."""
-        p, (queries, keys) = self.p, self.tables(emb)
-        q, kv, s, state = self.attend(queries, keys, x)
+        """Gradient of the mean loss by parameter. x: places' rows of ``emb`` and of ``class_log``; that by emb is of these rows.
+
+        What is summed first, over ``TOGETHER`` runs at a time, is the gradient by the ``forms``, by
+        the scores of each distance, and by each place's embedding.
+        """
+        p, (form, _), tables, (runs, places) = self.p, self.forms(), self.tables(emb), x.shape
+        large, target, weight = self.bounds(*tables), target.reshape(runs, -1), (weight / max(1, np.count_nonzero(weight))).astype(np.float32).reshape(runs, -1)
+        by_place = np.zeros((runs, places // STRIDE, STRIDE, WIDTH), np.float32)
+        by_form, by_into, by_score = np.zeros((WIDTH, WIDTH), np.float32), np.zeros((WIDTH, CLASSES), np.float32), np.zeros((STRIDE, 2 * STRIDE), np.float32)
+        for a in range(0, runs, TOGETHER):
+            part = slice(a, a + TOGETHER)
+            found = self.gradients(tables, form, large, x[part], target[part].ravel(), weight[part].reshape(-1, 1), class_log, by_place[part])
+            for total, more in zip((by_form, by_into, by_score), found, strict=True):
+                total += more
+        by_form *= np.float32(WIDTH**-0.5)
+        return {
+            "emb": added(len(emb), x.ravel(), by_place), "q": by_form @ p["k"], "k": by_form.T @ p["q"], "v": by_into @ p["out"].T, "out": p["v"].T @ by_into,
+            "near": np.bincount(self.back.ravel(), (by_score * self.causal).ravel(), 2 * STRIDE).astype(np.float32),
+        }
+
+    def gradients(self, tables: tuple, form: np.ndarray, large: tuple, x: np.ndarray, target: np.ndarray, weight: np.ndarray, class_log: np.ndarray, by_place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of some runs: by what embeddings meet in, by what their means are multiplied with, and by scores; that by places is put into ``by_place``."""
+        queries, keys, into = tables
+        at = np.take(keys, x, axis=0)
+        kv = windows(at)
+        # weights, below them the gradients by their logarithms; and what these bring to the keys: gradients by means, below them queries
+        both, brought = np.empty((*kv.shape[:2], 2 * STRIDE, 2 * STRIDE), np.float32), np.empty((*kv.shape[:2], 2 * STRIDE, WIDTH + 1), np.float32)
+        ds, dh, q = both[:, :, STRIDE:], brought[:, :, :STRIDE], brought[:, :, STRIDE:, :WIDTH]
+        q[...] = np.take(queries, x[:, STRIDE:], axis=0).reshape(q.shape)
+        s = self.weigh(q, kv, large[0], both[:, :, :STRIDE])
+        state = s @ kv
         total, h = state[..., WIDTH:], state[..., :WIDTH] / state[..., WIDTH:]
-        d = self.logits(keys, h, x, class_log)
+        flat = h.reshape(-1, WIDTH)
+        d = classed(flat @ into, class_log, x[:, STRIDE:], large[1])
         np.exp(d, out=d)
-        share = (weight / max(1, np.count_nonzero(weight))).astype(np.float32)
-        d *= (share / (d @ np.ones(CLASSES, np.float32)))[:, None]
-        d[np.arange(len(d)), target] -= share
-        g = {"out": h.reshape(-1, WIDTH).T @ d}
-        dh = (d @ p["out"].T).reshape(h.shape)
-        s /= total
-        dv = s.transpose(0, 1, 3, 2) @ dh
-        ds = np.concatenate([dh, -np.einsum("abij,abij->abi", dh, h)[..., None]], axis=3) @ kv[..., WIDTH:].transpose(0, 1, 3, 2)
+        sums = d @ np.ones(CLASSES, np.float32)
+        d.reshape(-1)[np.arange(0, d.size, CLASSES) + target] -= sums
+        share = weight / sums[:, None]
+        np.multiply((d @ into.T).reshape(h.shape), share.reshape(total.shape) / total, out=dh[..., :WIDTH])
+        np.negative(np.einsum("abij,abij->abi", dh[..., :WIDTH], h), out=dh[..., WIDTH])
+        np.matmul(dh, kv.transpose(0, 1, 3, 2), out=ds)
         ds *= s
-        g["near"] = np.bincount(self.back.ravel(), (ds.sum(axis=(0, 1)) * self.causal).ravel(), 2 * STRIDE).astype(np.float32)
-        dq, dk = ds @ kv[..., :WIDTH], ds.transpose(0, 1, 3, 2) @ q
-        dq, dk, dv = added(len(emb), x.ravel(), np.concatenate([np.zeros_like(dq[:, :1]), dq], axis=1), overlaid(dk), overlaid(dv))
-        dq *= np.float32(WIDTH**-0.5)
-        g |= {"q": emb.T @ dq, "k": emb.T @ dk, "v": emb.T @ dv}
-        g["emb"] = dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        return g
-
-
-def overlaid(x: np.ndarray) -> np.ndarray:
-    """Sums of what windows of 2 STRIDE places, STRIDE apart, give each place."""
-    out = np.zeros((x.shape[0], x.shape[1] + 1, STRIDE, x.shape[3]), np.float32)
-    out[:, :-1] = x[:, :, :STRIDE]
-    out[:, 1:] += x[:, :, STRIDE:]
-    return out
+        dq = (ds @ kv[..., :WIDTH]).reshape(-1, WIDTH)
+        of_keys = both.transpose(0, 1, 3, 2) @ brought[..., :WIDTH]
+        np.add((dq @ form.T).reshape(h.shape), of_keys[:, :, STRIDE:], out=by_place[:, 1:])
+        by_place[:, :-1] += of_keys[:, :, :STRIDE]
+        return at[:, STRIDE:, :WIDTH].reshape(-1, WIDTH).T @ dq, (flat * share).T @ d, ds.sum(axis=(0, 1))
+
+
+def windows(x: np.ndarray) -> np.ndarray:
+    """Of runs' places (runs, places, width), each window's with those before it, as a view."""
+    runs, places, width = x.shape
+    return np.lib.stride_tricks.as_strided(x, (runs, places // STRIDE - 1, 2 * STRIDE, width), (x.strides[0], STRIDE * x.strides[1], *x.strides[1:]))
+
+
+def classed(logits: np.ndarray, class_log: np.ndarray, x: np.ndarray, large: bool) -> np.ndarray:
+    """Logits of the classes, what the units ``x`` alone say of them included."""
+    logits += np.take(class_log, x.ravel(), axis=0)
+    if large:
+        np.minimum(logits, 2 * LARGEST, out=logits)
+    return logits
 
 
-def added(n: int, at: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Of each array, ``n`` rows; each is the sum of the array's rows whose place in ``at`` has its number."""
-    by = np.argsort(at.astype(np.int16), kind="stable")
-    at = at[by]
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    found = []
-    for x in values:
-        out = np.zeros((n, WIDTH), np.float32)
-        out[at[starts]] = np.add.reduceat(np.take(x.reshape(-1, WIDTH), by, axis=0), starts, axis=0)
-        found.append(out)
-    return found
+def added(n: int, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``n`` rows; each is the sum of the array's rows whose place in ``at`` has its number."""
+    cells = at.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)
+    return np.bincount(cells.ravel(), x.ravel(), n * WIDTH).reshape(n, WIDTH).astype(np.float32)
 
 
 class Learner:
@@ -518,7 +546,12 @@ class Learner:
 
     def __init__(self, model: Attention, vocabulary: Vocabulary):
         self.model, self.v, self.step, self.seen = model, vocabulary, 0, 0
-        self.first, self.second = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+        # all but the embeddings lie in one array, of which the model's are views
+        self.rest = [k for k in model.p if k != "emb"]
+        whole = np.concatenate([model.p[k].ravel() for k in self.rest])
+        for k, part in zip(self.rest, np.split(whole, np.cumsum([model.p[k].size for k in self.rest])[:-1]), strict=True):
+            model.p[k] = part.reshape(model.p[k].shape)
+        self.moved = [(x, np.zeros_like(x), np.zeros_like(x)) for x in (model.p["emb"], whole)]
 
     def learn(self, x: np.ndarray, weight: np.ndarray, seed: int) -> None:
         """One pass over all windows of a stream, in random order."""
@@ -540,12 +573,11 @@ class Learner:
             row[used] = np.arange(len(used))
             g = self.model.gradient(self.model.p["emb"][used], row[here], target, scored, self.v.class_log[used])
             self.step += 1
-            fade = RATE * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
-            for k, p in self.model.p.items():
-                at = used if k == "emb" else slice(None)
-                first, second = 0.9 * self.first[k][at] + 0.1 * g[k], 0.99 * self.second[k][at] + 0.01 * g[k] ** 2
-                self.first[k][at], self.second[k][at] = first, second
-                p[at] -= (fade * first / (np.sqrt(second) + 1e-7)).astype(np.float32)
+            fade = np.float32(RATE * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step))
+            for (p, first, second), at, by in zip(self.moved, (used, slice(None)), (g["emb"], np.concatenate([g[k].ravel() for k in self.rest])), strict=True):
+                one, two = 0.9 * first[at] + 0.1 * by, 0.99 * second[at] + 0.01 * by**2
+                first[at], second[at] = one, two
+                p[at] -= fade * one / (np.sqrt(two) + 1e-7)
             self.seen += int(scored.sum())
 
 
@@ -583,12 +615,13 @@ def text_scores(model: Attention, v: Vocabulary, bounds, codes, ids, sizes, coun
     """Natural log of each text's probability: windows are scored SCORED at a time, and each place once. ``counts``: of the distinct words, in training documents."""
     every = np.arange(len(bounds) - 1)
     x, weight, first = stream(bounds, codes, ids, sizes, v.unit, every)
-    queries, keys = model.tables(model.p["emb"])
+    tables = model.tables(model.p["emb"])
+    large = model.bounds(*tables)
     x, out, ended = np.append(x, np.int16(EDGE)), np.zeros(len(weight)), np.zeros(len(weight))
     for a in range(STRIDE, len(weight), SCORED * STRIDE):
         b = min(len(weight), a + SCORED * STRIDE)
         here, after = x[a:b], x[a + 1 : b + 1]
-        got, end = model.log_probability(queries, keys, x[None, a - STRIDE : b], v.kind[after], v.class_log, v.ended)
+        got, end = model.log_probability(*tables, x[None, a - STRIDE : b], v.kind[after], v.class_log, v.ended, large)
         out[a:b], ended[a:b] = np.where(weight[a:b], got + np.take(v.unit_log, here.astype(np.int32) * np.int32(SIZE) + after), 0), end
     begins = weight & v.begins[x[1:]]  # here a word, or the text, is at its end, and the next thing begins
     out[begins] -= ended[begins]
