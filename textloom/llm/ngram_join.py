@@ -53,6 +53,8 @@ from textloom.session import materialise, table
 SHINGLE, SIMILAR = 3, (90, 100)
 #: Members and shingles of a verification block at most (a longer document is a block of its own).
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
+#: Sets of a list that meet in pairs, at most, and fewest and most bits of their sketches, where a group has more than one block.
+PAIRED, PARITY_BITS = 32, (256, 1 << 17)
 #: Rounds in which one set of each class is compared, at most.
 LEADER_ROUNDS = 8
 #: Shingles whose keys meet in one bucket.
@@ -276,19 +278,24 @@ def node_ids(sets: list[np.ndarray]) -> np.ndarray:
     return mix(np.array([mix(x).sum(dtype=np.uint64) for x in sets], np.uint64) + np.array([len(x) for x in sets], np.uint64) * ODD[2]).view(np.int64)
 
 
-def tied(key: np.ndarray, node: np.ndarray, role: np.ndarray):
-    """Rows of keys that nodes meet in: (row's node, the first node, role), without the first itself. A gap between size classes parts a key's nodes."""
+def ties(key: np.ndarray, node: np.ndarray, role: np.ndarray):
+    """Rows of keys that nodes meet in: (key, row's node, the first node, role), without the first itself. A gap between size classes parts a key's nodes."""
     by = np.lexsort((node, role, key))
     key, node, role = key[by], node[by], role[by]
     gap = (role[:-1] >= 3) & (role[1:] > role[:-1].astype(np.int64) + 1)
     starts = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | gap]))[0] if len(key) else np.zeros(0, np.int64)
     if not len(starts):
-        return node, node, role
+        return key, node, node, role
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
     low, high = np.minimum.reduceat(role, starts), np.maximum.reduceat(role, starts)
     first = np.repeat(node[starts], sizes)
     met = np.repeat((low >= 2) | (low < high), sizes) & (node != first)
-    return node[met], first[met], role[met]
+    return key[met], node[met], first[met], role[met]
+
+
+def tied(key: np.ndarray, node: np.ndarray, role: np.ndarray):
+    """``ties`` without their keys."""
+    return ties(key, node, role)[1:]
 
 
 def commonness(docs: DataFrame, total: int, shingle: int = SHINGLE) -> np.ndarray:
@@ -342,7 +349,7 @@ def commonness(docs: DataFrame, total: int, shingle: int = SHINGLE) -> np.ndarra
 
 
 def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHINGLE, common=None) -> DataFrame:
-    """node, first, open: nodes tied to the first node of a key (open: a list's, to be verified).
+    """key, node, first, open: nodes tied to the first node of a key (open: a list's, to be verified; key is 0 of others).
 
     A slice sends each key once per bucket and size class in packed rows; nodes that meet within the slice are tied there.
     ``common``: the broadcast table of ``commonness``.
@@ -358,8 +365,8 @@ def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHI
             key, role, of = set_keys(sets, similar, common.value if common else None)
             node = nodes[of] if len(of) else np.zeros(0, np.int64)
             heavy = role >= 2
-            a, first, r = tied(key[heavy], node[heavy], role[heavy])
-            rows = [(-1, b"", np.stack([a, first], axis=1).tobytes(), r.tobytes())] if len(a) else []
+            on, a, first, r = ties(key[heavy], node[heavy], role[heavy])
+            rows = [(-1, on.tobytes(), np.stack([a, first], axis=1).tobytes(), r.tobytes())] if len(a) else []
             by = np.lexsort((node, role, key))
             key, node, role = key[by], node[by], role[by]
             again = np.concatenate([[False], (key[1:] == key[:-1]) & (role[1:] >= 2) & (role[1:] == role[:-1])]) if len(key) else np.zeros(0, bool)
@@ -371,17 +378,17 @@ def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHI
 
     def tie(batches):
         held, now = [], None
-        edge = lambda a, first, r: pa.RecordBatch.from_arrays([pa.array(a), pa.array(first), pa.array(r >= 3)], names=["node", "first", "open"])
+        edge = lambda key, a, first, r: pa.RecordBatch.from_arrays([pa.array(np.where(r >= 3, key, U(0)).view(np.int64)), pa.array(a), pa.array(first), pa.array(r >= 3)], names=["key", "node", "first", "open"])
 
         def done():
-            return edge(*tied(*(np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.uint8)))))
+            return edge(*ties(*(np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate((np.uint64, np.int64, np.uint8)))))
 
         for batch in batches:
             for i in range(batch.num_rows):
                 k, *row = (batch.column(c)[i].as_py() for c in names)
                 if k < 0:
                     pairs = np.frombuffer(row[1], np.int64).reshape(-1, 2)
-                    yield edge(pairs[:, 0], pairs[:, 1], np.frombuffer(row[2], np.uint8))
+                    yield edge(np.frombuffer(row[0], np.uint64), pairs[:, 0], pairs[:, 1], np.frombuffer(row[2], np.uint8))
                     continue
                 if held and k != now:
                     yield done()
@@ -392,7 +399,80 @@ def met_nodes(docs: DataFrame, buckets: int, similar=SIMILAR, shingle: int = SHI
             yield done()
 
     sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, nodes binary, roles binary")
-    return sent.repartition(bounded_parts(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(tie, "node long, first long, open boolean")
+    return sent.repartition(bounded_parts(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(tie, "key long, node long, first long, open boolean")
+
+
+def differing(n: int, similar=SIMILAR) -> int:
+    """Elements at most that are in one only of two linked sets, the larger of size n."""
+    a, b = similar
+    return (b - a) * 2 * n // (a + b) + 1
+
+
+def parity_width(n: int, similar=SIMILAR) -> int:
+    """Bits of the sketch of a set of size n (a power of two): sets that have nothing in common differ in about twice as many as linked ones may."""
+    return min(max(1 << (4 * differing(n, similar) - 1).bit_length(), PARITY_BITS[0]), PARITY_BITS[1])
+
+
+def sketched(docs: DataFrame, members: DataFrame, similar, shingle: int, broadcast_bytes: int) -> DataFrame:
+    """node, sketch of ``members`` (doc_id, node), from their texts."""
+
+    def draw(batches):
+        for piece, texts in slices(batches, limit=SLICE_BYTES):
+            sets = shingle_sets(texts, shingle)
+            own = (node_ids(sets) == piece.column("node").to_numpy()).tolist()  # else another text of the same doc_id
+            rows = [(node, sketches([x], parity_width(len(x), similar))[0].tobytes()) for node, x, fits in zip(piece.column("node").to_pylist(), sets, own, strict=True) if fits]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "sketch"])
+
+    asked = members.select("doc_id", "node")
+    asked = F.broadcast(asked) if members.count() * 32 <= broadcast_bytes else asked
+    drawn = docs.join(asked, "doc_id").select("node", "text").mapInArrow(draw, "node long, sketch binary")
+    return materialise(drawn.groupBy("node").agg(F.first("sketch").alias("sketch")), "drawn")
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
+
+
+def told_apart(pairs: DataFrame, similar=SIMILAR) -> DataFrame:
+    """Those of ``pairs`` (a, b, n_a, n_b, sketch_a, sketch_b) that sketches don't tell apart."""
+    low, high = similar
+
+    def run(batches):
+        for batch in batches:
+            left = []
+            for a, b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")), strict=True):
+                words = min(len(x), len(y)) // 8
+                apart = int(np.bitwise_count(folded(np.frombuffer(x, np.uint64), words) ^ folded(np.frombuffer(y, np.uint64), words)).sum())
+                if apart <= n + m - 2 * -(-low * (n + m) // (low + high)):
+                    left.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in left], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def parted(docs: DataFrame, members: DataFrame, lists: DataFrame, similar, shingle: int, broadcast_bytes: int) -> DataFrame:
+    """``members`` (doc_id, node, n, grp) with their groups found anew; what is a candidate no more is left out.
+
+    Two sets on one list have a rare shingle in common, which in a large corpus many have by
+    chance: tied by lists alone, most candidates percolate into one group. Here the members of
+    a list meet in pairs, and only those that sizes and sketches don't tell apart are tied. A
+    list of more than ``PAIRED`` sets ties all of them, as before, so that a group of near
+    copies makes no pairs.
+    """
+    low, high = similar
+    sized = members.select("node", "n")
+    own = materialise(lists.join(sized, "node"), "lists")
+    many = own.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("first"))
+    star = own.join(many.filter(F.col("c") > PAIRED), "key").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
+    few = own.join(many.filter((F.col("c") > 1) & (F.col("c") <= PAIRED)).select("key"), "key")
+    x, y = (few.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (high * F.least("n_a", "n_b") >= low * F.greatest("n_a", "n_b"))).drop("key").distinct()
+    pairs = materialise(pairs, "pairs")
+    drawn = sketched(docs, members, similar, shingle, broadcast_bytes)
+    for c in "ab":
+        pairs = pairs.join(drawn.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")), c)
+    near = materialise(told_apart(pairs, similar).unionByName(star), "near")
+    return members.drop("grp").join(connected_components(near).select("node", F.col("component").alias("grp")), "node")
 
 
 def class_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -400,8 +480,8 @@ def class_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(connected_components(links).select("node", F.col("component").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
 
 
-def linked(docs: DataFrame, members: DataFrame, sure: DataFrame, similar, shingle: int, broadcast_bytes: int, sets: int = BLOCK_SETS, elements: int = BLOCK_ELEMENTS) -> DataFrame:
-    """Links (a, b) between candidates. ``members``: doc_id, node, n (size), grp. ``sure``: links that need no verification."""
+def linked(docs: DataFrame, members: DataFrame, sure: DataFrame, lists: DataFrame, similar, shingle: int, broadcast_bytes: int, sets: int = BLOCK_SETS, elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """Links (a, b) between candidates. ``members``: doc_id, node, n (size), grp. ``sure``: links that need no verification. ``lists``: key, node, what groups come from."""
 
     def scanned(dealt: DataFrame) -> DataFrame:
         dealt = materialise(dealt.select("doc_id", "node", "known", "grp", "block", "side_a", "side_b"), "dealt")
@@ -420,6 +500,10 @@ def linked(docs: DataFrame, members: DataFrame, sure: DataFrame, similar, shingl
         return rows.join(many, names, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("blocks")), F.lit(0)).cast("int"))
 
     members = materialise(put(members, ["grp"], "own"), "members")
+    large = members.filter("blocks > 1").select("doc_id", "node", "n", "grp")
+    if large.head(1):
+        large = parted(docs, large, lists, similar, shingle, broadcast_bytes)
+        members = materialise(put(members.filter("blocks is null").select(*large.columns).unionByName(large), ["grp"], "own"), "members")
     links = sure.unionByName(scanned(members.select("*", F.col("node").alias("known"), F.col("block").alias("side_a"), F.col("block").alias("side_b"))))
     big = members.filter("blocks > 1").drop("blocks")
     if not big.head(1):
@@ -472,7 +556,8 @@ def jaccard_classes(docs: DataFrame, similar=SIMILAR, shingle: int = SHINGLE, br
     sure = edges.filter("not open").select(F.col("node").alias("a"), F.col("first").alias("b"))
     sure = sure.unionByName(full.select("doc_id", F.col("node").alias("a")).distinct().join(same, "doc_id").select("a", "b"))
     groups = connected_components(edges.filter("open").select("node", "first")).select("node", F.col("component").alias("grp"))
-    links = linked(named_docs, groups.join(reps, "node").select("doc_id", "node", "n", "grp"), sure, similar, shingle, broadcast_bytes, block_sets)
+    lists = edges.filter("open").select("key", F.explode(F.array("node", "first")).alias("node")).distinct()
+    links = linked(named_docs, groups.join(reps, "node").select("doc_id", "node", "n", "grp"), sure, lists, similar, shingle, broadcast_bytes, block_sets)
     parts = connected_components(links).select("node", "component")
     classes = parts.join(reps, "node").groupBy("component").agg(F.min("doc_id").alias("component_id")).join(parts, "component").select("node", "component_id")
     # only sets with copies or links have to tell their documents; each does so once per salt, so copies of one set are dealt over as many tasks
