@@ -15,7 +15,10 @@ window don't exclude, are scored, and the blocks' first in each window are merge
 
 Anchors are a stated query set: each group of ``GROUP_ANCHORS`` of them meets each block once.
 Blocks and groups are dealt by a hash of the row, so one label, id or vector with a third of
-all rows is spread like any others; a task holds one block and one group at a time.
+all rows is spread like any others. Blocks are put on piles, whose number is fixed until a
+pile has ``HELD`` of them; a task holds a pile's blocks while the groups pass one by one, so
+an anchor is sent once for each pile, and nothing is broadcast. Scores of all anchors with all
+rows are bounded, which is as many as both multiplied.
 
 Defined results: rows with a null id, label or vector, with a null or non-finite component, or
 with one beyond ``MOST`` take no part. Rows are compared with rows of the same number of
@@ -28,18 +31,22 @@ whatever their names, are not read.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._text import release
+from textloom.llm._text import MOST_PARTS, release
 from textloom.session import materialise, table
 
 #: Whole numbers that a component of 1 is cut into, and components of these at most (products of 2^9 such still fit in a long).
 SCALE, MOST = 256, 1 << 26
-#: Rows of a block, anchors of a group, groups that meet a block in one task.
-BLOCK_ROWS, GROUP_ANCHORS, GROUPS = 4096, 256, 64
+#: Rows of a block, anchors of a group, and how many of them are bounded at a time.
+BLOCK_ROWS, GROUP_ANCHORS, ANCHORS = 4096, 256, 64
+#: Piles of blocks, unless one of them had more blocks than a task holds.
+PILES, HELD = 64, 16
 #: Cells of a dimension, at most 256.
 CELLS = 64
 POSITIVES, NEGATIVES = 5, 3
@@ -100,23 +107,31 @@ class Block:
         of = lambda c, kind, *shape: np.frombuffer(packed[c], kind).reshape(*shape)
         n, dims = packed["n"], packed["dims"]
         self.row, self.id, self.label = (of(c, np.int64, n) for c in ("row", "id", "label"))
-        self.vector = of("vector", np.int32, n, dims).astype(np.int64)
+        self.vector = of("vector", np.int32, n, dims)
         if packed.get("cells") is not None:
             self.cells, self.low, self.high = of("cells", np.uint8, dims, n), of("low", np.int64, dims, -1), of("high", np.int64, dims, -1)
 
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least and greatest score of each row with ``q``, from the cells alone."""
-        a, b = q[:, None] * self.low, q[:, None] * self.high
-        least, most = np.minimum(a, b), np.maximum(a, b)
-        low, high = np.zeros(self.cells.shape[1], np.int64), np.zeros(self.cells.shape[1], np.int64)
-        for d, code in enumerate(self.cells):
-            low += least[d][code]
-            high += most[d][code]
-        return low, high
+    @cached_property
+    def spread(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sum and the difference of the greatest and the least number of each row's cells (dims x rows)."""
+        low, high = (np.take_along_axis(x, self.cells.astype(np.int64), axis=1) for x in (self.low, self.high))
+        return (high + low).astype(np.float64), (high - low).astype(np.float64)
+
+    def bounds(self, q: np.ndarray, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest score of ``rows`` with ``q``, one anchor or several, from the cells alone."""
+        q, (twice, apart) = q.astype(np.int64), (x[:, rows] for x in self.spread)
+        if len(twice) * int(np.abs(q).max(initial=0)) * int(max(np.abs(twice).max(initial=0), apart.max(initial=0))) < 1 << 53:  # exact as doubles
+            middle, around = (q.astype(np.float64) @ twice).astype(np.int64), (np.abs(q).astype(np.float64) @ apart).astype(np.int64)
+        else:
+            middle, around = q @ twice.astype(np.int64), np.abs(q) @ apart.astype(np.int64)
+        return (middle - around) // 2, (middle + around) // 2
+
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return self.vector[rows].astype(np.int64) @ q.astype(np.int64)
 
     def best(self, rows: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The first of ``rows`` by exact score (rows stand in order of id), and their scores."""
-        score = self.vector[rows] @ q
+        score = self.scores(rows, q)
         order = np.argsort(-score, kind="stable")[:most]
         return rows[order], score[order]
 
@@ -126,44 +141,64 @@ def _largest(x: np.ndarray, k: int):
     return np.partition(x, len(x) - k)[len(x) - k] if len(x) >= k else None
 
 
-def nearest_of_label(block: Block, q: np.ndarray, anchor_id: int, label: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's ``most`` best rows of the label, and their scores."""
-    own = np.flatnonzero((block.label == label) & (block.id != anchor_id))
-    if len(own) > most:
-        low, high = (x[own] for x in block.bounds(q))
-        own = own[high >= _largest(low, most)]
-    return block.best(own, q, most)
+def nearest_of_label(block: Block, anchors: Block, most: int):
+    """For each anchor its place in its group, a block's ``most`` best rows of its label, and their scores."""
+    for label in np.unique(anchors.label):
+        own, asked = np.flatnonzero(block.label == label), np.flatnonzero(anchors.label == label)
+        for some in (asked[k : k + ANCHORS] for k in range(0, len(asked), ANCHORS)):
+            lows, highs = block.bounds(anchors.vector[some], own)
+            for i, low, high in zip(some.tolist(), lows, highs, strict=True):
+                other = block.id[own] != anchors.id[i]
+                rows, low, high = own[other], low[other], high[other]
+                if len(rows) > most:
+                    rows = rows[high >= _largest(low, most)]
+                yield i, *block.best(rows, anchors.vector[i], most)
 
 
-def in_windows(block: Block, q: np.ndarray, anchor_id: int, label: int, windows: list[tuple[int, int]], most: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+def in_windows(block: Block, q: np.ndarray, anchor_id: int, label: int, windows: list[tuple[int, int]], most: int, bounds: tuple | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
     """For each window (least and greatest score) a block's first ``most`` rows of other labels and their scores; and how many were scored."""
-    other = (block.label != label) & (block.id != anchor_id)
-    low, high = block.bounds(q)
+    low, high = block.bounds(q) if bounds is None else bounds
     found, scored = [], 0
+    if not windows:
+        return found, scored
+    near = np.flatnonzero((high >= min(w[0] for w in windows)) & (low <= max(w[1] for w in windows)) & (block.label != label) & (block.id != anchor_id))
+    low, high = low[near], high[near]
     for least, greatest in windows:
-        rows = np.flatnonzero(other & (high >= least) & (low <= greatest))
-        sure = low[rows][(low[rows] >= least) & (high[rows] <= greatest)]
+        at = np.flatnonzero((high >= least) & (low <= greatest))
+        sure = low[at][(low[at] >= least) & (high[at] <= greatest)]
         if (enough := _largest(sure, most)) is not None:
-            rows = rows[high[rows] >= enough]
+            at = at[high[at] >= enough]
+        rows = near[at]
         scored += len(rows)
-        score = block.vector[rows] @ q
+        score = block.scores(rows, q)
         rows = rows[(score >= least) & (score <= greatest)]
         found.append(block.best(rows, q, most))
     return found, scored
 
 
-def _met(blocks: DataFrame, groups: DataFrame, parts: int, others: int) -> DataFrame:
-    """Each group of anchors with each block of as many components; ``others`` groups are dealt over several tasks of a block."""
-    deals = -(-others // GROUPS)
-    b = blocks.select(*[F.col(c).alias(f"b_{c}") for c in blocks.columns], F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
-    g = groups.withColumn("deal", F.pmod("part", F.lit(deals))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return g.join(b, (g.block == b.b_part) & (g.dims == b.b_dims) & (g.deal == b.deal)).drop("deal", "block")
+def _met(blocks: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
+    """The blocks of each pile, and after them all groups of anchors."""
+    piles = max(min(parts, PILES), -(-parts // HELD))
+    b = blocks.withColumn("pile", F.pmod("part", F.lit(piles)))
+    g = groups.withColumn("pile", F.explode(F.sequence(F.lit(0), F.lit(piles - 1))))
+    return b.unionByName(g, allowMissingColumns=True).repartition(min(3 * piles, MOST_PARTS), "pile").sortWithinPartitions("pile", "kind")
 
 
-def _opened(batch: pa.RecordBatch):
-    for row in range(batch.num_rows):
-        values = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-        yield values, Block({k[2:]: v for k, v in values.items() if k.startswith("b_")}), Block({k: v for k, v in values.items() if not k.startswith("b_")} | {"cells": None})
+def _opened(batches):
+    """Each group of anchors, its row's values, and a block of its pile that has as many components."""
+    pile, held = None, []
+    for batch in batches:
+        for row in range(batch.num_rows):
+            values = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
+            if values["pile"] != pile:
+                pile, held = values["pile"], []
+            if values["kind"] == "block":
+                held.append(Block(values))
+                continue
+            anchors = Block(values)
+            for block in held:
+                if block.vector.shape[1] == anchors.vector.shape[1]:
+                    yield values, block, anchors
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -176,13 +211,11 @@ def positives(met: DataFrame, most: int = POSITIVES) -> DataFrame:
     """anchor_row, anchor_id, row, id, score, rank: each anchor's best rows of its label."""
 
     def find(batches):
-        for batch in batches:
-            for _, block, anchors in _opened(batch):
-                rows = []
-                for i in range(len(anchors.id)):
-                    at, score = nearest_of_label(block, anchors.vector[i], anchors.id[i], anchors.label[i], most)
-                    rows += [(int(anchors.row[i]), int(anchors.id[i]), int(block.row[j]), int(block.id[j]), int(s), None) for j, s in zip(at, score, strict=True)]
-                yield _batch(rows, POSITIVE)
+        for _, block, anchors in _opened(batches):
+            rows = []
+            for i, at, score in nearest_of_label(block, anchors, most):
+                rows += [(int(anchors.row[i]), int(anchors.id[i]), int(block.row[j]), int(block.id[j]), int(s), None) for j, s in zip(at, score, strict=True)]
+            yield _batch(rows, POSITIVE)
         release()
 
     order = Window.partitionBy("anchor_row").orderBy(F.desc("score"), "id", "row")
@@ -196,14 +229,15 @@ def negatives(met: DataFrame, wanted: str = "wanted", most: int = NEGATIVES, low
     """
 
     def find(batches):
-        for batch in batches:
-            for values, block, anchors in _opened(batch):
-                rows = []
-                for i, scores in enumerate(values[wanted]):
-                    windows = [(-(-low * s // 100), high * s // 100) for s in scores]
-                    found, scored = in_windows(block, anchors.vector[i], anchors.id[i], anchors.label[i], windows, most)
+        for values, block, anchors in _opened(batches):
+            rows = []
+            for k in range(0, len(anchors.id), ANCHORS):
+                some = range(k, min(k + ANCHORS, len(anchors.id)))
+                for i, *bounds in zip(some, *block.bounds(anchors.vector[k : k + ANCHORS]), strict=True):
+                    windows = [(-(-low * s // 100), high * s // 100) for s in values[wanted][i]]
+                    found, scored = in_windows(block, anchors.vector[i], anchors.id[i], anchors.label[i], windows, most, bounds)
                     rows += [(int(anchors.row[i]), int(anchors.id[i]), rank + 1, int(block.row[j]), int(block.id[j]), int(s), scored) for rank, (at, score) in enumerate(found) for j, s in zip(at, score, strict=True)]
-                yield _batch(rows, NEGATIVE)
+            yield _batch(rows, NEGATIVE)
         release()
 
     order = Window.partitionBy("anchor_row", "positive").orderBy(F.desc("negative_score"), "negative_id", "row")
@@ -217,14 +251,14 @@ def mine(rows: DataFrame, anchors: Column, n_positives: int = POSITIVES, n_negat
     counts = rows.agg(F.count("*").alias("n"), F.count_if(anchors).alias("asked")).first()
     parts, groups = max(1, -(-counts["n"] // block_rows)), max(1, -(-counts["asked"] // group_anchors))
     blocks, packed = materialise(pack(rows, "block", parts, cells), "blocks"), materialise(pack(asked, "group", groups, 0), "anchors")
-    found = materialise(positives(_met(blocks, packed, parts, groups), n_positives), "positives")
+    found = materialise(positives(_met(blocks, packed, parts), n_positives), "positives")
     # the windows of a group's anchors, in the order in which the group has them
     place = F.struct("anchor_id", "anchor_row", "scores")
     of_anchor = asked.select(F.col("row").alias("anchor_row"), F.col("id").alias("anchor_id"), "dims", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("part"))
     scores = found.groupBy("anchor_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
     wanted = of_anchor.join(scores, "anchor_row", "left").withColumn("scores", F.coalesce("scores", F.array().cast("array<bigint>")))
     wanted = wanted.groupBy("part", "dims").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["scores"]).alias("wanted"))
-    mined = negatives(_met(blocks, packed.join(wanted, ["part", "dims"]), parts, groups), most=n_negatives, low=low, high=high)
+    mined = negatives(_met(blocks, packed.join(wanted, ["part", "dims"]), parts), most=n_negatives, low=low, high=high)
     of_positive = found.select("anchor_row", F.col("rank").alias("positive"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     out = mined.join(of_positive, ["anchor_row", "positive"])
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score", "scored")
