@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from os.path import commonprefix
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import norm_line, norm_lines
 from textloom.operators import ranges
-from textloom.session import materialise
+from textloom.session import materialise, spread
 
 #: Edit distance over length below which a window matches.
 FUZZY = 0.15
@@ -96,6 +98,8 @@ def locate_fuzzy(lines: Column, target: Column, limit: float = FUZZY) -> Column:
 GRAMS = (5, 3)
 #: Different keys of a file's snippets up to which its lines are indexed by these keys only.
 ASKED = 20_000
+#: Lines of a file's snippets that a task holds while the file's lines pass; files that are asked for more are indexed.
+TOLD = 256
 #: Keys with an equal snippet that one task is told at a time.
 SHARED = 512
 
@@ -110,6 +114,44 @@ def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: floa
     """
     ratio = limit / (1 - limit)
     lines = snippets.select(*on, "_s", F.posexplode("_target").alias("i", "t")).withColumn("edits", F.greatest(F.ceil(F.length("t") * F.lit(ratio)) - 1, F.lit(0)).cast("int"))
+    many = lines.groupBy(*on).agg(F.count("*").alias("c")).filter(F.col("c") > TOLD).select(*on)
+    return _passed(lines.join(many, on, "left_anti"), files, on).unionByName(_indexed(lines.join(many, on, "left_semi"), files, on, ratio)).distinct()
+
+
+def _passed(lines: DataFrame, files: DataFrame, on: list[str]) -> DataFrame:
+    """_s, at by looking for the pieces of ``lines`` (on, _s, i, t, edits) in each line of their file, which come after them."""
+    known = lambda df: df.dropna(subset=on)
+    asked = known(lines).select(*on, F.lit(0).alias("p"), F.col("t").alias("line"), "_s", "i", "edits")
+    own = known(files).join(known(lines).select(*on).distinct(), on, "left_semi").select(*on, "p", "line").withColumns({"_s": F.lit(None).cast("long"), "i": F.lit(None).cast("int"), "edits": F.lit(None).cast("int")})
+    # by a hash of its own: where both sides are dealt by the file already, Spark 4.1 takes their union for dealt, though adaptive execution coalesces each side in its own way
+    met = spread(asked.unionByName(own).withColumn("_part", F.xxhash64(*on)), "_part").sortWithinPartitions(*on, F.col("edits").asc_nulls_last())
+
+    def find(batches):
+        file, equal, near = None, {}, {}
+        for batch in batches:
+            found = []
+            for *key, p, line, s, i, edits in zip(*(batch.column(c).to_pylist() for c in (*on, "p", "line", "_s", "i", "edits")), strict=True):
+                if key != file:
+                    file, equal, near = key, {}, {}
+                if edits == 0:
+                    equal.setdefault(line, []).append((s, i))
+                elif edits is not None:
+                    cuts = [len(line) * j // (edits + 1) for j in range(edits + 2)]
+                    pieces = [(max(0, a - edits), b + edits, line[a:b]) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+                    near.setdefault((len(line), edits), []).append((s, i, pieces))
+                else:
+                    found += [(s, p - i) for s, i in equal.get(line, ())]
+                    for (size, most), asking in near.items():
+                        if abs(size - len(line)) <= most:
+                            found += [(s, p - i) for s, i, pieces in asking if p > i and any(line.find(x, a, b) >= 0 for a, b, x in pieces)]
+            found = [x for x in found if x[1] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32())], names=["_s", "at"])
+
+    return met.mapInArrow(find, "_s long, at int")
+
+
+def _indexed(lines: DataFrame, files: DataFrame, on: list[str], ratio: float) -> DataFrame:
+    """_s, at by an index of what begins at each character of a file's lines."""
     cut = lambda j: F.floor(F.length("t") * j / (F.col("edits") + 1)).cast("int")
     pieces = lines.select(*on, "_s", "i", "t", "edits", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("j")).withColumn("start", cut(F.col("j")))
     pieces = pieces.withColumn("piece", F.substring(F.col("t"), F.col("start") + 1, cut(F.col("j") + 1) - F.col("start")))
@@ -122,7 +164,7 @@ def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: floa
     keys = pieces.select(*on, hashed(F.col("size"), F.col("key")).alias("h")).distinct()
     few = keys.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") <= ASKED)
     asked = keys.join(few, on, "left_semi").groupBy(*on).agg(F.collect_list("h").alias("_asked"))
-    asked = snippets.select(*on).distinct().join(asked, on, "left")
+    asked = lines.select(*on).distinct().join(asked, on, "left")
     own = files.join(asked, on)
     # what begins at each character, found in one pass: a substring by its place would walk a long line anew for each
     own = own.withColumn("seen", F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{1,{most}}}))."), F.lit(1)))
@@ -132,7 +174,42 @@ def near_lines(snippets: DataFrame, files: DataFrame, on: list[str], limit: floa
     index = own.select(*on, "p", F.explode(F.concat(some(0, whole), some(long, spots(long)), some(short, spots(short)))).alias("k")).select(*on, "p", "k.*")
     met = pieces.join(index, [*on, "size", "key"]).filter(F.abs(F.col("spot") - F.col("start")) <= F.col("edits"))
     met = met.filter((F.col("size") == 0) | F.col("seen").startswith(F.col("piece")))
-    return met.select("_s", (F.col("p") - F.col("i")).alias("at")).filter("at > 0").distinct()
+    return met.select("_s", (F.col("p") - F.col("i")).cast("int").alias("at")).filter("at > 0").distinct()
+
+
+def edit_distance(a: str, b: str, most: int) -> int | None:
+    """The edit distance; None if it is above ``most``. A row of the table is one long number (Myers 1999, Hyyrö 2003)."""
+    same = len(commonprefix((a, b)))
+    a, b = a[same:][::-1], b[same:][::-1]
+    same = len(commonprefix((a, b)))
+    a, b = sorted((a[same:], b[same:]), key=len)
+    if not a or len(b) - len(a) > most:
+        return len(b) if len(b) - len(a) <= most else None
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, last, more, less, score = (1 << len(a)) - 1, 1 << len(a) - 1, (1 << len(a)) - 1, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        here = at.get(c, 0)
+        x = (((here & more) + more) ^ more) | here
+        up, down = less | every & ~(x | more), more & x
+        score += bool(up & last) - bool(down & last)
+        if score - left > most:
+            return None
+        up, down = up << 1 | 1, down << 1
+        x = here | less
+        more, less = (down | ~(x | up)) & every, up & x & every
+    return score
+
+
+def _measured(batches):
+    """_s, at, n, d, longest of lines that are near enough. Batches: _s, at, n, line, t, most."""
+    for batch in batches:
+        rows = []
+        for s, at, n, line, t, most in zip(*(batch.column(c).to_pylist() for c in ("_s", "at", "n", "line", "t", "most")), strict=True):
+            if (d := edit_distance(line, t, most)) is not None:
+                rows.append((s, at, n, d, max(len(line), len(t))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), *[pa.int32()] * 4))], names=["_s", "at", "n", "d", "longest"])
 
 
 def fuzzy_join(snippets: DataFrame, files: DataFrame, on: list[str], code: str, text: str, limit: float = FUZZY) -> DataFrame:
@@ -149,8 +226,9 @@ def fuzzy_join(snippets: DataFrame, files: DataFrame, on: list[str], code: str,
     near = materialise(near_lines(some, index, keys, limit), "windows")
     total = F.aggregate("_target", F.lit(0), lambda t, x: t + F.length(x))
     parts = near.join(some, "_s").select(*keys, "_s", "at", F.size("_target").alias("n"), F.ceil(total * F.lit(limit / (1 - limit))).cast("int").alias("most"), F.posexplode("_target").alias("i", "t")).withColumn("p", F.col("at") + F.col("i"))
-    measured = parts.join(index, [*keys, "p"]).withColumn("d", F.expr("levenshtein(line, t, most)")).filter("d >= 0")
-    whole = measured.groupBy("_s", "at", "n").agg(F.count("*").alias("lines"), F.sum("d").alias("d"), F.sum(F.greatest(F.length("line"), F.length("t"))).alias("longest"))
+    met = parts.join(spread(index, *keys), [*keys, "p"]).filter(F.abs(F.length("line") - F.length("t")) <= F.col("most"))
+    measured = met.select("_s", "at", "n", "line", "t", "most").mapInArrow(_measured, "_s long, at int, n int, d int, longest int")
+    whole = measured.groupBy("_s", "at", "n").agg(F.count("*").alias("lines"), F.sum("d").alias("d"), F.sum("longest").alias("longest"))
     first = whole.filter((F.col("lines") == F.col("n")) & (F.col("d") / F.col("longest") < limit)).groupBy("_s").agg(F.min("at").alias("at"))
     out = wanted.join(first, "_s", "left").join(near.groupBy("_s").agg(F.count("*").alias("measured")), "_s", "left")
     return out.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(names)], "at", F.coalesce("measured", F.lit(0)).alias("measured"))
